@@ -1,0 +1,39 @@
+"""Intermediate tables that cut lineage, kept in the cluster's shared folder.
+
+``keep`` writes a DataFrame as Parquet below the checkpoint directory of the session
+(``spark.checkpoint.dir``) and reads it back. A lost executor then costs a re-read, not a
+recomputation, and every column of a later read is pruned as in any other Parquet scan.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint directory of the session; one of our own only where none is set (tests)."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-parcelry-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/parcelry-{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return the re-read table."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
