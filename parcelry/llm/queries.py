@@ -5,30 +5,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelry.llm import oracles
+from parcelry.llm.chat import chat_windows, read_windows
 from parcelry.llm.decontam import mark_contamination
+from parcelry.llm.lines import remove_repeated_lines
 from parcelry.llm.neardup import near_duplicate_classes
+from parcelry.llm.packing import pack_best_fit
 from parcelry.llm.substrings import remove_repeated_passages
+from parcelry.llm.toxicity import fit_severity, score_severity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def severity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    toxic, poor = F.col("toxic") == 1, F.coalesce(F.col("quality") == 0, F.lit(False))
+    return _read(spark, sf_dir, "labels").select("doc_id", (toxic.cast("int") + (toxic & poor).cast("int")).alias("grade"))
+
+
+def op2_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_severity(docs.join(severity_labels(spark, sf_dir), "doc_id"))
+    return score_severity(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_best_fit(docs).withColumnRenamed("id", "doc_id")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_contamination(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))])))
+    convs = read_windows(chat_windows(turns.unionByName(added)))
+    turn = lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
+    return convs.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicate_classes(docs).select("doc_id", "class_id", "representative")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op7_benchmark_decontamination, op9_minhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_toxicity_severity,
+        op3_substring_dedup,
+        op4_best_fit_packing,
+        op6_line_dedup,
+        op7_benchmark_decontamination,
+        op8_chat_formatting,
+        op9_minhash_near_dedup,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_substring_dedup": oracles.OP3,
+    "op6_line_dedup": oracles.OP6,
+    "op7_benchmark_decontamination": oracles.OP7,
+    "op8_chat_formatting": oracles.OP8,
+}
