@@ -11,14 +11,27 @@ from parcelry.llm.decontam import mark_contamination
 from parcelry.llm.lines import remove_repeated_lines
 from parcelry.llm.neardup import near_duplicate_classes
 from parcelry.llm.packing import pack_best_fit
+from parcelry.llm.scratch import new_path
+from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.substrings import remove_repeated_passages
+from parcelry.llm.topk import integer_vectors, top_inner_products
 from parcelry.llm.toxicity import fit_severity, score_severity
+from parcelry.llm.warc import merge_index, read_archives, url_key, write_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no capture time; each page was captured one second after the page with the id before it.
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("captured", F.timestamp_seconds(1_700_000_000 + F.coalesce("page_id", F.lit(0))))
+    path = new_path(spark, "warc")
+    write_archives(pages, path)
+    entries = read_archives(spark, path).withColumn("url_key", url_key(F.col("url")))
+    return merge_index(entries).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def severity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
     toxic, poor = F.col("toxic") == 1, F.coalesce(F.col("quality") == 0, F.lit(False))
@@ -41,6 +54,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(docs).withColumnRenamed("id", "doc_id")
 
 
+def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return shard_by_bytes(docs, shards=24).select(
+        "doc_id", "size", F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,22 +93,31 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(docs).select("doc_id", "class_id", "representative")
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(integer_vectors(_read(spark, sf_dir, "embeddings")), queries="vec_id % 20 = 0", k=20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc_index_merge,
         op2_toxicity_severity,
         op3_substring_dedup,
         op4_best_fit_packing,
+        op5_histogram_sharding,
         op6_line_dedup,
         op7_benchmark_decontamination,
         op8_chat_formatting,
         op9_minhash_near_dedup,
+        op10_exact_top_k,
     )
 }
 
 ORACLES = {
+    "op1_warc_index_merge": oracles.OP1,
     "op3_substring_dedup": oracles.OP3,
     "op6_line_dedup": oracles.OP6,
     "op7_benchmark_decontamination": oracles.OP7,
     "op8_chat_formatting": oracles.OP8,
+    "op10_exact_top_k": oracles.OP10,
 }
