@@ -7,7 +7,7 @@ and none of the repeats is lost. Only windows whose representative repeats are
 extended to the wanted length, and there they are compared by 128 bits. With ``extend``
 the survivors go on to twice that length, and so on until no candidate survives.
 
-Texts are dealt into chunks of about ``chunk_bytes``. A chunk sends each distinct window
+Rows are packed into compressed chunks of about ``chunk_bytes`` of text. A chunk sends each distinct window
 hash once, with a mark when the chunk itself holds it twice, so a passage that sits in a third of
 all documents reaches a bucket at most once per chunk. Buckets answer with one bit per hash.
 """
@@ -34,7 +34,6 @@ _OWN = ("n_words", "n_removed", "longest_repeat", "kept_text")
 def remove_repeated_passages(
     docs: DataFrame,
     *,
-    id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 35,
     extend: bool = False,
@@ -58,19 +57,17 @@ def remove_repeated_passages(
     if window < 2:
         raise ValueError("window must be at least 2")
     spark = docs.sparkSession
-    docs = docs.drop(*_OWN, "__chunk")
+    docs = docs.drop(*_OWN)
     at = docs.columns.index(text_col)
     buckets = 2 * partitions(spark)
     lengths = [(window + 1) // 2, window]
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"__chunk long, __asked array<struct<{_ASKED}>>").fields])
     first = list(lengths)
-    dealt = keep(docs.mapInArrow(lambda batches: _deal(batches, text_col, chunk_bytes, first, buckets), schema), "chunks")
-    chunks = dealt.drop("__asked")
-    texts = chunks.select(F.col("__chunk").alias("chunk"), F.col(text_col).alias("text"))
-    answers = keep(_judge(dealt.select(F.inline("__asked"))), "level0")
+    dealt = keep(docs.mapInArrow(lambda batches: _deal(batches, at, chunk_bytes, first, buckets), f"chunk long, rows binary, asked array<struct<{_ASKED}>>"), "chunks")
+    chunks = dealt.select("chunk", "rows")
+    answers = keep(_judge(dealt.select(F.inline("asked"))), "level0")
     while True:
         level = len(lengths) - 1
-        asked = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_extender(list(lengths), level, buckets), _ASKED)
+        asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_extender(list(lengths), at, level, buckets), _ASKED)
         found = keep(_judge(asked), f"level{level}")
         answers = answers.unionByName(found)
         if not extend or not found.filter("replace(hex(bits), '0', '') <> ''").head(1):
@@ -78,20 +75,31 @@ def remove_repeated_passages(
         lengths.append(2 * lengths[-1])
     of = list(lengths)
     out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, longest_repeat int, kept_text string").fields])
-    return chunks.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _removed(t, a, of, at, buckets), out)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _removed(t, a, of, at, buckets), out)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], text_col: str, chunk_bytes: int, lengths: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Number slices of the incoming rows; the numbers are fixed once the table is written. A chunk's first row holds what the chunk asks at the first level."""
+def _deal(batches: Iterator[pa.RecordBatch], at: int, chunk_bytes: int, lengths: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pack slices of the incoming rows into chunks, with what each asks at the first level. Their numbers are fixed once the table is written."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in slices(batch, text_col, chunk_bytes):
-            asked = _first_level(part.column(part.schema.get_field_index(text_col)), number, lengths, buckets).to_struct_array().combine_chunks()
-            ends = pa.array(np.r_[0, np.full(part.num_rows, len(asked))], pa.int32())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, number)), pa.ListArray.from_arrays(ends, asked)], names=[*part.schema.names, "__chunk", "__asked"])
+        for part in slices(batch, batch.schema.names[at], chunk_bytes):
+            asked = _first_level(part.column(at), number, lengths, buckets).to_struct_array().combine_chunks()
+            ends = pa.array([0, len(asked)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_packed(part)], pa.binary()), pa.ListArray.from_arrays(ends, asked)], names=["chunk", "rows", "asked"])
             number += 1
 
 
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(t: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(t.column("rows")[0].as_buffer()).read_all()
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Rising with the hash, so that sorted hashes fall into consecutive slices."""
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -200,19 +208,20 @@ def _survivors(words: Words, bits: dict[int, dict[int, bytes]], lengths: list[in
     return out
 
 
-def _extender(lengths: list[int], level: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda t, a: _next_level(t, a, lengths, level, buckets)
+def _extender(lengths: list[int], at: int, level: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda t, a: _next_level(t, a, lengths, at, level, buckets)
 
 
-def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], level: int, buckets: int) -> pa.Table:
+def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, level: int, buckets: int) -> pa.Table:
     if not t.num_rows:
         return _ask(level, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets)
-    words = Words(t.column("text").combine_chunks(), SPACED)
+    words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
     live = _survivors(words, _bits(a), lengths, level, buckets)[-1]
     return _ask(level, t.column("chunk")[0].as_py(), words.windows(lengths[level])[live], words.windows(lengths[level], 1)[live], buckets)
 
 
 def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
+    t = _unpacked(t)
     column = t.column(at).combine_chunks()
     words = Words(column, SPACED)
     bits = _bits(a)
@@ -234,5 +243,4 @@ def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
             parts = [p for p, s in zip(parts, stay) if s]
         kept.append(b" ".join(parts).decode())
     own = [pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(longest), pa.array(kept, pa.string())]
-    names = [n for n in t.schema.names if n != "__chunk"]
-    return pa.Table.from_arrays([*(t.column(n) for n in names), *own], names=[*names, "n_words", "n_removed", "longest_repeat", "kept_text"])
+    return pa.Table.from_arrays([*t.columns, *own], names=[*t.schema.names, "n_words", "n_removed", "longest_repeat", "kept_text"])
