@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelry.functions.columns import name_key, significant_words, similarity
 
@@ -15,7 +16,7 @@ from parcelry.functions.columns import name_key, significant_words, similarity
 STOPWORDS = ("real", "estate", "realty", "realtors", "properties", "property", "consultants", "consultancy", "agency", "group")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(name: pd.Series, known: pd.Series) -> pd.Series:
     """difflib's ratio with the known name first."""
     return pd.Series([difflib.SequenceMatcher(None, k, n).ratio() for n, k in zip(name, known)])
