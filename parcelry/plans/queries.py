@@ -11,7 +11,6 @@ from parcelry.plans.views import BAND, cities, corridor_metrics, line_listings,
 from parcelry.sources.files import flat
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-_DAY = F.lit("2002-01-01").cast("date")
 
 
 def _agents(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +43,7 @@ def corridor_drill_down(s: SparkSession, d: str) -> DataFrame:
 
 
 def normalise_listings(s: SparkSession, d: str) -> DataFrame:
-    out = listings.normalise_listings(raw_listings(s, d), _DAY)
+    out = listings.normalise_listings(raw_listings(s, d), F.lit("2002-01-01").cast("date"))
     return out.select("listing_id", "price_inr", "area_sqft", "bhk", "role", "poster", "mentions_registration", "days_since_posted", "possession_status", "intl_contact_hint", "society_key")
 
 
