@@ -71,7 +71,8 @@ def days_since(c: Column, as_of: Column) -> Column:
     date = r"([A-Za-z]{3})\s+(\d{1,2}),?\s*'?(\d{2,4})"
     year = found(c, date, 3)
     posted = F.concat_ws(" ", found(c, date), found(c, date, 2), F.when(F.length(year) == 4, year).otherwise((year.cast("int") + 2000).cast("string")))
-    absolute = F.greatest(F.date_diff(as_of, F.try_to_date(F.when(year.isNotNull(), posted), "MMM d yyyy")), F.lit(0))
+    age = F.date_diff(as_of, F.try_to_date(F.when(year.isNotNull(), posted), "MMM d yyyy"))
+    absolute = F.when(age >= 0, age).when(age < 0, 0)
     return (
         F.when(text.contains("today"), 0)
         .when(text.contains("yesterday"), 1)
