@@ -45,13 +45,14 @@ def fit_severity(
     sample_rows: int = 10_000,
     features: int = 4096,
     min_texts: int = 3,
+    min_z: float = 4.5,
     l2: float = 1e-4,
     rounds: int = 300,
 ) -> SeverityModel:
     """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the id (all, if there are fewer).
 
     ``grade_col`` holds whole numbers from 0 up; rows with a null grade or text take no part. The
-    ``features`` that differ most between grade 0 and the rest are kept. Their counts are made in the
+    ``features`` that differ most between grade 0 and the rest are kept, as far as they differ by ``min_z`` standard errors. Their counts are made in the
     cluster; only the chosen features' values of the sample reach the driver. Without any labelled row, or with grade 0 alone, every text
     gets grade 0.
     """
@@ -71,7 +72,7 @@ def fit_severity(
     counted = present.groupBy("feature").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).filter(F.col("n") >= min_texts)
     share, p1, p0 = F.col("n") / (clean + other), F.col("bad") / other, (F.col("n") - F.col("bad")) / clean
     z = F.abs(p1 - p0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / other + 1 / clean))
-    chosen = np.array([r["feature"] for r in counted.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(features).collect()], np.int64).view(np.uint64)
+    chosen = np.array([r["feature"] for r in counted.select("feature", z.alias("z")).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "feature").limit(features).collect()], np.int64).view(np.uint64)
     chosen = np.sort(chosen)
 
     data = sample.mapInArrow(lambda batches: _design(batches, chosen), "grade int, at array<int>, value array<float>").toArrow()
