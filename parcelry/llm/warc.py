@@ -116,21 +116,24 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, name in zip(batch.column(0), batch.column(1).to_pylist()):
             value = value.as_buffer().to_pybytes()
             if name != archive:
-                archive, at, held = name, 0, b""
+                if held:
+                    raise ValueError(f"{archive} ends inside a record")
+                archive, at = name, 0
                 value = value.removeprefix(_HEAD.encode())
             elif held:
                 value = held + sep + value
-            if not value.strip():
-                continue
-            head, _, block = value.partition(rest)
-            fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split(_EOL))
-            size = int(fields["Content-Length"])
-            if len(block) < size:
-                held = value
-                continue
             held = b""
-            rows.append((*_entry(fields, block[:size]), at, archive))
-            at += len(_HEAD) + len(head) + len(rest) + size + len(rest)
+            while value.strip():
+                head, _, block = value.partition(rest)
+                fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split(_EOL))
+                size = int(fields["Content-Length"])
+                if len(block) < size:
+                    held = value
+                    break
+                rows.append((*_entry(fields, block[:size]), at, archive))
+                at += len(_HEAD) + len(head) + len(rest) + size + len(rest)
+                # A payload that ends like a separator leaves the next record in the same fragment.
+                value = block[size:].removeprefix(sep) if block[size:].startswith(sep) else b""
         columns = list(zip(*rows)) if rows else [()] * 9
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         names = [c.split()[0] for c in _ENTRY.split(", ")] + ["archive"]
