@@ -79,11 +79,11 @@ def shard_by_bytes(
 
     # Both tables follow the numbers of first-round bins and pieces, not the rows.
     placed = keyed.withColumn("__bin", _prefix("__k1", _FIRST_BITS)).join(F.broadcast(by_bin), "__bin")
-    after = F.filter("cuts", lambda c: (c["k1"] < F.col("__k1")) | ((c["k1"] == F.col("__k1")) & (c["k2"] <= F.col("__k2"))))
-    placed = placed.withColumn("__piece", F.col("base") + F.size(after)).drop("base", "cuts", "__bin")
+    after = F.filter("__cuts", lambda c: (c["k1"] < F.col("__k1")) | ((c["k1"] == F.col("__k1")) & (c["k2"] <= F.col("__k2"))))
+    placed = placed.withColumn("__piece", F.col("__base") + F.size(after)).drop("__base", "__cuts", "__bin")
     order = Window.partitionBy("__piece").orderBy("__k1", "__k2")
     numbered = placed.withColumn("__at", F.row_number().over(order)).join(F.broadcast(by_piece), "__piece")
-    return numbered.withColumn("slot", F.col("before") + F.col("__at") - 1).drop("__k1", "__k2", "__piece", "__at", "before")
+    return numbered.withColumn("slot", F.col("__before") + F.col("__at") - 1).drop("__k1", "__k2", "__piece", "__at", "__before")
 
 
 def _prefix(column: str, bits: int) -> F.Column:
@@ -188,6 +188,6 @@ def _tables(spark: SparkSession, cuts: list[Splitter], shards: int, pieces: int)
     starts = [0, *(c.rows_below for c in cuts)]
     of_piece = [(p, p // pieces, starts[p] - starts[p // pieces * pieces]) for p in range(shards * pieces if cuts else 1)]
     return (
-        spark.createDataFrame(bins, "__bin long, base int, cuts array<struct<k1: long, k2: long>>"),
-        spark.createDataFrame(of_piece, "__piece int, shard int, before long"),
+        spark.createDataFrame(bins, "__bin long, __base int, __cuts array<struct<k1: long, k2: long>>"),
+        spark.createDataFrame(of_piece, "__piece int, shard int, __before long"),
     )
