@@ -41,7 +41,7 @@ def top_inner_products(vectors: DataFrame, *, queries: str = "vec_id % 20 = 0",
     Defined cases: the queries are candidates of each other, never of themselves; a row that repeats
     an id and vector counts once, and of rows that share an id the largest vector in array order counts;
     vectors of another length than the most common one are left out; fewer than ``k`` others give fewer rows; an
-    empty table gives an empty result. Scores must fit into 64 bits.
+    empty table gives an empty result. Scores that may not fit into 64 bits stop the job.
     """
     spark = vectors.sparkSession
     sizes = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -140,6 +140,8 @@ def best_pairs(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.nd
     qr, cr = qf @ axes, cf @ axes
     q_norm, c_norm = np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)
     q_rest, c_rest = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(cr[:, lead:], axis=1)
+    if q_norm.max() * c_norm.max() >= 2.0**63:
+        raise OverflowError("scores may not fit into 64 bits")
     exact_in_float = q_norm.max() * c_norm.max() < 2.0**52
     none = np.zeros(0, np.int64)
     rows, ids, scores = none, none, none
@@ -156,12 +158,12 @@ def best_pairs(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.nd
         use_q, use_c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         if not len(use_q):
             continue
-        live, own = live[use_q], own[np.ix_(use_q, use_c)]
+        live, own = live[use_q], own[use_q]
         exact = qf[live] @ cf[part][use_c].T if exact_in_float else q[live] @ c[part][use_c].T
-        shown = np.where(own, -np.inf, exact)
+        shown = np.where(own[:, use_c], -np.inf, exact)
         if len(use_c) >= k:
             bound[live] = np.maximum(bound[live], np.partition(shown, len(use_c) - k, axis=1)[:, len(use_c) - k])
-        i, j = np.nonzero(shown >= bound[live, None] - (0 if exact_in_float else slack[live, None]))
+        i, j = np.nonzero((shown >= bound[live, None] - (0 if exact_in_float else slack[live, None])) & ~own[:, use_c])
         rows, ids = np.concatenate([rows, live[i]]), np.concatenate([ids, c_ids[part][use_c][j]])
         scores = np.concatenate([scores, exact[i, j].astype(np.int64)])
         order = np.lexsort((ids, -scores, rows))
