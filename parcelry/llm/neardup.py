@@ -9,8 +9,8 @@ Points later than the slowest register cannot matter, so processes stop early.
 
 Equal word sequences collapse to one node first. Nodes that agree in a whole band share a bucket. A
 bucket never lists its pairs: its members are verified against the member that shares
-most buckets, and only members that are still in different components are then compared with
-one another. Verification computes the multiset Jaccard similarity from the whole texts.
+most buckets. Members that are still in different components after that are compared with one another only
+where sizes and shared shingles leave room for a link. Verification computes the multiset Jaccard similarity from the whole texts.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 _SIGNED = "__k1 long, __k2 long, __n long, __bands array<long>"
 _GROUP_WORDS = 200_000
+_CHUNK_WORDS = 100_000
 
 
 def near_duplicate_classes(
@@ -83,17 +84,14 @@ def near_duplicate_classes(
     edges = keep(verified(star, texts, shingle, threshold), "edges")
     labels = connected_components(edges)
 
-    # What is still apart within a bucket is compared across components only.
+    # What is still apart within a bucket is compared across components only, and only where a link is possible.
     apart = shared.select("bucket", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = keep(apart, "apart")
     split = keep(apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"), "split")
     left = keep(apart.join(split, "bucket").select("bucket", "node", "n", "component"), "left")
     if left.head(1):
-        other = left.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))
-        pairs = left.join(other, "bucket").filter("leader < node AND leader_component <> component").filter(_sizes_allow("leader_n", "n", threshold)).select("leader", "leader_n", "node", "n").distinct()
-        tested = star.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node"))
-        pairs = keep(pairs.join(tested, ["leader", "node"], "left_anti"), "pairs")
-        more = keep(verified(pairs, texts, shingle, threshold), "more")
+        able = _able(left, texts, shingle, threshold)
+        more = keep(_linked_across(able, texts, shingle, threshold), "more")
         if more.head(1):
             labels = connected_components(edges.unionByName(more))
 
@@ -108,6 +106,73 @@ def _sizes_allow(a: str, b: str, threshold: float) -> F.Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(threshold)
 
 
+def _able(left: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Members of divided buckets that could still be linked across components, with ``spare``: the shingles they share with any other member.
+
+    What two members have in common is at most the smaller spare. So a member of size n can only be
+    linked with one of at most spare * (1 + threshold) / threshold - n shingles, and most of a crowd of similar
+    documents that each miss the threshold leave before any pair is made.
+    """
+    nodes = left.select("node").distinct()
+    counted = nodes.join(texts, "node").select("node", "text").mapInArrow(lambda batches: _shingles(batches, shingle), "node long, h long, w long")
+    alone = counted.groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("w").alias("w")).filter("nodes = 1")
+    own = keep(alone.groupBy("node").agg(F.sum("w").alias("own")), "own")
+    able = left.join(own, "node", "left").withColumn("spare", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    able = keep(able.withColumn("most", F.col("spare") * F.lit((1 + threshold) / threshold) - F.col("n") + 1e-6), "able")
+    for _ in range(2):
+        bucket = keep(able.groupBy("bucket").agg(F.min("n").alias("least_n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high"), "bucket")
+        able = keep(able.join(bucket, "bucket").filter("most >= least_n").drop("least_n"), "able")
+    return able
+
+
+def _linked_across(able: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Edges (a, b) between members of different components, found family by family.
+
+    A family is what hangs together through shared buckets. Its members are dealt into chunks of bounded text, and every
+    two chunks meet in one task, which looks shared shingles up in an index; no pair becomes a row unless it is linked.
+    """
+    first = able.groupBy("bucket").agg(F.min("node").alias("a"))
+    families = connected_components(able.join(first, "bucket").select("a", F.col("node").alias("b")).distinct())
+    members = keep(able.select("node", "n", "component", "spare").distinct().join(families.withColumnRenamed("component", "family"), "node"), "family")
+    chunks = keep(members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(_CHUNK_WORDS)).cast("int").alias("chunks")), "chunks")
+    dealt = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiles = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = tiles.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "n", "component", "spare", "text")
+    return tiles.groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t, shingle, threshold), "a long, b long")
+
+
+def _tile(t: pa.Table, shingle: int, threshold: float) -> pa.Table:
+    node, n, component, spare, chunk = (t.column(c).to_numpy() for c in ("node", "n", "component", "spare", "chunk"))
+    same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    of, h, weight = _bag(Words(t.column("text").combine_chunks(), PLAIN), shingle)
+    cut = np.searchsorted(of, np.arange(len(node) + 1))
+    order = np.argsort(h, kind="stable")
+    token, owner, count = h[order], of[order], weight[order]
+    links = []
+    for x in range(len(node)) if same else np.flatnonzero(chunk == chunk.min()):
+        rest = (component != component[x]) & ((node > node[x]) if same else (chunk != chunk[x]))
+        rest &= np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])
+        rest &= np.minimum(spare, spare[x]) >= threshold / (1 + threshold) * (n + n[x]) - 1e-6
+        if not rest.any():
+            continue
+        own, own_count = h[cut[x] : cut[x + 1]], weight[cut[x] : cut[x + 1]]
+        low = np.searchsorted(token, own, "left")
+        size = np.searchsorted(token, own, "right") - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.bincount(owner[at], np.minimum(count[at], np.repeat(own_count, size)), len(node))
+        linked = np.flatnonzero(rest & (common >= threshold * (n + n[x] - common) - 1e-9))
+        links += [(int(node[x]), int(node[y])) for y in linked]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            of, h, weight = _bag(Words(part.column(1), PLAIN), shingle)
+            node = np.array(part.column(0).to_pylist(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(h.view(np.int64)), pa.array(weight, pa.int64())], names=["node", "h", "w"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The pairs (leader, node) whose exact similarity reaches the threshold, as edges (a, b).
 
