@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,12 @@ def sequence_ratio(name: pd.Series, known: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, k, n).ratio() for n, k in zip(name, known)])
 
 
-def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: float = 0.85, how: str = "levenshtein", gram: int = 3) -> DataFrame:
+def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: float = 0.85, how: str = "levenshtein") -> DataFrame:
     """The dimension entry of every name: equal name keys first, else the most similar one at the cutoff (ties to the smaller id).
 
-    ``dim`` has ``dim_id`` and ``name``. Names that match nothing keep a NULL id. Candidates of the second step share a run of
-    ``gram`` letters and have lengths that the cutoff allows; at a cutoff of 0.85 names of 12 letters or more cannot miss one by
-    that, and shorter ones are compared with all names of a fitting length.
+    ``dim`` has ``dim_id`` and ``name``. Names that match nothing keep a NULL id. Candidates of the second step have lengths
+    that the cutoff allows and share a run of three letters, or of two if one is shorter than nine; at a cutoff of 0.85 or more
+    every match does. ``how``: "levenshtein", or "parity" for difflib's ratio.
     """
     dim = dim.select("dim_id", name_key(F.col("name")).alias("known"))
     dim = dim.groupBy("known").agg(F.min("dim_id").alias("dim_id"))
@@ -35,7 +35,14 @@ def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: f
     exact = rows.join(dim.withColumnRenamed("known", "key"), "key", "left").withColumnRenamed("dim_id", "exact_id")
     # Distinct names are matched once, however often they occur.
     names = exact.filter("exact_id IS NULL AND key IS NOT NULL AND key <> ''").select("key").distinct()
-    blocks = lambda c: F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - gram + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(gram))), F.when(F.length(c) < 16, F.array(F.lit("\0short"))).otherwise(F.array())))
+
+    def runs(c: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+    def blocks(c: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(F.when(F.length(c) < 12, runs(c, 2)).otherwise(none), F.when(F.length(c) >= 9, runs(c, 3)).otherwise(none)))
+
     left = names.select("key", F.explode(blocks(F.col("key"))).alias("block"))
     right = dim.select("known", "dim_id", F.explode(blocks(F.col("known"))).alias("block"))
     a, b = F.length("key"), F.length("known")
