@@ -2,7 +2,8 @@
 
 ``keep`` writes a DataFrame as Parquet below the checkpoint directory of the session
 (``spark.checkpoint.dir``) and reads it back. A lost executor then costs a re-read, not a
-recomputation, and every column of a later read is pruned as in any other Parquet scan.
+recomputation, and every column of a later read is pruned as in any other Parquet scan. The files
+go when the application ends.
 """
 
 from __future__ import annotations
@@ -27,11 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parcelry-{name}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an existing path, wherever Hadoop keeps it, when the application ends."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the re-read table."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
