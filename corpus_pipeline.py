@@ -14,7 +14,7 @@ from parcelry.llm.lines import remove_repeated_lines
 from parcelry.llm.neardup import near_duplicate_classes
 from parcelry.llm.packing import pack_best_fit
 from parcelry.llm.queries import severity_labels
-from parcelry.llm.scratch import keep
+from parcelry.sources.scratch import keep
 from parcelry.llm.toxicity import fit_severity, score_severity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose predicted severity grade is 1 or more with probability of at least one half."""
-    model = fit_severity(docs.join(severity_labels(spark, sf_dir), "doc_id"))
+    model = fit_severity(docs, severity_labels(spark, sf_dir))
     return score_severity(docs, model).filter(~F.col("toxic")).select(*COLUMNS)
 
 

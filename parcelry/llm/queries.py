@@ -11,7 +11,7 @@ from parcelry.llm.decontam import mark_contamination
 from parcelry.llm.lines import remove_repeated_lines
 from parcelry.llm.neardup import near_duplicate_classes
 from parcelry.llm.packing import pack_best_fit
-from parcelry.llm.scratch import new_path
+from parcelry.sources.scratch import drop_at_exit, new_path
 from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.substrings import remove_repeated_passages
 from parcelry.llm.topk import integer_vectors, top_inner_products
@@ -28,6 +28,7 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("captured", F.timestamp_seconds(1_700_000_000 + F.coalesce("page_id", F.lit(0))))
     path = new_path(spark, "warc")
     write_archives(pages, path)
+    drop_at_exit(spark, path)
     entries = read_archives(spark, path).withColumn("url_key", url_key(F.col("url")))
     return merge_index(entries).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -40,7 +41,7 @@ def severity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_severity(docs.join(severity_labels(spark, sf_dir), "doc_id"))
+    model = fit_severity(docs, severity_labels(spark, sf_dir))
     return score_severity(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
 
 

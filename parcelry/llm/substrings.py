@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelry.llm.scratch import keep, partitions
+from parcelry.sources.scratch import keep, partitions
 from parcelry.llm.words import SPACED, Words, covered, first_minimum, slices
 
 _ASKED = "level int, bucket int, chunk long, key1 binary, key2 binary, twice binary"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelry.llm.scratch import keep
+from parcelry.sources.scratch import keep
 from parcelry.llm.words import PLAIN, Words, mix, slices
 
 _PREFIXES = (4, 5, 6)
@@ -37,7 +37,8 @@ class SeverityModel:
 
 
 def fit_severity(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -49,19 +50,20 @@ def fit_severity(
     l2: float = 1e-4,
     rounds: int = 300,
 ) -> SeverityModel:
-    """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the id (all, if there are fewer).
+    """Fit on about ``sample_rows`` labels, chosen by a hash of the id (all, if there are fewer; never more than twice as many).
 
-    ``grade_col`` holds whole numbers from 0 up; rows with a null grade or text take no part. The
+    ``labels`` holds the ids of some ``docs`` and their grades. The sample is drawn before any text is read, so the join broadcasts a bounded
+    table and no text moves. ``grade_col`` holds whole numbers from 0 up; rows with a null grade or text take no part. The
     ``features`` that differ most between grade 0 and the rest are kept, as far as they differ by ``min_z`` standard errors. Their counts are made in the
     cluster; only the chosen features' values of the sample reach the driver. Without any labelled row, or with grade 0 alone, every text
     gets grade 0.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).filter("grade IS NOT NULL AND text IS NOT NULL")
-    grades = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id IS NOT NULL AND grade IS NOT NULL")
+    grades = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     total = sum(grades.values())
-    if total:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("severity"), "id"), F.lit(total)) < sample_rows)
-    sample = keep(rows.select("text", "grade"), "sample")
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit("severity"), "id"), F.lit(max(total, 1))) < sample_rows).limit(2 * sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    sample = keep(texts.join(F.broadcast(drawn), "id").select("text", "grade"), "sample")
     seen = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     clean, other = seen.get(0, 0), sum(n for g, n in seen.items() if g > 0)
     top = max([1, *grades])

@@ -41,7 +41,7 @@ def graded(seed, n):
 
 def test_severity_on_held_out_rows(spark):
     train, test = spark.createDataFrame(graded(1, 600), DOC + ", grade int"), spark.createDataFrame(graded(2, 300), DOC + ", grade int").withColumnRenamed("grade", "truth")
-    model = fit_severity(train)
+    model = fit_severity(train.select("doc_id", "text"), train.select("doc_id", "grade"))
     assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
     got = score_severity(test, model).collect()
     assert np.mean([r["toxic"] == (r["truth"] > 0) for r in got]) > 0.97
@@ -56,7 +56,7 @@ def test_severity_of_the_given_labels_on_held_out_documents(spark):
         pytest.skip("no test tables")
     docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("grade")), "doc_id")
-    model = fit_severity(rows.filter("doc_id % 4 > 0"))
+    model = fit_severity(docs, rows.filter("doc_id % 4 > 0"))
     got = score_severity(rows.filter("doc_id % 4 = 0"), model).collect()
     truth = {r["doc_id"]: r["grade"] for r in rows.collect()}
     wrong_clean = [r for r in got if r["toxic"] and not truth[r["doc_id"]]]
@@ -66,14 +66,15 @@ def test_severity_of_the_given_labels_on_held_out_documents(spark):
 
 
 def test_severity_defined_cases(spark):
-    train = spark.createDataFrame(graded(3, 200) + [(900, None, 1), (901, "text", None)], DOC + ", grade int")
+    train = spark.createDataFrame(graded(3, 200) + [(900, None, 1), (901, "text", None), (None, "text", 1)], DOC + ", grade int")
+    fit = lambda df: fit_severity(df.drop("grade"), df.drop("text"))
     odd = spark.createDataFrame(ODD, DOC).withColumns({n: F.lit("kept") for n in ("grade", "toxic", "feature", "label", "weights")})
-    got = score_severity(odd, fit_severity(train)).collect()
+    got = score_severity(odd, fit(train)).collect()
     assert len(got) == len(ODD) and all(r["label"] == "kept" and r["grade"] == 0 and not r["toxic"] for r in got)
     empty = spark.createDataFrame([], DOC + ", grade int")
-    none = fit_severity(empty)
+    none = fit(empty)
     assert {r["grade"] for r in score_severity(odd, none).collect()} == {0}
-    assert {r["expected_severity"] for r in score_severity(odd, fit_severity(train.filter("grade = 0"))).collect()} == {0.0}
+    assert {r["expected_severity"] for r in score_severity(odd, fit(train.filter("grade = 0"))).collect()} == {0.0}
     assert score_severity(empty.select("doc_id", "text"), none).count() == 0
 
 
