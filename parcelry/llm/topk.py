@@ -4,7 +4,7 @@ Vectors are packed into blocks by falling length, a block of candidates meets a
 one task, and both are rotated onto the principal axes of all candidates. Within a task the first
 components give a partial inner product, and Cauchy-Schwarz bounds the rest by the lengths of the
 residuals; only pairs whose bound reaches the query's k-th best score so far are scored exactly.
-The longest block is searched first, and its k-th best scores are every later task's starting bound. A block whose
+The eighth with the longest vectors is searched first, and its k-th best scores are every later task's starting bound. A block whose
 lengths cannot reach the bound is left at once, because all later ones are shorter.
 """
 
@@ -18,10 +18,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.scratch import keep
+from parcelry.sources.scratch import keep
 
-_PACK = "ids binary, kind string, vectors binary, bound binary"
+_PACK = "ids binary, kind string, vectors binary, bound binary, last binary"
 _SLICE = 512
+_NO_ID = np.iinfo(np.int64).max
 _PART = "query_id long, vec_id long, score long"
 
 
@@ -61,13 +62,15 @@ def top_inner_products(vectors: DataFrame, *, queries: str = "vec_id % 20 = 0",
     # Queries need no order; they are dealt evenly.
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
 
-    first = candidates.filter("block = 0")
-    none = F.lit(None).cast("long")
-    opening = keep(_search(first, _query_blocks(dealt.withColumn("least", none), dims), 1, query_blocks, k, lead, axes), "opening")
-    kth = opening.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    found = _search(candidates.filter("block > 0"), _query_blocks(dealt.join(kth, "vec_id", "left"), dims), blocks, query_blocks, k, lead, axes)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = opening.unionByName(found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    opened = -(-blocks // 8)
+    none = F.lit(None).cast("long")
+    start = _query_blocks(dealt.withColumns({"least": none, "last": none}), dims)
+    opening = _search(candidates.filter(F.col("block") < opened), start, 0, opened, query_blocks, k, lead, axes)
+    opening = keep(opening.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "opening")
+    kth = opening.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"), F.col("vec_id").alias("last"))
+    found = _search(candidates.filter(F.col("block") >= opened), _query_blocks(dealt.join(kth, "vec_id", "left"), dims), opened, blocks, query_blocks, k, lead, axes)
+    ranked = opening.drop("rank").unionByName(found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -95,7 +98,8 @@ def _pack(pdf: pd.DataFrame, dims: int) -> pd.DataFrame:
     m = _matrix(pdf["v"], dims)
     kind = next(t for t in ("int8", "int16", "int32", "int64") if not m.size or (m.min() >= np.iinfo(t).min and m.max() <= np.iinfo(t).max))
     bound = pdf["least"].to_numpy(dtype=float, na_value=-np.inf) if "least" in pdf else np.zeros(0)
-    return pd.DataFrame({"ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "kind": [kind], "vectors": [m.astype(kind).tobytes()], "bound": [bound.tobytes()]})
+    last = pdf["last"].astype("Int64").to_numpy(dtype=np.int64, na_value=_NO_ID) if "last" in pdf else np.zeros(0, np.int64)
+    return pd.DataFrame({"ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "kind": [kind], "vectors": [m.astype(kind).tobytes()], "bound": [bound.tobytes()], "last": [last.tobytes()]})
 
 
 def _candidate_blocks(rows: DataFrame, blocks: int, dims: int) -> DataFrame:
@@ -113,29 +117,30 @@ def _query_blocks(dealt: DataFrame, dims: int) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(lambda pdf: _pack(pdf, dims).assign(block=pdf["block"].iloc[0]), f"{_PACK}, block int")
 
 
-def _search(candidates: DataFrame, queries: DataFrame, blocks: int, query_blocks: int, k: int, lead: int, axes: Broadcast) -> DataFrame:
+def _search(candidates: DataFrame, queries: DataFrame, first: int, end: int, query_blocks: int, k: int, lead: int, axes: Broadcast) -> DataFrame:
     """Every block of queries meets every block of candidates in a task of its own."""
-    left = queries.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("block", "other")
+    numbers = F.filter(F.sequence(F.lit(first), F.lit(end)), lambda b: b < end)
+    left = queries.withColumn("other", F.explode(numbers)).groupBy("block", "other")
     right = candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).groupBy("other", "block")
     return left.cogroup(right).applyInPandas(lambda q, c: _meet(q, c, k, lead, axes.value), _PART)
 
 
-def _unpack(pdf: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(pdf: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     row = pdf.iloc[0]
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], row["kind"]).reshape(-1, dims).astype(np.int64), np.frombuffer(row["bound"])
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], row["kind"]).reshape(-1, dims).astype(np.int64), np.frombuffer(row["bound"]).copy(), np.frombuffer(row["last"], np.int64).copy()
 
 
 def _meet(q: pd.DataFrame, c: pd.DataFrame, k: int, lead: int, axes: np.ndarray) -> pd.DataFrame:
     if not len(q) or not len(c):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
-    q_ids, q_ints, bound = _unpack(q, len(axes))
-    c_ids, c_ints, _ = _unpack(c, len(axes))
-    found = best_pairs(q_ids, q_ints, bound.copy(), c_ids, c_ints, k, lead, axes)
+    q_ids, q_ints, bound, last = _unpack(q, len(axes))
+    c_ids, c_ints, *_ = _unpack(c, len(axes))
+    found = best_pairs(q_ids, q_ints, bound, last, c_ids, c_ints, k, lead, axes)
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
 
-def best_pairs(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, lead: int, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query among those that reach its bound; candidates come in order of falling length."""
+def best_pairs(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, last: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, lead: int, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query among those that beat its bound, or reach it with an id below ``last``; candidates come in order of falling length."""
     qf, cf = q.astype(float), c.astype(float)
     qr, cr = qf @ axes, cf @ axes
     q_norm, c_norm = np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)
@@ -162,8 +167,14 @@ def best_pairs(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.nd
         exact = qf[live] @ cf[part][use_c].T if exact_in_float else q[live] @ c[part][use_c].T
         shown = np.where(own[:, use_c], -np.inf, exact)
         if len(use_c) >= k:
-            bound[live] = np.maximum(bound[live], np.partition(shown, len(use_c) - k, axis=1)[:, len(use_c) - k])
-        i, j = np.nonzero((shown >= bound[live, None] - (0 if exact_in_float else slack[live, None])) & ~own[:, use_c])
+            here = np.partition(shown, len(use_c) - k, axis=1)[:, len(use_c) - k]
+            last[live] = np.where(here > bound[live], _NO_ID, last[live])
+            bound[live] = np.maximum(bound[live], here)
+        if exact_in_float:
+            good = (shown > bound[live, None]) | ((shown == bound[live, None]) & (c_ids[part][use_c][None, :] < last[live, None]))
+        else:
+            good = shown >= bound[live, None] - slack[live, None]
+        i, j = np.nonzero(good & ~own[:, use_c])
         rows, ids = np.concatenate([rows, live[i]]), np.concatenate([ids, c_ids[part][use_c][j]])
         scores = np.concatenate([scores, exact[i, j].astype(np.int64)])
         order = np.lexsort((ids, -scores, rows))
@@ -172,5 +183,7 @@ def best_pairs(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.nd
         keep_ = np.arange(len(rows)) - start < k
         rows, ids, scores = rows[keep_], ids[keep_], scores[keep_]
         full = np.flatnonzero(np.bincount(rows, minlength=len(q)) >= k)
-        bound[full] = np.maximum(bound[full], scores[np.searchsorted(rows, full, "right") - 1])
+        end = np.searchsorted(rows, full, "right") - 1
+        better = scores[end] >= bound[full]
+        bound[full[better]], last[full[better]] = scores[end][better], ids[end][better]
     return q_ids[rows], ids, scores
