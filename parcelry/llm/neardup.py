@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.llm.components import connected_components
-from parcelry.llm.scratch import keep
+from parcelry.sources.scratch import keep
 from parcelry.llm.words import PLAIN, Words, mix, slices
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 _SIGNED = "__k1 long, __k2 long, __n long, __bands array<long>"
-_GROUP_WORDS = 200_000
+_GROUP_WORDS = 30_000
 _CHUNK_WORDS = 100_000
 
 
@@ -75,7 +75,10 @@ def near_duplicate_classes(
     )
     sizes = keep(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     shared = keep(bucketed.join(sizes, "bucket"), "shared")
-    texts = signed.select(F.col("__row").alias("node"), F.col(text_col).alias("text"))
+    # Only texts that share a bucket are compared; they move once here, and later joins move them alone.
+    # Lists of nodes grow with the corpus, so joins with texts are merges at every size.
+    suspects = shared.select("node").distinct()
+    texts = keep(signed.select(F.col("__row").alias("node"), F.col(text_col).alias("text")).join(suspects.hint("merge"), "node"), "suspects")
 
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
     led = keep(shared.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", -F.col("node"), F.col("n"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("leader"), F.col("top.n").alias("leader_n")), "leaders")
@@ -114,7 +117,7 @@ def _able(left: DataFrame, texts: DataFrame, shingle: int, threshold: float) ->
     documents that each miss the threshold leave before any pair is made.
     """
     nodes = left.select("node").distinct()
-    counted = nodes.join(texts, "node").select("node", "text").mapInArrow(lambda batches: _shingles(batches, shingle), "node long, h long, w long")
+    counted = nodes.join(texts.hint("merge"), "node").select("node", "text").mapInArrow(lambda batches: _shingles(batches, shingle), "node long, h long, w long")
     alone = counted.groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("w").alias("w")).filter("nodes = 1")
     own = keep(alone.groupBy("node").agg(F.sum("w").alias("own")), "own")
     able = left.join(own, "node", "left").withColumn("spare", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
@@ -136,7 +139,7 @@ def _linked_across(able: DataFrame, texts: DataFrame, shingle: int, threshold: f
     members = keep(able.select("node", "n", "component", "spare").distinct().join(families.withColumnRenamed("component", "family"), "node"), "family")
     chunks = keep(members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(_CHUNK_WORDS)).cast("int").alias("chunks")), "chunks")
     dealt = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tiles = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = dealt.join(texts.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "n", "component", "spare", "text")
     return tiles.groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t, shingle, threshold), "a long, b long")
 
@@ -176,12 +179,14 @@ def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The pairs (leader, node) whose exact similarity reaches the threshold, as edges (a, b).
 
-    A leader's pairs are split into groups of bounded text, each with a copy of the leader's text.
+    A leader's pairs are split into groups of bounded text, each with a copy of the leader's text; groups are ten
+    times the leader's size at least, so the copies add a tenth at most.
     """
-    groups = keep(pairs.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(_GROUP_WORDS)).cast("int").alias("groups")), "groups")
+    most = F.greatest(F.lit(_GROUP_WORDS), 10 * F.max("leader_n"))
+    groups = keep(pairs.groupBy("leader").agg(F.ceil(F.sum("n") / most).cast("int").alias("groups")), "groups")
     member = pairs.join(groups, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("part"), "node")
     leader = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("leader").alias("node"))
-    rows = member.unionByName(leader).join(texts, "node")
+    rows = member.unionByName(leader).join(texts.hint("merge"), "node")
     return rows.groupBy("leader", "part").applyInArrow(lambda t: _verify(t, shingle, threshold), "a long, b long")
 
 
