@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import name_key, strip_tokens
@@ -15,7 +15,7 @@ _PAIRED = "canonical_id {id}, duplicate_id {id}, similarity double, corridor str
 
 
 def find_duplicates(
-    df: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str, owner_col: str, corridor_col: str, tokens: Sequence[str] = (), threshold: float = 0.6, similarity: str = "ratio"
+    df: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str, owner_col: str, corridor_col: str, tokens: Sequence[str] | Column = (), threshold: float = 0.6, similarity: str = "ratio"
 ) -> DataFrame:
     """Duplicates with their canonical listing, by greedy leader clustering in id order within equal keys.
 

@@ -143,9 +143,20 @@ def unique_subjects(s: SparkSession, d: str) -> DataFrame:
 
 
 def find_duplicates(s: SparkSession, d: str) -> DataFrame:
-    """Clusters follow the order of ids, which one SQL statement cannot express; tests compare with a plain loop."""
-    docs = read(s, d, "documents").select("doc_id", "source", "lang", "text", F.lit(None).cast("string").alias("owner"), F.left("text", F.lit(40)).alias("start"))
-    pairs = duplicates.find_duplicates(docs, ["lang", "start"], "doc_id", "text", "owner", "source", similarity="jaccard")
+    """Listings of one city, project and price, with the area names of the city taken out of their texts.
+
+    Clusters follow the order of ids, which one SQL statement cannot express; tests compare with a plain loop.
+    """
+    areas = _area_of_nation(s, d).groupBy("city").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "corridor")))["corridor"].alias("areas"))
+    rows = raw_listings(s, d).join(F.broadcast(areas), "city", "left").withColumns(
+        {
+            "areas": F.coalesce("areas", F.array().cast("array<string>")),
+            "project": C.name_key(C.filled(F.col("society_name_raw"))),
+            "price_inr": C.price_inr(F.col("price_raw")),
+            "poster": C.poster_name(F.col("posted_by_raw")),
+        }
+    )
+    pairs = duplicates.find_duplicates(rows, ["city", "project", "price_inr"], "listing_id", "description_raw", "poster", "corridor", F.col("areas"), similarity="parity")
     groups = duplicates.duplicate_groups(pairs)
     return groups.select("canonical_id", F.size("duplicate_ids").alias("n"), F.array_join(F.col("duplicate_ids").cast("array<string>"), ";").alias("duplicates"), F.array_join("corridors_seen", ";").alias("seen"))
 
