@@ -245,7 +245,7 @@ def text_tokens(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "documents").select(
         "doc_id",
         F.length(C.strip_tokens(text, ("The", "re", "on "))).cast("long").alias("left_chars"),
-        F.array_join(F.array_sort(C.significant_words(F.left(text, F.lit(200)), ("the", "and", "with"))), " ").alias("words"),
+        F.array_join(F.array_sort(C.significant_words(text, ("the", "and", "with"))), " ").alias("words"),
         C.intl_contact_hint(text).alias("intl"),
         F.array_join(C.matched_keywords(text, ("worthless", "trash", "license")), ";").alias("keywords"),
         C.any_keyword(text, ("vacant", "scum")).alias("vacant"),
