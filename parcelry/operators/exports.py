@@ -115,10 +115,10 @@ def drill_down(df: DataFrame, **equal: str) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in equal.items())))
 
 
-def eligible_only(df: DataFrame, ranked: DataFrame, key: str, limit: int) -> DataFrame:
-    """Rows of the best eligible areas, in rank order; the areas are few."""
+def eligible_only(df: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+    """Rows of all eligible areas, in rank order; the areas are few."""
     order = Window.orderBy(F.desc("composite"), "ordinal")
-    best = ranked.filter("eligible").withColumn("area_rank", F.row_number().over(order)).filter(F.col("area_rank") <= limit).select(key, "area_rank")
+    best = ranked.filter("eligible").withColumn("area_rank", F.row_number().over(order)).select(key, "area_rank")
     return df.join(best, key).orderBy("area_rank")
 
 

@@ -39,7 +39,7 @@ def rank_corridors(s: SparkSession, d: str) -> DataFrame:
 def corridor_drill_down(s: SparkSession, d: str) -> DataFrame:
     ranked = scores.rank_corridors(corridor_metrics(s, d), scores.GateThresholds(min_share_in_band=0.3, min_comps=10, max_days_on_market=70, min_resales=5))
     per_area = line_listings(s, d).groupBy("corridor").agg(F.count("*").alias("n"))
-    return exports.eligible_only(per_area, ranked, "corridor", 5)
+    return exports.eligible_only(per_area, ranked, "corridor")
 
 
 def normalise_listings(s: SparkSession, d: str) -> DataFrame:
