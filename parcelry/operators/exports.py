@@ -131,8 +131,8 @@ def sorted_by(df: DataFrame, key: str, tie: Sequence[str], ascending: bool = Fal
     return df.orderBy(F.col(key).asc_nulls_first() if ascending else F.col(key).desc_nulls_last(), *tie)
 
 
-def match_first(df: DataFrame, col: str, value: str, tie: Sequence[str]) -> DataFrame:
-    """All rows, those of the current city first."""
+def match_first(df: DataFrame, col: str, value: str, tie: Sequence[Column | str]) -> DataFrame:
+    """All rows, those of the current city first; ``tie`` is the order that the rows keep beyond that."""
     return df.orderBy(F.desc(F.coalesce(F.col(col) == value, F.lit(False))), *tie)
 
 

@@ -355,13 +355,13 @@ def top_page(s: SparkSession, d: str) -> DataFrame:
 
 def sorted_listings(s: SparkSession, d: str) -> DataFrame:
     priced = order_listings(s, d).withColumn("shown", F.when(F.col("listing_id") % 4 > 0, F.col("price")))
-    best = exports.sorted_by(priced, "shown", ["listing_id"]).limit(100)
-    return exports.match_first(best.select("listing_id", "city", "shown"), "city", "ASIA", ["listing_id"])
+    ordered = exports.sorted_by(priced, "shown", ["listing_id"]).select("listing_id", "city", "shown")
+    return exports.match_first(ordered, "city", "ASIA", [F.desc_nulls_last("shown"), "listing_id"])
 
 
 def lowest_listings(s: SparkSession, d: str) -> DataFrame:
     priced = order_listings(s, d).withColumn("shown", F.when(F.col("listing_id") % 400 > 0, F.col("price")))
-    return exports.sorted_by(priced, "shown", ["listing_id"], ascending=True).limit(100).select("listing_id", "shown")
+    return exports.sorted_by(priced, "shown", ["listing_id"], ascending=True).select("listing_id", "shown")
 
 
 def city_alias(s: SparkSession, d: str) -> DataFrame:
