@@ -63,6 +63,12 @@ def match_report(resolved: DataFrame, name_col: str) -> DataFrame:
     return resolved.agg(F.count("*").alias("total"), F.count_if(~named).alias("unnamed"), F.count_if(named & F.col("dim_id").isNotNull()).alias("matched"), rate.alias("match_rate"))
 
 
+def unmatched(resolved: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """The named rows that match_report counts as not matched, with the name as it is written."""
+    named = F.coalesce(F.length(F.trim(name_col)), F.lit(0)) > 0
+    return resolved.filter(named & F.col("dim_id").isNull()).select(id_col, name_col)
+
+
 def seed_dimension(dim: DataFrame, names: DataFrame) -> DataFrame:
     """The dimension with new names added; ids go on from the largest. New names are few, so they are numbered in one window."""
     known = dim.select(name_key(F.col("name")).alias("key"))

@@ -187,6 +187,11 @@ def match_report(s: SparkSession, d: str) -> DataFrame:
     return matching.match_report(matching.resolve(_written_names(s, d), "p_partkey", "written", _dimension(s, d)), "written")
 
 
+def unmatched_names(s: SparkSession, d: str) -> DataFrame:
+    """Without SQL of its own; tests compare with match_report and the written names."""
+    return matching.unmatched(matching.resolve(_written_names(s, d), "p_partkey", "written", _dimension(s, d)), "p_partkey", "written")
+
+
 def seed_dimension(s: SparkSession, d: str) -> DataFrame:
     names = read(s, d, "supplier").select(F.col("s_name").alias("name")).union(_dimension(s, d).select("name"))
     return matching.seed_dimension(_dimension(s, d), names)
@@ -386,7 +391,7 @@ QUERIES = {
     for f in (
         broker_activity, society_fit, rank_corridors, corridor_drill_down, normalise_listings, canonical_scan, decode_payload, candidate_signals, attach_candidates,
         evidence_backfill, exclusive_sample, listing_fit, listing_leads, absentee_density, corridor_absentee, society_vacancy, ranked_society_table, band_metrics, band_status,
-        percentile_rank, unique_subjects, find_duplicates, duplicate_marks, resolve_names, match_report, seed_dimension, confidence_match, match_coverage, cache_upsert,
+        percentile_rank, unique_subjects, find_duplicates, duplicate_marks, resolve_names, match_report, unmatched_names, seed_dimension, confidence_match, match_coverage, cache_upsert,
         page_facts, page_registrations, page_fragments, text_flags, text_tokens, page_links, csv_rows, typed_rows, coverage, name_sets, society_export, broker_export,
         corridor_export, city_summary, global_stats, rollup_counts, age_histogram, load_volume, share_of_max, search, drill_down, city_membership, top_page,
         sorted_listings, lowest_listings, city_alias, area_reasons, unclassified,
