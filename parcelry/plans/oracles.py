@@ -180,7 +180,7 @@ FROM base""",
     "corridor_drill_down": f"""{_METRICS}, best AS (
   SELECT corridor, row_number() OVER (ORDER BY composite DESC, ordinal)::INT AS area_rank FROM ranked WHERE eligible
 )
-SELECT corridor, count(*) AS n, area_rank FROM li JOIN best USING (corridor) WHERE area_rank <= 5 GROUP BY ALL""",
+SELECT corridor, count(*) AS n, area_rank FROM li JOIN best USING (corridor) GROUP BY ALL""",
     "normalise_listings": f"""{_RAW}
 SELECT listing_id, CASE WHEN area % 11 > 0 THEN price END AS price_inr, area * 100 AS area_sqft, (area % 5 + 1)::INT AS bhk, CASE WHEN agent IS NULL THEN 'owner' ELSE 'agent' END AS role, substr(posted_by, 8) AS poster,
        registered AS mentions_registration,
@@ -270,7 +270,7 @@ SELECT page_id, array_to_string(f, ';') AS fragments, len(f)::BIGINT AS n FROM m
        regexp_matches(text, '[\w.]+@[\w.]+') AND NOT regexp_matches(text, '(?i)no reply') AS flag_contact, regexp_matches(text, '\d{3}') AND NOT regexp_matches(text, '(?i)copyright') AS flag_number
 FROM documents""",
     "text_tokens": r"""WITH w AS (
-  SELECT doc_id, text, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) AS ws FROM documents
+  SELECT doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM documents
 ), s AS (
   SELECT *, list_filter(ws, lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'with')) AS strong FROM w
 )
@@ -317,8 +317,8 @@ SELECT k.ordinal, k.bucket, count(b.bucket) AS n FROM (VALUES (0, '<=100'), (1,
     "drill_down": f"{_LI} SELECT listing_id, corridor, price FROM lo WHERE city = 'ASIA' AND status = 'O'",
     "city_membership": f"{_LI} SELECT city, count(*) AS n FROM lo WHERE city IN (SELECT city FROM cities WHERE price_min IS NOT NULL) GROUP BY ALL",
     "top_page": f"{_LI} SELECT listing_id, price FROM lo ORDER BY price DESC, listing_id LIMIT 30 OFFSET 30",
-    "sorted_listings": f"{_LI} SELECT listing_id, city, CASE WHEN listing_id % 4 > 0 THEN price END AS shown FROM lo ORDER BY shown DESC NULLS LAST, listing_id LIMIT 100",
-    "lowest_listings": f"{_LI} SELECT listing_id, CASE WHEN listing_id % 400 > 0 THEN price END AS shown FROM lo ORDER BY shown NULLS FIRST, listing_id LIMIT 100",
+    "sorted_listings": f"{_LI} SELECT listing_id, city, CASE WHEN listing_id % 4 > 0 THEN price END AS shown FROM lo",
+    "lowest_listings": f"{_LI} SELECT listing_id, CASE WHEN listing_id % 400 > 0 THEN price END AS shown FROM lo",
     "city_alias": "SELECT c_custkey, c_mktsegment, CASE lower(c_mktsegment) WHEN 'automobile' THEN 'auto' WHEN 'building' THEN 'home' WHEN 'furniture' THEN 'home' END AS segment_id FROM customer",
     "area_reasons": f"""{_ROLLUP}, r AS (
   SELECT corridor, list_filter([CASE WHEN n_listings > 2000 THEN n_listings || ' listings' END, CASE WHEN n_agents > 1 THEN n_agents || ' agents in ' || corridor END,
