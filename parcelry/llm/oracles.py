@@ -122,15 +122,15 @@ FROM g JOIN extra USING (conv_id)
 
 OP10 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CASE WHEN len(c.e) = len(q.e) THEN list_dot_product(q.e, c.e)::BIGINT END AS score
+  FROM v q JOIN v c ON c.r <> q.r
   WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM s WHERE score IS NOT NULL
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

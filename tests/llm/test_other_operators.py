@@ -292,34 +292,47 @@ def test_index_is_in_one_global_order(spark):
 # Top-k ----------------------------------------------------------------------------------------------
 
 
-def top(vectors, k, every):
+def top(rows, k, every):
+    """Every row with an id divisible by ``every`` against every other row of its length, by Python integers."""
     out = []
-    for q, v in vectors.items():
-        if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q)[:k]
-            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
-    return sorted(out)
+    for n, (q, v) in enumerate(rows):
+        if q is not None and q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i is None, i or 0) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))[:k]
+            out += [(q, rank, None if none else i, max(min(-s, 2**63 - 1), -(2**63))) for rank, (s, none, i) in enumerate(scored, 1)]
+    return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("scale, block", [(1, 64), (64, 7), (10**7, 50)])
-def test_top_k_equals_brute_force(spark, scale, block):
+@pytest.mark.parametrize("scale, group", [(1, 64), (64, 7), (10**7, 50), (10**14, 40)])
+def test_top_k_equals_brute_force(spark, scale, group):
     rng = random.Random(12)
-    vectors = {i: [rng.randrange(-9, 10) * scale * (1 + 9 * (i % 17 == 0)) for _ in range(6)] for i in range(200)}
-    vectors |= {i: vectors[3] for i in range(200, 230)}
-    df = spark.createDataFrame(list(vectors.items()) + [(3, vectors[3])], "vec_id long, v array<long>")
-    got = top_inner_products(df, queries="vec_id % 10 = 0", k=5, block_rows=block, lead=2)
-    assert sorted(map(tuple, got.collect())) == top(vectors, 5, 10)
+    rows = [(i, [rng.randrange(-9, 10) * scale * (1 + 9 * (i % 17 == 0)) for _ in range(6)]) for i in range(200)]
+    rows += [(i, rows[3][1]) for i in range(200, 230)] + [(3, rows[3][1]), (10, rows[5][1]), (10, rows[10][1]), (None, rows[3][1]), (None, rows[17][1])] + [(40, rows[7][1])] * 30
+    rows += [(i, [rng.randrange(-9, 10) * scale for _ in range(3)]) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    got = top_inner_products(df, queries="vec_id % 10 = 0", k=5, group_rows=(group, 2 * group), lead=2)
+    assert sorted(map(tuple, got.collect()), key=repr) == top(rows, 5, 10)
+
+
+def test_top_k_of_huge_components(spark):
+    data = [(0, [1e18, 2.0]), (1, [-1e18, 1.0]), (2, [1e18, 3.0]), (3, [0.5, 0.5]), (20, [1e38, 1.0]), (21, [2e38, 0.0])]
+    ints = integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    rows = [(r["vec_id"], [int(x) for x in r["v"]]) for r in ints.collect()]
+    assert rows[3][1] == [32, 32] and len(rows) == 6
+    for k in (2, 5):
+        assert sorted(map(tuple, top_inner_products(ints, k=k, group_rows=(2, 2)).collect()), key=repr) == top(rows, k, 20)
 
 
 def test_top_k_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
-    data = [(0, [0.5, -0.51]), (1, [1.0, 1.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (20, [0.0, 0.0])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({n: F.lit(1) for n in ("v", "score", "rank", "block")})
+    data = [(0, [0.5, -0.51]), (1, [1.0, 1.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (20, [0.0, 0.0]), (40, []), (41, [])]
+    names = ("v", "score", "rank", "block", "row", "norm", "dims", "asked", "group", "piece", "least", "last", "need")
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({n: F.lit(1) for n in names})
     ints = integer_vectors(df)
-    assert sorted((r["vec_id"], r["v"]) for r in ints.collect()) == [(0, [32, -33]), (1, [64, 64]), (6, [64]), (20, [0, 0])]
-    got = sorted(map(tuple, top_inner_products(ints).collect()))
-    assert got == [(0, 1, 20, 0), (0, 2, 1, -64), (20, 1, 0, 0), (20, 2, 1, 0)]
+    assert [(r["vec_id"], r["v"]) for r in ints.collect()] == [(0, [32, -33]), (1, [64, 64]), (None, [64, 64]), (6, [64]), (20, [0, 0]), (40, []), (41, [])]
+    got = sorted(map(tuple, top_inner_products(ints).collect()), key=repr)
+    assert got == sorted([(0, 1, 20, 0), (0, 2, 1, -64), (0, 3, None, -64), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, None, 0), (40, 1, 41, 0)], key=repr)
     assert top_inner_products(ints.limit(0)).count() == 0 and top_inner_products(ints.filter("vec_id = 1")).count() == 0
+    assert top_inner_products(ints.filter("vec_id = 20")).count() == 0
 
 
 def test_pruned_pairs_are_never_among_the_best():
@@ -329,7 +342,8 @@ def test_pruned_pairs_are_never_among_the_best():
     q = c[::40]
     axes = np.linalg.svd((c.T @ c).astype(float))[0]
     ids = np.arange(900)
-    rows, found, scores = best_pairs(ids[::40], q, np.full(len(q), -np.inf), np.full(len(q), 1 << 62), ids, c, 10, 3, axes)
+    rows, found, scores = best_pairs(ids[::40], q.astype(float), np.full(len(q), -np.inf), np.full(len(q), np.iinfo(np.int64).max), ids, ids, c.astype(float), 10, 3, axes)
+    rows = ids[::40][rows]
     for i, v in zip(ids[::40], q):
         exact = sorted((-int(v @ c[j]), j) for j in ids if j != i)[:10]
         assert [(-s, f) for r, f, s in zip(rows, found, scores) if r == i] == exact
