@@ -1,7 +1,8 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by a 128-bit key: a hash of the text, then a hash of the id. Rounds of probes cut the
-key space into ever finer bins around the wanted splitters and count exact bytes and rows of each bin across all
+Rows are ordered by a 192-bit key: a hash of the text, a hash of the id, and, only for rows of a key that repeats beyond what a
+splitter tolerates, a hash of a row number. Rounds of probes cut the
+key space into ever finer bins where a splitter or too much data lies, and count exact bytes and rows of each bin across all
 partitions; only these counts, of bounded number, reach the driver. Once the splitters are known, rows
 move once. Equal texts have neighbouring keys and stay in one shard unless the group is
 too large for that.
@@ -11,19 +12,24 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from math import ceil, log2
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelry.sources.scratch import keep
+from parcelry.llm.names import unused
 
-_FIRST_BITS, _STEP_BITS, _KEY_BITS = 12, 8, 128
+_FIRST_BITS, _MOST_BITS, _ROUND_BITS = (12, 17), 18, 8
+_WORD, _KEY_BITS = 64, 192
 _SIGN = -(1 << 63)
 _OWN = ("size", "shard", "slot")
+_KEYS = ("k1", "k2", "k3")
+_KEY = "struct<k1: long, k2: long, k3: long>"
 
 
 @dataclass
-class _Bin:
+class Bin:
     """An interval of keys that starts at ``key`` and spans ``bits`` low bits, with the exact totals below it and in it."""
 
     key: int
@@ -32,16 +38,20 @@ class _Bin:
     rows_below: int
     bytes: int
     rows: int
-    one_text: bool
+    same: int  # leading words of the key (0 to 3) that all its rows share
+
+    @property
+    def end(self) -> int:
+        return self.key + (1 << self.bits)
 
 
 @dataclass
-class Splitter:
-    """Rows with this key or a larger one come after; the totals are of the rows before."""
+class Piece:
+    """Rows from ``key`` on, up to the next piece; ``before`` rows of its shard come earlier."""
 
     key: int
-    bytes_below: int
-    rows_below: int
+    shard: int
+    before: int
 
 
 def shard_by_bytes(
@@ -60,134 +70,175 @@ def shard_by_bytes(
     A row's size is the UTF-8 bytes of its text plus ``row_bytes``. Every splitter lies within ``tolerance`` of a shard's
     share of its target, or at the end of a row or of a group of equal texts of up to
     ``keep_group`` of a share that is nearest. Returns the columns of ``docs`` with ``size``, ``shard`` (from 0) and ``slot`` (place in
-    the shard in key order, gapless from 0). Work is spread over pieces of about ``piece_bytes``, 4 to 256 per shard.
+    the shard in key order, gapless from 0). A task sorts pieces of about ``piece_bytes``, or of a 32,768th of all bytes if that is more.
 
-    Defined cases: a null text counts as empty; null ids are one id; rows equal in id and text have one key and
-    stay in one shard, in any order; with fewer rows than shards some shards stay empty; an empty table gives an empty
-    result. Columns of ``docs`` named like an added one are replaced.
+    Defined cases: a null text counts as empty; null ids are one id; rows equal in id and text are divided like any others, in
+    any order; with fewer rows than shards some shards stay empty; an empty table gives an empty
+    result. Columns of ``docs`` named like an added one are replaced, all others stay, whatever their names.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.drop(*_OWN, "__k1", "__k2", "__bin", "__piece")
-    keyed = docs.withColumns({"size": (F.octet_length(text) + row_bytes).cast("long"), "__k1": F.xxhash64(text), "__k2": F.xxhash64(id_col)})
-    keys = keep(keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "size"), "keys")
-    bins = _count(keys, _FIRST_BITS, None)
-    total, rows = sum(b[1] for b in bins), sum(b[2] for b in bins)
-    pieces = max(4, min(256, -(-total // (shards * piece_bytes)))) if rows else 1
-    cuts = _splitters(keys, bins, total, rows, shards, pieces, tolerance, keep_group)
-    by_bin, by_piece = _tables(spark, cuts, shards, pieces)
-
-    # Both tables follow the numbers of first-round bins and pieces, not the rows.
-    placed = keyed.withColumn("__bin", _prefix("__k1", _FIRST_BITS)).join(F.broadcast(by_bin), "__bin")
-    after = F.filter("__cuts", lambda c: (c["k1"] < F.col("__k1")) | ((c["k1"] == F.col("__k1")) & (c["k2"] <= F.col("__k2"))))
-    placed = placed.withColumn("__piece", F.col("__base") + F.size(after)).drop("__base", "__cuts", "__bin")
-    order = Window.partitionBy("__piece").orderBy("__k1", "__k2")
-    numbered = placed.withColumn("__at", F.row_number().over(order)).join(F.broadcast(by_piece), "__piece")
-    return numbered.withColumn("slot", F.col("__before") + F.col("__at") - 1).drop("__k1", "__k2", "__piece", "__at", "__before")
-
-
-def _prefix(column: str, bits: int) -> F.Column:
+    docs = docs.drop(*_OWN)
+    k1, k2, k3, bin_, piece, base, cuts, at, before = helpers = unused(docs, *_KEYS, "bin", "piece", "base", "cuts", "at", "before")
+    keyed = docs.withColumns({"size": (F.octet_length(text) + row_bytes).cast("long"), k1: F.xxhash64(text), k2: F.xxhash64(id_col)})
+    keys = keep(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.lit(0).cast("long").alias("k3"), "size"), "keys")
+    total = keys.agg(F.sum("size")).collect()[0][0] or 0
+    bits = min(max(ceil(log2(max(total / piece_bytes, 1))) + 2, _FIRST_BITS[0]), _FIRST_BITS[1])
+    most = max(piece_bytes, 4 * total >> bits)
+
+    # At most shards / tolerance or 32,768 keys are that large, whatever the input.
+    limit = min(tolerance * total / shards, most)
+    large = keys.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).filter((F.col("rows") > 1) & (F.col("bytes") > limit))
+    large = keep(large.select("k1", "k2"), "large")
+    if large.head(1):
+        named = F.broadcast(large.select(F.col("k1").alias(k1), F.col("k2").alias(k2)))
+        # Writing the rows down fixes their numbers.
+        numbered = keep(keyed.join(named, [k1, k2], "left_semi").withColumn(k3, F.xxhash64(F.monotonically_increasing_id())), "repeated")
+        keyed = keyed.join(named, [k1, k2], "left_anti").withColumn(k3, F.lit(0).cast("long")).unionByName(numbered)
+        more = numbered.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(k3).alias("k3"), "size")
+        keys = keep(keys.join(F.broadcast(large), ["k1", "k2"], "left_anti").select(*_KEYS, "size").unionByName(more), "keys")
+    else:
+        keyed = keyed.withColumn(k3, F.lit(0).cast("long"))
+
+    pieces = cut_pieces(keys, shards, total, bits, most, tolerance, keep_group)
+    by_bin, by_piece = _tables(spark, pieces, bits)
+    by_bin, by_piece = by_bin.toDF(bin_, base, cuts), by_piece.toDF(piece, "shard", before)
+
+    # Both tables follow the numbers of first-round bins and pieces, at most some 2 ** 17 of each.
+    placed = keyed.withColumn(bin_, _prefix(F.col(k1), bits)).join(F.broadcast(by_bin), bin_)
+    own = F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(k3).alias("k3"))
+    placed = placed.withColumn(piece, F.col(base) + F.size(F.filter(cuts, lambda c: c <= own)))
+    order = Window.partitionBy(piece).orderBy(k1, k2, k3)
+    numbered = placed.drop(bin_, base, cuts).withColumn(at, F.row_number().over(order)).join(F.broadcast(by_piece), piece)
+    return numbered.withColumn("slot", F.col(before) + F.col(at) - 1).drop(*helpers)
+
+
+def _prefix(key: F.Column, bits: int) -> F.Column:
     """The top bits of a signed long, in the order of its values."""
-    return F.shiftrightunsigned(F.col(column).bitwiseXOR(F.lit(_SIGN)), 64 - bits).cast("long")
+    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(_SIGN)), _WORD - bits).cast("long")
 
 
-def _count(keys: DataFrame, bits: int, within: tuple[int, list[int]] | None) -> list[tuple[int, int, int, bool]]:
-    """(prefix, bytes, rows, whether all rows have one text) of the bins of ``bits`` bits, in order; ``within``: inside these bins of so many bits only."""
+def _top(bits: int) -> F.Column:
+    """The top bits of the whole key, as its leading words."""
+    words = []
+    for i, name in enumerate(_KEYS):
+        n = min(max(bits - i * _WORD, 0), _WORD)
+        words.append((F.lit(0).cast("long") if not n else _prefix(F.col(name), n)).alias(name))
+    return F.struct(*words)
 
-    def prefix(n: int) -> F.Column:
-        if n <= 64:
-            return F.struct(_prefix("k1", n).alias("a"), F.lit(0).cast("long").alias("b"))
-        return F.struct(F.col("k1").bitwiseXOR(F.lit(_SIGN)).alias("a"), _prefix("k2", n - 64).alias("b"))
 
-    if within:
-        n, open_bins = within
-        parts = [((p & ((1 << 64) - 1)) if n <= 64 else p >> (n - 64), 0 if n <= 64 else p & ((1 << (n - 64)) - 1)) for p in open_bins]
-        wanted = keys.sparkSession.createDataFrame([((_signed(a), _signed(b)),) for a, b in parts], "within struct<a: long, b: long>")
-        keys = keys.withColumn("within", prefix(n)).join(F.broadcast(wanted), "within")
-    rows = keys.groupBy(prefix(bits).alias("p")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("k1") == F.max("k1")).alias("one")).collect()
-    full = [(r["p"]["a"] % (1 << 64) if bits <= 64 else ((r["p"]["a"] % (1 << 64)) << (bits - 64)) | (r["p"]["b"] % (1 << 64)), r["bytes"], r["rows"], r["one"]) for r in rows]
-    return sorted(full)
+def _words(prefix: int, bits: int) -> tuple[int, ...]:
+    """A prefix as _top gives it."""
+    full = prefix << (_KEY_BITS - bits)
+    words = []
+    for i in range(3):
+        n = min(max(bits - i * _WORD, 0), _WORD)
+        word = (full >> (_KEY_BITS - (i + 1) * _WORD)) % (1 << _WORD)
+        words.append(_signed(word >> (_WORD - n) if n else 0))
+    return tuple(words)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _splitters(keys: DataFrame, first: list, total: int, rows: int, shards: int, pieces: int, tolerance: float, keep_group: float) -> list[Splitter]:
-    """The splitters before each piece but the first; those between shards are refined until they meet the tolerance."""
+def _count(keys: DataFrame, bits: int, within: tuple[int, list[int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """(prefix, bytes, rows, words that all rows share) of the bins of ``bits`` bits, in order; ``within``: inside these bins of so many bits only."""
+    if within:
+        n, open_bins = within
+        wanted = keys.sparkSession.createDataFrame([(_words(p, n),) for p in open_bins], f"within {_KEY}")
+        keys = keys.withColumn("within", _top(n)).join(F.broadcast(wanted), "within")
+    one = [F.min(k) == F.max(k) for k in _KEYS]
+    same = F.when(one[0] & one[1] & one[2], 3).when(one[0] & one[1], 2).when(one[0], 1).otherwise(0)
+    found = keys.groupBy(_top(bits).alias("p")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), same.alias("same")).collect()
+
+    def prefix(p) -> int:
+        full = 0
+        for i, name in enumerate(_KEYS):
+            n = min(max(bits - i * _WORD, 0), _WORD)
+            full = (full << n) | (p[name] % (1 << _WORD) if n else 0)
+        return full
+
+    return sorted((prefix(r["p"]), r["bytes"], r["rows"], r["same"]) for r in found)
+
+
+def _chain(counts: list, bits: int, bytes_below: int, rows_below: int) -> list[Bin]:
+    out = []
+    for prefix, size, count, same in counts:
+        out.append(Bin(prefix << (_KEY_BITS - bits), _KEY_BITS - bits, bytes_below, rows_below, size, count, same))
+        bytes_below, rows_below = bytes_below + size, rows_below + count
+    return out
+
+
+def cut_pieces(keys: DataFrame, shards: int, total: int, bits: int, most: int, tolerance: float, keep_group: float) -> list[Piece]:
+    """Probe until every splitter meets the tolerance and no bin that can be divided holds more than ``most`` bytes; then the pieces in key order."""
+    bins = _chain(_count(keys, bits), bits, 0, 0)
+    if not bins:
+        return [Piece(0, 0, 0)]
     share = total / shards
-    bits = _FIRST_BITS
-    open_bins: dict[int, list[int]] = {}
-    found: dict[int, Splitter] = {}
-    all_targets = list(range(1, shards * pieces))
-
-    def place(bins: list[_Bin], targets: list[int]) -> dict[int, list[int]]:
-        """Settle the targets that a bin's edge serves; the others wait for finer bins."""
-        waiting: dict[int, list[int]] = {}
-        ends = [b.bytes_below + b.bytes for b in bins]
-        for t in targets:
-            want = share * t / pieces
-            b = bins[min(bisect_right(ends, want), len(bins) - 1)]
-            low, high = want - b.bytes_below, b.bytes_below + b.bytes - want
-            near = min(abs(low), abs(high))
-            whole = b.rows == 1 or b.bits == 0 or (b.one_text and b.bytes <= keep_group * share)
-            loose = t % pieces and b.bytes <= share / pieces
-            if near <= tolerance * share or whole or loose:
-                end = high < low
-                found[t] = Splitter(b.key + (1 << b.bits), b.bytes_below + b.bytes, b.rows_below + b.rows) if end else Splitter(b.key, b.bytes_below, b.rows_below)
+    splitters: dict[int, int] = {}  # of each shard but the first, its first key
+
+    def probe(leaves: list[Bin]) -> list[Bin]:
+        """Settle the splitters that an edge of a bin serves; the bins to divide."""
+        ends, wanted = [b.bytes_below + b.bytes for b in leaves], {}
+        for shard in range(1, shards):
+            if shard in splitters:
+                continue
+            want = share * shard
+            b = leaves[min(bisect_right(ends, want), len(leaves) - 1)]
+            low, high = abs(want - b.bytes_below), abs(b.bytes_below + b.bytes - want)
+            # From 128 open bits on, a bin of one text holds all of its rows.
+            whole = b.rows == 1 or b.same == 3 or (b.same >= 1 and b.bits >= 2 * _WORD and b.bytes <= keep_group * share)
+            if min(low, high) <= tolerance * share or whole:
+                splitters[shard] = b.end if high < low else b.key
             else:
-                waiting.setdefault(b.key, []).append(t)
-                edges[b.key] = b
-        return waiting
-
-    def chain(counts: list, n: int, bytes_below: int, rows_below: int) -> list[_Bin]:
-        out = []
-        for prefix, size, count, one in counts:
-            out.append(_Bin(prefix << (_KEY_BITS - n), _KEY_BITS - n, bytes_below, rows_below, size, count, one))
-            bytes_below, rows_below = bytes_below + size, rows_below + count
-        return out
-
-    edges: dict[int, _Bin] = {}
-    if rows:
-        open_bins = place(chain(first, bits, 0, 0), all_targets)
-    while open_bins:
-        # A bin of one text has nothing to find in the rest of the text hash.
-        if bits < 64 and all(edges[k].one_text for k in open_bins):
-            finer, inside = 64 + _STEP_BITS, 64
-            k1 = {k: None for k in open_bins}
-            exact = _count(keys, 64, (bits, [k >> (_KEY_BITS - bits) for k in k1]))
-            outer = {(p << 64) >> (_KEY_BITS - bits) << (_KEY_BITS - bits): p for p, *_ in exact}
-            parents = {outer[k] << 64: k for k in open_bins}
-        else:
-            finer, inside = min(bits + _STEP_BITS, 64 if bits < 64 else _KEY_BITS), bits
-            parents = {k: k for k in open_bins}
-        counts = _count(keys, finer, (inside, [k >> (_KEY_BITS - inside) for k in parents]))
-        children: dict[int, list] = {}
-        for c in counts:
-            children.setdefault(c[0] >> (finer - inside), []).append(c)
-        waiting: dict[int, list[int]] = {}
-        for start, k in parents.items():
-            own = chain(children[start >> (_KEY_BITS - inside)], finer, edges[k].bytes_below, edges[k].rows_below)
-            waiting |= place(own, open_bins[k])
-        open_bins, bits = waiting, finer
-    cuts = [found.get(t, Splitter(1 << _KEY_BITS, total, rows)) for t in all_targets]
-    for i in range(1, len(cuts)):
-        if cuts[i].key < cuts[i - 1].key:
-            cuts[i] = cuts[i - 1]
-    return cuts
-
-
-def _tables(spark: SparkSession, cuts: list[Splitter], shards: int, pieces: int) -> tuple[DataFrame, DataFrame]:
-    """Per first-round bin the number of splitters up to its start and those inside; per piece its shard and the shard's rows before it."""
-    keys = [c.key for c in cuts]
-    shift = _KEY_BITS - _FIRST_BITS
+                wanted[b.key] = b
+        wanted |= {b.key: b for b in leaves if b.bytes > most and b.rows > 1 and b.same < 3}
+        return list(wanted.values())
+
+    while todo := probe(bins):
+        step = max(1, min(_ROUND_BITS, _MOST_BITS - ceil(log2(len(todo)))))
+        alike: dict[tuple[int, int], list[Bin]] = {}
+        for b in todo:
+            # Words that all its rows share have nothing to find.
+            at = _KEY_BITS - b.bits
+            alike.setdefault((at, max(at, b.same * _WORD)), []).append(b)
+        children: dict[int, list[Bin]] = {}
+        for (at, known), here in alike.items():
+            finer = min(known + step, (known // _WORD + 1) * _WORD)  # a step does not cross from one word into the next
+            inside = {b.key >> (_KEY_BITS - at): b for b in here}
+            counted: dict[int, list] = {}
+            for c in _count(keys, finer, (at, list(inside))):
+                counted.setdefault(c[0] >> (finer - at), []).append(c)
+            for prefix, b in inside.items():
+                children[b.key] = _chain(counted[prefix], finer, b.bytes_below, b.rows_below)
+        bins = [x for b in bins for x in children.get(b.key, [b])]
+
+    starts = sorted(splitters.values())  # a row larger than a share may leave a shard empty
+    pieces, held = [], 0
+    shard, first_row = 0, 0
+    for b in bins:
+        to = bisect_right(starts, b.key)
+        if not pieces or to > shard or held + b.bytes > most:
+            if to > shard or not pieces:
+                shard, first_row = to, b.rows_below
+            pieces.append(Piece(b.key, shard, b.rows_below - first_row))
+            held = 0
+        held += b.bytes
+    pieces[0].key = 0
+    return pieces
+
+
+def _tables(spark: SparkSession, pieces: list[Piece], bits: int) -> tuple[DataFrame, DataFrame]:
+    """Per first-round bin the last piece that starts at or before it and the starts inside; per piece its shard and the shard's rows before it."""
+    keys = [p.key for p in pieces]
+    shift = _KEY_BITS - bits
+    triple = lambda k: tuple(((k >> (_WORD * i)) % (1 << _WORD)) - (1 << 63) for i in (2, 1, 0))
     bins = []
-    for b in range(1 << _FIRST_BITS):
+    for b in range(1 << bits):
         lo, hi = bisect_right(keys, b << shift), bisect_right(keys, ((b + 1) << shift) - 1)
-        bins.append((b, lo, [((k >> 64) - (1 << 63), (k & ((1 << 64) - 1)) - (1 << 63)) for k in keys[lo:hi]]))
-    starts = [0, *(c.rows_below for c in cuts)]
-    of_piece = [(p, p // pieces, starts[p] - starts[p // pieces * pieces]) for p in range(shards * pieces if cuts else 1)]
+        bins.append((b, lo - 1, [triple(k) for k in keys[lo:hi]]))
     return (
-        spark.createDataFrame(bins, "__bin long, __base int, __cuts array<struct<k1: long, k2: long>>"),
-        spark.createDataFrame(of_piece, "__piece int, shard int, __before long"),
+        spark.createDataFrame(bins, f"bin long, base int, cuts array<{_KEY}>"),
+        spark.createDataFrame([(i, p.shard, p.before) for i, p in enumerate(pieces)], "piece int, shard int, before long"),
     )

@@ -135,26 +135,50 @@ def test_packing_is_whole_and_tight(spark):
 # Sharding -------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("kind", ["mixed", "one text", "few", "odd"])
+@pytest.mark.parametrize("kind", ["mixed", "one text", "repeated", "null ids", "few", "odd"])
 def test_shards(spark, kind):
     rng = random.Random(6)
     docs = {
         "mixed": [(i, "x" * rng.randrange(1, 200) + str(i % 700)) for i in range(3000)],
         "one text": [(i, "same text" if i % 3 else f"text {i}") for i in range(3000)],
+        "repeated": [(1, "the same row")] * 2500 + [(i, f"text {i}") for i in range(500)],
+        "null ids": [(None, "the same row")] * 2000 + [(None, None)] * 1000,
         "few": [(i, str(i)) for i in range(5)],
         "odd": ODD,
     }[kind]
-    df = spark.createDataFrame(docs, DOC).repartition(5).withColumns({n: F.lit("kept") for n in ("bin", "base", "cuts", "before", "size", "slot", "k1", "label")})
+    df = spark.createDataFrame(docs, DOC).repartition(5).withColumns({n: F.lit("kept") for n in ("bin", "base", "cuts", "before", "size", "slot", "k1", "label", "__bin", "__base", "__before", "__K1", "__cuts", "__at", "___piece")})
     got = shard_by_bytes(df, shards=7, piece_bytes=4000).collect()
-    assert len(got) == len(docs) and all(r["label"] == r["base"] == "kept" for r in got)
+    assert len(got) == len(docs) and all(r["label"] == r["base"] == r["__base"] == r["__K1"] == r["___piece"] == "kept" for r in got)
     assert all(r["size"] == len((r["text"] or "").encode()) + 8 for r in got)
     by = {}
     for r in got:
         by.setdefault(r["shard"], []).append(r)
     assert all(0 <= s < 7 and sorted(r["slot"] for r in own) == list(range(len(own))) for s, own in by.items())
-    if kind in ("mixed", "one text"):
+    if len(docs) > 100:
         sizes = [sum(r["size"] for r in own) for own in by.values()]
-        assert len(by) == 7 and max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got) + 0.04 * sum(sizes) / 7
+        assert len(by) == 7 and max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got) + 0.002 * sum(sizes) / 7
+
+
+@pytest.mark.parametrize("kind", ["groups", "repeated"])
+def test_shards_equal_a_plain_sorted_cut(spark, kind):
+    rng = random.Random(7)
+    docs = [(i, "x" * rng.randrange(1, 300) + str(i % 900)) for i in range(3000)] + [(5, "again")] * (1500 if kind == "repeated" else 1)
+    df = spark.createDataFrame(docs, DOC).repartition(3)
+    got = shard_by_bytes(df, shards=9, piece_bytes=3000, tolerance=0.002, keep_group=0.01).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("doc_id")}).collect()
+    got.sort(key=lambda r: (r["shard"], r["slot"]))
+    assert [(r["k1"], r["k2"]) for r in got] == sorted((r["k1"], r["k2"]) for r in got)
+    edges, groups, done = [0], [0], 0
+    for r, after in zip(got, [*got[1:], None]):
+        done += r["size"]
+        edges.append(done)
+        if after is None or after["text"] != r["text"]:
+            groups.append(done)
+    share = done / 9
+    for shard in range(1, 9):
+        cut = sum(r["size"] for r in got if r["shard"] < shard)
+        near = lambda places: min(abs(x - share * shard) for x in places)
+        small = [b for a, b in zip(groups, groups[1:]) if b - a <= 0.01 * share]
+        assert abs(cut - share * shard) <= max(0.002 * share, near(edges), near(small) if cut in groups else 0)
 
 
 def test_equal_texts_stay_together(spark):
