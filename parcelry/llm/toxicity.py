@@ -44,29 +44,34 @@ def fit_severity(
     text_col: str = "text",
     grade_col: str = "grade",
     sample_rows: int = 10_000,
+    max_grade: int = 10,
     features: int = 4096,
     min_texts: int = 3,
     min_z: float = 4.5,
     l2: float = 1e-4,
     rounds: int = 300,
 ) -> SeverityModel:
-    """Fit on about ``sample_rows`` labels, chosen by a hash of the id (all, if there are fewer; never more than twice as many).
+    """Fit on at most ``sample_rows`` labelled texts: those whose ids have the smallest hashes (all, if there are no more).
 
     ``labels`` holds the ids of some ``docs`` and their grades. The sample is drawn before any text is read, so the join broadcasts a bounded
-    table and no text moves. ``grade_col`` holds whole numbers from 0 up; rows with a null grade or text take no part. The
-    ``features`` that differ most between grade 0 and the rest are kept, as far as they differ by ``min_z`` standard errors. Their counts are made in the
-    cluster; only the chosen features' values of the sample reach the driver. Without any labelled row, or with grade 0 alone, every text
-    gets grade 0.
+    table and only sampled texts move. The ``features`` that differ most between grade 0 and the rest are kept, as far as they differ by
+    ``min_z`` standard errors. Their counts are made in the cluster; only the chosen features' values of the sample reach the driver.
+
+    Defined cases: ``grade_col`` holds whole numbers from 0 to ``max_grade``; labels with another or a null grade or a null id take no part; an id that is
+    labelled several times has its highest grade; of rows that share an id one takes part, that with the smallest text hash;
+    null texts take no part. Without any labelled row, or with grade 0 alone, every text gets grade 0; without a grade 0, every text gets the highest.
+    Other columns are not looked at.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id IS NOT NULL AND grade IS NOT NULL")
-    grades = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
-    total = sum(grades.values())
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit("severity"), "id"), F.lit(max(total, 1))) < sample_rows).limit(2 * sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    sample = keep(texts.join(F.broadcast(drawn), "id").select("text", "grade"), "sample")
+    known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("id").isNotNull() & F.col("grade").between(0, max_grade))
+    known = known.groupBy("id").agg(F.max("grade").alias("grade"))
+    top = known.agg(F.max("grade")).collect()[0][0] or 1
+    drawn = keep(known.orderBy(F.xxhash64(F.lit("severity"), "id"), "id").limit(sample_rows), "drawn")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(drawn), "id")
+    # The tasks that read the texts leave one for each id already.
+    one = texts.groupBy("id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    sample = keep(one.select(F.col("one.text").alias("text"), "grade"), "sample")
     seen = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     clean, other = seen.get(0, 0), sum(n for g, n in seen.items() if g > 0)
-    top = max([1, *grades])
     if not clean or not other:
         return SeverityModel(np.zeros(0, np.uint64), np.zeros(0), np.full(top, np.inf if not other else -np.inf))
 
@@ -81,7 +86,8 @@ def fit_severity(
     grade = data.column("grade").to_numpy()
     at = data.column("at").combine_chunks()
     row = np.repeat(np.arange(len(grade)), at.value_lengths().to_numpy(zero_copy_only=False))
-    weights, thresholds = _fit(grade, row, at.flatten().to_numpy(), data.column("value").combine_chunks().flatten().to_numpy().astype(float), len(chosen), top, l2, rounds)
+    value = data.column("value").combine_chunks().flatten().to_numpy().astype(float)
+    weights, thresholds = _fit(Objective(grade, row, at.flatten().to_numpy(), value, len(chosen), top, l2), rounds)
     used = weights != 0
     return SeverityModel(chosen[used], weights[used], thresholds)
 
@@ -164,34 +170,59 @@ def _design(batches: Iterator[pa.RecordBatch], features: np.ndarray) -> Iterator
             )
 
 
-def _fit(grade: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, n_features: int, top: int, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimise the mean negative log-likelihood with Adam; thresholds are a first one and the logarithms of the steps between."""
-    n = len(grade)
-    share = np.clip(np.array([(grade >= k).mean() for k in range(1, top + 1)]), 0.5 / n, 1 - 0.5 / n)
-    theta = np.maximum.accumulate(np.log(1 / share - 1) + 0.01 * np.arange(top))
-    x = np.concatenate([np.zeros(n_features), theta[:1], np.log(np.maximum(np.diff(theta), 0.1))])
-    prior = x[n_features:].copy()
-    first, second = np.zeros_like(x), np.zeros_like(x)
-    for t in range(1, rounds + 1):
-        w, steps = x[:n_features], np.exp(x[n_features + 1 :])
-        theta = x[n_features] + np.concatenate([[0.0], np.cumsum(steps)])
-        margin = np.bincount(row, value * w[col], n)
+@dataclass
+class Objective:
+    """The mean negative log-likelihood of graded sparse rows, with a ridge on the weights and a weak pull of the thresholds to where they start.
+
+    Parameters are the weights, the first threshold, and the logarithms of the steps to the later ones, so thresholds always rise.
+    """
+
+    grade: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    n_features: int
+    top: int
+    l2: float
+
+    def start(self) -> np.ndarray:
+        n = len(self.grade)
+        share = np.clip(np.array([(self.grade >= k).mean() for k in range(1, self.top + 1)]), 0.5 / n, 1 - 0.5 / n)
+        theta = np.maximum.accumulate(np.log(1 / share - 1) + 0.01 * np.arange(self.top))
+        self.prior = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 0.1))])
+        return np.concatenate([np.zeros(self.n_features), self.prior])
+
+    def thresholds(self, x: np.ndarray) -> np.ndarray:
+        return x[self.n_features] + np.concatenate([[0.0], np.cumsum(np.exp(x[self.n_features + 1 :]))])
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value and its gradient."""
+        n, w, steps = len(self.grade), x[: self.n_features], np.exp(x[self.n_features + 1 :])
+        margin = np.bincount(self.row, self.value * w[self.col], n)
         # P(grade >= k) for k = 0 .. top + 1; a grade's probability is the difference of its neighbours.
-        p = np.column_stack([np.ones(n), _sigmoid(margin[:, None] - theta[None, :]), np.zeros(n)])
-        slope = p * (1 - p)
-        i = np.arange(n)
+        p = np.column_stack([np.ones(n), _sigmoid(margin[:, None] - self.thresholds(x)[None, :]), np.zeros(n)])
+        slope, i, grade = p * (1 - p), np.arange(n), self.grade
         each = np.maximum(p[i, grade] - p[i, grade + 1], 1e-12)
+        off = x[self.n_features :] - self.prior
+        loss = -np.log(each).mean() + 0.5 * self.l2 * (w @ w) + 0.5 * (off @ off) / n
         g_margin = -(slope[i, grade] - slope[i, grade + 1]) / each / n
-        g_theta = np.zeros(top + 2)
+        g_theta = np.zeros(self.top + 2)
         np.add.at(g_theta, grade, slope[i, grade] / each / n)
         np.add.at(g_theta, grade + 1, -slope[i, grade + 1] / each / n)
-        g_theta = g_theta[1:-1]
-        after = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, value * g_margin[row], n_features) + l2 * w, after[:1], after[1:] * steps])
-        g[n_features:] += (x[n_features:] - prior) / n  # keeps the threshold of a grade without rows finite
+        after = np.cumsum(g_theta[1:-1][::-1])[::-1]
+        g_weights = np.bincount(self.col, self.value * g_margin[self.row], self.n_features) + self.l2 * w
+        return loss, np.concatenate([g_weights, after[:1] + off[:1] / n, after[1:] * steps + off[1:] / n])
+
+
+def _fit(objective: Objective, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimise with Adam."""
+    x = objective.start()
+    first, second = np.zeros_like(x), np.zeros_like(x)
+    for t in range(1, rounds + 1):
+        _, g = objective(x)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         x = x - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return x[:n_features], x[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_features + 1 :]))])
+    return x[: objective.n_features], objective.thresholds(x)
 
 
 def _score(batches: Iterator[pa.RecordBatch], text_at: int, model: SeverityModel, reject_at: float) -> Iterator[pa.RecordBatch]:

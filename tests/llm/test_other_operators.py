@@ -16,7 +16,8 @@ from parcelry.llm.chat import CLOSE, OPEN, chat_windows, escape, read_windows, u
 from parcelry.llm.packing import best_fit, pack_best_fit, sequence_cost
 from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.topk import best_pairs, integer_vectors, top_inner_products
-from parcelry.llm.toxicity import fit_severity, score_severity
+from parcelry.llm.toxicity import Objective, fit_severity, score_severity
+from parcelry.llm import toxicity
 from parcelry.llm.warc import LoserTree, merge_index, payload_digest, read_archives, url_key, write_archives
 
 DOC = "doc_id long, text string"
@@ -78,6 +79,54 @@ def test_severity_defined_cases(spark):
     assert score_severity(empty.select("doc_id", "text"), none).count() == 0
 
 
+def plain_loss(x, rows, grades, top, l2, prior):
+    """The likelihood by its definition, text by text."""
+    k = len(x) - top
+    theta, total = [x[k]], 0.0
+    for step in x[k + 1 :]:
+        theta.append(theta[-1] + np.exp(step))
+    for row, grade in zip(rows, grades):
+        at_least = lambda g: 1.0 if g == 0 else 0.0 if g > top else 1 / (1 + np.exp(theta[g - 1] - sum(v * x[c] for c, v in row.items())))
+        total -= np.log(at_least(grade) - at_least(grade + 1))
+    return total / len(rows) + l2 / 2 * sum(w * w for w in x[:k]) + sum((a - b) ** 2 for a, b in zip(x[k:], prior)) / 2 / len(rows)
+
+
+def test_the_fit_descends_the_gradient_of_the_likelihood():
+    rng = np.random.default_rng(21)
+    grades = rng.choice([0, 0, 1, 2, 3], 40)
+    rows = [{int(c): float(rng.uniform(0.5, 2)) + (g if c == 1 else 0) for c in rng.choice(5, 3, replace=False)} for g in grades]
+    row = np.repeat(np.arange(40), 3)
+    col, value = (np.array([f(i) for r in rows for i in r.items()]) for f in (lambda i: i[0], lambda i: i[1]))
+    goal = Objective(grades, row, col, value, 5, 3, 0.01)
+    x = goal.start() + rng.normal(0, 0.3, 8)
+    loss, gradient = goal(x)
+    assert np.isclose(loss, plain_loss(x, rows, grades, 3, 0.01, goal.prior))
+    for i in range(len(x)):
+        step = np.zeros(8)
+        step[i] = 1e-5
+        slope = (plain_loss(x + step, rows, grades, 3, 0.01, goal.prior) - plain_loss(x - step, rows, grades, 3, 0.01, goal.prior)) / 2e-5
+        assert np.isclose(gradient[i], slope, atol=1e-7)
+    weights, thresholds = toxicity._fit(goal, 2000)
+    end = np.concatenate([weights, thresholds[:1], np.log(np.diff(thresholds))])
+    assert np.abs(goal(end)[1]).max() < 0.01 < np.abs(goal(goal.start())[1]).max() and list(thresholds) == sorted(thresholds)
+
+
+def test_the_fitting_sample_is_bounded(spark, monkeypatch):
+    sizes = {}
+    real = toxicity.keep
+    monkeypatch.setattr(toxicity, "keep", lambda df, name: sizes.setdefault(name, real(df, name)))
+    docs = graded(5, 300)
+    many = spark.createDataFrame([(7, f"{docs[7][1]} {i}") for i in range(5000)] + [d[:2] for d in docs], DOC)
+    labels = spark.createDataFrame([(d[0], d[2]) for d in docs] + [(7, 2), (8, -3), (9, 10**6), (10, None)], "doc_id long, grade int")
+    fit_severity(many, labels, sample_rows=10)
+    assert sizes["drawn"].count() == 10 and sizes["sample"].count() <= 10
+    sizes.clear()
+    model = fit_severity(many, labels)
+    sample = sizes["sample"].collect()
+    assert len(sample) == 300 and len(model.thresholds) == 2
+    assert [r["grade"] for r in sample if r["text"].startswith(docs[7][1])] == [2]
+
+
 # Packing --------------------------------------------------------------------------------------------
 
 
