@@ -1,12 +1,21 @@
 """DuckDB SQL for the queries that SQL can express, over the same tables."""
 
-OP1 = """
-WITH p AS (
-  SELECT page_id, coalesce(html, '') AS body FROM pages
+# Archives hold URLs with blanks, control characters and percent signs encoded.
+_URI = "replace(coalesce(url, ''), '%', '%25')"
+for _code in (*range(1, 33), 127):
+    _URI = f"replace({_URI}, chr({_code}), '%{_code:02X}')"
+
+OP1 = rf"""
+WITH u AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim({_URI}), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM pages
+), p AS (
+  SELECT page_id, coalesce(html, '') AS body, strftime(make_timestamp((1700000000 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured,
+         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^.*@|:(80|443)?$', '', 'g'), '^www\d*\.', '') AS host, lower(regexp_extract(rest, '^[^/?]*(.*)$', 1)) AS path
+  FROM u
 ), h AS (
-  SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, CAST(unhex(sha1(body)) AS BIT)::VARCHAR AS bits FROM p
+  SELECT page_id, captured, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path AS url_key, octet_length(encode(body))::BIGINT AS payload_bytes, CAST(unhex(sha1(body)) AS BIT)::VARCHAR AS bits FROM p
 ), d AS (
-  SELECT page_id, payload_bytes, bits,
+  SELECT page_id, payload_bytes, bits, captured, url_key,
          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
              + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest
@@ -16,7 +25,8 @@ WITH p AS (
 )
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to,
+       url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position
 FROM f
 """
 

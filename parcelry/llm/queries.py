@@ -30,7 +30,7 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(pages, path)
     drop_at_exit(spark, path)
     entries = read_archives(spark, path).withColumn("url_key", url_key(F.col("url")))
-    return merge_index(entries).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return merge_index(entries).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
 def severity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

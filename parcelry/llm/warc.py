@@ -3,7 +3,8 @@
 Records are lines of Spark's text source with a blank-line separator, so archives live wherever Spark writes.
 They are gzipped, hence read from their start, record by record, and a payload that itself contains record
 separators is put together again by its Content-Length. Each archive's entries form one capture run, sorted by URL key
-and timestamp. The runs are cut at common keys, and each range merges its share of all runs with a loser tree.
+and timestamp, and numbered in that order. The runs are cut at common keys; in each range the numbers restore the order of the
+runs' shares, which are merged with a loser tree.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.sources.scratch import keep
+from parcelry.llm.names import unused
 
 _EOL = "\r\n"
 _BREAK = _EOL * 2
 _HEAD = "WARC/1.1" + _EOL
 _HTTP = "HTTP/1.1 200 OK" + _EOL + "Content-Type: text/html; charset=utf-8" + _EOL + "Content-Length: "
+_BROADCAST_ROWS, _SALTS = 50_000, 32
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _ENTRY = "page_id long, url string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_at long"
 
@@ -55,9 +58,14 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     text = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"), text.alias("body"))
     rows = rows.withColumns({"digest": payload_digest(F.col("body")), "n": F.octet_length("body").cast("long")})
-    # Only payloads that occur twice need a lookup; few rows each, whatever the group.
+    # Only payloads that occur twice need a lookup; one row each, whatever the group.
     firsts = keep(rows.select("digest", "id", "n").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "first"), "payloads")
-    rows = rows.join(firsts, "digest", "left")
+    if firsts.count() <= _BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        # A payload that very many pages share is dealt over several tasks.
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(_SALTS)).cast("int"))
+        rows = rows.join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")) & (F.col("n") >= min_revisit_bytes)
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "%", "%25")
     for code in (*range(33), 127):
@@ -91,20 +99,34 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_index(entries: DataFrame, *, key_cols: tuple[str, ...] = ("url_key", "captured", "page_id"), range_rows: int = 100_000) -> DataFrame:
-    """Merge per-archive runs into one global order by the key columns: ``part`` numbers the key ranges and ``place`` the entry in its range.
+    """Merge per-archive runs into one global order by the key columns, numbered by ``position`` from 0.
 
-    Every archive's entries are sorted on their own and written down as a run. Ranges of about
+    Every archive's entries are sorted on their own, numbered and written down as a run. Ranges of about
     ``range_rows`` rows are cut at sampled keys; as keys end in the id, a URL with very many captures spans
-    several ranges. Within a range the runs' shares are merged with a loser tree.
+    several ranges. Within a range the numbers bring each run's share back into the run's order, and a loser tree merges the shares.
+
+    Defined cases: null keys come first; entries with equal keys, also repeated ones, come in the order of their runs; an empty table gives an
+    empty result. Columns named like an added one are replaced, all others stay, whatever their names.
     """
-    # A gzipped archive is read by one task, so its entries are together already.
-    runs = keep(entries.sortWithinPartitions("archive", *key_cols), "runs")
+    entries = entries.drop("position")
+    run, nth, part, place, before = unused(entries, "run", "nth", "part", "place", "before")
+    # A gzipped archive is read by one task. Of archives that several tasks share, each share is a run.
+    runs = entries.withColumn(run, F.concat_ws("#", "archive", F.spark_partition_id().cast("string"))).sortWithinPartitions(run, *key_cols)
+    runs = keep(runs.withColumn(nth, F.monotonically_increasing_id()), "runs")
     total = runs.count()
-    # Within a range every run is a consecutive piece in its own order.
-    ranged = runs.repartitionByRange(max(1, -(-total // range_rows)), *key_cols).sortWithinPartitions("archive", *key_cols)
-    merged = ranged.withColumn("part", F.spark_partition_id())
-    schema = T.StructType([*merged.schema.fields, T.StructField("place", T.LongType())])
-    return merged.mapInArrow(lambda batches: _merge(batches, key_cols), schema)
+    ranged = runs.repartitionByRange(max(1, -(-total // range_rows)), *key_cols).sortWithinPartitions(nth).drop(nth)
+    merged = ranged.withColumn(part, F.spark_partition_id())
+    schema = T.StructType([*merged.schema.fields, T.StructField(place, T.LongType())])
+    at = len(entries.columns)
+    merged = keep(merged.mapInArrow(lambda batches: _merge(batches, key_cols, at, place), schema), "merged")
+    # One row per range.
+    sizes = {r[part]: r["count"] for r in merged.groupBy(part).count().collect()}
+    starts, done = [], 0
+    for p in sorted(sizes):
+        starts.append((p, done))
+        done += sizes[p]
+    starts = merged.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
+    return merged.join(F.broadcast(starts), part).withColumn("position", F.col(before) + F.col(place)).drop(run, part, place, before)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +212,15 @@ class LoserTree:
             self._play(run)
 
 
-def _merge(batches: Iterator[pa.RecordBatch], key_cols: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], key_cols: tuple[str, ...], run_at: int, place: str) -> Iterator[pa.RecordBatch]:
     """Merge the run pieces of one key range; nulls come first."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     t = pa.Table.from_batches(batches)
     keys = list(zip(*[[(x is not None, x) if x is not None else (False,) for x in t.column(c).to_pylist()] for c in key_cols]))
-    archive = np.array(t.column("archive").to_pylist(), object)
-    cut = [0, *(np.flatnonzero(archive[1:] != archive[:-1]) + 1).tolist(), len(keys)]
+    run = t.column(run_at).combine_chunks().dictionary_encode().indices.to_numpy()
+    cut = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(keys)]
     tree = LoserTree([keys[a:b] for a, b in zip(cut, cut[1:])])
     order = [cut[run] + i for run, i in tree]
-    yield from t.take(pa.array(order, pa.int64())).append_column("place", pa.array(np.arange(len(order)))).to_batches()
+    yield from t.take(pa.array(order, pa.int64())).append_column(place, pa.array(np.arange(len(order)))).to_batches()

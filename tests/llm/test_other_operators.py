@@ -17,7 +17,7 @@ from parcelry.llm.packing import best_fit, pack_best_fit, sequence_cost
 from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.topk import best_pairs, integer_vectors, top_inner_products
 from parcelry.llm.toxicity import Objective, fit_severity, score_severity
-from parcelry.llm import toxicity
+from parcelry.llm import toxicity, warc
 from parcelry.llm.warc import LoserTree, merge_index, payload_digest, read_archives, url_key, write_archives
 
 DOC = "doc_id long, text string"
@@ -297,7 +297,9 @@ def b32(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
-def test_archives_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "_BROADCAST_ROWS", broadcast)
     rng = random.Random(9)
     evil = "\r\n\r\nWARC/1.1\r\n"
     bodies = ["", None, evil, evil + evil, "a" + evil + "WARC-Type: response\r\n\r\nb", "\r\n\r\n", "x\r\n", "\n", "é" * 10, "WARC/1.1\r\n", "a" + evil[:-2]]
@@ -357,9 +359,28 @@ def test_index_is_in_one_global_order(spark):
     data = [(f"k{rng.randrange(4)}" if rng.random() < 0.9 else None, str(rng.randrange(50)), i, f"archive{i % 5}", (1 << 60) + i if i % 2 else None) for i in range(2000)]
     df = spark.createDataFrame(data, "url_key string, captured string, page_id long, archive string, refers_to long").repartition(5, "archive")
     got = merge_index(df, range_rows=300).collect()
-    got.sort(key=lambda r: (r["part"], r["place"]))
+    got.sort(key=lambda r: r["position"])
     key = lambda r: (r[0] is not None, r[0] or "", r[1], r[2])
-    assert [tuple(r)[:5] for r in got] == sorted(data, key=key) and len({r["part"] for r in got}) > 3
+    assert [tuple(r)[:5] for r in got] == sorted(data, key=key) and [r["position"] for r in got] == list(range(len(data)))
+
+
+def test_the_tree_gets_every_run_in_its_own_order(spark, monkeypatch):
+    rng = random.Random(31)
+    data = [(f"u{rng.randrange(9)}", f"t{rng.randrange(50):02}", i, f"a{i % 6}", "kept") for i in range(2000)]
+    df = spark.createDataFrame(data, "url_key string, captured string, page_id long, archive string, __run string").repartition(4)
+    kept = {}
+    real = warc.keep
+    monkeypatch.setattr(warc, "keep", lambda df, name: kept.setdefault(name, real(df, name)))
+    got = merge_index(df, range_rows=400).collect()
+    runs = kept["runs"].collect()
+    number, run = kept["runs"].columns[-1], kept["runs"].columns[-2]
+    by = {}
+    for r in sorted(runs, key=lambda r: r[number]):
+        by.setdefault(r[run], []).append((r["url_key"], r["captured"], r["page_id"]))
+    assert len(by) > 6 and all(keys == sorted(keys) for keys in by.values())
+    ranges = kept["merged"].groupBy(kept["merged"].columns[-2]).count().count()
+    assert ranges > 3 and {r["__run"] for r in got} == {"kept"}
+    assert [r["page_id"] for r in sorted(got, key=lambda r: r["position"])] == [r[2] for r in sorted(data)]
 
 
 # Top-k ----------------------------------------------------------------------------------------------
