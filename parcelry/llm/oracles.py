@@ -30,23 +30,40 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-OP3 = r"""
+# Repeating windows of 35, 70, 140, ... words: each is two repeating ones of half its length side by side.
+_LEVELS = 16
+_DOUBLED = "".join(
+    f""", r{k + 1} AS (
+  SELECT doc_id, p, id, min(id) OVER pair AS c
+  FROM (SELECT a.doc_id, a.p, a.id, a.c AS c1, b.c AS c2 FROM r{k} a JOIN r{k} b ON b.doc_id = a.doc_id AND b.p = a.p + {35 << k})
+  WINDOW pair AS (PARTITION BY c1, c2) QUALIFY count(*) OVER pair > 1
+)"""
+    for k in range(_LEVELS)
+)
+
+OP3 = (
+    r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), v AS (
-  SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)
-), r AS (
-  SELECT k FROM v GROUP BY k HAVING count(*) > 1
+  SELECT doc_id, p, row_number() OVER () AS id, array_to_string(w[p:p + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)
+), r0 AS (
+  SELECT doc_id, p, id, min(id) OVER (PARTITION BY k) AS c FROM v QUALIFY count(*) OVER (PARTITION BY k) > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM v JOIN r USING (k)
+  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM r0
 ), words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
 ), kept AS (
   SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
-)
-SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
+)"""
+    + _DOUBLED
+    + ", longest AS (SELECT doc_id, max(n) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, {35 << k} AS n FROM r{k}" for k in range(_LEVELS + 1))
+    + """) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(longest.n, 0)::INT AS longest_repeat
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
+)
 
 OP6 = """
 WITH d AS (

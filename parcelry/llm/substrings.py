@@ -4,12 +4,14 @@ The first level looks at windows of half the wanted length (rounded up). Every w
 length contains several of them, and the one with the smallest hash stands for it: equal
 windows choose equal representatives, so about a tenth of the half-length windows suffice
 and none of the repeats is lost. Only windows whose representative repeats are
-extended to the wanted length, and there they are compared by 128 bits. With ``extend``
-the survivors go on to twice that length, and so on until no candidate survives.
+extended to the wanted length, and there they are compared by 128 bits. Windows that repeat at one length alone go on to
+twice that length: such a window is two repeating ones side by side, so its hash comes from theirs and texts are not
+read again. This goes on until no candidate survives.
 
-Rows are packed into compressed chunks of about ``chunk_bytes`` of text. A chunk sends each distinct window
+Rows are packed into compressed chunks. A chunk sends each distinct window
 hash once, with a mark when the chunk itself holds it twice, so a passage that sits in a third of
-all documents reaches a bucket at most once per chunk. Buckets answer with one bit per hash.
+all documents reaches a bucket at most once per chunk. Buckets answer with one bit per hash. Their number follows the bytes of all texts, and
+chunks grow with it, so neither a bucket nor the slices that a chunk sends become too large or too small.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelry.sources.scratch import keep, partitions
-from parcelry.llm.words import SPACED, Words, covered, first_minimum, slices
+from parcelry.sources.scratch import discard, keep, partitions
+from parcelry.llm.words import SPACED, Words, covered, first_minimum, paired_hash, slices
 
 _ASKED = "level int, bucket int, chunk long, key1 binary, key2 binary, twice binary"
 _ANSWER = "level int, bucket int, chunk long, bits binary"
+_STATE = "chunk long, level int, pos binary, doc binary, h1 binary, h2 binary"
+_BUCKET_BYTES, _SLICE_BYTES, _CHUNK_BYTES = 64 << 20, 2 << 10, (1 << 20, 32 << 20)
+_DOCS = -1  # the bucket of rows that list documents instead of bits
 _OWN = ("n_words", "n_removed", "longest_repeat", "kept_text")
 
 
@@ -36,17 +41,16 @@ def remove_repeated_passages(
     *,
     text_col: str = "text",
     window: int = 35,
-    extend: bool = False,
-    chunk_bytes: int = 1 << 20,
+    extend: bool = True,
+    chunk_bytes: int | None = None,
 ) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts anywhere else.
 
     Words are runs of bytes other than ASCII white space and are compared unchanged. Windows
     stay inside one document and are judged on the input; the other occurrence may be in the
     same document and may overlap. Returns the columns of ``docs`` with ``n_words``, ``n_removed``,
-    ``kept_text`` (kept words joined by one space) and ``longest_repeat``: the longest
-    window length tested at which the document has a repeated window, 0 if none. It goes
-    beyond ``window`` only with ``extend``.
+    ``kept_text`` (kept words joined by one space) and ``longest_repeat``: the longest of the lengths window, 2 x window, 4 x window, ...
+    at which the document has a repeated window, 0 if none. Without ``extend`` only the first of them is looked at.
 
     Defined cases: a null or empty text has no words, nothing removed and an empty kept text;
     a text shorter than the window is kept whole; a row that is repeated counts as another
@@ -59,23 +63,39 @@ def remove_repeated_passages(
     spark = docs.sparkSession
     docs = docs.drop(*_OWN)
     at = docs.columns.index(text_col)
-    buckets = 2 * partitions(spark)
+    total = docs.agg(F.sum(F.octet_length(text_col))).collect()[0][0] or 0
+    buckets = max(2 * partitions(spark), -(-total // _BUCKET_BYTES))
+    chunk_bytes = chunk_bytes or min(max(buckets * _SLICE_BYTES, _CHUNK_BYTES[0]), _CHUNK_BYTES[1])
     lengths = [(window + 1) // 2, window]
-    first = list(lengths)
-    dealt = keep(docs.mapInArrow(lambda batches: _deal(batches, at, chunk_bytes, first, buckets), f"chunk long, rows binary, asked array<struct<{_ASKED}>>"), "chunks")
+    dealt = keep(docs.mapInArrow(lambda batches: _deal(batches, at, chunk_bytes, lengths, buckets), f"chunk long, rows binary, asked array<struct<{_ASKED}>>"), "chunks")
     chunks = dealt.select("chunk", "rows")
     answers = keep(_judge(dealt.select(F.inline("asked"))), "level0")
-    while True:
-        level = len(lengths) - 1
-        asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_extender(list(lengths), at, level, buckets), _ASKED)
-        found = keep(_judge(asked), f"level{level}")
-        answers = answers.unionByName(found)
-        if not extend or not found.filter("replace(hex(bits), '0', '') <> ''").head(1):
-            break
-        lengths.append(2 * lengths[-1])
-    of = list(lengths)
+    asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _next_level(t, a, lengths, at, buckets), _ASKED)
+    answers = answers.unionByName(keep(_judge(asked), "level1"))
+    if extend:
+        answers = answers.unionByName(_doubled(chunks, answers, lengths, at, buckets))
     out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, longest_repeat int, kept_text string").fields])
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _removed(t, a, of, at, buckets), out)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _removed(t, a, lengths, at, buckets), out)
+
+
+def _doubled(chunks: DataFrame, answers: DataFrame, lengths: list[int], at: int, buckets: int) -> DataFrame:
+    """The documents that have a repeating window of 2, 4, 8, ... times the wanted length, chunk by chunk, level by level."""
+    level, length = 2, lengths[1]
+    # Where windows of the wanted length repeat, and the candidates of twice that length, each level from the one before.
+    live = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _live(t, a, lengths, at, buckets), f"{_STATE}, asked array<struct<{_ASKED}>>")
+    live, found = keep(live, "live"), []
+    while live.head(1):
+        judged = keep(_judge(live.select(F.inline("asked"))), f"level{level}")
+        longer = live.select("chunk", "level", "pos", "doc", "h1", "h2").groupBy("chunk").cogroup(judged.groupBy("chunk"))
+        longer = keep(longer.applyInArrow(_doubler(length, buckets), f"{_STATE}, asked array<struct<{_ASKED}>>"), "live")
+        found.append(keep(longer.select(F.col("level").alias("level"), F.lit(_DOCS).alias("bucket"), "chunk", F.col("doc").alias("bits")), "longer"))
+        discard(live, judged)
+        live, level, length = longer, level + 1, 2 * length
+    discard(live)
+    none = chunks.sparkSession.createDataFrame([], _ANSWER)
+    for part in found:
+        none = none.unionByName(part)
+    return none
 
 
 def _deal(batches: Iterator[pa.RecordBatch], at: int, chunk_bytes: int, lengths: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -188,36 +208,72 @@ def _bits(a: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _survivors(words: Words, bits: dict[int, dict[int, bytes]], lengths: list[int], upto: int, buckets: int) -> list[np.ndarray]:
-    """Starts of the candidates at each length up to level ``upto``; those before it as far as they repeat."""
+def _survivors(words: Words, bits: dict[int, dict[int, bytes]], lengths: list[int], buckets: int) -> np.ndarray:
+    """Starts of the candidates at the wanted length, and only of those that repeat once level 1 is answered."""
     half, full, chosen = _representatives(words, lengths)
     asked = np.unique(chosen)
     again = np.zeros(len(half), bool)
     again[asked] = _answered((half[asked], None), bits.get(0, {}), buckets)
-    live, out = full[again[chosen]], []
-    for level in range(1, upto + 1):
-        if level > 1:
-            here = np.zeros(len(half) + 1, bool)
-            here[out[-1]] = True
-            step = lengths[level] - lengths[level - 1]
-            live = out[-1][out[-1] + step < len(half)]
-            live = live[here[live + step] & words.fits(lengths[level])[live]]
-        if level in bits and len(live):
-            live = live[_answered((words.windows(lengths[level])[live], words.windows(lengths[level], 1)[live]), bits[level], buckets)]
-        out.append(live)
-    return out
+    live = full[again[chosen]]
+    if 1 in bits and len(live):
+        live = live[_answered((words.windows(lengths[1])[live], words.windows(lengths[1], 1)[live]), bits[1], buckets)]
+    return live
+
+
+def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
+    if not t.num_rows:
+        return _ask(1, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets)
+    words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
+    live = _survivors(words, _bits(a), lengths, buckets)
+    return _ask(1, t.column("chunk")[0].as_py(), words.windows(lengths[1])[live], words.windows(lengths[1], 1)[live], buckets)
+
 
+def _state(chunk: int, level: int, length: int, pos: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, buckets: int) -> pa.Table:
+    """The repeating windows of a level, with what they ask about windows of twice their length; no row without any."""
+    names = ["chunk", "level", "pos", "doc", "h1", "h2", "asked"]
+    first, second = _pairs(pos, doc, length)
+    asked = _ask(level + 1, chunk, paired_hash(h1[first], h1[second], 2 * length), paired_hash(h2[first], h2[second], 2 * length, 1), buckets).to_struct_array().combine_chunks()
+    some = bool(len(pos))
+    ends = pa.array([0, len(asked)][: 1 + some], pa.int32())
+    columns = [pa.array([x][:some], k) for x, k in ((chunk, pa.int64()), (level, pa.int32()), *((x.tobytes(), pa.binary()) for x in (pos.astype(np.int32), doc.astype(np.int32), h1, h2)))]
+    return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(ends, asked)], names=names)
 
-def _extender(lengths: list[int], at: int, level: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda t, a: _next_level(t, a, lengths, at, level, buckets)
 
+def _pairs(pos: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that another one of the same document follows without a gap, and those others; positions rise."""
+    if not len(pos):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(pos, pos + length), len(pos) - 1)
+    first = np.flatnonzero((pos[at] == pos + length) & (doc[at] == doc))
+    return first, at[first]
 
-def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, level: int, buckets: int) -> pa.Table:
+
+def _live(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
+    none = np.zeros(0, np.uint64)
     if not t.num_rows:
-        return _ask(level, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets)
+        return _state(0, 1, lengths[1], none, none, none, none, buckets)
     words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
-    live = _survivors(words, _bits(a), lengths, level, buckets)[-1]
-    return _ask(level, t.column("chunk")[0].as_py(), words.windows(lengths[level])[live], words.windows(lengths[level], 1)[live], buckets)
+    # Level 1 may have no answers, and then nothing repeats.
+    live = _survivors(words, {1: {}} | _bits(a), lengths, buckets)
+    return _state(t.column("chunk")[0].as_py(), 1, lengths[1], live, words.text_of()[live], words.windows(lengths[1])[live], words.windows(lengths[1], 1)[live], buckets)
+
+
+def _doubler(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda t, a: _longer(t, a, length, buckets)
+
+
+def _longer(t: pa.Table, a: pa.Table, length: int, buckets: int) -> pa.Table:
+    """The windows of twice ``length`` that repeat."""
+    none = np.zeros(0, np.uint64)
+    if not t.num_rows or not a.num_rows:
+        return _state(0, 0, length, none, none, none, none, buckets)
+    pos, doc = (np.frombuffer(t.column(c)[0].as_buffer(), np.int32) for c in ("pos", "doc"))
+    h1, h2 = (np.frombuffer(t.column(c)[0].as_buffer(), np.uint64) for c in ("h1", "h2"))
+    level = t.column("level")[0].as_py() + 1
+    first, second = _pairs(pos, doc, length)
+    k1, k2 = paired_hash(h1[first], h1[second], 2 * length), paired_hash(h2[first], h2[second], 2 * length, 1)
+    again = _answered((k1, k2), _bits(a)[level], buckets)
+    return _state(t.column("chunk")[0].as_py(), level, 2 * length, pos[first][again], doc[first][again], k1[again], k2[again], buckets)
 
 
 def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
@@ -226,15 +282,16 @@ def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
     words = Words(column, SPACED)
     bits = _bits(a)
     # A level without any candidate has no answers, and none of its windows repeat.
-    levels = _survivors(words, {k: bits.get(k, {}) for k in range(len(lengths))}, lengths, len(lengths) - 1, buckets)
+    live = _survivors(words, {1: {}} | bits, lengths, buckets)
     hit = np.zeros(len(words.start), bool)
-    hit[levels[0]] = True
+    hit[live] = True
     gone = covered(hit, lengths[1])
     of = words.text_of()
     removed = np.bincount(of[gone], minlength=len(column))
     longest = np.zeros(len(column), np.int32)
-    for length, live in zip(lengths[1:], levels):
-        longest[of[live]] = length
+    longest[of[live]] = lengths[1]
+    for level in sorted(k for k in bits if k > 1):
+        longest[np.frombuffer(bits[level][_DOCS], np.int32)] = lengths[1] << (level - 1)
     kept = []
     for i, text in enumerate(column.to_pylist()):
         parts = (text or "").encode().split()

@@ -131,6 +131,11 @@ def window_hash(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     shift = length - half
     other = np.zeros_like(w)
     other[: max(len(w) - shift, 0)] = w[shift:]
+    return paired_hash(w, other, length, seed)
+
+
+def paired_hash(w: np.ndarray, other: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """The hash of windows of ``length`` words from those of their two halves."""
     return mix(w * _SEEDS[(seed + 1) % 4] + other + _SEEDS[(seed + 3) % 4 : (seed + 3) % 4 + 1] * np.uint64(length))
 
 

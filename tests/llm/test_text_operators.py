@@ -56,11 +56,18 @@ def clashing(spark, *names):
 # Substring dedup ------------------------------------------------------------------------------------
 
 
-def passages_removed(docs, window):
+def passages_removed(docs, window, longest=False):
     words = [SPACED.findall(t or "") for _, t in docs]
     seen = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
+    lengths = [window]
+    while lengths[-1] <= max(map(len, words), default=0):
+        lengths.append(2 * lengths[-1])
+    counts = {n: Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1)) for n in lengths} if longest else {}
     out = []
     for (i, _), w in zip(docs, words):
+        if longest:
+            out.append((i, max([0, *(n for n in lengths if any(counts[n][tuple(w[k : k + n])] > 1 for k in range(len(w) - n + 1)))])))
+            continue
         gone = [False] * len(w)
         for k in range(len(w) - window + 1):
             if seen[tuple(w[k : k + window])] > 1:
@@ -73,7 +80,9 @@ def passages_removed(docs, window):
 def test_passages_equal_brute_force(spark, window, chunk_bytes):
     docs = made(window + chunk_bytes)
     got = remove_repeated_passages(spark.createDataFrame(docs, DOC).repartition(3), window=window, chunk_bytes=chunk_bytes)
-    assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == sorted(passages_removed(docs, window))
+    rows = got.collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows) == sorted(passages_removed(docs, window))
+    assert sorted((r["doc_id"], r["longest_repeat"]) for r in rows) == sorted(passages_removed(docs, window, longest=True))
 
 
 def test_passages_defined_cases(spark, odd):
