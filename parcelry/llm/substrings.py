@@ -1,12 +1,14 @@
 """Removal of passages that repeat anywhere in a corpus, by level-wise doubling of windows.
 
-The first level looks at windows of half the wanted length (rounded up). Every window of the wanted
-length contains several of them, and the one with the smallest hash stands for it: equal
-windows choose equal representatives, so about a tenth of the half-length windows suffice
-and none of the repeats is lost. Only windows whose representative repeats are
-extended to the wanted length, and there they are compared by 128 bits. Windows that repeat at one length alone go on to
-twice that length: such a window is two repeating ones side by side, so its hash comes from theirs and texts are not
-read again. This goes on until no candidate survives.
+Levels are a quarter of the wanted length, half of it (both rounded up), the wanted length, and on request twice, four times, ...
+that. Every window of the wanted length contains several of half of it, and the one that starts with the smallest hash
+of the first level's length stands for it: equal windows choose equal representatives, so about a tenth of
+all places suffice and none of the repeats is lost. Representatives that repeat at the first length alone are extended to
+the second, and windows whose representative repeats there to the wanted length, where they are compared by 128 bits.
+
+Windows that repeat at the wanted length decide what goes. With ``extend`` they alone go on to twice that length, and
+so on until no candidate survives: such a window is two repeating ones side by side, so its hash comes from theirs
+and texts are not read again.
 
 Rows are packed into compressed chunks. A chunk sends each distinct window
 hash once, with a mark when the chunk itself holds it twice, so a passage that sits in a third of
@@ -29,7 +31,7 @@ from parcelry.sources.scratch import discard, keep, partitions
 from parcelry.llm.words import SPACED, Words, covered, first_minimum, paired_hash, slices
 
 _ASKED = "level int, bucket int, chunk long, key1 binary, key2 binary, twice binary"
-_ANSWER = "level int, bucket int, chunk long, bits binary"
+_ANSWER = "level int, bucket int, chunk long, some boolean, bits binary"
 _STATE = "chunk long, level int, pos binary, doc binary, h1 binary, h2 binary"
 _BUCKET_BYTES, _SLICE_BYTES, _CHUNK_BYTES = 64 << 20, 2 << 10, (1 << 20, 32 << 20)
 _DOCS = -1  # the bucket of rows that list documents instead of bits
@@ -41,7 +43,7 @@ def remove_repeated_passages(
     *,
     text_col: str = "text",
     window: int = 35,
-    extend: bool = True,
+    extend: bool = False,
     chunk_bytes: int | None = None,
 ) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts anywhere else.
@@ -66,12 +68,16 @@ def remove_repeated_passages(
     total = docs.agg(F.sum(F.octet_length(text_col))).collect()[0][0] or 0
     buckets = max(2 * partitions(spark), -(-total // _BUCKET_BYTES))
     chunk_bytes = chunk_bytes or min(max(buckets * _SLICE_BYTES, _CHUNK_BYTES[0]), _CHUNK_BYTES[1])
-    lengths = [(window + 1) // 2, window]
+    half = (window + 1) // 2
+    lengths = [(half + 1) // 2, half, window]
     dealt = keep(docs.mapInArrow(lambda batches: _deal(batches, at, chunk_bytes, lengths, buckets), f"chunk long, rows binary, asked array<struct<{_ASKED}>>"), "chunks")
     chunks = dealt.select("chunk", "rows")
     answers = keep(_judge(dealt.select(F.inline("asked"))), "level0")
-    asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _next_level(t, a, lengths, at, buckets), _ASKED)
-    answers = answers.unionByName(keep(_judge(asked), "level1"))
+    for level in (1, 2):
+        if not answers.filter((F.col("level") == level - 1) & F.col("some")).head(1):
+            break  # no candidate survives
+        asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_extender(lengths, at, level, buckets), _ASKED)
+        answers = answers.unionByName(keep(_judge(asked), f"level{level}"))
     if extend:
         answers = answers.unionByName(_doubled(chunks, answers, lengths, at, buckets))
     out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, longest_repeat int, kept_text string").fields])
@@ -80,7 +86,7 @@ def remove_repeated_passages(
 
 def _doubled(chunks: DataFrame, answers: DataFrame, lengths: list[int], at: int, buckets: int) -> DataFrame:
     """The documents that have a repeating window of 2, 4, 8, ... times the wanted length, chunk by chunk, level by level."""
-    level, length = 2, lengths[1]
+    level, length = 3, lengths[2]
     # Where windows of the wanted length repeat, and the candidates of twice that length, each level from the one before.
     live = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _live(t, a, lengths, at, buckets), f"{_STATE}, asked array<struct<{_ASKED}>>")
     live, found = keep(live, "live"), []
@@ -88,7 +94,7 @@ def _doubled(chunks: DataFrame, answers: DataFrame, lengths: list[int], at: int,
         judged = keep(_judge(live.select(F.inline("asked"))), f"level{level}")
         longer = live.select("chunk", "level", "pos", "doc", "h1", "h2").groupBy("chunk").cogroup(judged.groupBy("chunk"))
         longer = keep(longer.applyInArrow(_doubler(length, buckets), f"{_STATE}, asked array<struct<{_ASKED}>>"), "live")
-        found.append(keep(longer.select(F.col("level").alias("level"), F.lit(_DOCS).alias("bucket"), "chunk", F.col("doc").alias("bits")), "longer"))
+        found.append(keep(longer.select(F.col("level").alias("level"), F.lit(_DOCS).alias("bucket"), "chunk", F.lit(True).alias("some"), F.col("doc").alias("bits")), "longer"))
         discard(live, judged)
         live, level, length = longer, level + 1, 2 * length
     discard(live)
@@ -167,7 +173,8 @@ def _judged(t: pa.Table) -> pa.Table:
     again |= twice
     ends = np.cumsum(sizes)
     bits = [np.packbits(again[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
-    return pa.Table.from_arrays([t.column("level"), t.column("bucket"), t.column("chunk"), pa.array(bits, pa.binary())], names=["level", "bucket", "chunk", "bits"])
+    some = pa.array([bool(again[e - n : e].any()) for e, n in zip(ends, sizes)], pa.bool_())
+    return pa.Table.from_arrays([t.column("level"), t.column("bucket"), t.column("chunk"), some, pa.array(bits, pa.binary())], names=["level", "bucket", "chunk", "some", "bits"])
 
 
 def _answered(keys: tuple[np.ndarray, np.ndarray | None], bits: dict[int, bytes], buckets: int) -> np.ndarray:
@@ -176,7 +183,7 @@ def _answered(keys: tuple[np.ndarray, np.ndarray | None], bits: dict[int, bytes]
     d1, d2, _ = _distinct(k1, k2)
     cut = np.searchsorted(_bucket(d1, buckets), np.arange(buckets + 1))
     again = np.zeros(len(d1), bool)
-    for b in np.flatnonzero(np.diff(cut)):
+    for b in np.flatnonzero(np.diff(cut)) if bits else ():
         n = int(cut[b + 1] - cut[b])
         again[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits[int(b)], np.uint8), count=n).astype(bool)
     if k2 is None:
@@ -190,15 +197,15 @@ def _answered(keys: tuple[np.ndarray, np.ndarray | None], bits: dict[int, bytes]
 
 
 def _representatives(words: Words, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of half-length windows; starts of full windows; the position that represents each."""
-    half = words.windows(lengths[0])
-    full = np.flatnonzero(words.fits(lengths[1]))
-    return half, full, first_minimum(half, lengths[1] - lengths[0] + 1)[full]
+    """Hashes at the first length; starts of full windows; the position that represents each."""
+    short = words.windows(lengths[0])
+    full = np.flatnonzero(words.fits(lengths[2]))
+    return short, full, first_minimum(short, lengths[2] - lengths[1] + 1)[full]
 
 
 def _first_level(texts: pa.Array, chunk: int, lengths: list[int], buckets: int) -> pa.Table:
-    half, _, chosen = _representatives(Words(texts, SPACED), lengths)
-    return _ask(0, chunk, half[np.unique(chosen)], None, buckets)
+    short, _, chosen = _representatives(Words(texts, SPACED), lengths)
+    return _ask(0, chunk, short[np.unique(chosen)], None, buckets)
 
 
 def _bits(a: pa.Table) -> dict[int, dict[int, bytes]]:
@@ -208,24 +215,38 @@ def _bits(a: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _survivors(words: Words, bits: dict[int, dict[int, bytes]], lengths: list[int], buckets: int) -> np.ndarray:
-    """Starts of the candidates at the wanted length, and only of those that repeat once level 1 is answered."""
-    half, full, chosen = _representatives(words, lengths)
-    asked = np.unique(chosen)
-    again = np.zeros(len(half), bool)
-    again[asked] = _answered((half[asked], None), bits.get(0, {}), buckets)
+def _survivors(words: Words, bits: dict[int, dict[int, bytes]], lengths: list[int], level: int, buckets: int) -> np.ndarray:
+    """Starts of what repeats at the levels before ``level``: representatives before level 2, then windows of the wanted length.
+
+    A level without answers had no candidates, so nothing repeats there.
+    """
+    short, full, chosen = _representatives(words, lengths)
+    live = np.unique(chosen)
+    for k in range(min(level, 2)):
+        if len(live):
+            live = live[_answered((words.windows(lengths[k])[live], None), bits.get(k, {}), buckets)]
+    if level < 2:
+        return live
+    again = np.zeros(len(short), bool)
+    again[live] = True
     live = full[again[chosen]]
-    if 1 in bits and len(live):
-        live = live[_answered((words.windows(lengths[1])[live], words.windows(lengths[1], 1)[live]), bits[1], buckets)]
+    if level > 2 and len(live):
+        live = live[_answered((words.windows(lengths[2])[live], words.windows(lengths[2], 1)[live]), bits.get(2, {}), buckets)]
     return live
 
 
-def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
+def _extender(lengths: list[int], at: int, level: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda t, a: _next_level(t, a, lengths, at, level, buckets)
+
+
+def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, level: int, buckets: int) -> pa.Table:
+    none = np.zeros(0, np.uint64)
     if not t.num_rows:
-        return _ask(1, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets)
+        return _ask(level, 0, none, none, buckets)
     words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
-    live = _survivors(words, _bits(a), lengths, buckets)
-    return _ask(1, t.column("chunk")[0].as_py(), words.windows(lengths[1])[live], words.windows(lengths[1], 1)[live], buckets)
+    live = _survivors(words, _bits(a), lengths, level, buckets)
+    second = words.windows(lengths[2], 1)[live] if level == 2 else None
+    return _ask(level, t.column("chunk")[0].as_py(), words.windows(lengths[level])[live], second, buckets)
 
 
 def _state(chunk: int, level: int, length: int, pos: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, buckets: int) -> pa.Table:
@@ -251,11 +272,10 @@ def _pairs(pos: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, n
 def _live(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
     none = np.zeros(0, np.uint64)
     if not t.num_rows:
-        return _state(0, 1, lengths[1], none, none, none, none, buckets)
+        return _state(0, 2, lengths[2], none, none, none, none, buckets)
     words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
-    # Level 1 may have no answers, and then nothing repeats.
-    live = _survivors(words, {1: {}} | _bits(a), lengths, buckets)
-    return _state(t.column("chunk")[0].as_py(), 1, lengths[1], live, words.text_of()[live], words.windows(lengths[1])[live], words.windows(lengths[1], 1)[live], buckets)
+    live = _survivors(words, _bits(a), lengths, 3, buckets)
+    return _state(t.column("chunk")[0].as_py(), 2, lengths[2], live, words.text_of()[live], words.windows(lengths[2])[live], words.windows(lengths[2], 1)[live], buckets)
 
 
 def _doubler(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -281,17 +301,16 @@ def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
     column = t.column(at).combine_chunks()
     words = Words(column, SPACED)
     bits = _bits(a)
-    # A level without any candidate has no answers, and none of its windows repeat.
-    live = _survivors(words, {1: {}} | bits, lengths, buckets)
+    live = _survivors(words, bits, lengths, 3, buckets)
     hit = np.zeros(len(words.start), bool)
     hit[live] = True
-    gone = covered(hit, lengths[1])
+    gone = covered(hit, lengths[2])
     of = words.text_of()
     removed = np.bincount(of[gone], minlength=len(column))
     longest = np.zeros(len(column), np.int32)
-    longest[of[live]] = lengths[1]
-    for level in sorted(k for k in bits if k > 1):
-        longest[np.frombuffer(bits[level][_DOCS], np.int32)] = lengths[1] << (level - 1)
+    longest[of[live]] = lengths[2]
+    for level in sorted(k for k in bits if k > 2):
+        longest[np.frombuffer(bits[level][_DOCS], np.int32)] = lengths[2] << (level - 2)
     kept = []
     for i, text in enumerate(column.to_pylist()):
         parts = (text or "").encode().split()

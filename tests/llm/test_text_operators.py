@@ -79,10 +79,13 @@ def passages_removed(docs, window, longest=False):
 @pytest.mark.parametrize("window, chunk_bytes", [(35, 1 << 20), (35, 600), (5, 300), (2, 2000)])
 def test_passages_equal_brute_force(spark, window, chunk_bytes):
     docs = made(window + chunk_bytes)
-    got = remove_repeated_passages(spark.createDataFrame(docs, DOC).repartition(3), window=window, chunk_bytes=chunk_bytes)
+    got = remove_repeated_passages(spark.createDataFrame(docs, DOC).repartition(3), window=window, extend=True, chunk_bytes=chunk_bytes)
     rows = got.collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows) == sorted(passages_removed(docs, window))
     assert sorted((r["doc_id"], r["longest_repeat"]) for r in rows) == sorted(passages_removed(docs, window, longest=True))
+    plain = remove_repeated_passages(spark.createDataFrame(docs, DOC).repartition(2), window=window).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in plain) == sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in rows)
+    assert all(p["longest_repeat"] == (window if p["n_removed"] else 0) for p in plain)
 
 
 def test_passages_defined_cases(spark, odd):
