@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.sources.scratch import keep
+from parcelry.llm.names import unused
 from parcelry.llm.words import PLAIN, Words, first_minimum, slices
 
 _OWN = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 _TABLE_BITS = 25  # 4 MB
 
 _ITEM = "kind string, size int, h1 long, h2 long, item string"
-_FOUND = "n_words long, __hits array<struct<fp: long, size: int, windows: array<struct<pos: int, h1: long, h2: long>>>>"
+_HIT = "array<struct<fp: long, size: int, pos: int, h1: long, h2: long>>"
+_WINDOW = ["h1", "h2", "size"]
 
 
 def mark_contamination(
@@ -52,11 +54,13 @@ def mark_contamination(
     an item id that is null counts as one item named by the empty string; rows with the
     same item id are one item; repeated document rows are judged each for itself; without documents
     or items the result is empty or clean. Columns of ``docs`` named like an added one are
-    replaced.
+    replaced, all others stay, whatever their names.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
-    docs = docs.drop(*_OWN, "__row", "__hits").withColumn("__row", F.monotonically_increasing_id())
+    docs = docs.drop(*_OWN)
+    row, hits_, names = unused(docs, "row", "hits", "names")
+    docs = docs.withColumn(row, F.monotonically_increasing_id())
     at = docs.columns.index(text_col)
     items = keep(
         benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
@@ -64,38 +68,39 @@ def mark_contamination(
         "benchmark",
     )
     prints = keep(items.filter("kind = 'print'").select("size", F.col("h1").alias("fp")).distinct(), "prints")
-    windows = keep(items.filter("kind = 'window'").groupBy("h1", "h2", "size").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    # Windows that occur in the same items share a set; 128 bits tell sets apart, so no window ever lists its items.
+    held = items.filter("kind = 'window'").select(*_WINDOW, "item").distinct()
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "item")).alias(f"s{seed}") for seed in (1, 2)]
+    windows = keep(held.groupBy(*_WINDOW).agg(*marks), "windows")
+    one = windows.groupBy("s1", "s2").agg(F.min(F.struct(*_WINDOW)).alias("w")).select("s1", "s2", "w.*")
+    sets = keep(one.join(held, _WINDOW).select("s1", "s2", "item"), "sets")
     short = sorted(r[0] for r in prints.filter("size > 0").select("size").distinct().collect())  # at most window - 1 numbers
     sent = docs.sparkSession.sparkContext.broadcast(_bit_table(prints))
 
     # Row numbers tie hits to their rows; writing the table down fixes them.
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields])
-    found = keep(docs.mapInArrow(lambda batches: _document_rows(batches, at, window, gram, short, sent.value), schema), "found")
-    hits = found.select("__row", F.inline("__hits")).join(prints, ["fp", "size"])
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"n_words long, {hits_} {_HIT}").fields])
+    found = keep(docs.mapInArrow(lambda batches: _document_rows(batches, at, hits_, window, gram, short, sent.value), schema), "found")
+    hits = found.select(F.col(row).alias("row"), F.inline(hits_)).join(prints, ["fp", "size"]).select("row", "pos", *_WINDOW).distinct()
+    spans = keep(hits.join(windows, _WINDOW).select("row", "pos", "size", "s1", "s2"), "spans")
     # A size of 0 stands for the full window length.
-    spans = (
-        hits.select("__row", "size", F.inline("windows"))
-        .distinct()
-        .join(windows, ["h1", "h2", "size"])
-        .select("__row", "pos", F.when(F.col("size") == 0, window).otherwise(F.col("size")).alias("n"), "items")
-    )
-    per_row = spans.groupBy("__row").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("names")
-    )
-    per_row = per_row.select("__row", _union_length(F.col("spans")).alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.array_join("names", ",").alias("__names"))
+    span = F.struct("pos", F.when(F.col("size") == 0, window).otherwise(F.col("size")).alias("n"))
+    per_row = spans.groupBy("row").agg(_union_length(F.sort_array(F.collect_set(span))).alias("n_hit"))
+    named = spans.select("row", "s1", "s2").distinct().join(sets, ["s1", "s2"]).select("row", "item").distinct()
+    named = named.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("names"))
+    per_row = per_row.join(named, "row").select(F.col("row").alias(row), "n_hit", "n_items", F.col("names").alias(names))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return (
-        found.drop("__hits")
-        .join(per_row, "__row", "left")
+        found.drop(hits_)
+        .join(per_row, row, "left")
         .withColumns(
             {
                 "n_hit": n_hit.cast("long"),
                 "n_items": F.coalesce("n_items", F.lit(0)).cast("long"),
-                "items_sha256": F.sha2(F.coalesce("__names", F.lit("")), 256),
+                "items_sha256": F.sha2(F.coalesce(names, F.lit("")), 256),
                 "contaminated": n_hit > 0,
             }
         )
-        .drop("__row", "__names")
+        .drop(row, names)
     )
 
 
@@ -157,30 +162,31 @@ def _item_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Ite
             )
 
 
-def _document_rows(batches: Iterator[pa.RecordBatch], text_at: int, window: int, gram: int, short: list[int], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _document_rows(batches: Iterator[pa.RecordBatch], text_at: int, hits: str, window: int, gram: int, short: list[int], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Add the number of words, and a hit for every window around a fingerprint that passes the table."""
     for batch in batches:
         for part in slices(batch, batch.schema.names[text_at]):
             words = Words(part.column(text_at), PLAIN)
             grams, kept = _winnowed(words, window, gram)
             kept = kept[_passes(table, grams[kept])]
-            found = [[] for _ in range(part.num_rows)]
             of = words.text_of()
-            w1, w2 = (words.windows(window, s).view(np.int64) for s in (0, 1)) if len(kept) else (None, None)
-            for q in kept:
-                t = of[q]
-                near = range(max(words.first[t], q - (window - gram)), min(q, words.first[t + 1] - window) + 1)
-                found[t].append({"fp": int(grams[q].view(np.int64)), "size": 0, "windows": [{"pos": int(p - words.first[t]), "h1": int(w1[p]), "h2": int(w2[p])} for p in near]})
+            first, last = words.first[of[kept]], words.first[of[kept] + 1]
+            low, high = np.maximum(first, kept - (window - gram)), np.minimum(kept, last - window)
+            around = high - low + 1
+            pos = np.repeat(low - np.cumsum(around) + around, around) + np.arange(around.sum())
+            found = [(pos, np.repeat(grams[kept], around), 0, window)]
             for n in short:
                 h1 = words.windows(n)
                 at = np.flatnonzero(words.fits(n) & _passes(table, h1))
-                h2 = words.windows(n, 1) if len(at) else h1
-                for p in at:
-                    t = of[p]
-                    fp = int(h1[p].view(np.int64))
-                    found[t].append({"fp": fp, "size": n, "windows": [{"pos": int(p - words.first[t]), "h1": fp, "h2": int(h2[p].view(np.int64))}]})
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(words.count, pa.int64()), pa.array(found, _HITS)], names=[*part.schema.names, "n_words", "__hits"]
-            )
-
-
-_HITS = pa.list_(pa.struct([("fp", pa.int64()), ("size", pa.int32()), ("windows", pa.list_(pa.struct([("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])))]))
+                found.append((at, h1[at], n, n))
+            pos = np.concatenate([f[0] for f in found]).astype(np.int64)
+            order = np.argsort(pos, kind="stable")  # texts follow one another, so this brings each text's hits together
+            columns = [
+                np.concatenate([f[1] for f in found]).view(np.int64),
+                np.concatenate([np.full(len(f[0]), f[2], np.int32) for f in found]),
+                (pos - words.first[of[pos]]).astype(np.int32),
+                *(np.concatenate([words.windows(f[3], seed)[f[0]] if len(f[0]) else np.zeros(0, np.uint64) for f in found]).view(np.int64) for seed in (0, 1)),
+            ]
+            structs = pa.StructArray.from_arrays([pa.array(c[order]) for c in columns], names=["fp", "size", "pos", "h1", "h2"])
+            ends = pa.array(np.searchsorted(pos[order], words.first), pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words.count, pa.int64()), pa.ListArray.from_arrays(ends, structs)], names=[*part.schema.names, "n_words", hits])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.sources.scratch import keep
+from parcelry.llm.names import unused
 
 _OWN = ("n_lines", "n_removed", "kept_text")
 
@@ -22,13 +23,15 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Defined cases: a null text has no lines and stays null; an empty text is one empty line; a text of fewer lines than
     the window stays whole; rows equal in id and text are one document and keep the same
     lines; an empty table gives an empty result. Columns of ``docs`` named like an added one are
-    replaced.
+    replaced, all others stay, whatever their names.
     """
-    docs = docs.drop(*_OWN, "__id", "__hash", "__at").withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
+    docs = docs.drop(*_OWN)
+    id_, hash_, of, text_, at_, lines_, kept_ = helpers = unused(docs, "id", "hash", "of", "text", "at", "lines", "kept")
+    docs = docs.withColumns({id_: F.col(id_col), hash_: F.xxhash64(text_col)})
     lines = F.split(text_col, "\n", -1)
     hashed = docs.select(
-        "__id",
-        "__hash",
+        F.col(id_).alias("__id"),
+        F.col(hash_).alias("__hash"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("a"),
         F.transform(lines, lambda x: F.xxhash64(F.lit(window), x)).alias("b"),
     ).filter(F.size("a") >= window)
@@ -39,18 +42,18 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     place = F.struct(F.col("__id").isNull(), "__id", "__hash", "pos")
     repeated = keep(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("w1", "w2", "first"), "repeated")
     later = windows.join(repeated, ["w1", "w2"]).filter(place != F.col("first"))
-    covers = later.groupBy(F.col("__id").alias("__of"), F.col("__hash").alias("__text")).agg(F.array_sort(F.collect_set("pos")).alias("__at"))
+    covers = later.groupBy(F.col("__id").alias(of), F.col("__hash").alias(text_)).agg(F.array_sort(F.collect_set("pos")).alias(at_))
 
-    joined = docs.join(covers, docs["__id"].eqNullSafe(covers["__of"]) & (docs["__hash"] == covers["__text"]), "left").withColumn("__lines", lines)
-    kept = _outside(F.col("__lines"), F.col("__at"), window)
-    out = joined.withColumn("__kept", F.when(F.col("__at").isNull(), F.col("__lines")).otherwise(kept)).withColumns(
+    joined = docs.join(covers, docs[id_].eqNullSafe(covers[of]) & (docs[hash_] == covers[text_]), "left").withColumn(lines_, lines)
+    kept = _outside(F.col(lines_), F.col(at_), window)
+    out = joined.withColumn(kept_, F.when(F.col(at_).isNull(), F.col(lines_)).otherwise(kept)).withColumns(
         {
-            "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")),
+            "n_lines": F.coalesce(F.size(lines_), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size(lines_) - F.size(kept_), F.lit(0)).cast("long"),
+            "kept_text": F.when(F.col(at_).isNull(), F.col(text_col)).otherwise(F.array_join(kept_, "\n")),
         }
     )
-    return out.drop("__id", "__hash", "__of", "__text", "__at", "__lines", "__kept")
+    return out.drop(*helpers)
 
 
 def _outside(lines: Column, at: Column, window: int) -> Column:
