@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.sources.scratch import keep
+from parcelry.sources.scratch import discard, keep
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = keep(labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("next"), (F.col("near") < F.col("component")).alias("moved")), "step")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         new = keep(step.join(jump, "next").select("node", F.least("next", "far").alias("component"), (F.col("moved") | (F.col("far") < F.col("next"))).alias("moved")), "labels")
-        labels = new.drop("moved")
+        discard(labels, step)
+        labels = new
         if not new.filter("moved").head(1):
-            return labels
+            discard(both)
+            return labels.drop("moved")

@@ -9,8 +9,9 @@ Points later than the slowest register cannot matter, so processes stop early.
 
 Equal word sequences collapse to one node first. Nodes that agree in a whole band share a bucket. A
 bucket never lists its pairs: its members are verified against the member that shares
-most buckets. Members that are still in different components after that are compared with one another only
-where sizes and shared shingles leave room for a link. Verification computes the multiset Jaccard similarity from the whole texts.
+most buckets. Members that are still in different components after that are compared across components only, and only
+where they share one of the rarest of their shingles, of which sizes and the shingles that nobody else has leave few
+(a prefix filter). Verification computes the multiset Jaccard similarity from the whole texts.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.llm.components import connected_components
-from parcelry.sources.scratch import keep
+from parcelry.sources.scratch import discard, keep
+from parcelry.llm.names import unused
 from parcelry.llm.words import PLAIN, Words, mix, slices
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
-_SIGNED = "__k1 long, __k2 long, __n long, __bands array<long>"
 _GROUP_WORDS = 30_000
-_CHUNK_WORDS = 100_000
+_CHUNK_WORDS = 50_000
 
 
 def near_duplicate_classes(
@@ -57,17 +58,20 @@ def near_duplicate_classes(
     Defined cases: a document without words (null, empty, only punctuation) is a class of its own, its own
     representative; repeated rows are in one class; a null id never becomes a class id
     unless all ids of the class are null; an empty table gives an empty result. Columns of
-    ``docs`` named like an added one are replaced.
+    ``docs`` named like an added one are replaced, all others stay, whatever their names.
     """
-    docs = docs.drop("class_id", "representative", "__row", "__k1", "__k2", "__n", "__bands")
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = docs.drop("class_id", "representative")
+    helpers = unused(docs, "row", "k1", "k2", "n", "bands")
+    docs = docs.withColumn(helpers[0], F.monotonically_increasing_id())
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_SIGNED).fields])
-    signed = keep(docs.mapInArrow(lambda batches: _signed(batches, at, shingle, bands, rows), schema), "signed")
+    added = ", ".join(f"{c} {t}" for c, t in zip(helpers[1:], ("long", "long", "long", "array<long>")))
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields])
+    whole = keep(docs.mapInArrow(lambda batches: _signed(batches, at, helpers[1:], shingle, bands, rows), schema), "signed")
+    signed = whole.select(*[F.col(c).alias(n) for c, n in zip(helpers, ("__row", "__k1", "__k2", "__n", "__bands"))], F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     content = signed.filter("__n > 0").groupBy("__k1", "__k2").agg(F.min("__row").alias("node"))
     nodes = keep(content, "nodes")
-    members = keep(signed.select("__row", F.col(id_col).alias("id"), "__k1", "__k2", "__n").join(nodes, ["__k1", "__k2"], "left").select("__row", "id", "__n", F.coalesce("node", "__row").alias("node")), "members")
+    members = keep(signed.select("__row", "id", "__k1", "__k2", "__n").join(nodes, ["__k1", "__k2"], "left").select("__row", "id", "__n", F.coalesce("node", "__row").alias("node")), "members")
     # A node is one of its own rows, so its bands come from that row.
     bucketed = keep(
         signed.select("__row", "__n", "__bands").join(nodes.select(F.col("node").alias("__row")), "__row").select(F.col("__row").alias("node"), F.col("__n").alias("n"), F.explode("__bands").alias("bucket")),
@@ -75,16 +79,18 @@ def near_duplicate_classes(
     )
     sizes = keep(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     shared = keep(bucketed.join(sizes, "bucket"), "shared")
+    discard(nodes, bucketed, sizes)
     # Only texts that share a bucket are compared; they move once here, and later joins move them alone.
     # Lists of nodes grow with the corpus, so joins with texts are merges at every size.
     suspects = shared.select("node").distinct()
-    texts = keep(signed.select(F.col("__row").alias("node"), F.col(text_col).alias("text")).join(suspects.hint("merge"), "node"), "suspects")
+    texts = keep(signed.select(F.col("__row").alias("node"), "text").join(suspects.hint("merge"), "node"), "suspects")
 
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
     led = keep(shared.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", -F.col("node"), F.col("n"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("leader"), F.col("top.n").alias("leader_n")), "leaders")
     star = shared.join(led, "bucket").filter("leader <> node").filter(_sizes_allow("leader_n", "n", threshold)).select("leader", "leader_n", "node", "n").distinct()
     star = keep(star, "star")
     edges = keep(verified(star, texts, shingle, threshold), "edges")
+    discard(led, star)
     labels = connected_components(edges)
 
     # What is still apart within a bucket is compared across components only, and only where a link is possible.
@@ -92,16 +98,18 @@ def near_duplicate_classes(
     apart = keep(apart, "apart")
     split = keep(apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"), "split")
     left = keep(apart.join(split, "bucket").select("bucket", "node", "n", "component"), "left")
+    discard(apart, split, shared)
     if left.head(1):
-        able = _able(left, texts, shingle, threshold)
-        more = keep(_linked_across(able, texts, shingle, threshold), "more")
+        more = keep(_linked_across(left, texts, shingle, threshold), "more")
         if more.head(1):
             labels = connected_components(edges.unionByName(more))
+        discard(more)
+    discard(left, texts, edges)
 
     classed = keep(members.join(labels, "node", "left").select("__row", "id", F.coalesce("component", "node").alias("component")), "classed")
     first = keep(classed.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("component", "class_id", F.col("first.__row").alias("first_row")), "first")
     final = classed.join(first, "component").select("__row", "class_id", (F.col("first_row") == F.col("__row")).alias("representative"))
-    return signed.drop("__k1", "__k2", "__n", "__bands").join(final, "__row").drop("__row")
+    return whole.drop(*helpers[1:]).join(final.withColumnRenamed("__row", helpers[0]), helpers[0]).drop(helpers[0])
 
 
 def _sizes_allow(a: str, b: str, threshold: float) -> F.Column:
@@ -109,51 +117,70 @@ def _sizes_allow(a: str, b: str, threshold: float) -> F.Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(threshold)
 
 
-def _able(left: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Members of divided buckets that could still be linked across components, with ``spare``: the shingles they share with any other member.
+def _prefixes(left: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(node, n, component, spare, h): the rarest shingles of the members of divided buckets, as many as a link needs.
 
-    What two members have in common is at most the smaller spare. So a member of size n can only be
-    linked with one of at most spare * (1 + threshold) / threshold - n shingles, and most of a crowd of similar
-    documents that each miss the threshold leave before any pair is made.
+    ``spare`` are the shingles that a member shares with any other. Members linked with a member of size n share at least threshold * n
+    shingles. So if each lists its shingles from the rarest on, they meet within the first n - threshold * n + 1, and those that nobody
+    else has are the first of these. Most of a crowd of similar documents that each miss the threshold have no place left and leave here.
     """
-    nodes = left.select("node").distinct()
-    counted = nodes.join(texts.hint("merge"), "node").select("node", "text").mapInArrow(lambda batches: _shingles(batches, shingle), "node long, h long, w long")
-    alone = counted.groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node"), F.sum("w").alias("w")).filter("nodes = 1")
-    own = keep(alone.groupBy("node").agg(F.sum("w").alias("own")), "own")
-    able = left.join(own, "node", "left").withColumn("spare", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    able = keep(able.withColumn("most", F.col("spare") * F.lit((1 + threshold) / threshold) - F.col("n") + 1e-6), "able")
-    for _ in range(2):
-        bucket = keep(able.groupBy("bucket").agg(F.min("n").alias("least_n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high"), "bucket")
-        able = keep(able.join(bucket, "bucket").filter("most >= least_n").drop("least_n"), "able")
-    return able
-
-
-def _linked_across(able: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    nodes = left.select("node", "n", "component").distinct()
+    counted = keep(nodes.join(texts.hint("merge"), "node").select("node", "text").mapInArrow(lambda batches: _shingles(batches, shingle), "node long, h long, w long"), "shingles")
+    common = keep(counted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "common")
+    shared = keep(counted.join(common.hint("merge"), "h"), "shared")
+    spare = shared.groupBy("node").agg(F.sum("w").alias("spare"))
+    room = F.col("spare") - F.ceil(F.col("n") * F.lit(threshold) - 1e-6) + 1
+    able = keep(nodes.join(spare, "node").withColumn("room", room).filter("room > 0"), "able")
+    order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    first = shared.join(able.hint("merge"), "node").withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0))).filter("before < room")
+    first = keep(first.select("node", "n", "component", "spare", "h"), "prefixes")
+    discard(counted, common, shared, able)
+    return first
+
+
+def _linked_across(left: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Edges (a, b) between members of different components, found family by family.
 
-    A family is what hangs together through shared buckets. Its members are dealt into chunks of bounded text, and every
-    two chunks meet in one task, which looks shared shingles up in an index; no pair becomes a row unless it is linked.
+    A family is what hangs together through prefix shingles that lie in several components. Its large components are cut into chunks of bounded
+    text of their own, its small ones share chunks. Every two chunks that hold different components meet in one task, which looks shared
+    shingles up in an index; no pair becomes a row unless it is linked. Beside one large component a family costs in proportion to its size.
     """
-    first = able.groupBy("bucket").agg(F.min("node").alias("a"))
-    families = connected_components(able.join(first, "bucket").select("a", F.col("node").alias("b")).distinct())
-    members = keep(able.select("node", "n", "component", "spare").distinct().join(families.withColumnRenamed("component", "family"), "node"), "family")
-    chunks = keep(members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(_CHUNK_WORDS)).cast("int").alias("chunks")), "chunks")
-    dealt = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tiles = dealt.join(texts.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "n", "component", "spare", "text")
-    return tiles.groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t, shingle, threshold), "a long, b long")
+    prefixes = _prefixes(left, texts, shingle, threshold)
+    met = prefixes.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a")).filter("low < high").select("h", "a")
+    met = keep(prefixes.join(met.hint("merge"), "h").select("a", F.col("node").alias("b")).distinct(), "met")
+    families = connected_components(met)
+    able = prefixes.select("node", "n", "component", "spare").distinct()
+    members = keep(able.join(families.select("node", F.col("component").alias("family")), "node"), "family")
+    discard(prefixes, met)
+    chunks = lambda words: F.ceil(words / F.lit(_CHUNK_WORDS)).cast("int")
+    per = keep(members.groupBy("family", "component").agg(F.sum("n").alias("words")), "per")
+    pooled = per.filter(F.col("words") <= _CHUNK_WORDS).groupBy("family").agg(chunks(F.sum("words")).alias("pools"))
+    alone = F.col("words") > _CHUNK_WORDS
+    # of: the component that a chunk is made of, or null for small ones together.
+    parts = F.when(alone, chunks(F.col("words"))).otherwise(F.col("pools"))
+    per = per.join(pooled, "family", "left").select("family", "component", F.when(alone, F.col("component")).alias("of"), parts.alias("parts"))
+    dealt = members.join(per, ["family", "component"])
+    at = F.pmod(F.when(F.col("of").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("node")), F.col("parts")).cast("int")
+    dealt = keep(dealt.withColumn("chunk", F.struct(F.coalesce("of", F.lit(-1)).alias("of"), at.alias("part"))).drop("of", "parts"), "dealt")
+    held = dealt.select("family", "chunk").distinct()
+    differ = (F.col("i") <= F.col("j")) & ((F.col("i.of") != F.col("j.of")) | (F.col("i.of") == -1))
+    tiles = keep(held.select("family", F.col("chunk").alias("i")).join(held.select("family", F.col("chunk").alias("j")), "family").filter(differ), "tiles")
+    sides = tiles.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    rows = dealt.join(sides, ["family", "chunk"]).join(texts.hint("merge"), "node")
+    rows = rows.select("family", "i", "j", (F.col("i") == F.col("j")).alias("same"), (F.col("chunk") == F.col("i")).alias("left"), "node", "n", "component", "spare", "text")
+    return rows.groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t, shingle, threshold), "a long, b long")
 
 
 def _tile(t: pa.Table, shingle: int, threshold: float) -> pa.Table:
-    node, n, component, spare, chunk = (t.column(c).to_numpy() for c in ("node", "n", "component", "spare", "chunk"))
-    same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    node, n, component, spare = (t.column(c).to_numpy() for c in ("node", "n", "component", "spare"))
+    same, left = t.column("same")[0].as_py(), np.array(t.column("left").to_pylist(), bool)
     of, h, weight = _bag(Words(t.column("text").combine_chunks(), PLAIN), shingle)
     cut = np.searchsorted(of, np.arange(len(node) + 1))
     order = np.argsort(h, kind="stable")
     token, owner, count = h[order], of[order], weight[order]
     links = []
-    for x in range(len(node)) if same else np.flatnonzero(chunk == chunk.min()):
-        rest = (component != component[x]) & ((node > node[x]) if same else (chunk != chunk[x]))
+    for x in range(len(node)) if same else np.flatnonzero(left):
+        rest = (component != component[x]) & ((node > node[x]) if same else ~left)
         rest &= np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])
         rest &= np.minimum(spare, spare[x]) >= threshold / (1 + threshold) * (n + n[x]) - 1e-6
         if not rest.any():
@@ -249,7 +276,7 @@ def _points(of: np.ndarray, h: np.ndarray, weight: np.ndarray, limit: np.ndarray
         np.minimum.at(flat, of[seen] * registers + register[seen].astype(np.int64), time[seen])
 
 
-def _signed(batches: Iterator[pa.RecordBatch], text_at: int, shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], text_at: int, added: list[str], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, batch.schema.names[text_at]):
             words = Words(part.column(text_at), PLAIN)
@@ -263,7 +290,7 @@ def _signed(batches: Iterator[pa.RecordBatch], text_at: int, shingle: int, bands
             ends = np.r_[0, np.cumsum(np.where(some, bands, 0))]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[some].ravel().view(np.int64)))
             keys = [pa.array(_sequence(words, seed).view(np.int64)) for seed in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *keys, pa.array(size), lists], names=[*part.schema.names, "__k1", "__k2", "__n", "__bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *keys, pa.array(size), lists], names=[*part.schema.names, *added])
 
 
 def _sequence(words: Words, seed: int) -> np.ndarray:

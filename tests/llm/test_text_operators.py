@@ -49,10 +49,14 @@ def odd(spark):
 
 def clashing(spark, *names):
     df = spark.createDataFrame([(1, "a b c\nd\ne")], DOC)
-    extra = ("n_words", "n_removed", "n_hit", "items", "names", "h1", "window", "bucket", "node", "id", "component", "chunk", "size", "pos", "item", "text2", "label", *names)
+    extra = ("n_words", "n_removed", "n_hit", "items", "names", "h1", "window", "bucket", "node", "id", "component", "chunk", "size", "pos", "item", "text2", "label", "__row", "__hits", "__names", "__of", "__text", "__lines", "__kept", "__at", "__id", "__hash", *names)
     return df.withColumns({n: F.lit("kept") for n in extra})
 
 
+def kept(row):
+    return all(row[c] == "kept" for c in ("__row", "__hits", "__names", "__of", "__text", "__lines", "__kept", "__at", "__id", "__hash"))
+
+
 # Substring dedup ------------------------------------------------------------------------------------
 
 
@@ -93,7 +97,7 @@ def test_passages_defined_cases(spark, odd):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, passages_removed(ODD, 3)))
     assert remove_repeated_passages(spark.createDataFrame([], DOC)).count() == 0
     row = remove_repeated_passages(clashing(spark, "__chunk", "kept_text")).first()
-    assert row["label"] == row["bucket"] == "kept" and row["n_words"] == 5 and row["n_removed"] == 0
+    assert kept(row) and row["label"] == row["bucket"] == "kept" and row["n_words"] == 5 and row["n_removed"] == 0
 
 
 def test_passages_extend_until_nothing_survives(spark):
@@ -141,7 +145,7 @@ def test_lines_defined_cases(spark, odd):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, lines_removed(ODD)))
     assert remove_repeated_lines(spark.createDataFrame([], DOC)).count() == 0
     row = remove_repeated_lines(clashing(spark, "__id", "__at", "a", "w1", "n_lines")).first()
-    assert row["label"] == row["pos"] == "kept" and (row["n_lines"], row["n_removed"]) == (3, 0)
+    assert kept(row) and row["label"] == row["pos"] == "kept" and (row["n_lines"], row["n_removed"]) == (3, 0)
 
 
 def test_lines_merge_overlapping_windows(spark):
@@ -194,7 +198,7 @@ def test_contamination_defined_cases(spark, odd):
     assert mark_contamination(spark.createDataFrame([], DOC), bench).count() == 0
     assert mark_contamination(odd, bench.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
     row = mark_contamination(clashing(spark, "contaminated", "__row", "__hits"), bench.withColumn("label", F.lit(1))).first()
-    assert row["label"] == row["h1"] == row["names"] == "kept" and row["n_hit"] == 0 and not row["contaminated"]
+    assert kept(row) and row["label"] == row["h1"] == row["names"] == "kept" and row["n_hit"] == 0 and not row["contaminated"]
 
 
 # Near-dedup -----------------------------------------------------------------------------------------
@@ -251,6 +255,46 @@ def test_a_crowd_that_only_its_hub_links(spark):
     assert all(got[i] == got[group[i]] for i in got) and len(set(got.values())) == len(set(group))
 
 
+def test_a_family_of_two_thousand_near_documents(spark, monkeypatch):
+    """Chains of edits, so that links run across many components; recall of the links by brute force over all pairs."""
+    import numpy as np
+
+    from parcelry.llm import neardup
+
+    monkeypatch.setattr(neardup, "_CHUNK_WORDS", 4000)
+    rng = random.Random(17)
+    word = lambda: str(rng.random())
+    chains = [[word() for _ in range(70)] for _ in range(25)]
+    start, texts = list(chains[0]), []
+    for i in range(2000):
+        c = i % 25
+        if i < 25:
+            chains[c] = [word() if rng.random() < 0.04 else w for w in start]
+        elif rng.random() < 0.5:
+            chains[c][rng.randrange(70)] = word()
+        else:
+            chains[c] = [word() if rng.random() < 0.02 else w for w in chains[c]]
+        texts.append(" ".join(chains[c]))
+    bags = [bag(t) for t in texts]
+    number = {}
+    grid = np.zeros((2000, len({s for b in bags for s in b})), np.float32)
+    for i, b in enumerate(bags):
+        for s in b:
+            grid[i, number.setdefault(s, len(number))] = 1
+    size, common = grid.sum(1), grid @ grid.T
+    a, b = np.nonzero(np.triu(common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-4, 1))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4)).collect()}
+    recall = np.mean([got[i] == got[j] for i, j in zip(a.tolist(), b.tolist())])
+    print(f"{len(a)} links, {len(set(got.values()))} classes, recall {recall:.5f}")
+    assert len(a) > 2000 and recall > 0.999
+    group = list(range(2000))
+    for i, j in zip(a.tolist(), b.tolist()):
+        if group[i] != group[j]:
+            old, new = group[i], group[j]
+            group = [new if g == old else g for g in group]
+    assert len(set(got.values())) >= len(set(group)) and all(group[i] == group[c] for i, c in got.items())
+
+
 def test_classes_defined_cases(spark, odd):
     got = near_duplicate_classes(odd).collect()
     assert len(got) == len(ODD)
@@ -261,7 +305,7 @@ def test_classes_defined_cases(spark, odd):
     assert by[""] == [(2, 2, True)] and sorted(by[None], key=str) == sorted([(1, 1, True), (None, None, True)], key=str) and by["one two three"] == [(None, None, True)]
     assert near_duplicate_classes(spark.createDataFrame([], DOC)).count() == 0
     row = near_duplicate_classes(clashing(spark, "class_id", "representative", "__row", "__n")).first()
-    assert row["label"] == row["node"] == "kept" and row["class_id"] == 1 and row["representative"]
+    assert kept(row) and row["label"] == row["node"] == "kept" and row["class_id"] == 1 and row["representative"]
 
 
 def test_signatures_estimate_weighted_similarity():
