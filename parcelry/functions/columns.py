@@ -42,16 +42,19 @@ def first_text(*columns: Column) -> Column:
 
 
 def price_inr(c: Column) -> Column:
+    # Fixed value: how prices are written.
     pattern = r"(?i)([\d.]+)\s*(Lac|Cr)"
     unit = F.when(F.lower(found(c, pattern, 2)) == "cr", 1e7).otherwise(1e5)
     return F.floor(found(c, pattern).try_cast("double") * unit + 0.5).cast("long")
 
 
 def area_sqft(c: Column) -> Column:
+    # Fixed value: how areas are written.
     return F.replace(found(c, r"(?i)([\d,]+)\s*sqft"), F.lit(",")).try_cast("long")
 
 
 def bhk(c: Column) -> Column:
+    # Fixed value: how room counts are written.
     return found(c, r"(?i)(\d+)\s*BHK").try_cast("int")
 
 
@@ -67,7 +70,8 @@ def mentions(c: Column, word: str) -> Column:
 def days_since(c: Column, as_of: Column) -> Column:
     """Age in days from 'today', 'yesterday', 'N hours / days / weeks / months ago' or a date like ``May 07, '26``, in that order."""
     text = F.lower(F.trim(c))
-    n = lambda unit: found(text, rf"(\d+)\s*{unit}").try_cast("int")
+    n = lambda unit: found(text, rf"(\d+)\s*{unit}").try_cast("decimal(30,0)")
+    # Fixed value: how absolute dates are written.
     date = r"([A-Za-z]{3})\s+(\d{1,2}),?\s*'?(\d{2,4})"
     year = found(c, date, 3)
     posted = F.concat_ws(" ", found(c, date), found(c, date, 2), F.when(F.length(year) == 4, year).otherwise((year.cast("int") + 2000).cast("string")))
@@ -76,8 +80,8 @@ def days_since(c: Column, as_of: Column) -> Column:
     return (
         F.when(text.contains("today"), 0)
         .when(text.contains("yesterday"), 1)
-        .when(n("hour").isNotNull(), 0)
-        .otherwise(F.coalesce(n("day"), n("week") * 7, n("month") * 30, absolute))
+        .when(found(text, r"(\d+)\s*hour").isNotNull(), 0)
+        .otherwise(F.coalesce(n("day"), n("week") * 7, n("month") * 30, absolute).try_cast("int"))
     )
 
 
@@ -99,11 +103,19 @@ def name_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-def entity_key(c: Column, patterns: Sequence[str] = ENTITY_NOISE, sweeps: int = 8) -> Column:
-    """The name key without trailing noise words, stripped in sweeps; it never becomes empty, because a character before the noise is kept."""
-    for pattern in list(patterns) * sweeps:
-        c = F.regexp_replace(c, rf"^(.*?\S)\s*(?:{pattern})$", "$1")
-    return c
+def entity_key(c: Column, patterns: Sequence[str] = ENTITY_NOISE) -> Column:
+    """The name key without trailing noise words, stripped in sweeps until one changes nothing; it never becomes empty, because a character before the noise is kept."""
+
+    def sweep(x: Column) -> Column:
+        return reduce(lambda y, pattern: F.regexp_replace(y, rf"^(.*?\S)\s*(?:{pattern})$", "$1"), patterns, x)
+
+    def step(a: Column, _: Column) -> Column:
+        swept = F.transform(F.array(sweep(a["name"])), lambda y: F.struct(y.alias("name"), (y == a["name"]).alias("stable")))
+        return F.when(a["stable"], a).otherwise(swept[0])
+
+    # A sweep that changes a name takes three characters or more.
+    sweeps = F.sequence(F.lit(0), F.floor(F.length(c) / 3).cast("int"))
+    return F.aggregate(sweeps, F.struct(c.alias("name"), F.lit(False).alias("stable")), step, lambda a: a["name"])
 
 
 def slug(c: Column) -> Column:
@@ -116,13 +128,18 @@ def listing_url(base: str, area: Column, city: Column, page: Column) -> Column:
 
 
 def name_from_url(url: Column, city: Column, areas: Column) -> Column:
-    """A title-cased name from a link's last segment, without the id, the city and the longest of the area suffixes."""
-    last = F.regexp_replace(F.regexp_extract(url, r"[^/]*$", 0), r"-pdpid-[0-9A-Za-z]+$", "")
+    """A title-cased name from a link's last segment, without the id, the city and the longest of the area suffixes.
+
+    Links without a scheme are taken as well, those with another one than http or https are not.
+    """
+    segment = F.regexp_extract(url, r"[^/]*$", 0)
+    last = F.regexp_replace(segment, r"(?i)-pdpid-[a-z0-9]+$", "")
     no_city = F.when(F.endswith(last, F.concat(F.lit("-"), city)), F.left(last, F.length(last) - F.length(city) - 1)).otherwise(last)
     fits = F.filter(areas, lambda a: F.endswith(no_city, F.concat(F.lit("-"), a)))
     longest = F.coalesce(F.array_max(F.transform(fits, lambda a: F.length(a))) + 1, F.lit(0))
-    name = F.left(no_city, F.length(no_city) - longest)
-    usable = url.rlike("^https?://") & last.contains("-")
+    name = F.btrim(F.left(no_city, F.length(no_city) - longest), F.lit("-"))
+    foreign = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~url.rlike("(?i)^https?:")
+    usable = url.contains("/") & segment.contains("-") & ~foreign
     return F.when(usable, filled(F.initcap(F.replace(name, F.lit("-"), F.lit(" ")))))
 
 

@@ -45,10 +45,8 @@ def normalise_listings(raw: DataFrame, as_of: Column) -> DataFrame:
 
 
 def with_entity_key(df: DataFrame, name: str, out: str) -> DataFrame:
-    """The grouping key of a name, worked out once per distinct name and joined back."""
-    names = df.select(F.col(name).alias("__name")).distinct()
-    keys = names.withColumn(out, C.entity_key(C.name_key(F.col("__name"))))
-    return df.drop(out).join(keys, F.col(name) == F.col("__name"), "left").drop("__name")
+    """The grouping key of a name, in place, so that no row moves."""
+    return df.withColumn(out, C.entity_key(C.name_key(F.col(name))))
 
 
 def text_flags(df: DataFrame, text_cols: Sequence[str], rules: Mapping[str, tuple[str, str | None]]) -> DataFrame:

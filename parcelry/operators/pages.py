@@ -7,30 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.columns import filled, found
+from parcelry.functions.columns import found
 
 # Possession phrases by priority.
 POSSESSION = ("ready to move", "under construction", "possession by", "possession in", "ready for possession")
 
 
+# How unit counts, registration ids, descriptions and titles are written, and how near the word an id must be.
+UNITS = r"(?i)\b(\d{1,4})\s*(?:units|apartments|flats)\b"
+REGISTRATION = r"\b[A-Z]{1,3}\d{10,13}\b"
+META = r"(?is)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"'](.*?)[\"']"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+WORD, BEFORE, BEHIND = "rera", 60, 10
+
+
+def registration(page: Column) -> Column:
+    """The first id with the word within 60 characters before it or 10 behind it."""
+    ids, between = F.regexp_extract_all(page, F.lit(REGISTRATION), 0), F.split(page, REGISTRATION, -1)
+    length = lambda n, x: n + F.length(x)
+    total = lambda xs: F.aggregate(xs, F.lit(0), length)
+
+    def near(x: Column, i: Column) -> Column:
+        start = total(F.slice(between, 1, i + 1)) + total(F.slice(ids, 1, i))
+        first = F.greatest(start - BEFORE, F.lit(0))
+        return F.contains(F.lower(F.substring(page, first + 1, start + F.length(x) + BEHIND - first)), F.lit(WORD))
+
+    return F.get(F.filter(ids, near), F.lit(0))
+
+
 def page_facts(df: DataFrame, html: str, keywords: Sequence[str] = POSSESSION) -> DataFrame:
-    """Unit count, registration id (only near the word rera), first possession keyword of the list, and a description of up to 300 characters."""
+    """Unit count, registration id, first possession keyword of the list, and the first 300 characters of the meta description, or of the title of pages without one."""
     page, low = F.col(html), F.lower(html)
-    near = r"(?:(?<=(?i:rera).{0,56})|(?=.{0,6}(?i:rera)))"
-    registration = found(page, rf"(?s){near}\b([A-Z]{{1,3}}\d{{10,13}})\b")
-    after = found(page, r"(?s)\b([A-Z]{1,3}\d{10,13})\b(?=.{0,10}(?i:rera))")
     keyword = F.coalesce(*[F.when(low.contains(k), F.lit(k)) for k in keywords])
-    meta = found(page, r"(?is)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"'](.*?)[\"']")
-    title = found(page, r"(?is)<title[^>]*>(.*?)</title>")
-    text = F.coalesce(filled(F.trim(meta)), filled(F.trim(F.regexp_replace(title, r"\s+", " "))))
-    return df.withColumns(
-        {
-            "units": found(page, r"(?i)\b(\d{1,4})\s*(?:units|apartments|flats)\b").cast("int"),
-            "registration": F.coalesce(registration, after),
-            "possession": keyword,
-            "description": F.left(text, F.lit(300)),
-        }
-    )
+    outer = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    title = F.regexp_replace(F.regexp_extract(page, TITLE, 1), r"\s+", " ")
+    text = F.when(page.rlike(META), outer(F.regexp_extract(page, META, 1))).when(page.rlike(TITLE), outer(title))
+    return df.withColumns({"units": found(page, UNITS).cast("int"), "registration": registration(page), "possession": keyword, "description": F.left(text, F.lit(300))})
 
 
 def extract_all(df: DataFrame, text: str, pattern: str, exclude: Sequence[str], limit: int, out: str) -> DataFrame:

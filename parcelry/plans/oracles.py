@@ -259,9 +259,23 @@ SELECT dim_id, name FROM dim UNION ALL SELECT * FROM added""",
     "page_facts": r"""SELECT page_id, try_cast(nullif(regexp_extract(html, '(?i)\b(\d{1,4})\s*(?:units|apartments|flats)\b', 1), '') AS INT) AS units,
        CASE WHEN contains(lower(html), 'ready to move') THEN 'ready to move' WHEN contains(lower(html), 'under construction') THEN 'under construction' WHEN contains(lower(html), 'possession by') THEN 'possession by'
             WHEN contains(lower(html), 'possession in') THEN 'possession in' WHEN contains(lower(html), 'ready for possession') THEN 'ready for possession' END AS possession,
-       substr(coalesce(nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]+content=["''](.*?)["'']', 1)), ''),
-         nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '')), 1, 300) AS description
+       substr(CASE WHEN regexp_matches(html, '(?is)<meta[^>]+name=["'']description["''][^>]+content=["''](.*?)["'']')
+                THEN regexp_replace(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]+content=["''](.*?)["'']', 1), '^\s+|\s+$', '', 'g')
+                WHEN regexp_matches(html, '(?is)<title[^>]*>(.*?)</title>') THEN trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) END, 1, 300) AS description
 FROM pages""",
+    "page_registrations": r"""WITH h AS (
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'RERA no. ' ELSE 'No. ' END || 'P' || lpad(page_id::VARCHAR, 11, '5') || ' ' || html AS html FROM pages
+), m AS (
+  SELECT page_id, html, regexp_extract_all(html, '\b[A-Z]{1,3}\d{10,13}\b') AS ids, string_split_regex(html, '\b[A-Z]{1,3}\d{10,13}\b') AS parts FROM h
+), n AS (
+  SELECT page_id, html, unnest(ids) AS id, generate_subscripts(ids, 1) AS i, ids, parts FROM m
+), p AS (
+  SELECT page_id, html, id, i, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ids[1:i - 1], lambda x: length(x))), 0) AS start FROM n
+)
+SELECT page_id, first AS registration FROM pages LEFT JOIN (
+  SELECT page_id, arg_min(id, i) AS first FROM p
+  WHERE contains(lower(substr(html, (greatest(start - 60, 0) + 1)::BIGINT, (start + length(id) + 10 - greatest(start - 60, 0))::BIGINT)), 'rera') GROUP BY page_id
+) USING (page_id)""",
     "page_fragments": r"""WITH m AS (
   SELECT page_id, list_filter(regexp_extract_all(html, '[a-z]{3,12} [a-z]{3,12} the'), lambda x: NOT contains(lower(x), 'script') AND NOT contains(lower(x), 'style'))[1:8] AS f FROM pages
 )

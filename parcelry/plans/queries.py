@@ -230,7 +230,6 @@ def page_facts(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_registrations(s: SparkSession, d: str) -> DataFrame:
-    """Look-around context that DuckDB's expressions lack; unit tests cover it."""
     html = F.concat(F.when(F.col("page_id") % 2 == 0, "RERA no. ").otherwise("No. "), F.lit("P"), F.lpad(F.col("page_id").cast("string"), 11, "5"), F.lit(" "), "html")
     return pages.page_facts(read(s, d, "pages").withColumn("html", html), "html").select("page_id", "registration")
 

@@ -1,5 +1,6 @@
 """Boundaries of the listing operators on small invented rows."""
 
+import re
 import difflib
 import math
 import random
@@ -192,6 +193,26 @@ def test_page_facts(spark):
     assert out[1]["description"] == "words first" and out[3]["description"] is None
 
 
+def first_registration(page):
+    for m in re.finditer(r"\b[A-Z]{1,3}\d{10,13}\b", page):
+        if "rera" in page[max(0, m.start() - 60) : m.end() + 10].lower():
+            return m.group()
+
+
+def test_registrations_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    pieces = ["P12345678901", "MH1234567890", "abcdefg", "RERA", "rera ", " ", "x" * 55, "ab ", "P1234567890123", "P1"]
+    html = ["P12345678901 abcdefg RERA", "P12345678901 abcd RERA", "MH1234567890 rera P12345678901", "rera" + "x" * 55 + " P12345678901", "rera" + "x" * 56 + " P12345678901", ""]
+    html += [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    out = pages.page_facts(spark.createDataFrame(list(enumerate(html)), "i int, html string"), "html").orderBy("i").collect()
+    assert [r["registration"] for r in out] == [first_registration(p) for p in html] and out[0]["registration"] is None
+
+
+def test_an_empty_description_is_kept(spark):
+    html = '<title>t</title><meta name="description" content=" ">'
+    assert pages.page_facts(spark.createDataFrame([(html,)], "html string"), "html").first()["description"] == ""
+
+
 def test_age_histogram_and_volume(spark):
     df = spark.createDataFrame([(a,) for a in (30, 31, 60, 61, 90, 91, None)], "age int")
     assert [n for _, _, n in rows(exports.age_histogram(df, "age").select("ordinal", "bucket", "n"), "ordinal")] == [1, 2, 2, 1, 1]
