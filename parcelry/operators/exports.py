@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import display_score
+from parcelry.operators.ranks import numbered
 
 
 def society_export(entities: DataFrame, details: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,10 +117,9 @@ def drill_down(df: DataFrame, **equal: str) -> DataFrame:
 
 
 def eligible_only(df: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
-    """Rows of all eligible areas, in rank order; the areas are few."""
-    order = Window.orderBy(F.desc("composite"), "ordinal")
-    best = ranked.filter("eligible").withColumn("area_rank", F.row_number().over(order)).select(key, "area_rank")
-    return df.join(best, key).orderBy("area_rank")
+    """Rows of all eligible areas, in rank order."""
+    best = numbered(ranked.filter("eligible").select(key, "composite", "ordinal"), [F.desc("composite"), "ordinal"], "area_rank")
+    return df.join(best.select(key, F.col("area_rank").cast("int").alias("area_rank")), key).orderBy("area_rank")
 
 
 def page_of(df: DataFrame, order: Sequence[Column | str], size: int, page: int = 0) -> DataFrame:

@@ -6,11 +6,12 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.functions.columns import name_key, significant_words, similarity
+from parcelry.operators.ranks import numbered
 
 # Words that say nothing about which business is meant.
 STOPWORDS = ("real", "estate", "realty", "realtors", "properties", "property", "consultants", "consultancy", "agency", "group")
@@ -26,9 +27,12 @@ def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: f
     """The dimension entry of every name: equal name keys first, else the most similar one at the cutoff (ties to the smaller id).
 
     ``dim`` has ``dim_id`` and ``name``. Names that match nothing keep a NULL id. Candidates of the second step have lengths
-    that the cutoff allows and share a run of three letters, or of two if one is shorter than nine; at a cutoff of 0.85 or more
-    every match does. ``how``: "levenshtein", or "parity" for difflib's ratio.
+    that the cutoff allows. From a cutoff of 0.85 on they share a run of three letters, or of two if one is shorter than nine, as every match
+    does; below, they share one of their rarest letters, of which they list as many as a match needs (a prefix filter). So no match is
+    lost at any cutoff. ``how``: "levenshtein", or "parity" for difflib's ratio.
     """
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0 and at most 1")
     dim = dim.select("dim_id", name_key(F.col("name")).alias("known"))
     dim = dim.groupBy("known").agg(F.min("dim_id").alias("dim_id"))
     rows = df.withColumn("key", name_key(F.col(name_col)))
@@ -43,8 +47,9 @@ def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: f
         none = F.array().cast("array<string>")
         return F.array_distinct(F.concat(F.when(F.length(c) < 12, runs(c, 2)).otherwise(none), F.when(F.length(c) >= 9, runs(c, 3)).otherwise(none)))
 
-    left = names.select("key", F.explode(blocks(F.col("key"))).alias("block"))
-    right = dim.select("known", "dim_id", F.explode(blocks(F.col("known"))).alias("block"))
+    blocked = blocks if cutoff >= 0.85 else lambda c: _rarest_letters(c, cutoff)
+    left = names.select("key", F.explode(blocked(F.col("key"))).alias("block"))
+    right = dim.select("known", "dim_id", F.explode(blocked(F.col("known"))).alias("block"))
     a, b = F.length("key"), F.length("known")
     fits = (b >= a * F.lit(cutoff / (2 - cutoff))) & (b <= a * F.lit((2 - cutoff) / cutoff))
     pairs = left.join(right, "block").filter(fits).select("key", "known", "dim_id").distinct()
@@ -55,6 +60,19 @@ def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: f
     return out.select(*df.columns, F.coalesce("exact_id", "fuzzy_id").alias("dim_id"), F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("match_score"))
 
 
+def _rarest_letters(c: Column, cutoff: float) -> Column:
+    """The first letters of a name in a fixed order, each with its number among equal ones.
+
+    Both measures need cutoff * (a + b) / 2 common letters for lengths a and b, hence cutoff / (2 - cutoff) of a name's own letters. Two names
+    with so many in common share one of the first a - that + 1 of each, in any order; this one puts repeated and rare letters first.
+    """
+    letters = F.split(c, "")
+    nth = lambda x, i: F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x))
+    ordered = F.array_sort(F.transform(letters, lambda x, i: F.struct((-nth(x, i)).alias("n"), F.instr(F.lit("zqxjkvbwpygfucmhdlrntioase"), x).alias("place"), x.alias("letter"))))
+    most = F.length(c) - F.ceil(F.length(c) * F.lit(cutoff / (2 - cutoff)) - 1e-9) + 1
+    return F.transform(F.slice(ordered, F.lit(1), most.cast("int")), lambda x: F.concat(x["letter"], x["n"].cast("string")))
+
+
 def match_report(resolved: DataFrame, name_col: str) -> DataFrame:
     """Counts of one resolution and the share of named rows that matched, NULL without any named row."""
     named = F.coalesce(F.length(F.trim(name_col)), F.lit(0)) > 0
@@ -70,12 +88,11 @@ def unmatched(resolved: DataFrame, id_col: str, name_col: str) -> DataFrame:
 
 
 def seed_dimension(dim: DataFrame, names: DataFrame) -> DataFrame:
-    """The dimension with new names added; ids go on from the largest. New names are few, so they are numbered in one window."""
+    """The dimension with new names added; ids go on from the largest, in the order of the name keys."""
     known = dim.select(name_key(F.col("name")).alias("key"))
     fresh = names.select(F.col("name"), name_key(F.col("name")).alias("key")).filter("key <> ''").groupBy("key").agg(F.min("name").alias("name")).join(known, "key", "left_anti")
-    last = dim.agg(F.coalesce(F.max("dim_id"), F.lit(0)).alias("last"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("key"))).join(F.broadcast(last))  # one row
-    return dim.select("dim_id", "name").unionByName(numbered.select((F.col("last") + F.col("n")).alias("dim_id"), "name"))
+    last = dim.agg(F.coalesce(F.max("dim_id"), F.lit(0)).alias("last")).collect()[0][0]
+    return dim.select("dim_id", "name").unionByName(numbered(fresh, ["key"], "n").select((F.lit(last) + F.col("n")).alias("dim_id"), "name"))
 
 
 def split_cached(df: DataFrame, cache: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelry.sources.scratch import keep
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """All rows numbered from 1 in the given order, by ranges: each task numbers its own range, and the ranges before it are added. Runs a job."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Within a partition the number counts up from a multiple of 2 ** 33.
+    held = keep(ranged.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id() % F.lit(1 << 33)}), "numbered")
+    sizes, before, done = {r["__range"]: r["count"] for r in held.groupBy("__range").count().collect()}, [], 0
+    for part in sorted(sizes):
+        before.append((part, done))
+        done += sizes[part]
+    starts = df.sparkSession.createDataFrame(before, "__range int, __before long")  # one row per task
+    return held.join(F.broadcast(starts), "__range").withColumn(out, F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
+
 
 def with_percentile_rank(df: DataFrame, partition: Sequence[str], value: str, out: str, method: str = "histogram") -> DataFrame:
     """Rank from 0 to 1 within the partition, ties averaged; 1 for a single value, NULL for NULL values, which take no part.
@@ -25,16 +41,30 @@ def with_percentile_rank(df: DataFrame, partition: Sequence[str], value: str, ou
 
 
 def with_percentile_ranks(df: DataFrame, partition: Sequence[str], values: Mapping[str, str]) -> DataFrame:
-    """Histogram ranks of several values at once; ``df`` is read once per value and once more, so pass a written table if it is costly."""
+    """Histogram ranks of several values at once. Runs a job, and ``df`` is read once more, so pass a written table if it is costly.
+
+    The distinct values of all columns form one table, cut into ranges; sums of whole ranges are added to sums within them, so no task holds a partition.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("__of"), F.col(v).cast("double").alias("__v")) for v in values]))
+    long = df.select(*partition, pairs.alias("__p")).select(*partition, "__p.*").filter("__v IS NOT NULL")
+    groups = [*partition, "__of"]
+    bins = long.groupBy(*groups, "__v").agg(F.count("*").alias("__ties"))
+    bins = keep(bins.repartitionByRange(*groups, "__v").withColumn("__range", F.spark_partition_id()), "bins")
+    inside = Window.partitionBy(*groups, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    sums = bins.groupBy(*groups, "__range").agg(F.sum("__ties").alias("__sum"))  # a few rows per range
+    earlier = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), "__n": F.sum("__sum").over(Window.partitionBy(*groups))}).drop("__sum")
+    below = F.col("__before") + F.coalesce(F.sum("__ties").over(inside), F.lit(0))
+    rank = (below + (F.col("__ties") - 1) / 2) / F.nullif(F.col("__n") - 1, F.lit(0))
+    s = sums.toDF(*[f"__s{c}" for c in sums.columns])
+    known = bins.join(s, reduce(lambda x, y: x & y, (bins[k].eqNullSafe(s[f"__s{k}"]) for k in [*groups, "__range"])))
+    known = known.withColumnsRenamed({"__s__before": "__before", "__s__n": "__n"}).withColumn("__rank", F.coalesce(rank, F.lit(1.0)))
+    known = keep(known.select(*groups, "__v", "__rank"), "ranks")
     ranked = df
     for value, out in values.items():
-        keys = [*partition, value]
-        whole = Window.partitionBy(*partition)
-        bins = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__ties"))
-        below = F.coalesce(F.sum("__ties").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rank = (below + (F.col("__ties") - 1) / 2) / F.nullif(F.sum("__ties").over(whole) - 1, F.lit(0))
-        bins = bins.select(*keys, F.coalesce(rank, F.lit(1.0)).alias(out))
-        ranked = ranked.join(bins, keys, "left")
+        one = known.filter(F.col("__of") == value).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(partition)], F.col("__v").alias("__kv"), F.col("__rank").alias(out))
+        match = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(partition)), F.col(value).cast("double") == F.col("__kv"))
+        ranked = ranked.join(one, match, "left").drop("__kv", *[f"__k{i}" for i in range(len(partition))])
     return ranked.select(*df.columns, *values.values())
 
 

@@ -256,3 +256,36 @@ def test_csv_round_trip_and_raw_append(spark, tmp_path):
         files.load_cities(spark, str(tmp_path / "conf.json"), "zz")
     files.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+@pytest.mark.parametrize("how", ["levenshtein", "parity"])
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.8, 0.9])
+def test_resolve_loses_no_match_at_any_cutoff(spark, how, cutoff):
+    rng = random.Random(int(cutoff * 10))
+    word = lambda n: "".join(rng.choice("abcdeé 1") for _ in range(n)).strip() or "a"
+    known = sorted({word(rng.randrange(1, 14)) for _ in range(40)})
+    known = [k for k in known if k == " ".join(k.split())]
+    names = [word(rng.randrange(1, 14)) for _ in range(60)] + [k[: len(k) // 2] + "x" + k[len(k) // 2 :] for k in known] + ["abcdxxabcdxx", "zzz"]
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    score = lev if how == "levenshtein" else lambda a, b: difflib.SequenceMatcher(None, b, a).ratio()
+    dim = spark.createDataFrame(list(enumerate(known)), "dim_id long, name string")
+    got = matching.resolve(spark.createDataFrame(list(enumerate(names)), "id int, name string"), "id", "name", dim, cutoff, how).collect()
+    for r in got:
+        key = " ".join(r["name"].lower().split())
+        best = max((1.0 if k == key else score(key, k), -i) for i, k in enumerate(known))
+        assert (r["dim_id"] is None) == (best[0] < cutoff), (r, best)
+        if r["dim_id"] is not None:
+            assert math.isclose(r["match_score"], best[0])
+
+
+def test_numbers_run_through_all_ranges(spark):
+    got = ranks.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7), ["k"], "n").collect()
+    assert sorted((r["n"], r["k"]) for r in got) == [(k + 1, k) for k in range(1000)]
