@@ -38,10 +38,23 @@ def city_summary(cities: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def global_stats(**counts: DataFrame) -> DataFrame:
-    """One row beside each other from frames of one row each."""
+    """One row beside each other from frames that aggregate to one row each, which is what makes them small enough to broadcast."""
     return reduce(lambda a, b: a.join(F.broadcast(b)), counts.values())
 
 
+def export_stats(cities: DataFrame, corridors: DataFrame, societies: DataFrame, brokers: DataFrame, candidates: DataFrame, directory: DataFrame) -> DataFrame:
+    """Nine counts over the exported datasets."""
+    count = lambda df, name, c=F.lit(1): df.agg(F.count(c).alias(name))
+    return global_stats(
+        brokers=brokers.agg(F.count("*").alias("total_brokers_indexed"), F.count_if("contact_available").alias("total_brokers_contact_resolved")),
+        candidates=count(candidates, "total_absentee_candidates"),
+        cities=cities.agg(F.count_distinct("city_id").alias("total_cities_live"), F.count_distinct(F.when(F.col("has_price_band"), F.col("city_id"))).alias("total_cities_fully_scored")),
+        directory=count(directory, "total_directory_links"),
+        corridors=count(corridors, "total_corridors_ranked"),
+        societies=societies.agg(F.count("*").alias("total_societies_scored"), F.count_if("detail_available").alias("total_societies_detail_resolved")),
+    )
+
+
 def coverage(names: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     """Discovered names, each flagged whether configured metrics allow a score now."""
     known = candidates.select(key, F.lit("scoreable_now").alias("coverage")).distinct()
@@ -136,5 +149,18 @@ def match_first(df: DataFrame, col: str, value: str, tie: Sequence[Column | str]
     return df.orderBy(F.desc(F.coalesce(F.col(col) == value, F.lit(False))), *tie)
 
 
+def by_name(df: DataFrame, city: str, area: str, order: Sequence[Column | str]) -> DataFrame:
+    """Areas in the order of their names, with the rows of an area in the given order."""
+    return df.orderBy(city, area, *order)
+
+
+def in_city_order(df: DataFrame, city: str, cities: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The rows of the named cities in that order, each beside the number of its city's rows (``n_city``)."""
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(cities) for x in (c, i)])
+    named = df.filter(F.col(city).isin(list(cities)))
+    counts = named.groupBy(city).agg(F.count("*").alias("n_city"))  # one row per city of a list
+    return named.join(F.broadcast(counts), city).orderBy(F.try_element_at(place, F.col(city)), *order)
+
+
 def combine(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -14,6 +14,19 @@ PAYLOAD = ("source", "corridor", "title", "society_name_raw", "price_raw", "stat
 PLACEHOLDER_OWNERS = ("mb user", "magicbricks user")
 PLACEHOLDER_AGENTS = (*PLACEHOLDER_OWNERS, "magicbricks", "real estate")
 JUNK_NAMES = ("javascript:void(0)",)
+# What a listing must say for a flag. A call to "buy or invest" in a city says nothing about the property and is in none of them.
+FLAG_RULES = {
+    "flag_nri_mention": (r"(?i)\bnri\b|non[- ]resident indian|(owner|seller) (lives|living|lives and works) abroad", None),
+    "flag_poa_mention": (r"(?i)power of attorney|\bpoa\b|attorney holder", None),
+    "flag_owner_abroad": (r"(?i)(owner|seller) (is |lives |living |based |settled |currently )*(abroad|overseas)", None),
+    "flag_owner_not_local": (r"(?i)(owner|seller) (is )?not local|out of station|(owner|seller) (lives|resides|stays|is) in (another|a different) city", None),
+    "flag_visit_by_appointment_only": (r"(?i)by (prior )?appointment|appointment only|prior appointment", None),
+    "flag_calling_hours_hint": (r"(?i)call (only )?(after|before|between) \d", None),
+    "flag_long_vacant_or_tenanted": (r"(?i)(vacant|tenanted) (for|since)|long[- ](vacant|tenanted)|\bre-?listed", None),
+    "flag_investment_property_mention": (r"(?i)rental income|currently (rented|tenanted|leased|on rent)|(bought|held|kept) (as|for) (an )?investment|is an investment property", None),
+}
+STRONG_FLAGS = ("flag_nri_mention", "flag_poa_mention", "flag_owner_abroad", "intl_contact_hint")
+WEAK_FLAGS = ("flag_owner_not_local", "flag_visit_by_appointment_only", "flag_calling_hours_hint", "flag_long_vacant_or_tenanted", "flag_investment_property_mention")
 
 
 def decode_payload(df: DataFrame, json_col: str = "raw_text", fields: Sequence[str] = PAYLOAD) -> DataFrame:
@@ -49,7 +62,7 @@ def with_entity_key(df: DataFrame, name: str, out: str) -> DataFrame:
     return df.withColumn(out, C.entity_key(C.name_key(F.col(name))))
 
 
-def text_flags(df: DataFrame, text_cols: Sequence[str], rules: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+def text_flags(df: DataFrame, text_cols: Sequence[str], rules: Mapping[str, tuple[str, str | None]] = FLAG_RULES) -> DataFrame:
     """A boolean column per rule: the joined texts match the first pattern and not the second."""
     text = F.concat_ws(" ", *text_cols)
     flag = lambda yes, no: text.rlike(yes) & ~text.rlike(no) if no else text.rlike(yes)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from parcelry.functions import columns as C
 from parcelry.operators import duplicates, exports, listings, matching, ranks, scores, signals
+from parcelry.sources import files
+from parcelry.sources.scratch import discard, keep
 
 
 class Deduplicated(NamedTuple):
@@ -29,8 +31,8 @@ def dedup_listings(df: DataFrame, tokens: Sequence[str] = (), similarity: str =
     return Deduplicated(marked, duplicates.duplicate_groups(pairs), duplicates.dedup_report(marked, "city"))
 
 
-def classify_listings(raw: DataFrame, classified: DataFrame, key: str, as_of: Column, rules: Mapping[str, tuple[str, str | None]]) -> DataFrame:
-    """Normalised columns and text flags of the listings that are not classified yet."""
+def classify_listings(raw: DataFrame, classified: DataFrame, key: str, as_of: Column, rules: Mapping[str, tuple[str, str | None]] = listings.FLAG_RULES) -> DataFrame:
+    """Normalised columns and text flags (by default the eight of FLAG_RULES) of the listings that are not classified yet."""
     todo = listings.unclassified(raw, classified, key)
     return listings.text_flags(listings.normalise_listings(todo, as_of), ["title", "description_raw"], rules)
 
@@ -67,6 +69,53 @@ def society_fit(df: DataFrame, cities: DataFrame, ratings: DataFrame) -> Fit:
     return Fit(linked.orderBy(F.desc("fit_score"), "city", "corridor", "society_key"), ok.unionByName(skipped))
 
 
+class Resolved(NamedTuple):
+    dimension: DataFrame
+    rows: DataFrame
+    report: DataFrame
+    unmatched: DataFrame
+
+
+def resolve_entities(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, canonical: DataFrame, cutoff: float = 0.85, how: str = "levenshtein") -> Resolved:
+    """Add the canonical names (``name``) to the dimension, give every row its entry, and report what matched and what did not."""
+    seeded = keep(matching.seed_dimension(dim, canonical), "dimension")
+    rows = keep(matching.resolve(df, id_col, name_col, seeded, cutoff, how), "resolved")
+    return Resolved(seeded, rows, matching.match_report(rows, name_col), matching.unmatched(rows, id_col, name_col))
+
+
+def society_vacancy(df: DataFrame, id_col: str, keys: Sequence[str], name_col: str, dim: DataFrame, cutoff: float = 0.85, days: tuple[int, int] = (60, 90), cap: float = 180) -> DataFrame:
+    """Vacancy of the dimension's entities: listings count for the entry that their written name resolves to, others for none."""
+    resolved = matching.resolve(df, id_col, name_col, dim, cutoff).filter("dim_id IS NOT NULL")
+    known = dim.select("dim_id", F.col("name").alias("society_name"))
+    return scores.society_vacancy(resolved.join(known, "dim_id"), [*keys, "society_name"], days, cap).orderBy(F.desc("vacancy_probability"), *keys, "society_name")
+
+
+def coverage(names: DataFrame, candidates: DataFrame, base_url: str) -> DataFrame:
+    """The plan for discovered areas (``city_id``, ``name``): whether configured metrics allow a score now, and the link of the first page."""
+    flagged = exports.coverage(names, candidates, "name")
+    return flagged.withColumn("sample_url", C.listing_url(base_url, F.col("name"), F.col("city_id"), F.lit(1)))
+
+
+def export_datasets(cities: DataFrame, corridors: DataFrame, societies: DataFrame, brokers: DataFrame, candidates: DataFrame, directory: DataFrame) -> dict[str, DataFrame]:
+    """The seven datasets of the dashboards by name, the last one with the counts over the others."""
+    out = {"cities": cities, "corridors": corridors, "societies": societies, "brokers": brokers, "absentee_candidates": candidates, "nri_directory": directory}
+    return out | {"stats": exports.export_stats(cities, corridors, societies, brokers, candidates, directory)}
+
+
+def write_exports(datasets: Mapping[str, DataFrame], path: str) -> None:
+    """One folder of JSON lines per dataset."""
+    for name, df in datasets.items():
+        files.write_json(df, f"{path.rstrip('/')}/{name}")
+
+
+def replace_cities(df: DataFrame, path: str, city: str, cities: Sequence[str]) -> None:
+    """Replace the slices of the given cities by a job's result; a city without rows is left with an empty slice."""
+    held = keep(df, "slices")
+    for value in cities:
+        files.replace_slice(held, path, city, value)
+    discard(held)
+
+
 class Enriched(NamedTuple):
     lookups: DataFrame
     coverage: DataFrame

@@ -129,11 +129,11 @@ WITH dim AS (
 
 _SNAPSHOT = """
 WITH subjects AS (
-  SELECT s_suppkey, s_name, n_name AS city_name, s_name || ' ' || n_name AS query FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  SELECT s_suppkey, s_name, n_name AS city_name, s_acctbal, s_name || ' ' || n_name AS query FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ), snapshot AS (
   SELECT query, CASE WHEN s_suppkey % 5 = 0 THEN 'Real Estate Group' ELSE s_name || ' Realty' END AS name,
          CASE WHEN s_suppkey % 3 = 0 THEN 'Elsewhere 1' ELSE '1 Road, ' || city_name END AS address, 'p' || s_suppkey AS place_id, (s_suppkey % 5)::DOUBLE AS rating, s_suppkey % 100 AS reviews
-  FROM subjects WHERE s_suppkey % 7 > 0
+  FROM subjects WHERE s_acctbal > 0
 ), judged AS (
   SELECT s.*, p.query IS NOT NULL AS found, s_suppkey % 5 <> 0 AS right_name, contains(lower(coalesce(address, '')), lower(city_name)) AS right_city, place_id, rating, reviews
   FROM subjects s LEFT JOIN snapshot p USING (query)
@@ -153,12 +153,106 @@ _CSV = f"""{_LI}, rows AS (
   SELECT city, corridor, count(*) FILTER (duplicate_of_id IS NULL) AS n, string_agg(DISTINCT status, ';' ORDER BY status) AS statuses, max(price) AS top_price FROM lo GROUP BY ALL
 )"""
 
+# Leader clustering: a bucket's rows in the order of their ids, each against the leaders so far.
+_CLUSTERS = _LI.replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (
+  SELECT listing_id AS id, city, corridor, lower(society_raw) AS project, price, lower(trim(substr(posted_by, 8))) AS owner,
+         list_distinct(string_split(lower(CASE WHEN registered THEN 'RERA approved, call +44 ' || area ELSE 'call +91 98' END), ' ')) AS words,
+         row_number() OVER (PARTITION BY city, lower(society_raw), price ORDER BY listing_id) AS rn
+  FROM li WHERE area % 11 > 0
+), walk AS (
+  SELECT city, project, price, 1::BIGINT AS n, id, corridor, NULL::VARCHAR AS leader, NULL::VARCHAR AS leader_corridor, [{'id': id, 'words': words, 'owner': owner, 'corridor': corridor}] AS leaders FROM b WHERE rn = 1
+  UNION ALL
+  SELECT city, project, price, n, id, corridor, f[1].id, f[1].corridor, CASE WHEN len(f) = 0 THEN list_append(leaders, me) ELSE leaders END
+  FROM (
+    SELECT w.city, w.project, w.price, b.rn AS n, b.id, b.corridor, leaders, {'id': b.id, 'words': b.words, 'owner': b.owner, 'corridor': b.corridor} AS me,
+           list_filter(leaders, lambda l: l.owner = b.owner OR len(list_intersect(l.words, b.words)) / len(list_distinct(list_concat(l.words, b.words))) >= 0.6) AS f
+    FROM walk w JOIN b ON b.city = w.city AND b.project = w.project AND b.price = w.price AND b.rn = w.n + 1
+  )
+)"""
+
+# What segment and priority stand for in the descriptions of orders.
+_DESCRIBED = """WITH f AS (
+  SELECT o_orderkey AS listing_id, o_orderpriority, floor(o_totalprice)::BIGINT AS price_inr, floor(o_totalprice)::BIGINT % 900 + 100 AS area_sqft, lower(c_mktsegment) AS society_key,
+         c_mktsegment = 'AUTOMOBILE' AS flag_nri_mention, c_mktsegment = 'BUILDING' AS flag_poa_mention, o_orderpriority = '4-NOT SPECIFIED' AS flag_owner_abroad,
+         o_orderpriority = '5-LOW' AS intl_contact_hint, o_orderpriority = '3-MEDIUM' AS flag_owner_not_local, c_mktsegment = 'HOUSEHOLD' AS flag_visit_by_appointment_only,
+         o_orderpriority = '1-URGENT' AS flag_calling_hours_hint, o_orderpriority = '2-HIGH' AS flag_long_vacant_or_tenanted, c_mktsegment = 'MACHINERY' AS flag_investment_property_mention
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'
+)"""
+_FLAGS = "flag_nri_mention flag_poa_mention flag_owner_abroad intl_contact_hint flag_owner_not_local flag_visit_by_appointment_only flag_calling_hours_hint flag_long_vacant_or_tenanted flag_investment_property_mention".split()
+
+_BROKERS = f"""{_AGENTS}, exported AS (
+  SELECT agent, n_listings, s_acctbal > 5000 AS contact_available FROM activity JOIN supplier ON lower(s_name) = agent
+), projects AS (
+  SELECT city, society, society IN (SELECT lower(p_name) FROM part WHERE p_size > 25) AS detail_available FROM li GROUP BY ALL
+), found AS (
+  SELECT listing_id FROM (SELECT listing_id, city, {_KEY.format("substr(posted_by, 8)")} AS owner FROM lo WHERE duplicate_of_id IS NULL)
+  WHERE contains(owner, ' ') QUALIFY count(*) OVER (PARTITION BY city, owner) >= 2
+  UNION ALL SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(text), 'license') OR contains(lower(text), 'trash')
+)"""
+
 ORACLES = {
+    "find_duplicates": f"""{_CLUSTERS}
+SELECT leader AS canonical_id, count(*)::INT AS n, string_agg(id, ';' ORDER BY id) AS duplicates, array_to_string(list_sort(list_distinct(list_append(list(corridor), any_value(leader_corridor)))), ';') AS seen
+FROM walk WHERE leader IS NOT NULL GROUP BY leader""",
+    "dedup_listings": f"""{_CLUSTERS}, marks AS (SELECT id FROM walk WHERE leader IS NOT NULL)
+SELECT city, count(*) AS total, count(*) - count(marks.id) AS canonical, count(marks.id) AS marked FROM li LEFT JOIN marks ON marks.id = listing_id GROUP BY city""",
+    "classify_listings": f"{_DESCRIBED} SELECT listing_id, price_inr, area_sqft, 'owner' AS role, 3::INT AS days_since_posted, society_key, {', '.join(_FLAGS)} FROM f",
+    "classified_leads": f"""{_DESCRIBED}, m AS (
+  SELECT o_orderpriority, median(price_inr / area_sqft) AS m FROM f GROUP BY ALL
+), s AS (
+  SELECT listing_id, {' + '.join(f"{40 if i < 4 else 20} * {c}::INT" for i, c in enumerate(_FLAGS))} + 10 * (price_inr / area_sqft < 0.7 * m)::INT + 10 * (society_key = 'building')::INT AS lead_score,
+         concat_ws(';', {', '.join(f"CASE WHEN {c} THEN '{c}' END" for c in _FLAGS)}, CASE WHEN price_inr / area_sqft < 0.7 * m THEN 'below_market' END, CASE WHEN society_key = 'building' THEN 'listed_entity' END) AS signals
+  FROM f JOIN m USING (o_orderpriority)
+)
+SELECT listing_id, lead_score, CASE WHEN lead_score >= 60 THEN 'hot' WHEN lead_score >= 30 THEN 'warm' ELSE 'cold' END AS tier, signals FROM s""",
+    "resolve_entities": f"""{_WRITTEN}, old AS (
+  SELECT p_name AS name, min(p_partkey) AS dim_id FROM part WHERE p_size <= 10 GROUP BY ALL
+), seeded AS (
+  SELECT * FROM old UNION ALL
+  SELECT name, (SELECT max(dim_id) FROM old) + row_number() OVER (ORDER BY lower(name)) FROM dim WHERE name NOT IN (SELECT name FROM old)
+), pairs AS (
+  SELECT p_partkey, s.name, s.dim_id, lower(s.name) = lower(written) AS exact, 1 - levenshtein(lower(written), lower(s.name)) / greatest(length(written), length(s.name)) AS s FROM written JOIN seeded s ON true
+), matched AS (
+  SELECT * FROM pairs WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, s DESC, dim_id) = 1
+)
+SELECT w.p_partkey, w.written, m.dim_id, m.name FROM written w LEFT JOIN matched m USING (p_partkey)""",
+    "resolved_vacancy": f"""{_LI}, dim AS (
+  SELECT p_name AS name, min(p_partkey) AS dim_id FROM part GROUP BY ALL
+), names AS (
+  SELECT DISTINCT society_raw FROM li
+), pairs AS (
+  SELECT society_raw, name, dim_id, 1 - levenshtein(lower(society_raw), lower(name)) / greatest(length(society_raw), length(name)) AS s FROM names JOIN dim ON true
+), matched AS (
+  SELECT * FROM pairs WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY society_raw ORDER BY s DESC, dim_id) = 1
+), s AS (
+  SELECT city, name AS society_name, count(*) AS n_known, count(*) FILTER (age >= 600) AS n_first, count(*) FILTER (age >= 1000) AS n_second, avg(age) AS a, count(*) FILTER (age >= 1000) / count(*) AS r
+  FROM li JOIN matched USING (society_raw) GROUP BY ALL
+)
+SELECT city, society_name, n_known, n_first, n_second, {_half_up("a", 1)} AS avg_age, {_half_up("r", 4)} AS stale_rate, {_half_up("(r + least(a / 3000, 1.0)) / 2", 4)} AS vacancy_probability,
+       CASE WHEN n_known < 3 THEN 'low' WHEN n_known < 10 THEN 'medium' ELSE 'high' END AS confidence
+FROM s""",
+    "coverage_plan": f"""{_METRICS}
+SELECT city AS city_id, corridor AS name, CASE WHEN corridor IN (SELECT corridor FROM metrics WHERE comps >= 10) THEN 'scoreable_now' ELSE 'not_yet_scoreable' END AS coverage,
+       'http://s/' || replace(lower(trim(corridor)), ' ', '-') || '-' || replace(lower(trim(city)), ' ', '-') AS sample_url
+FROM places""",
+    "export_stats": f"""{_BROKERS}
+SELECT (SELECT count(*) FROM exported) AS total_brokers_indexed, (SELECT count(*) FILTER (contact_available) FROM exported) AS total_brokers_contact_resolved, (SELECT count(*) FROM found) AS total_absentee_candidates,
+       (SELECT count(DISTINCT city) FROM cities) AS total_cities_live, (SELECT count(price_min) FROM cities) AS total_cities_fully_scored, (SELECT count(*) FROM pages) AS total_directory_links,
+       (SELECT count(DISTINCT corridor) FROM li) AS total_corridors_ranked, (SELECT count(*) FROM projects) AS total_societies_scored, (SELECT count(*) FILTER (detail_available) FROM projects) AS total_societies_detail_resolved""",
+    "exports_written": f"""{_BROKERS}
+SELECT 'cities' AS dataset, count(*) AS n FROM cities UNION ALL SELECT 'corridors', count(DISTINCT corridor) FROM li UNION ALL SELECT 'societies', count(*) FROM projects UNION ALL SELECT 'brokers', count(*) FROM exported
+UNION ALL SELECT 'absentee_candidates', count(*) FROM found UNION ALL SELECT 'nri_directory', count(*) FROM pages UNION ALL SELECT 'stats', 1""",
+    "broker_slices": f"{_AGENTS} SELECT city, count(*) AS n, sum(n_listings)::BIGINT AS n_listings FROM activity WHERE city IN ('ASIA', 'EUROPE') GROUP BY city",
+    "enriched_lookups": """SELECT s_name || ' ' || n_name AS query, s_acctbal >= 1000 AS matched, CASE WHEN s_acctbal > 5000 THEN 'cached' WHEN s_acctbal >= 1000 THEN 'accepted' ELSE 'no result' END AS note,
+       CASE WHEN s_acctbal >= 1000 THEN 'p' || s_suppkey END AS place_id, CASE WHEN s_acctbal >= 1000 THEN s_suppkey END AS reviews
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0""",
+    "agents_by_area": f"{_AGENTS} SELECT city, corridor, agent, n_listings FROM activity",
+    "cities_in_order": f"{_LI} SELECT listing_id, city, count(*) OVER (PARTITION BY city) AS n_city FROM lo WHERE city IN ('EUROPE', 'ASIA', 'AMERICA')",
     "broker_activity": f"{_AGENTS} SELECT * FROM activity",
     "society_fit": f"""{_LI}, keyed AS (
   SELECT *, lower(regexp_replace(society_raw, ' (Phase 2|CHS)$', '')) AS key FROM band
 ), rated AS (
-  SELECT lower(p_name) AS society, min(p_size % 5 + 1)::DOUBLE AS rating, max(p_size * 10)::BIGINT AS reviews FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL
+  SELECT lower(p_name) AS society, min(p_size % 5 + 1)::DOUBLE AS rating, max(p_size * 10)::BIGINT AS reviews FROM part WHERE p_size > 12 GROUP BY ALL
 ), shown AS (
   SELECT city, corridor, key, society_raw AS display FROM (SELECT city, corridor, key, society_raw, count(*) AS n, min(ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS f FROM keyed GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY city, corridor, key ORDER BY n DESC, f) = 1
@@ -199,7 +293,7 @@ UNION ALL SELECT doc_id, lang, 'never_occupied', 'confirmed_genuine', 'keywords:
 )
 SELECT corridor, society, coalesce(array_to_string(ids, ';'), '') AS ids, coalesce(len(ids), 0)::BIGINT AS n FROM (SELECT DISTINCT corridor, society FROM lo) LEFT JOIN c USING (corridor, society)""",
     "evidence_backfill": f"""{_OWNERS}
-SELECT listing_id, lo.city, CASE WHEN listing_id % 5 = 0 THEN 'later signal' ELSE coalesce(o.evidence, 'no evidence recorded') END AS evidence FROM lo LEFT JOIN owners o USING (listing_id)""",
+SELECT listing_id, lo.city, CASE WHEN status = 'P' THEN 'later signal' ELSE coalesce(o.evidence, 'no evidence recorded') END AS evidence FROM lo LEFT JOIN owners o USING (listing_id)""",
     "exclusive_sample": f"""{_LI}{_SAMPLES.format("lower(posted_by)")}
 SELECT li.city, corridor, agent, min(e.url) AS sample_link FROM li LEFT JOIN exclusive e ON e.city = li.city AND e.url = li.url WHERE agent IS NOT NULL GROUP BY ALL""",
     "listing_fit": f"{_LEADS} SELECT city, society, n_listings, band_share, ready_share, registered_share, density, freshness, fit FROM fits",
@@ -255,7 +349,7 @@ SELECT city, count(*) AS total, count(*) FILTER (mark IS NULL) AS canonical, cou
 SELECT dim_id, name FROM dim UNION ALL SELECT * FROM added""",
     "confidence_match": f"{_SNAPSHOT} SELECT * FROM matched",
     "match_coverage": f"{_SNAPSHOT} SELECT city_name, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched FROM matched GROUP BY ALL",
-    "cache_upsert": f"{_SNAPSHOT} SELECT query, place_id, CASE WHEN reviews % 2 = 0 THEN 'cached' ELSE 'fresh' END AS origin, reviews % 2 = 0 AS served FROM snapshot",
+    "cache_upsert": f"{_SNAPSHOT} SELECT query, place_id, CASE WHEN rating >= 2 THEN 'cached' ELSE 'fresh' END AS origin, rating >= 2 AS served FROM snapshot",
     "page_facts": r"""SELECT page_id, try_cast(nullif(regexp_extract(html, '(?i)\b(\d{1,4})\s*(?:units|apartments|flats)\b', 1), '') AS INT) AS units,
        CASE WHEN contains(lower(html), 'ready to move') THEN 'ready to move' WHEN contains(lower(html), 'under construction') THEN 'under construction' WHEN contains(lower(html), 'possession by') THEN 'possession by'
             WHEN contains(lower(html), 'possession in') THEN 'possession in' WHEN contains(lower(html), 'ready for possession') THEN 'ready for possession' END AS possession,
@@ -302,7 +396,7 @@ FROM n""",
     "csv_rows": f"{_CSV} SELECT city, corridor, n::VARCHAR AS n, statuses, top_price::VARCHAR AS top_price, (n > 500)::INT::VARCHAR AS large FROM rows",
     "typed_rows": f"{_CSV} SELECT city, corridor, n, top_price, NULL::BIGINT AS bad, string_split(statuses, ';')[1] AS first_status, len(string_split(statuses, ';'))::BIGINT AS n_statuses FROM rows",
     "coverage": f"{_LI} SELECT n_name AS name, CASE WHEN n_name IN (SELECT corridor FROM li) THEN 'scoreable_now' ELSE 'not_yet_scoreable' END AS coverage FROM nation",
-    "name_sets": """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey % 2 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey % 3 = 0)
+    "name_sets": """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9500), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
 SELECT k, CASE WHEN k IN (SELECT k FROM b) THEN 'both' ELSE 'only' END AS side FROM a""",
     "society_export": f"""{_LI}{_SAMPLES.format("society")}, details AS (
   SELECT lower(p_name) AS society, max(p_brand) AS builder FROM part WHERE p_size > 25 GROUP BY ALL
@@ -313,7 +407,7 @@ SELECT city, society, supply, builder, builder IS NOT NULL AS detail_available,
     "broker_export": f"""{_AGENTS}{_SAMPLES.format("lower(posted_by)")}, samples AS (
   SELECT li.city, corridor, agent, min(e.url) AS sample_link FROM li LEFT JOIN exclusive e ON e.city = li.city AND e.url = li.url WHERE agent IS NOT NULL GROUP BY ALL
 )
-SELECT city, corridor, agent, n_listings, activity_score, CASE WHEN s_suppkey % 4 = 0 THEN '+91 ' || s_suppkey END AS phone, sample_link, sample_link IS NOT NULL AS traceable
+SELECT city, corridor, agent, n_listings, activity_score, CASE WHEN s_acctbal > 5000 THEN '+91 ' || s_suppkey END AS phone, sample_link, sample_link IS NOT NULL AS traceable
 FROM activity LEFT JOIN samples USING (city, corridor, agent) LEFT JOIN supplier ON lower(s_name) = agent""",
     "corridor_export": f"{_METRICS} SELECT corridor, composite, eligible, comps, resales, {_half_up('composite * 10', 1)} AS display_score FROM ranked JOIN metrics USING (corridor)",
     "city_summary": f"{_LI} SELECT c.city AS city_id, count(p.city) AS n_areas, any_value(price_min IS NOT NULL) AS has_price_band FROM cities c LEFT JOIN places p USING (city) GROUP BY ALL",

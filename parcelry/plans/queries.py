@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from parcelry.functions import columns as C
 from parcelry.operators import duplicates, exports, listings, matching, pages, ranks, scores, signals
 from parcelry.plans.views import BAND, cities, corridor_metrics, line_listings, order_listings, raw_listings, read
+from parcelry.plans import jobs
 from parcelry.sources.files import flat
+from parcelry.sources.scratch import drop_at_exit, new_path
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -25,7 +27,7 @@ def broker_activity(s: SparkSession, d: str) -> DataFrame:
 def society_fit(s: SparkSession, d: str) -> DataFrame:
     rows = listings.with_entity_key(line_listings(s, d), "society_raw", "society")
     kept, _ = listings.in_band(rows.filter(~F.col("society").isin(list(listings.JUNK_NAMES))), cities(s, d))
-    part = read(s, d, "part").filter("p_partkey % 4 = 0")
+    part = read(s, d, "part").filter("p_size > 12")
     rated = part.groupBy(F.lower("p_name").alias("society")).agg(F.min(F.col("p_size") % 5 + 1).cast("double").alias("rating"), F.max(F.col("p_size") * 10).cast("long").alias("reviews"))
     rated = rated.join(F.broadcast(cities(s, d).select(F.col("city_id").alias("city"))))  # one row per city
     return scores.society_fit(kept, rated, "city", "corridor", "society", "society_raw", _ORDER)
@@ -74,10 +76,10 @@ def attach_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_backfill(s: SparkSession, d: str) -> DataFrame:
-    lo = order_listings(s, d).select("listing_id", "city", F.lit("old").alias("evidence"))
+    lo = order_listings(s, d).select("listing_id", "city", "status", F.lit("old").alias("evidence"))
     updates = _owners(s, d).select("listing_id", "evidence", F.lit(1).alias("ordinal"))
-    late = lo.filter("listing_id % 5 = 0").select("listing_id", F.lit("later signal").alias("evidence"), F.lit(2).alias("ordinal"))
-    return exports.backfill_column(lo, updates.unionByName(late), "listing_id", "evidence", "ordinal", "no evidence recorded")
+    late = lo.filter("status = 'P'").select("listing_id", F.lit("later signal").alias("evidence"), F.lit(2).alias("ordinal"))
+    return exports.backfill_column(lo.drop("status"), updates.unionByName(late), "listing_id", "evidence", "ordinal", "no evidence recorded")
 
 
 def exclusive_sample(s: SparkSession, d: str) -> DataFrame:
@@ -143,10 +145,7 @@ def unique_subjects(s: SparkSession, d: str) -> DataFrame:
 
 
 def find_duplicates(s: SparkSession, d: str) -> DataFrame:
-    """Listings of one city, project and price, with the area names of the city taken out of their texts.
-
-    Clusters follow the order of ids, which one SQL statement cannot express; tests compare with a plain loop.
-    """
+    """Listings of one city, project and price, with the area names of the city taken out of their texts."""
     areas = _area_of_nation(s, d).groupBy("city").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "corridor")))["corridor"].alias("areas"))
     rows = raw_listings(s, d).join(F.broadcast(areas), "city", "left").withColumns(
         {
@@ -156,7 +155,7 @@ def find_duplicates(s: SparkSession, d: str) -> DataFrame:
             "poster": C.poster_name(F.col("posted_by_raw")),
         }
     )
-    pairs = duplicates.find_duplicates(rows, ["city", "project", "price_inr"], "listing_id", "description_raw", "poster", "corridor", F.col("areas"), similarity="parity")
+    pairs = duplicates.find_duplicates(rows, ["city", "project", "price_inr"], "listing_id", "description_raw", "poster", "corridor", F.col("areas"), similarity="jaccard")
     groups = duplicates.duplicate_groups(pairs)
     return groups.select("canonical_id", F.size("duplicate_ids").alias("n"), F.array_join(F.col("duplicate_ids").cast("array<string>"), ";").alias("duplicates"), F.array_join("corridors_seen", ";").alias("seen"))
 
@@ -203,7 +202,7 @@ def _snapshot(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     subjects = supplier.select("s_suppkey", "s_name", F.col("n_name").alias("city_name"), "query")
     k = F.col("s_suppkey")
     place = F.when(k % 5 == 0, "Real Estate Group").otherwise(F.concat("s_name", F.lit(" Realty")))
-    found = supplier.filter("s_suppkey % 7 > 0").select("query", F.lit("OK").alias("status"), place.alias("name"), F.when(k % 3 == 0, "Elsewhere 1").otherwise(F.concat(F.lit("1 Road, "), "n_name")).alias("formatted_address"), F.concat(F.lit("p"), k.cast("string")).alias("place_id"), (k % 5).cast("double").alias("rating"), (k % 100).alias("reviews"))
+    found = supplier.filter("s_acctbal > 0").select("query", F.lit("OK").alias("status"), place.alias("name"), F.when(k % 3 == 0, "Elsewhere 1").otherwise(F.concat(F.lit("1 Road, "), "n_name")).alias("formatted_address"), F.concat(F.lit("p"), k.cast("string")).alias("place_id"), (k % 5).cast("double").alias("rating"), (k % 100).alias("reviews"))
     return subjects, found
 
 
@@ -218,7 +217,7 @@ def match_coverage(s: SparkSession, d: str) -> DataFrame:
 
 def cache_upsert(s: SparkSession, d: str) -> DataFrame:
     subjects, found = _snapshot(s, d)
-    cache = found.filter("reviews % 2 = 0").select("query", "place_id", F.lit("cached").alias("origin"))
+    cache = found.filter("rating >= 2").select("query", "place_id", F.lit("cached").alias("origin"))
     hits, misses = matching.split_cached(subjects, cache, ["query"])
     fresh = misses.join(found, "query").filter("status = 'OK'").select("query", "place_id", F.lit("fresh").alias("origin"))
     table = matching.upsert(cache, fresh, ["query"])
@@ -279,8 +278,8 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
 
 
 def name_sets(s: SparkSession, d: str) -> DataFrame:
-    a = read(s, d, "customer").select("c_nationkey").withColumnRenamed("c_nationkey", "k").filter("k % 2 = 0").distinct()
-    b = read(s, d, "supplier").select(F.col("s_nationkey").alias("k")).filter("k % 3 = 0").distinct()
+    a = read(s, d, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")).distinct()
+    b = read(s, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct()
     return exports.combine([exports.only_in(a, b, "k").withColumn("side", F.lit("only")), exports.in_both(a, b, "k").withColumn("side", F.lit("both"))])
 
 
@@ -293,7 +292,7 @@ def society_export(s: SparkSession, d: str) -> DataFrame:
 
 def broker_export(s: SparkSession, d: str) -> DataFrame:
     agents = broker_activity(s, d).drop("display")
-    contacts = read(s, d, "supplier").filter("s_suppkey % 4 = 0").join(_area_of_nation(s, d), F.col("s_nationkey") == F.col("n_nationkey")).select("city", F.lower("s_name").alias("agent"), F.concat(F.lit("+91 "), F.col("s_suppkey").cast("string")).alias("phone"))
+    contacts = read(s, d, "supplier").filter("s_acctbal > 5000").join(_area_of_nation(s, d), F.col("s_nationkey") == F.col("n_nationkey")).select("city", F.lower("s_name").alias("agent"), F.concat(F.lit("+91 "), F.col("s_suppkey").cast("string")).alias("phone"))
     return exports.broker_export(agents, contacts, exclusive_sample(s, d), ["city", "agent"], ["city", "corridor", "agent"])
 
 
@@ -385,6 +384,112 @@ def unclassified(s: SparkSession, d: str) -> DataFrame:
     return todo.join(done, "lang", "left")
 
 
+def _described(s: SparkSession, d: str) -> DataFrame:
+    """Orders as raw listings whose description says what their segment and priority stand for."""
+    first = {"AUTOMOBILE": "Owner is an NRI", "BUILDING": "Power of Attorney holder will sign", "FURNITURE": "Buy or invest in this city", "HOUSEHOLD": "Visit by prior appointment", "MACHINERY": "currently rented at 20000"}
+    second = {"1-URGENT": ", call only after 7 pm", "2-HIGH": ", vacant for 8 months", "3-MEDIUM": ", owner not local", "4-NOT SPECIFIED": ", seller settled overseas", "5-LOW": ", call +44 20"}
+    said = lambda c, table: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col(c)), F.lit(""))
+    orders = read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.select(
+        F.col("o_orderkey").alias("listing_id"), "o_orderstatus", "o_orderpriority", F.lit("2 BHK Flat").alias("title"), F.concat("c_mktsegment", F.lit(" CHS")).alias("society_name_raw"),
+        F.format_string("%.5f Lac", F.floor("o_totalprice") / 1e5).alias("price_raw"), F.lit("Ready to Move").alias("status"), F.format_string("%d sqft", F.floor("o_totalprice") % 900 + 100).alias("carpet_area_raw"),
+        F.concat(F.lit("Owner: "), "c_name").alias("posted_by_raw"), F.lit("Updated 3 days ago").alias("posted_recency_raw"), F.concat(said("c_mktsegment", first), said("o_orderpriority", second)).alias("description_raw"),
+    )
+
+
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    """Finished orders are classified already."""
+    raw = _described(s, d)
+    return jobs.classify_listings(raw, raw.filter("o_orderstatus = 'F'").select("listing_id"), "listing_id", F.lit("2002-01-01").cast("date"))
+
+
+def classify_listings(s: SparkSession, d: str) -> DataFrame:
+    return _classified(s, d).select("listing_id", "price_inr", "area_sqft", "role", "days_since_posted", "society_key", "intl_contact_hint", *listings.FLAG_RULES)
+
+
+def classified_leads(s: SparkSession, d: str) -> DataFrame:
+    rows = _classified(s, d).withColumns({"price": F.col("price_inr"), "area": F.col("area_sqft")})
+    listed = s.createDataFrame([("building",)], "society_key string")
+    out = scores.listing_leads(rows, listings.STRONG_FLAGS, listings.WEAK_FLAGS, ["o_orderpriority"], listed, "society_key")
+    return out.select("listing_id", "lead_score", "tier", F.array_join("matched_signals", ";").alias("signals"))
+
+
+def dedup_listings(s: SparkSession, d: str) -> DataFrame:
+    """The report of the whole job: raw order lines, duplicates marked in their city by project, price and like text or equal owner."""
+    rows = raw_listings(s, d).withColumns({"id": F.col("listing_id"), "price_inr": C.price_inr(F.col("price_raw")), "poster": C.poster_name(F.col("posted_by_raw")), "duplicate_of_id": F.lit(None).cast("string")})
+    return jobs.dedup_listings(rows, similarity="jaccard").report
+
+
+def _entities(s: SparkSession, d: str) -> jobs.Resolved:
+    dim = read(s, d, "part").filter("p_size <= 10").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("dim_id"))
+    return jobs.resolve_entities(_written_names(s, d), "p_partkey", "written", dim, read(s, d, "part").select(F.col("p_name").alias("name")))
+
+
+def resolve_entities(s: SparkSession, d: str) -> DataFrame:
+    found = _entities(s, d)
+    named = found.dimension.select("dim_id", "name")
+    return found.rows.join(named, "dim_id", "left").select("p_partkey", "written", "dim_id", "name")
+
+
+def resolved_vacancy(s: SparkSession, d: str) -> DataFrame:
+    rows = line_listings(s, d).select("listing_id", "city", "society_raw", "age")
+    return jobs.society_vacancy(rows, "listing_id", ["city"], "society_raw", _dimension(s, d), 0.7, (600, 1000), 3000)
+
+
+def coverage_plan(s: SparkSession, d: str) -> DataFrame:
+    names = _area_of_nation(s, d).select(F.col("city").alias("city_id"), F.col("corridor").alias("name"))
+    return jobs.coverage(names, corridor_metrics(s, d).filter("comps >= 10").select(F.col("corridor").alias("name")), "http://s/")
+
+
+def _datasets(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    brokers = broker_export(s, d).withColumn("contact_available", F.col("phone").isNotNull())
+    return jobs.export_datasets(city_summary(s, d), corridor_export(s, d), society_export(s, d), brokers, candidate_signals(s, d), read(s, d, "pages").select("page_id", "url"))
+
+
+def export_stats(s: SparkSession, d: str) -> DataFrame:
+    return _datasets(s, d)["stats"]
+
+
+def exports_written(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each dataset, read back from its JSON."""
+    path = new_path(s, "exports")
+    jobs.write_exports(_datasets(s, d), path)
+    drop_at_exit(s, path)
+    names = ("cities", "corridors", "societies", "brokers", "absentee_candidates", "nri_directory", "stats")
+    return exports.combine([s.read.text(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("dataset"), "n") for n in names])
+
+
+def broker_slices(s: SparkSession, d: str) -> DataFrame:
+    """Agents per city, read back from the slices that the job replaces; two of the five cities are written."""
+    path = new_path(s, "slices")
+    jobs.replace_cities(broker_activity(s, d), path, "city", ["ASIA", "EUROPE"])
+    drop_at_exit(s, path)
+    return s.read.option("basePath", path).parquet(path).groupBy("city").agg(F.count("*").alias("n"), F.sum("n_listings").alias("n_listings"))
+
+
+def enriched_lookups(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers looked up in a snapshot; those with a large balance are in the cache already."""
+    subjects = read(s, d, "supplier").join(read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "s_acctbal", F.col("n_name").alias("city_name"))
+    places = subjects.withColumn("query", F.concat("s_name", F.lit(" "), "city_name")).withColumns(
+        {
+            "status": F.when(F.col("s_acctbal") < 0, "OVER_LIMIT").when(F.col("s_acctbal") < 1000, "ZERO_RESULTS").otherwise("OK"),
+            "name": F.when(F.col("s_acctbal") >= 1000, F.concat("s_name", F.lit(" Realty"))),
+            "formatted_address": F.concat(F.lit("1 Road, "), "city_name"), "place_id": F.concat(F.lit("p"), "s_suppkey"), "rating": F.lit(4.0), "reviews": F.col("s_suppkey"),
+        }
+    )
+    snapshot = places.select("query", "status", "name", "formatted_address", "place_id", "rating", "reviews")
+    cache = places.filter("s_acctbal > 5000").select("query", F.lit(True).alias("matched"), F.lit("cached").alias("note"), "place_id", "rating", "reviews")
+    return jobs.enrich_from_snapshot(subjects, cache, snapshot, "city_name", "s_name", ["s_suppkey"]).lookups.select("query", "matched", "note", "place_id", "reviews")
+
+
+def agents_by_area(s: SparkSession, d: str) -> DataFrame:
+    return exports.by_name(broker_activity(s, d).select("city", "corridor", "agent", "n_listings"), "city", "corridor", [F.desc("n_listings"), "agent"])
+
+
+def cities_in_order(s: SparkSession, d: str) -> DataFrame:
+    return exports.in_city_order(order_listings(s, d).select("listing_id", "city"), "city", ["EUROPE", "ASIA", "AMERICA"], ["listing_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -394,5 +499,7 @@ QUERIES = {
         page_facts, page_registrations, page_fragments, text_flags, text_tokens, page_links, csv_rows, typed_rows, coverage, name_sets, society_export, broker_export,
         corridor_export, city_summary, global_stats, rollup_counts, age_histogram, load_volume, share_of_max, search, drill_down, city_membership, top_page,
         sorted_listings, lowest_listings, city_alias, area_reasons, unclassified,
+        classify_listings, classified_leads, dedup_listings, resolve_entities, resolved_vacancy, coverage_plan, export_stats, exports_written, broker_slices, enriched_lookups,
+        agents_by_area, cities_in_order,
     )
 }
