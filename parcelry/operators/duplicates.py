@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import name_key, strip_tokens
+from parcelry.sources.scratch import keep
 
 _PAIRED = "canonical_id {id}, duplicate_id {id}, similarity double, corridor string, canonical_corridor string"
 
@@ -21,16 +22,40 @@ def find_duplicates(
 
     A listing joins the first cluster whose first member it resembles (``similarity`` at the threshold, or an
     equal owner name), else it starts one. ``similarity``: "parity" is difflib with its junk heuristic, "ratio" difflib
-    without, "jaccard" shared words. Two empty texts are no evidence. Only buckets of two rows or more move;
-    a bucket is one project at one price, streamed row by row in id order, and the task holds its leaders only.
+    without, "jaccard" shared words. Two empty texts are no evidence. Only buckets of two rows or more move.
+
+    Rows of a bucket that are equal in text and owner go the way of the first of them, so they are counted as one, whatever their number; the
+    distinct ones are streamed in id order, and the task of a bucket (one project at one price) holds its leaders only.
     """
-    rows = df.select(*key_cols, F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), strip_tokens(F.col(text_col), tokens).alias("text"), name_key(F.col(owner_col)).alias("owner"), (F.coalesce(F.length(text_col), F.lit(0)) > 0).alias("has_text"))
+    text, owner = strip_tokens(F.col(text_col), tokens), name_key(F.col(owner_col))
+    rows = df.select(*key_cols, F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), text.alias("text"), owner.alias("owner"), (F.coalesce(F.length(text_col), F.lit(0)) > 0).alias("has_text"))
     rows = rows.dropna(subset=list(key_cols))
     shared = rows.groupBy(*key_cols).count().filter("count > 1").drop("count")
     bucket = rows.join(shared, list(key_cols), "left_semi").withColumn("key", F.to_json(F.struct(*key_cols))).select("key", "id", "corridor", "text", "owner", "has_text")
-    ordered = bucket.repartition("key").sortWithinPartitions("key", "id")
     kind = dict(rows.dtypes)["id"]
-    return ordered.mapInArrow(lambda batches: _clusters(batches, threshold, similarity), _PAIRED.format(id=kind))
+    # Rows that are no evidence for one another, by text or owner, stay apart.
+    says = (F.col("has_text") & (F.length(F.trim("text")) > 0)) | (F.length("owner") > 0)
+    bucket = bucket.withColumns({"says": F.coalesce(says, F.lit(False))})
+    bucket = keep(bucket.withColumn("apart", F.when(~F.col("says"), F.col("id"))), "buckets")
+    first = bucket.groupBy("key", "text", "owner", "has_text", "apart").agg(F.min(F.struct("id", "corridor")).alias("first")).select("key", "first.id", "first.corridor", "text", "owner", "has_text")
+    first = keep(first, "first")
+    ordered = first.repartition("key").sortWithinPartitions("key", "id")
+    pairs = keep(ordered.mapInArrow(lambda batches: _clusters(batches, threshold, similarity), _PAIRED.format(id=kind)), "pairs")
+
+    again = bucket.join(first.select(F.col("id").alias("__first")), F.col("id") == F.col("__first"), "left_anti").filter("says")
+    alone = first.select("key", "text", "owner", "has_text", F.col("id").alias("first_id"), F.col("corridor").alias("first_corridor"))
+    same = (alone["key"] == again["key"]) & (alone["text"] == again["text"]) & alone["owner"].eqNullSafe(again["owner"]) & (alone["has_text"] == again["has_text"])
+    again = again.join(alone, same).select(again["id"], again["corridor"], again["text"], again["has_text"], "first_id", "first_corridor")
+    led = pairs.select(F.col("duplicate_id").alias("first_id"), "canonical_id", "similarity", "canonical_corridor")
+    itself = F.when(F.col("has_text") & ((F.lit(similarity) != "jaccard") | (F.length(F.trim("text")) > 0)), 1.0).otherwise(0.0)
+    again = again.join(led, "first_id", "left").select(
+        F.coalesce("canonical_id", "first_id").alias("canonical_id"),
+        F.col("id").alias("duplicate_id"),
+        F.when(F.col("canonical_id").isNull(), itself).otherwise(F.col("similarity")).alias("similarity"),
+        "corridor",
+        F.when(F.col("canonical_id").isNull(), F.col("first_corridor")).otherwise(F.col("canonical_corridor")).alias("canonical_corridor"),
+    )
+    return pairs.unionByName(again)
 
 
 def _alike(a: str, b: str, how: str) -> float:

@@ -191,7 +191,7 @@ _BROKERS = f"""{_AGENTS}, exported AS (
 )"""
 
 ORACLES = {
-    "find_duplicates": f"""{_CLUSTERS}
+    "duplicate_clusters": f"""{_CLUSTERS}
 SELECT leader AS canonical_id, count(*)::INT AS n, string_agg(id, ';' ORDER BY id) AS duplicates, array_to_string(list_sort(list_distinct(list_append(list(corridor), any_value(leader_corridor)))), ';') AS seen
 FROM walk WHERE leader IS NOT NULL GROUP BY leader""",
     "dedup_listings": f"""{_CLUSTERS}, marks AS (SELECT id FROM walk WHERE leader IS NOT NULL)

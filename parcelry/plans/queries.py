@@ -144,7 +144,7 @@ def unique_subjects(s: SparkSession, d: str) -> DataFrame:
     return ranks.unique_subjects(_agents(s, d).withColumn("shown", shown), ["city", "agent"], "shown", _ORDER)
 
 
-def find_duplicates(s: SparkSession, d: str) -> DataFrame:
+def _duplicate_groups(s: SparkSession, d: str, similarity: str) -> DataFrame:
     """Listings of one city, project and price, with the area names of the city taken out of their texts."""
     areas = _area_of_nation(s, d).groupBy("city").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "corridor")))["corridor"].alias("areas"))
     rows = raw_listings(s, d).join(F.broadcast(areas), "city", "left").withColumns(
@@ -155,11 +155,21 @@ def find_duplicates(s: SparkSession, d: str) -> DataFrame:
             "poster": C.poster_name(F.col("posted_by_raw")),
         }
     )
-    pairs = duplicates.find_duplicates(rows, ["city", "project", "price_inr"], "listing_id", "description_raw", "poster", "corridor", F.col("areas"), similarity="jaccard")
+    pairs = duplicates.find_duplicates(rows, ["city", "project", "price_inr"], "listing_id", "description_raw", "poster", "corridor", F.col("areas"), similarity=similarity)
     groups = duplicates.duplicate_groups(pairs)
     return groups.select("canonical_id", F.size("duplicate_ids").alias("n"), F.array_join(F.col("duplicate_ids").cast("array<string>"), ";").alias("duplicates"), F.array_join("corridors_seen", ";").alias("seen"))
 
 
+def find_duplicates(s: SparkSession, d: str) -> DataFrame:
+    """By difflib's similarity, which SQL lacks; tests compare with a plain loop."""
+    return _duplicate_groups(s, d, "parity")
+
+
+def duplicate_clusters(s: SparkSession, d: str) -> DataFrame:
+    """By shared words."""
+    return _duplicate_groups(s, d, "jaccard")
+
+
 def duplicate_marks(s: SparkSession, d: str) -> DataFrame:
     """Orders of one customer at the same price per thousand are marked by equal owners, through the same operator."""
     lo = order_listings(s, d).filter("duplicate_of_id IS NULL").withColumn("bucket", F.floor(F.col("price") / 20000))
@@ -495,7 +505,7 @@ QUERIES = {
     for f in (
         broker_activity, society_fit, rank_corridors, corridor_drill_down, normalise_listings, canonical_scan, decode_payload, candidate_signals, attach_candidates,
         evidence_backfill, exclusive_sample, listing_fit, listing_leads, absentee_density, corridor_absentee, society_vacancy, ranked_society_table, band_metrics, band_status,
-        percentile_rank, unique_subjects, find_duplicates, duplicate_marks, resolve_names, match_report, unmatched_names, seed_dimension, confidence_match, match_coverage, cache_upsert,
+        percentile_rank, unique_subjects, find_duplicates, duplicate_clusters, duplicate_marks, resolve_names, match_report, unmatched_names, seed_dimension, confidence_match, match_coverage, cache_upsert,
         page_facts, page_registrations, page_fragments, text_flags, text_tokens, page_links, csv_rows, typed_rows, coverage, name_sets, society_export, broker_export,
         corridor_export, city_summary, global_stats, rollup_counts, age_histogram, load_volume, share_of_max, search, drill_down, city_membership, top_page,
         sorted_listings, lowest_listings, city_alias, area_reasons, unclassified,

@@ -108,7 +108,9 @@ def leaders(items, how, threshold=0.6):
     out, clusters = [], []
     for i, text, owner in sorted(items):
         for c in clusters:
-            near = difflib.SequenceMatcher(None, c[1], text, autojunk=how == "parity").ratio() if c[1] and text else 0.0
+            words, own = set(c[1].split()), set(text.split())
+            near = len(words & own) / max(len(words | own), 1) if how == "jaccard" else difflib.SequenceMatcher(None, c[1], text, autojunk=how == "parity").ratio()
+            near = near if c[1] and text else 0.0
             if near >= threshold or (owner and owner == c[2]):
                 out.append((c[0], i, round(near, 4)))
                 break
@@ -117,10 +119,11 @@ def leaders(items, how, threshold=0.6):
     return out
 
 
-@pytest.mark.parametrize("how", ["ratio", "parity"])
+@pytest.mark.parametrize("how", ["ratio", "parity", "jaccard"])
 def test_leader_clusters_match_a_plain_loop(spark, how):
     rng = random.Random(2)
     data = [(k, i, "".join(rng.choice("ab ") for _ in range(12)), rng.choice([None, None, "p", "q"]), "x") for k in "uvw" for i in rng.sample(range(1000), 30)]
+    data += [(k, 1000 + i, rng.choice(["a a bb", "ab ba", "  ", "", "a a bb"]), rng.choice([None, "p", "q", ""]), "x") for i, k in enumerate("uvw" * 40)]
     data += [("solo", 5, "text", None, "x"), (None, 6, "text", None, "x")]
     pairs = duplicates.find_duplicates(spark.createDataFrame(data, "k string, id long, t string, o string, c string"), ["k"], "id", "t", "o", "c", similarity=how)
     want = sorted(p for k in "uvw" for p in leaders([(i, t, o) for kk, i, t, o, _ in data if kk == k], how))
@@ -289,3 +292,19 @@ def test_resolve_loses_no_match_at_any_cutoff(spark, how, cutoff):
 def test_numbers_run_through_all_ranges(spark):
     got = ranks.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7), ["k"], "n").collect()
     assert sorted((r["n"], r["k"]) for r in got) == [(k + 1, k) for k in range(1000)]
+
+
+def test_flags_follow_their_rules_and_not_a_general_call(spark):
+    said = {
+        "Owner is an NRI": "flag_nri_mention", "POA available": "flag_poa_mention", "seller currently settled overseas": "flag_owner_abroad", "Owner not local": "flag_owner_not_local",
+        "visit by prior appointment": "flag_visit_by_appointment_only", "call only after 7 pm": "flag_calling_hours_hint", "vacant for 8 months": "flag_long_vacant_or_tenanted",
+        "currently rented at 30000": "flag_investment_property_mention", "Buy or invest in Pune today": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    got = {r["t"]: [c for c in listings.FLAG_RULES if r[c]] for r in listings.text_flags(df, ["t"]).collect()}
+    assert got == {t: [f] if f else [] for t, f in said.items()}
+
+
+def test_city_outputs_come_in_a_given_order(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 1), ("b", 1), ("c", 9)], "city string, k int")
+    assert [tuple(r) for r in exports.in_city_order(df, "city", ["b", "a", "z"], ["k"]).select("city", "k", "n_city").collect()] == [("b", 1, 2), ("b", 2, 2), ("a", 1, 1)]
