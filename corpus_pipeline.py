@@ -2,6 +2,11 @@
 
 Toxic documents go, repeated lines go, one document of each near-duplicate class stays, documents with
 benchmark passages go, and what is left is packed into training sequences.
+
+Every stage but the last takes and returns the columns of COLUMNS; other columns of its input are left out, whatever their names. A null or empty
+text is clean, has no lines to lose, resembles nothing and holds no passage, so such a document reaches the last stage, where it takes a row of 0
+words. Rows that repeat in full are copies of one another: they lose the lines they share with the smallest, and one of them stays. Documents with
+a null id are kept like others. An empty table gives an empty result. What becomes of repeated ids, ties and very long texts is said at each operator.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from parcelry.llm.lines import remove_repeated_lines
 from parcelry.llm.neardup import near_duplicate_classes
 from parcelry.llm.packing import pack_best_fit
 from parcelry.llm.queries import severity_labels
-from parcelry.sources.scratch import keep
+from parcelry.sources.scratch import discard, keep, tables_of
 from parcelry.llm.toxicity import fit_severity, score_severity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,10 +57,20 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written as Parquet and read back as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; each result is written as Parquet and read back as the next one's input.
+
+    What a stage keeps on the way goes as soon as its result is written, and the result as soon as the next one is.
+    """
+    docs = last = None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        source = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
+        stay: list[DataFrame] = []
+        with tables_of(spark, but=stay):
+            docs = keep(stage(spark, source, sf_dir), f"stage-{name}")
+            stay.append(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
