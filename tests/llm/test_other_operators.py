@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,6 +182,33 @@ def test_packing_is_whole_and_tight(spark):
     assert sorted((r["id"], r["n_tokens"]) for r in given) == [(1, 0), (2, 0), (3, 5)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_opens_the_size_of_least_cost(seed):
+    """Each step against plain searches: the tightest open bin, or else the size whose cost per token is least when filled by what still waits, longest first."""
+    rng = random.Random(seed)
+    sizes = ((8, 16, 32), (4, 64), (10, 20, 40, 80), (32,))[seed]
+    lengths = sorted((rng.randrange(0, sizes[-1] + 1) for _ in range(300)), reverse=True)
+    at, used = best_fit(lengths, sizes, sequence_cost)
+    room, held = {}, Counter()
+    for i, (n, b) in enumerate(zip(lengths, at)):
+        fitting = [r for r in room.values() if r >= n]
+        if b in room:
+            assert room[b] == min(fitting)
+        else:
+            assert not fitting and b == len(room)
+
+            def price(size):
+                left = size - n
+                for m in lengths[i + 1 :]:
+                    left -= m if m <= left else 0
+                return sequence_cost(size) / max(1, size - left)
+
+            room[b] = min((s for s in sizes if s >= n), key=price)
+        room[b] -= n
+        held[b] += n
+    assert [held[b] for b in range(len(used))] == used and all(r >= 0 for r in room.values())
+
+
 # Sharding -------------------------------------------------------------------------------------------
 
 
