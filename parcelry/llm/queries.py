@@ -17,6 +17,7 @@ from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.substrings import remove_repeated_passages
 from parcelry.llm.topk import integer_vectors, top_inner_products
 from parcelry.llm.toxicity import fit_severity, score_severity
+from parcelry.llm.whitening import fixed_point, whiten
 from parcelry.llm.warc import merge_index, read_archives, url_key, write_archives
 
 
@@ -99,6 +100,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(integer_vectors(_read(spark, sf_dir, "embeddings")), queries="vec_id % 20 = 0", k=20)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without SQL, which has no eigenvectors; tests compare with numpy over all rows."""
+    vectors = fixed_point(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", scale=64, offset=1_000_000)
+    return whiten(vectors.select("vec_id", "x"), components=16)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     digest = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
@@ -122,6 +129,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_minhash_near_dedup,
         op10_exact_top_k,
+        op12_embedding_whitening,
         op13_merkle_manifest,
     )
 }
