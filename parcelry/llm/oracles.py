@@ -179,3 +179,59 @@ WITH RECURSIVE leaves AS (
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.before || s.after), '')) AS proof_sha256, node AS folded_root, node = root AS verified
 FROM folds f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source JOIN (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) ON true WHERE done = len(path)
 """
+
+# Jensen-Shannon distance of two lists of counts.
+_JS = """CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z:
+  CASE WHEN z[1] > 0 THEN z[1] / list_sum({p}) * log2(z[1] / list_sum({p}) / ((z[1] / list_sum({p}) + z[2] / list_sum({q})) / 2)) ELSE 0 END
+  + CASE WHEN z[2] > 0 THEN z[2] / list_sum({q}) * log2(z[2] / list_sum({q}) / ((z[1] / list_sum({p}) + z[2] / list_sum({q})) / 2)) ELSE 0 END)), 0) / 2) END"""
+_CLASSES = ("a-z", "A-Z", "0-9", r" \t", r"\n", r".,;:''\"()?!\-", r"#*$%&|<>", r"\x{80}-\x{2FF}", r"\x{300}-\x{10FFFF}")
+_COUNTED = ", ".join(f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in _CLASSES)
+_SUMS = ", ".join(f"sum(chars[{i}])" for i in range(1, 11))
+_NEAR = "passed AND (list_sum(chars) < 500 OR " + _JS.format(p="chars", q="ref") + " < 0.2)"
+OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS plain, [{_COUNTED}] AS known
+  FROM d
+), windows AS (
+  SELECT doc_id, i, ws[i : i + 7] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1)
+  ) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, lang, plain, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, list_concat(known[1:7], [length(t) - list_sum(known)], known[8:9]) AS chars,
+         len(ws) >= 20 AND 100 * coalesce(r.n, 0) <= 30 * len(ws) AS passed
+  FROM w LEFT JOIN repeated r USING (doc_id)
+), counts AS (
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(plain) AS word FROM base) GROUP BY ALL
+), large AS (
+  SELECT lang, sum(n) AS total FROM counts GROUP BY lang HAVING sum(n) >= 0.001 * (SELECT sum(n) FROM counts)
+), top AS (
+  SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS nth FROM counts SEMI JOIN large USING (lang) QUALIFY nth <= 50
+), words AS (
+  SELECT lang, list(word ORDER BY nth) AS common, list_concat(list(n ORDER BY nth), [(any_value(total) - sum(n))::BIGINT]) AS ref FROM top JOIN large USING (lang) GROUP BY lang
+), r0 AS (
+  SELECT lang, [{_SUMS}] AS ref FROM base SEMI JOIN large USING (lang) WHERE passed GROUP BY lang
+), r1 AS (
+  SELECT lang, [{_SUMS}] AS ref FROM base JOIN r0 USING (lang) WHERE {_NEAR} GROUP BY lang
+), r2 AS (
+  SELECT lang, [{_SUMS}] AS ref FROM base JOIN r1 USING (lang) WHERE {_NEAR} GROUP BY lang
+), own AS (
+  SELECT doc_id, list(n ORDER BY nth) AS h FROM (
+    SELECT k.doc_id, k.nth, count(p.word) AS n FROM (SELECT doc_id, lang, unnest(range(1, len(ref) + 1)) AS nth, common, plain FROM base JOIN words USING (lang)) k
+    LEFT JOIN (SELECT doc_id, coalesce(nth, (SELECT len(common) + 1 FROM words x WHERE x.lang = u.lang)) AS nth, word FROM (SELECT doc_id, lang, unnest(plain) AS word FROM base) u LEFT JOIN top USING (lang, word)) p
+      ON p.doc_id = k.doc_id AND p.nth = k.nth
+    GROUP BY ALL
+  ) GROUP BY doc_id
+), js AS (
+  SELECT b.*, {_JS.format(p="chars", q="r2.ref")} AS c, {_JS.format(p="h", q="words.ref")} AS v, list_sum(h) AS n_plain
+  FROM base b LEFT JOIN r2 USING (lang) LEFT JOIN words USING (lang) LEFT JOIN own USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT passed AS base_failed, floor(c * 1e6 + 0.5) / 1e6 AS js_chars, floor(v * 1e6 + 0.5) / 1e6 AS js_words,
+       passed AND NOT coalesce(list_sum(chars) >= 500 AND c > 0.14 + 2.6 / sqrt(list_sum(chars)), false) AND NOT coalesce(n_plain >= 100 AND v > 0.10 + 3.2 / sqrt(n_plain), false) AS kept
+FROM js
+"""

@@ -13,6 +13,7 @@ from parcelry.llm.merkle import folded_root, leaf_digest, merkle_manifest, proof
 from parcelry.llm.neardup import near_duplicate_classes
 from parcelry.llm.packing import pack_best_fit
 from parcelry.sources.scratch import drop_at_exit, new_path
+from parcelry.llm.rules import quality_rules
 from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.substrings import remove_repeated_passages
 from parcelry.llm.topk import integer_vectors, top_inner_products
@@ -100,6 +101,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(integer_vectors(_read(spark, sf_dir, "embeddings")), queries="vec_id % 20 = 0", k=20)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    rounded = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", rounded("js_chars").alias("js_chars"), rounded("js_words").alias("js_words"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without SQL, which has no eigenvectors; tests compare with numpy over all rows."""
     vectors = fixed_point(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", scale=64, offset=1_000_000)
@@ -129,6 +136,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_minhash_near_dedup,
         op10_exact_top_k,
+        op11_quality_rules,
         op12_embedding_whitening,
         op13_merkle_manifest,
     )
@@ -141,5 +149,6 @@ ORACLES = {
     "op7_benchmark_decontamination": oracles.OP7,
     "op8_chat_formatting": oracles.OP8,
     "op10_exact_top_k": oracles.OP10,
+    "op11_quality_rules": oracles.OP11,
     "op13_merkle_manifest": oracles.OP13,
 }
