@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from parcelry.llm.components import connected_components
 from parcelry.sources.scratch import discard, keep
 from parcelry.llm.names import unused
+from parcelry.llm.lookups import looked_up
 from parcelry.llm.words import PLAIN, Words, mix, slices
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 _GROUP_WORDS = 30_000
 _CHUNK_WORDS = 50_000
-_HOT_KEYS = 2048
 
 
 def near_duplicate_classes(
@@ -79,7 +79,7 @@ def near_duplicate_classes(
         "bands",
     )
     sizes = keep(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    shared = keep(_looked_up(bucketed, sizes, "bucket", "size"), "shared")
+    shared = keep(looked_up(bucketed, sizes, "bucket", "size"), "shared")
     discard(nodes, bucketed, sizes)
     # Only texts that share a bucket are compared; they move once here, and later joins move them alone.
     # Lists of nodes grow with the corpus, so joins with texts are merges at every size.
@@ -118,17 +118,6 @@ def _sizes_allow(a: str, b: str, threshold: float) -> F.Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(threshold)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
-    """The inner join of two written tables by ``key``, where ``size`` of ``table`` is the number of ``rows`` with that key, spread over tasks.
-
-    Fewer than _HOT_KEYS keys can hold more than that part of the rows each; these keys are broadcast, and their rows stay where they are.
-    """
-    hot = F.col(size) > F.lit(rows.count() / _HOT_KEYS)
-    few = F.broadcast(table.filter(hot))
-    rest = rows.join(few.select(key), key, "left_anti").join(table.filter(~hot).hint("merge"), key)
-    return rows.join(few, key).unionByName(rest)
-
-
 def _prefixes(left: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """(node, n, component, spare, h): the rarest shingles of the members of divided buckets, as many as a link needs.
 
@@ -139,7 +128,7 @@ def _prefixes(left: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     nodes = left.select("node", "n", "component").distinct()
     counted = keep(nodes.join(texts.hint("merge"), "node").select("node", "text").mapInArrow(lambda batches: _shingles(batches, shingle), "node long, h long, w long"), "shingles")
     common = keep(counted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    shared = keep(_looked_up(counted, common, "h", "df"), "shared")
+    shared = keep(looked_up(counted, common, "h", "df"), "shared")
     spare = shared.groupBy("node").agg(F.sum("w").alias("spare"))
     room = F.col("spare") - F.ceil(F.col("n") * F.lit(threshold) - 1e-6) + 1
     able = keep(nodes.join(spare, "node").withColumn("room", room).filter("room > 0"), "able")
@@ -160,7 +149,7 @@ def _linked_across(left: DataFrame, texts: DataFrame, shingle: int, threshold: f
     prefixes = _prefixes(left, texts, shingle, threshold)
     ends = prefixes.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a"), F.count("*").alias("times"))
     ends = keep(ends.filter("low < high").select("h", "a", "times"), "ends")
-    met = keep(_looked_up(prefixes, ends, "h", "times").select("a", F.col("node").alias("b")).distinct(), "met")
+    met = keep(looked_up(prefixes, ends, "h", "times").select("a", F.col("node").alias("b")).distinct(), "met")
     families = connected_components(met)
     able = prefixes.select("node", "n", "component", "spare").distinct()
     members = keep(able.join(families.select("node", F.col("component").alias("family")), "node"), "family")

@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.llm.lookups import looked_up
 from parcelry.llm.names import unused
 from parcelry.sources.scratch import discard, keep
 
-_HOT_KEYS = 2048
 _MATRIX_ENTRIES = 4 << 20  # numbers that the matrices of one round of vector lengths hold together
 _ROUNDING = 1e-11  # an eigenvalue below this part of the largest is rounding
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -88,7 +88,7 @@ def whiten(vectors: DataFrame, *, x_col: str = "x", components: int = 16, counts
     fitted = keep(fitted, "whitened")
     discard(distinct)
     error = _identity_error(fitted, counts)
-    each = _with_result(rows, fitted.select(F.col("key").alias(key), F.col("times").alias(times), F.col("c").alias(c)), key, times)
+    each = looked_up(rows, fitted.select(F.col("key").alias(key), F.col("times").alias(times), F.col("c").alias(c)), key, times)
     return each.select(*carried, F.explode(c).alias(key)).select(*carried, f"{key}.*", F.lit(error).cast("double").alias("identity_error"))
 
 
@@ -243,11 +243,3 @@ def _identity_error(fitted: DataFrame, counts: bool) -> float | None:
 
     entries = flat.mapInArrow(products, "dims int, i int, j int, n double, value double").groupBy("dims", "i", "j").agg((F.sum("value") / F.sum("n")).alias("value"))
     return entries.agg(F.max(F.abs(F.col("value") - (F.col("i") == F.col("j")).cast("double")))).head()[0]
-
-
-def _with_result(rows: DataFrame, table: DataFrame, key: str, times: str) -> DataFrame:
-    """Each row with what its vector has; vectors in more than one of _HOT_KEYS parts of the rows, fewer than that many, are broadcast and their rows stay where they are."""
-    hot = F.col(times) > F.lit(rows.count() / _HOT_KEYS)
-    keys = [r[0] for r in table.filter(hot).select(key).collect()]
-    mostly = rows.filter(~F.col(key).isin(keys)).join(table.filter(~hot).hint("merge"), key)
-    return rows.filter(F.col(key).isin(keys)).join(F.broadcast(table.filter(hot)), key).unionByName(mostly) if keys else mostly

@@ -122,7 +122,7 @@ def test_defined_cases(spark):
     assert sorted(r["n_words"] for r in got) == [0, 0, 1, 1, 60_000] and max(r["n_repeat_words"] for r in got) == 60_000
     # A language below the smallest share has no reference, so only the base rules count.
     rng = random.Random(1)
-    rare = " ".join(f"#{rng.random()}" for _ in range(80))
+    rare = " ".join(f"#{rng.random()}" for _ in range(40))
     many = [(i, "x", " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(4000))) for i in range(30)]
     out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame([*many, (99, "rare", rare)], DOC), carry_text=True).collect()}
     assert out[99]["kept"] and out[99]["js_chars"] is None and out[99]["text"] == rare and out[0]["js_chars"] is not None
