@@ -21,6 +21,9 @@ ENTITY_NOISE = (
 # Country codes that count as a contact abroad.
 COUNTRY_CODES = r"(\+1|\+44|\+971|\+61|\+65)[\s-]?\d"
 
+# White space of every script, and the four separators of ASCII.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
+
 
 def round_half_up(c: Column, digits: int = 0) -> Column:
     """Half-up rounding in double arithmetic, for values from 0 up."""
@@ -59,7 +62,7 @@ def bhk(c: Column) -> Column:
 
 
 def role(c: Column) -> Column:
-    prefix = F.lower(F.trim(F.substring_index(c, ":", 1)))
+    prefix = F.lower(stripped(F.substring_index(c, ":", 1)))
     return F.when(prefix == "owner", "owner").when(prefix.isin("dealer", "agent", "builder"), "agent").otherwise("unknown")
 
 
@@ -96,11 +99,16 @@ def intl_contact_hint(*texts: Column) -> Column:
 
 def poster_name(c: Column) -> Column:
     """The text after the first colon."""
-    return filled(F.trim(F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1)))
+    return filled(stripped(F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1)))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends, a space or not."""
+    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
 
 
 def name_key(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, SPACE, " ")))
 
 
 def entity_key(c: Column, patterns: Sequence[str] = ENTITY_NOISE) -> Column:
@@ -113,9 +121,10 @@ def entity_key(c: Column, patterns: Sequence[str] = ENTITY_NOISE) -> Column:
         swept = F.transform(F.array(sweep(a["name"])), lambda y: F.struct(y.alias("name"), (y == a["name"]).alias("stable")))
         return F.when(a["stable"], a).otherwise(swept[0])
 
-    # A sweep that changes a name takes three characters or more.
+    # A sweep that changes a name takes three characters or more. Most names end in no noise word and take none.
     sweeps = F.sequence(F.lit(0), F.floor(F.length(c) / 3).cast("int"))
-    return F.aggregate(sweeps, F.struct(c.alias("name"), F.lit(False).alias("stable")), step, lambda a: a["name"])
+    swept = F.aggregate(sweeps, F.struct(c.alias("name"), F.lit(False).alias("stable")), step, lambda a: a["name"])
+    return F.when(c.rlike(rf"(?:{'|'.join(patterns)})$"), swept).otherwise(c)
 
 
 def slug(c: Column) -> Column:

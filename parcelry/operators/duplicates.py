@@ -1,48 +1,50 @@
-"""Near-duplicate listings: buckets of one project and price, leader clustering inside."""
+"""Near-duplicate listings: buckets of one project and price, leader clustering inside, with no bucket in one task."""
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.functions.columns import name_key, strip_tokens
-from parcelry.sources.scratch import keep
+from parcelry.functions.columns import SPACE, name_key, strip_tokens
+from parcelry.operators.components import connected_components
+from parcelry.operators.lookups import looked_up
+from parcelry.operators.prefixes import common_tokens, ordered, set_posts, token_hash
+from parcelry.sources.scratch import discard, keep
 
-_PAIRED = "canonical_id {id}, duplicate_id {id}, similarity double, corridor string, canonical_corridor string"
+_PAIRED = "node long, canonical_id {id}, duplicate_id {id}, similarity double, corridor string, canonical_corridor string"
+_BLOCK = 512  # rows that one task clusters by comparing each with the leaders before it
+_CHUNK = 8192  # rows that one task compares with the leaders of a block
 
 
 def find_duplicates(
-    df: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str, owner_col: str, corridor_col: str, tokens: Sequence[str] | Column = (), threshold: float = 0.6, similarity: str = "ratio"
-) -> DataFrame:
+    df: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str, owner_col: str, corridor_col: str, tokens: Sequence[str] | Column = (), threshold: float = 0.6, similarity: str = "ratio",
+    leaders: DataFrame | None = None,
+) -> DataFrame:
     """Duplicates with their canonical listing, by greedy leader clustering in id order within equal keys.
 
     A listing joins the first cluster whose first member it resembles (``similarity`` at the threshold, or an
     equal owner name), else it starts one. ``similarity``: "parity" is difflib with its junk heuristic, "ratio" difflib
     without, "jaccard" shared words. Two empty texts are no evidence. Only buckets of two rows or more move.
 
-    Rows of a bucket that are equal in text and owner go the way of the first of them, so they are counted as one, whatever their number; the
-    distinct ones are streamed in id order, and the task of a bucket (one project at one price) holds its leaders only.
+    ``leaders``, as of new_leaders, are listings of earlier batches that no other has marked: all of them come before the rows of ``df``, which are compared
+    with them first and with one another after.
+
+    Rows of a bucket that are equal in text and owner go the way of the first of them, so they are counted as one, whatever their number. By words,
+    a bucket falls into families, in which alone a link is possible: rows that share an owner or one of as many of their rarest words as a link needs. By
+    difflib, a bucket is a family. A small family is clustered in one task; of a large one the first rows are, then chunks of the others are compared
+    with the leaders found, and what matches none goes on to the next round. No task holds a bucket. Runs jobs when it is called.
     """
-    text, owner = strip_tokens(F.col(text_col), tokens), name_key(F.col(owner_col))
-    rows = df.select(*key_cols, F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), text.alias("text"), owner.alias("owner"), (F.coalesce(F.length(text_col), F.lit(0)) > 0).alias("has_text"))
-    rows = rows.dropna(subset=list(key_cols))
-    shared = rows.groupBy(*key_cols).count().filter("count > 1").drop("count")
-    bucket = rows.join(shared, list(key_cols), "left_semi").withColumn("key", F.to_json(F.struct(*key_cols))).select("key", "id", "corridor", "text", "owner", "has_text")
-    kind = dict(rows.dtypes)["id"]
-    # Rows that are no evidence for one another, by text or owner, stay apart.
-    says = (F.col("has_text") & (F.length(F.trim("text")) > 0)) | (F.length("owner") > 0)
-    bucket = bucket.withColumns({"says": F.coalesce(says, F.lit(False))})
-    bucket = keep(bucket.withColumn("apart", F.when(~F.col("says"), F.col("id"))), "buckets")
-    first = bucket.groupBy("key", "text", "owner", "has_text", "apart").agg(F.min(F.struct("id", "corridor")).alias("first")).select("key", "first.id", "first.corridor", "text", "owner", "has_text")
-    first = keep(first, "first")
-    ordered = first.repartition("key").sortWithinPartitions("key", "id")
-    pairs = keep(ordered.mapInArrow(lambda batches: _clusters(batches, threshold, similarity), _PAIRED.format(id=kind)), "pairs")
-
-    again = bucket.join(first.select(F.col("id").alias("__first")), F.col("id") == F.col("__first"), "left_anti").filter("says")
+    bucket, kind = _buckets(df, key_cols, id_col, text_col, owner_col, corridor_col, tokens, leaders)
+    first = bucket.groupBy("key", "text", "owner", "has_text", "apart").agg(F.min(F.struct("late", "id", "corridor")).alias("first")).select("key", "first.late", "first.id", "first.corridor", "text", "owner", "has_text")
+    first = keep(first.withColumns({"node": F.monotonically_increasing_id(), "words": _words(F.col("text"), similarity)}), "first")
+    pairs = keep(_clustered(first, threshold, similarity, _PAIRED.format(id=kind)), "pairs")
+
+    again = bucket.join(first.select(F.col("late").alias("__late"), F.col("id").alias("__first")), (F.col("id") == F.col("__first")) & (F.col("late") == F.col("__late")), "left_anti").filter("says")
     alone = first.select("key", "text", "owner", "has_text", F.col("id").alias("first_id"), F.col("corridor").alias("first_corridor"))
     same = (alone["key"] == again["key"]) & (alone["text"] == again["text"]) & alone["owner"].eqNullSafe(again["owner"]) & (alone["has_text"] == again["has_text"])
     again = again.join(alone, same).select(again["id"], again["corridor"], again["text"], again["has_text"], "first_id", "first_corridor")
@@ -55,33 +57,159 @@ def find_duplicates(
         "corridor",
         F.when(F.col("canonical_id").isNull(), F.col("first_corridor")).otherwise(F.col("canonical_corridor")).alias("canonical_corridor"),
     )
-    return pairs.unionByName(again)
+    return pairs.drop("node").unionByName(again)
+
+
+def _buckets(df: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str, owner_col: str, corridor_col: str, tokens: Sequence[str] | Column, leaders: DataFrame | None) -> tuple[DataFrame, str]:
+    """The rows of buckets in which a link is possible; ``late`` tells rows of this batch from leaders of earlier ones, ``apart`` keeps rows that say nothing apart."""
+    text, owner = strip_tokens(F.col(text_col), tokens), name_key(F.col(owner_col))
+    has_text = F.coalesce(F.length(text_col), F.lit(0)) > 0
+    rows = df.dropna(subset=list(key_cols)).select(
+        F.to_json(F.struct(*key_cols)).alias("key"), F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), text.alias("text"), owner.alias("owner"), has_text.alias("has_text"), F.lit(True).alias("late")
+    )
+    kind = dict(rows.dtypes)["id"]
+    if leaders is not None:
+        # Leaders of keys that the batch does not have are not read on.
+        rows = rows.unionByName(leaders.join(rows.select("key").distinct(), "key", "left_semi").withColumn("late", F.lit(False)))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    says = (F.col("has_text") & (F.length(F.trim("text")) > 0)) | (F.length("owner") > 0)
+    bucket = rows.join(shared, "key", "left_semi").withColumn("says", F.coalesce(says, F.lit(False)))
+    return keep(bucket.withColumn("apart", F.when(~F.col("says"), F.struct("late", "id"))), "buckets"), kind
+
+
+def new_leaders(df: DataFrame, pairs: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str, owner_col: str, corridor_col: str, tokens: Sequence[str] | Column = ()) -> DataFrame:
+    """The listings of a batch that lead a cluster or stand alone, as find_duplicates takes them with the next batch."""
+    rows = df.dropna(subset=list(key_cols)).join(pairs.select(F.col("duplicate_id").alias(id_col)), id_col, "left_anti")
+    has_text = F.coalesce(F.length(text_col), F.lit(0)) > 0
+    return rows.select(F.to_json(F.struct(*key_cols)).alias("key"), F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), strip_tokens(F.col(text_col), tokens).alias("text"), name_key(F.col(owner_col)).alias("owner"), has_text.alias("has_text"))
+
+
+def _words(text: Column, how: str) -> Column:
+    split = F.filter(F.split(text, SPACE), lambda w: w != "") if how == "jaccard" else F.array().cast("array<string>")
+    return F.array_distinct(split)
+
+
+def _clustered(first: DataFrame, threshold: float, how: str, schema: str) -> DataFrame:
+    by_task = lambda df: df.repartition("of").sortWithinPartitions("of", "late", "id").mapInArrow(lambda batches: _clusters(batches, threshold, how), schema)
+    left, found = first, []
+    while True:
+        rows = _sized(left, left.select("node", F.col("key").alias("of")))
+        large = rows.filter(F.col("n") > _BLOCK)
+        if how == "jaccard" and threshold > 0 and large.head(1):
+            of_words = _sized(left, _families(large.select(*first.columns), threshold))
+            rows = keep(rows.filter(F.col("n") <= _BLOCK).unionByName(of_words), "families")
+            large = rows.filter(F.col("n") > _BLOCK)
+        found.append(keep(by_task(rows.filter(F.col("n") <= _BLOCK)), "pairs"))
+        if not large.head(1):
+            return reduce(DataFrame.unionByName, found)
+        place = F.row_number().over(Window.partitionBy("of").orderBy("late", "id"))
+        block = keep(large.withColumn("place", place).filter(F.col("place") <= _BLOCK).drop("place"), "block")
+        inner = keep(by_task(block), "pairs")
+        chunks = F.ceil(F.col("n") / _CHUNK).cast("int")
+        rest = large.join(block.select("node"), "node", "left_anti").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+        leaders = block.join(inner.select("node"), "node", "left_anti").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        met = rest.groupBy("of", "chunk").cogroup(leaders.groupBy("of", "chunk")).applyInArrow(lambda a, b: _matched(a, b, threshold, how), schema)
+        outer = keep(met, "pairs")
+        found += [inner, outer]
+        left = keep(rest.join(outer.select("node"), "node", "left_anti").select(*first.columns), "left")
+        discard(block)
+
+
+def _sized(rows: DataFrame, families: DataFrame) -> DataFrame:
+    """The rows of families of two or more, with their family and its size."""
+    families = keep(families, "nodes")
+    sizes = keep(families.groupBy("of").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    return keep(rows.join(looked_up(families, sizes, "of", "n"), "node"), "families")
+
+
+def _families(rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, of): what hangs together through equal owners or shared rarest words, within a key; rows that share none are left out.
+
+    Texts with at least threshold * union words in common share one of the first words of each, in any order of words, so common words are put last.
+    """
+    common = common_tokens(rows.select(F.explode("words")))
+    posts = keep(rows.select("key", "node", "words", "owner", "has_text").mapInArrow(lambda batches: _posts(batches, common, threshold), "node long, token long"), "posts")
+    groups = keep(posts.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    edges = keep(looked_up(posts, groups, "token", "n").select("a", F.col("node").alias("b")).distinct(), "links")
+    out = keep(connected_components(edges).select("node", F.col("component").cast("string").alias("of")), "families")
+    discard(posts, groups, edges)
+    return out
 
 
-def _alike(a: str, b: str, how: str) -> float:
+def _posts(batches: Iterator[pa.RecordBatch], common: dict[str, int], threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, tokens = [], []
+        for row in batch.to_pylist():
+            words = ordered(row["words"], common) if row["has_text"] else []
+            found = {token_hash(row["key"], bands, w) for bands, w in set_posts(words, threshold)}
+            if row["owner"]:
+                found.add(token_hash(row["key"], "owner", row["owner"]))
+            nodes += [row["node"]] * len(found)
+            tokens += found
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.int64())], names=["node", "token"])
+
+
+def _alike(a: dict, b: dict, how: str, threshold: float) -> float:
+    """The similarity of two texts; 0 where a bound shows that it misses the threshold, and an equal owner does not ask for it."""
+    if not (a["has_text"] and b["has_text"]):
+        return 0.0
     if how == "jaccard":
-        x, y = set(a.split()), set(b.split())
-        return len(x & y) / len(x | y) if x | y else 0.0
-    return difflib.SequenceMatcher(None, a, b, autojunk=how == "parity").ratio()
+        x, y = a["words"], b["words"]
+        shared = len(x & y)
+        return shared / (len(x) + len(y) - shared) if x or y else 0.0
+    match = difflib.SequenceMatcher(None, a["text"], b["text"], autojunk=how == "parity")
+    if _same_owner(a, b) or (match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold):
+        return match.ratio()
+    return 0.0
+
+
+def _same_owner(a: dict, b: dict) -> bool:
+    return bool(a["owner"]) and a["owner"] == b["owner"]
+
+
+def _first_alike(row: dict, leaders: Sequence[dict], how: str, threshold: float) -> tuple | None:
+    for leader in leaders:
+        near = _alike(leader, row, how, threshold)
+        if near >= threshold or _same_owner(leader, row):
+            return (row["node"], leader["id"], row["id"], round(near, 4), row["corridor"], leader["corridor"])
+    return None
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    for row in batch.to_pylist():
+        yield {**row, "words": frozenset(row["words"])}
+
+
+def _paired(found: list[tuple], id_type: pa.DataType) -> list[pa.Array]:
+    kinds = [pa.int64(), id_type, id_type, pa.float64(), pa.string(), pa.string()]
+    return [pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 6, kinds)]
+
+
+_NAMES = ["node", "canonical_id", "duplicate_id", "similarity", "corridor", "canonical_corridor"]
 
 
 def _clusters(batches: Iterator[pa.RecordBatch], threshold: float, how: str) -> Iterator[pa.RecordBatch]:
+    """The clusters of families of at most _BLOCK rows, which come in order."""
     current, leaders = None, []
     for batch in batches:
-        out: list[tuple] = []
-        for row in batch.to_pylist():
-            if row["key"] != current:
-                current, leaders = row["key"], []
-            for leader in leaders:
-                near = _alike(leader["text"], row["text"], how) if leader["has_text"] and row["has_text"] else 0.0
-                if near >= threshold or (row["owner"] and row["owner"] == leader["owner"]):
-                    out.append((leader["id"], row["id"], round(near, 4), row["corridor"], leader["corridor"]))
-                    break
+        out = []
+        for row in _rows(batch):
+            if row["of"] != current:
+                current, leaders = row["of"], []
+            # Leaders of earlier batches are not marked again.
+            led = _first_alike(row, leaders, how, threshold) if row["late"] else None
+            if led:
+                out.append(led)
             else:
                 leaders.append(row)
-        kinds = [batch.schema.field("id").type] * 2 + [pa.float64(), pa.string(), pa.string()]
-        names = ["canonical_id", "duplicate_id", "similarity", "corridor", "canonical_corridor"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays(_paired(out, batch.schema.field("id").type), names=_NAMES)
+
+
+def _matched(rows: pa.Table, leaders: pa.Table, threshold: float, how: str) -> pa.Table:
+    """The rows of a chunk that resemble a leader, the first in order."""
+    led = sorted(_rows(leaders), key=lambda r: (r["late"], r["id"]))
+    found = [_first_alike(row, led, how, threshold) if row["late"] else None for row in _rows(rows)]
+    return pa.Table.from_arrays(_paired([f for f in found if f], rows.schema.field("id").type), names=_NAMES)
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

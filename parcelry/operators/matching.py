@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.functions.columns import name_key, significant_words, similarity
+from parcelry.operators.prefixes import common_tokens, name_posts, token_hash
 from parcelry.operators.ranks import numbered
 
 # Words that say nothing about which business is meant.
@@ -24,12 +26,10 @@ def sequence_ratio(name: pd.Series, known: pd.Series) -> pd.Series:
 
 
 def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: float = 0.85, how: str = "levenshtein") -> DataFrame:
-    """The dimension entry of every name: equal name keys first, else the most similar one at the cutoff (ties to the smaller id).
+    """The dimension entry of every name: equal name keys first, else the most similar one at the cutoff (of equally similar ones the largest name key).
 
-    ``dim`` has ``dim_id`` and ``name``. Names that match nothing keep a NULL id. Candidates of the second step have lengths
-    that the cutoff allows. From a cutoff of 0.85 on they share a run of three letters, or of two if one is shorter than nine, as every match
-    does; below, they share one of their rarest letters, of which they list as many as a match needs (a prefix filter). So no match is
-    lost at any cutoff. ``how``: "levenshtein", or "parity" for difflib's ratio.
+    ``dim`` has ``dim_id`` and ``name``. Names that match nothing keep a NULL id. ``how``: "levenshtein", or "parity" for difflib's ratio. Fuzzy matching
+    compares the pairs of candidate_pairs, which miss no match at any cutoff. Runs a job.
     """
     if not 0 < cutoff <= 1:
         raise ValueError("cutoff must be above 0 and at most 1")
@@ -39,38 +39,37 @@ def resolve(df: DataFrame, id_col: str, name_col: str, dim: DataFrame, cutoff: f
     exact = rows.join(dim.withColumnRenamed("known", "key"), "key", "left").withColumnRenamed("dim_id", "exact_id")
     # Distinct names are matched once, however often they occur.
     names = exact.filter("exact_id IS NULL AND key IS NOT NULL AND key <> ''").select("key").distinct()
-
-    def runs(c: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-
-    def blocks(c: Column) -> Column:
-        none = F.array().cast("array<string>")
-        return F.array_distinct(F.concat(F.when(F.length(c) < 12, runs(c, 2)).otherwise(none), F.when(F.length(c) >= 9, runs(c, 3)).otherwise(none)))
-
-    blocked = blocks if cutoff >= 0.85 else lambda c: _rarest_letters(c, cutoff)
-    left = names.select("key", F.explode(blocked(F.col("key"))).alias("block"))
-    right = dim.select("known", "dim_id", F.explode(blocked(F.col("known"))).alias("block"))
-    a, b = F.length("key"), F.length("known")
-    fits = (b >= a * F.lit(cutoff / (2 - cutoff))) & (b <= a * F.lit((2 - cutoff) / cutoff))
-    pairs = left.join(right, "block").filter(fits).select("key", "known", "dim_id").distinct()
+    pairs = candidate_pairs(names, dim.select("known"), cutoff)
     score = similarity(F.col("key"), F.col("known")) if how == "levenshtein" else sequence_ratio("key", "known")
-    best = pairs.withColumn("score", score).filter(F.col("score") >= cutoff).groupBy("key").agg(F.max(F.struct("score", -F.col("dim_id"))).alias("m"))
-    best = best.select("key", (-F.col("m.col2")).alias("fuzzy_id"), F.col("m.score").alias("score"))
+    best = pairs.withColumn("score", score).filter(F.col("score") >= cutoff).groupBy("key").agg(F.max(F.struct("score", "known")).alias("m"))
+    best = best.select("key", "m.score", "m.known").join(dim, "known").select("key", F.col("dim_id").alias("fuzzy_id"), "score")
     out = exact.join(best, "key", "left")
     return out.select(*df.columns, F.coalesce("exact_id", "fuzzy_id").alias("dim_id"), F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("match_score"))
 
 
-def _rarest_letters(c: Column, cutoff: float) -> Column:
-    """The first letters of a name in a fixed order, each with its number among equal ones.
+def candidate_pairs(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """The pairs (key, known) of two columns of distinct names that can be similar to the cutoff or more, by edit distance or difflib's ratio.
 
-    Both measures need cutoff * (a + b) / 2 common letters for lengths a and b, hence cutoff / (2 - cutoff) of a name's own letters. Two names
-    with so many in common share one of the first a - that + 1 of each, in any order; this one puts repeated and rare letters first.
+    They have lengths that the cutoff allows and share one of their rarest pairs of letters (or letters, where a match may have no pair in
+    common), of which each name lists as many as a match needs. Rarity is counted in both columns. Runs a job.
     """
-    letters = F.split(c, "")
-    nth = lambda x, i: F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x))
-    ordered = F.array_sort(F.transform(letters, lambda x, i: F.struct((-nth(x, i)).alias("n"), F.instr(F.lit("zqxjkvbwpygfucmhdlrntioase"), x).alias("place"), x.alias("letter"))))
-    most = F.length(c) - F.ceil(F.length(c) * F.lit(cutoff / (2 - cutoff)) - 1e-9) + 1
-    return F.transform(F.slice(ordered, F.lit(1), most.cast("int")), lambda x: F.concat(x["letter"], x["n"].cast("string")))
+    both = names.toDF("name").unionByName(known.toDF("name")).filter("name <> ''")
+    grams = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(2)))
+    # Frequent first occurrences stand for all; any order gives the same matches.
+    common = common_tokens(both.select(F.explode(F.array_union(grams, F.split("name", ""))).alias("t")).select(F.concat("t", F.lit("\1" + "1"))))
+
+    def posted(df: DataFrame, column: str) -> DataFrame:
+        return df.toDF(column).filter(F.col(column) != "").mapInArrow(lambda batches: _name_posts(batches, column, cutoff, common), f"{column} string, token long")
+
+    a, b = F.length("key"), F.length("known")
+    fits = (b >= a * F.lit(cutoff / (2 - cutoff)) - 1e-9) & (b <= a * F.lit((2 - cutoff) / cutoff) + 1e-9)
+    return posted(names, "key").join(posted(known, "known"), "token").filter(fits).select("key", "known").distinct()
+
+
+def _name_posts(batches: Iterator[pa.RecordBatch], column: str, cutoff: float, common: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(name, t) for name in batch.column(column).to_pylist() for t in {token_hash(*post) for post in name_posts(name, cutoff, common)}]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([t for _, t in found], pa.int64())], names=[column, "token"])
 
 
 def match_report(resolved: DataFrame, name_col: str) -> DataFrame:

@@ -22,17 +22,29 @@ WORD, BEFORE, BEHIND = "rera", 60, 10
 
 
 def registration(page: Column) -> Column:
-    """The first id with the word within 60 characters before it or 10 behind it."""
-    ids, between = F.regexp_extract_all(page, F.lit(REGISTRATION), 0), F.split(page, REGISTRATION, -1)
-    length = lambda n, x: n + F.length(x)
-    total = lambda xs: F.aggregate(xs, F.lit(0), length)
-
-    def near(x: Column, i: Column) -> Column:
-        start = total(F.slice(between, 1, i + 1)) + total(F.slice(ids, 1, i))
-        first = F.greatest(start - BEFORE, F.lit(0))
-        return F.contains(F.lower(F.substring(page, first + 1, start + F.length(x) + BEHIND - first)), F.lit(WORD))
-
-    return F.get(F.filter(ids, near), F.lit(0))
+    """The first id with the word within 60 characters before it or 10 behind it.
+
+    One pass over the words and ids of the page, which keeps the place reached, where the last word began, and the last id, for which only what comes next can
+    be near enough behind it, because an id is longer than that.
+    """
+    seen = f"(?i:{WORD})|{REGISTRATION}"
+    parts = F.zip_with(F.regexp_extract_all(page, F.lit(seen), 0), F.split(page, seen, -1), lambda x, gap: F.struct(x.alias("x"), F.length(gap).alias("gap")))
+    none = F.lit(None).cast("string")
+
+    def step(a: Column, part: Column) -> Column:
+        start = a["at"] + part["gap"]
+        end, is_word = start + F.length(part["x"]), F.length(part["x"]) == len(WORD)
+        behind = is_word & (end <= a["at"] + BEHIND)
+        own = ~is_word & (a["word"] >= start - BEFORE)
+        return F.struct(
+            end.alias("at"),
+            F.when(is_word, start).otherwise(a["word"]).alias("word"),
+            F.when(~is_word, part["x"]).otherwise(none).alias("id"),
+            F.coalesce(a["found"], F.when(behind, a["id"]), F.when(own, part["x"])).alias("found"),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(-1000).alias("word"), none.alias("id"), none.alias("found"))
+    return F.aggregate(F.filter(parts, lambda p: p["x"].isNotNull()), zero, step, lambda a: a["found"])
 
 
 def page_facts(df: DataFrame, html: str, keywords: Sequence[str] = POSSESSION) -> DataFrame:

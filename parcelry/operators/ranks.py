@@ -82,11 +82,36 @@ def unique_subjects(df: DataFrame, keys: Sequence[str], display: str, order: Seq
 
 
 def with_group_median(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
-    """The group's median of a value, beside each of its rows."""
-    medians = df.groupBy(*keys).agg(F.median(value).alias(out))
+    """The group's exact median of a value, beside each of its rows; NULL values take no part. Runs a job, and ``df`` is read once more.
+
+    Groups with a null key are left out of the medians, so their rows get NULL.
+    """
+    medians = group_medians(df.select(*keys, value.alias("__v")), keys, "__v", out)
     return df.join(medians, list(keys), "left")
 
 
+def group_medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The exact median of each group by selection: counts of ranges of the sorted distinct values say which range holds the middle, and only that one is looked into.
+
+    So no task or buffer holds a group. An even number of values gives the mean of the middle two. Runs a job.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).dropna()
+    bins = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__ties"))
+    bins = keep(bins.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()), "bins")
+    sums = bins.groupBy(*keys, "__range").agg(F.sum("__ties").alias("__sum"))  # a few rows per range
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), "__n": F.sum("__sum").over(whole)})
+    # Places from 0: the lower and the upper of the middle.
+    places = sums.withColumn("__place", F.explode(F.array_distinct(F.array(F.expr("(__n - 1) DIV 2"), F.expr("__n DIV 2")))))
+    held = places.filter((F.col("__place") >= F.col("__before")) & (F.col("__place") < F.col("__before") + F.col("__sum"))).select(*keys, "__range", "__before", "__place")
+    upto = Window.partitionBy(*keys, "__range", "__place").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    # At most two ranges of a group are looked into.
+    inside = bins.join(held, [*keys, "__range"]).withColumn("__upto", F.col("__before") + F.sum("__ties").over(upto))
+    found = inside.filter((F.col("__upto") > F.col("__place")) & (F.col("__upto") - F.col("__ties") <= F.col("__place")))
+    return found.groupBy(*keys).agg((F.min("__v") * 0.5 + F.max("__v") * 0.5).alias(out))
+
+
 def with_areas_seen(df: DataFrame, keys: Sequence[str], area: str, out: str) -> DataFrame:
     """The sorted set of areas in which an entity qualifies, beside each of its rows."""
     areas = df.groupBy(*keys).agg(F.array_sort(F.collect_set(area)).alias(out))

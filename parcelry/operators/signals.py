@@ -9,21 +9,33 @@ from pyspark.sql import functions as F
 
 from parcelry.functions.columns import matched_keywords
 from parcelry.operators.listings import PLACEHOLDER_OWNERS
+from parcelry.operators.lookups import looked_up
+from parcelry.sources.scratch import keep
 
 # Phrases that say a home was never lived in.
 NEVER_OCCUPIED = ("never used", "unused", "never occupied", "possession not taken")
 
 
-def multi_listing_owners(df: DataFrame, id_col: str, city: str, owner: str, min_listings: int = 2, placeholders: Sequence[str] = PLACEHOLDER_OWNERS) -> DataFrame:
-    """A row per listing of an owner with several, with their number and the sibling listings; ids only, never names.
+def owner_groups(df: DataFrame, id_col: str, city: str, owner: str, min_listings: int = 2, placeholders: Sequence[str] = PLACEHOLDER_OWNERS) -> DataFrame:
+    """A row per listing of an owner with several: the city, ``group_id`` (the owner's smallest listing) and ``n``, their number. Linear in the listings.
 
-    ``owner`` is a normalised name of at least two words; ``df`` holds canonical owner rows. Groups are counted first, so only
-    listings of groups that qualify move.
+    ``owner`` is a normalised name of at least two words; ``df`` holds canonical owner rows. The owners of very many listings are few, and are joined where the listings are.
     """
     named = df.filter(F.col(owner).isNotNull() & ~F.col(owner).isin(list(placeholders)) & (F.size(F.split(owner, " ")) >= 2))
-    large = named.groupBy(city, owner).count().filter(F.col("count") >= min_listings).select(city, owner)
-    groups = named.join(large, [city, owner], "left_semi").groupBy(city, owner).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
-    each = groups.select(city, F.size("ids").alias("n"), "ids", F.explode("ids").alias(id_col))
+    rows = keep(named.select(id_col, city, F.to_json(F.struct(city, owner)).alias("__owner")), "owners")
+    large = keep(rows.groupBy("__owner").agg(F.min(id_col).alias("group_id"), F.count("*").alias("n")).filter(F.col("n") >= min_listings), "groups")
+    return looked_up(rows, large, "__owner", "n").select(id_col, city, "group_id", "n")
+
+
+def multi_listing_owners(df: DataFrame, id_col: str, city: str, owner: str, min_listings: int = 2, placeholders: Sequence[str] = PLACEHOLDER_OWNERS) -> DataFrame:
+    """A row per listing of an owner with several, with their number and the sibling listings; ids only, never names."""
+    return with_siblings(owner_groups(df, id_col, city, owner, min_listings, placeholders), id_col, city)
+
+
+def with_siblings(groups: DataFrame, id_col: str, city: str) -> DataFrame:
+    """owner_groups with each listing's siblings written out as evidence, which takes the square of a group: for exports, not for tables between jobs."""
+    ids = groups.groupBy("group_id").agg(F.array_sort(F.collect_list(id_col)).alias("ids"), F.any_value(city).alias(city))
+    each = ids.select(city, F.size("ids").alias("n"), "ids", F.explode("ids").alias(id_col))
     siblings = F.array_except("ids", F.array(id_col))
     return each.select(id_col, city, F.lit("multi_property_owner").alias("signal"), F.col("n").cast("string").alias("score"), F.concat(F.lit("siblings: "), F.array_join(siblings.cast("array<string>"), ", ")).alias("evidence"))
 

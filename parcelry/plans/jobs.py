@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.functions import columns as C
 from parcelry.operators import duplicates, exports, listings, matching, ranks, scores, signals
-from parcelry.sources import files
-from parcelry.sources.scratch import discard, keep
+from parcelry.sources import files, tables
+from parcelry.sources.scratch import keep
 
 
 class Deduplicated(NamedTuple):
@@ -20,17 +20,70 @@ class Deduplicated(NamedTuple):
     report: DataFrame
 
 
+_DUPLICATE_KEYS = ["city", "project", "price_inr"]
+
+
+def _open_rows(df: DataFrame) -> DataFrame:
+    return listings.canonical_listings(df).withColumn("project", C.name_key(C.filled(F.col("society_name_raw"))))
+
+
 def dedup_listings(df: DataFrame, tokens: Sequence[str] = (), similarity: str = "ratio") -> Deduplicated:
     """Mark duplicates among the canonical listings: same city, project and price, and a like text or an equal owner.
 
     Needs ``id``, ``city``, ``corridor``, ``society_name_raw``, ``price_inr``, ``description_raw``, ``poster`` and ``duplicate_of_id``.
     """
-    open_rows = listings.canonical_listings(df).withColumn("project", C.name_key(C.filled(F.col("society_name_raw"))))
-    pairs = duplicates.find_duplicates(open_rows, ["city", "project", "price_inr"], "id", "description_raw", "poster", "corridor", tokens, similarity=similarity)
+    pairs = duplicates.find_duplicates(_open_rows(df), _DUPLICATE_KEYS, "id", "description_raw", "poster", "corridor", tokens, similarity=similarity)
     marked = duplicates.apply_marks(df, pairs, "id")
     return Deduplicated(marked, duplicates.duplicate_groups(pairs), duplicates.dedup_report(marked, "city"))
 
 
+def dedup_batch(batch: DataFrame, root: str, tokens: Sequence[str] | Column = (), similarity: str = "ratio") -> DataFrame:
+    """The duplicates of a new batch against itself and the leaders of all earlier batches, whose table at ``root`` then gets the batch's own leaders.
+
+    Leaders are sliced by city; of the earlier ones only those with a key of the batch are read. Batches in the order of their ids give the pairs of one run over all.
+    """
+    spark, rows = batch.sparkSession, keep(_open_rows(batch), "batch")
+    earlier = tables.read_current(spark, root).drop("city") if tables.current_version(spark, root) else None
+    columns = (_DUPLICATE_KEYS, "id", "description_raw", "poster", "corridor", tokens)
+    pairs = keep(duplicates.find_duplicates(rows, *columns, similarity=similarity, leaders=earlier), "pairs")
+    new = duplicates.new_leaders(rows, pairs, *columns).withColumn("city", F.get_json_object("key", "$.city"))
+    tables.append_version(new, root, slice_col="city", cluster_by="key")
+    return pairs
+
+
+def store_marks(spark: SparkSession, root: str, pairs: DataFrame, id_col: str = "id") -> tables.Version:
+    """Put the marks of ``pairs`` into the stored listings, as a new version."""
+    return tables.change_current(spark, root, lambda df: duplicates.apply_marks(df, pairs, id_col))
+
+
+def store_lookups(spark: SparkSession, root: str, fresh: DataFrame, keys: Sequence[str]) -> tables.Version:
+    """Put looked-up rows into the stored lookups, instead of those with the same keys, as a new version."""
+    return tables.change_current(spark, root, lambda old: matching.upsert(old, fresh, keys))
+
+
+def store_seed(spark: SparkSession, root: str, names: DataFrame) -> tables.Version:
+    """Add the names that the stored dimension lacks, as a new version; without new names nothing changes but its number."""
+    return tables.change_current(spark, root, lambda dim: matching.seed_dimension(dim, names))
+
+
+def ingest(df: DataFrame, root: str, city: str, cluster_by: str | None = None) -> tables.Version:
+    """Append a batch of raw listings to the stored ones, one JSON text a row, sliced by city; ``cluster_by`` is kept as a column beside the text and sorts the files."""
+    raw = files.as_raw(df, city)
+    raw = raw.withColumn(cluster_by, F.get_json_object("raw_text", f"$.{cluster_by}")) if cluster_by else raw
+    return tables.append_version(raw, root, slice_col="city_id", cluster_by=cluster_by)
+
+
+def stored_raw(spark: SparkSession, root: str, cities: DataFrame | Sequence[str] | None = None, fields: Sequence[str] = listings.PAYLOAD) -> DataFrame:
+    """Raw listings decoded, of all cities, of the named ones, or of those with a price band in a table of cities; other cities' files are not read."""
+    raw = tables.read_current(spark, root)
+    if isinstance(cities, DataFrame):
+        # A band is a row per city. The comparison, which nulls fail, is what makes Spark prune by the join.
+        raw = raw.join(F.broadcast(cities.filter("price_min <= price_max").select("city_id")), "city_id", "left_semi")
+    elif cities is not None:
+        raw = raw.filter(F.col("city_id").isin(list(cities)))
+    return listings.decode_payload(raw, "raw_text", fields)
+
+
 def classify_listings(raw: DataFrame, classified: DataFrame, key: str, as_of: Column, rules: Mapping[str, tuple[str, str | None]] = listings.FLAG_RULES) -> DataFrame:
     """Normalised columns and text flags (by default the eight of FLAG_RULES) of the listings that are not classified yet."""
     todo = listings.unclassified(raw, classified, key)
@@ -69,6 +122,14 @@ def society_fit(df: DataFrame, cities: DataFrame, ratings: DataFrame) -> Fit:
     return Fit(linked.orderBy(F.desc("fit_score"), "city", "corridor", "society_key"), ok.unionByName(skipped))
 
 
+def society_fit_run(df: DataFrame, cities: DataFrame, ratings: DataFrame, root: str) -> Fit:
+    """society_fit with its scores stored: the slices of all cities are replaced in one commit, also of those that are skipped or left without a score. Gives what is stored now."""
+    fit = society_fit(df, cities, ratings)
+    names = [r["city_id"] for r in cities.select("city_id").distinct().collect()]  # a row per city
+    tables.replace_slices(fit.scores, root, "city", names)
+    return Fit(tables.read_current(df.sparkSession, root), fit.status)
+
+
 class Resolved(NamedTuple):
     dimension: DataFrame
     rows: DataFrame
@@ -96,24 +157,38 @@ def coverage(names: DataFrame, candidates: DataFrame, base_url: str) -> DataFram
     return flagged.withColumn("sample_url", C.listing_url(base_url, F.col("name"), F.col("city_id"), F.lit(1)))
 
 
+# The names of the exported datasets.
+DATASETS = ("cities", "corridors", "societies", "brokers", "absentee_candidates", "nri_directory")
+
+
 def export_datasets(cities: DataFrame, corridors: DataFrame, societies: DataFrame, brokers: DataFrame, candidates: DataFrame, directory: DataFrame) -> dict[str, DataFrame]:
     """The seven datasets of the dashboards by name, the last one with the counts over the others."""
-    out = {"cities": cities, "corridors": corridors, "societies": societies, "brokers": brokers, "absentee_candidates": candidates, "nri_directory": directory}
+    out = dict(zip(DATASETS, (cities, corridors, societies, brokers, candidates, directory)))
     return out | {"stats": exports.export_stats(cities, corridors, societies, brokers, candidates, directory)}
 
 
-def write_exports(datasets: Mapping[str, DataFrame], path: str) -> None:
-    """One folder of JSON lines per dataset."""
-    for name, df in datasets.items():
-        files.write_json(df, f"{path.rstrip('/')}/{name}")
-
+def write_exports(datasets: Mapping[str, DataFrame], path: str) -> dict[str, int]:
+    """One folder of JSON lines per dataset, and a manifest of their row counts.
 
-def replace_cities(df: DataFrame, path: str, city: str, cities: Sequence[str]) -> None:
-    """Replace the slices of the given cities by a job's result; a city without rows is left with an empty slice."""
-    held = keep(df, "slices")
-    for value in cities:
-        files.replace_slice(held, path, city, value)
-    discard(held)
+    Each dataset is computed and written once; ``stats``, if it is among them, is counted from what was written, not from the datasets' sources. Returns the counts.
+    """
+    spark, base = next(iter(datasets.values())).sparkSession, path.rstrip("/")
+    read = {}
+    for name, df in datasets.items():
+        if name != "stats":
+            files.write_json(df, f"{base}/{name}")
+            read[name] = spark.read.schema(df.schema).json(f"{base}/{name}")
+    if "stats" in datasets:
+        files.write_json(exports.export_stats(*[read[n] for n in DATASETS]), f"{base}/stats")
+        read["stats"] = spark.read.schema(datasets["stats"].schema).json(f"{base}/stats")
+    counts = {name: df.count() for name, df in read.items()}
+    files.write_json(spark.createDataFrame(list(counts.items()), "dataset string, n long").coalesce(1), f"{base}/manifest")  # a row per dataset
+    return counts
+
+
+def replace_cities(df: DataFrame, path: str, city: str, cities: Sequence[str]) -> tables.Version:
+    """Replace the slices of the given cities by a job's result, in one commit; a city without rows is left with an empty slice."""
+    return tables.replace_slices(df, path, city, cities)
 
 
 class Enriched(NamedTuple):

@@ -120,9 +120,9 @@ WITH dim AS (
 ), known AS (
   SELECT lower(name) AS known, min(dim_id) AS dim_id FROM dim GROUP BY ALL
 ), scored AS (
-  SELECT w.*, k.dim_id, known = lower(written) AS exact, 1 - levenshtein(lower(written), known) / greatest(length(written), length(known)) AS s FROM written w JOIN known k ON true
+  SELECT w.*, k.dim_id, known, known = lower(written) AS exact, 1 - levenshtein(lower(written), known) / greatest(length(written), length(known)) AS s FROM written w JOIN known k ON true
 ), best AS (
-  SELECT * FROM scored WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, s DESC, dim_id) = 1
+  SELECT * FROM scored WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, s DESC, known DESC) = 1
 ), resolved AS (
   SELECT w.p_partkey, w.written, b.dim_id, floor(s * 10000.0 + 0.5) / 10000.0 AS score FROM written w LEFT JOIN best b USING (p_partkey)
 )"""
@@ -213,7 +213,7 @@ SELECT listing_id, lead_score, CASE WHEN lead_score >= 60 THEN 'hot' WHEN lead_s
 ), pairs AS (
   SELECT p_partkey, s.name, s.dim_id, lower(s.name) = lower(written) AS exact, 1 - levenshtein(lower(written), lower(s.name)) / greatest(length(written), length(s.name)) AS s FROM written JOIN seeded s ON true
 ), matched AS (
-  SELECT * FROM pairs WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, s DESC, dim_id) = 1
+  SELECT * FROM pairs WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, s DESC, lower(name) DESC) = 1
 )
 SELECT w.p_partkey, w.written, m.dim_id, m.name FROM written w LEFT JOIN matched m USING (p_partkey)""",
     "resolved_vacancy": f"""{_LI}, dim AS (
@@ -223,7 +223,7 @@ SELECT w.p_partkey, w.written, m.dim_id, m.name FROM written w LEFT JOIN matched
 ), pairs AS (
   SELECT society_raw, name, dim_id, 1 - levenshtein(lower(society_raw), lower(name)) / greatest(length(society_raw), length(name)) AS s FROM names JOIN dim ON true
 ), matched AS (
-  SELECT * FROM pairs WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY society_raw ORDER BY s DESC, dim_id) = 1
+  SELECT * FROM pairs WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY society_raw ORDER BY s DESC, lower(name) DESC) = 1
 ), s AS (
   SELECT city, name AS society_name, count(*) AS n_known, count(*) FILTER (age >= 600) AS n_first, count(*) FILTER (age >= 1000) AS n_second, avg(age) AS a, count(*) FILTER (age >= 1000) / count(*) AS r
   FROM li JOIN matched USING (society_raw) GROUP BY ALL
@@ -246,6 +246,44 @@ UNION ALL SELECT 'absentee_candidates', count(*) FROM found UNION ALL SELECT 'nr
     "enriched_lookups": """SELECT s_name || ' ' || n_name AS query, s_acctbal >= 1000 AS matched, CASE WHEN s_acctbal > 5000 THEN 'cached' WHEN s_acctbal >= 1000 THEN 'accepted' ELSE 'no result' END AS note,
        CASE WHEN s_acctbal >= 1000 THEN 'p' || s_suppkey END AS place_id, CASE WHEN s_acctbal >= 1000 THEN s_suppkey END AS reviews
 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0""",
+    "stored_lookups": f"""{_SNAPSHOT}
+SELECT query, place_id, CASE WHEN rating < 3 THEN 'fresh' ELSE 'cached' END AS origin, CASE WHEN rating >= 2 THEN 'cached' END AS origin_before, 2 AS version FROM snapshot""",
+    "stored_marks": f"""{_LI}, open_rows AS (
+  SELECT listing_id, min(listing_id) OVER (PARTITION BY city, c_custkey, floor(price / 20000)) AS f FROM lo WHERE duplicate_of_id IS NULL
+)
+SELECT listing_id, city, coalesce(duplicate_of_id, CASE WHEN f < listing_id THEN f END) AS duplicate_of_id FROM lo LEFT JOIN open_rows USING (listing_id)""",
+    "stored_dimension": f"""{_WRITTEN}, fresh AS (
+  SELECT lower(trim(s_name)) AS key, min(s_name) AS name FROM supplier GROUP BY ALL
+)
+SELECT dim_id, name FROM dim UNION ALL SELECT (SELECT max(dim_id) FROM dim) + row_number() OVER (ORDER BY key), name FROM fresh WHERE key NOT IN (SELECT known FROM known)""",
+    "raw_store": f"{_LI} SELECT listing_id, city, corridor, price, status FROM lo WHERE city = 'ASIA' AND duplicate_of_id IS NULL",
+    "banded_raw": f"{_LI} SELECT city, corridor, count(*) AS n, sum(price)::BIGINT AS total_price FROM lo JOIN cities USING (city) WHERE price_min IS NOT NULL GROUP BY ALL",
+    "replaced_slices": f"{_AGENTS} SELECT city, corridor, agent, n_listings, activity_score FROM activity WHERE city NOT IN ('ASIA', 'EUROPE') OR (city = 'ASIA' AND activity_score >= 5)",
+    "incremental_duplicates": f"{_CLUSTERS} SELECT leader AS canonical_id, id AS duplicate_id, corridor FROM walk WHERE leader IS NOT NULL",
+    "society_fit_run": f"""{_LI}, canon AS (
+  SELECT li.*, lower(regexp_replace(society_raw, ' (Phase 2|CHS)$', '')) AS key, lower(substr(posted_by, 8)) AS owner FROM li WHERE l_linenumber <> 7
+), groups AS (
+  SELECT city, corridor, key, count(*) AS supply, {_half_up("avg(age)", 1)} AS velocity_days, coalesce({_half_up("stddev_samp(price) / avg(price)", 4)}, 0.0) AS price_cov
+  FROM canon JOIN cities USING (city) WHERE price BETWEEN price_min AND price_max GROUP BY ALL HAVING count(*) >= 3
+), ranks AS (
+  SELECT *, {_rank("city", "supply")} AS r1, {_rank("city", "velocity_days")} AS r2, {_rank("city", "price_cov")} AS r3 FROM groups
+), found AS (
+  SELECT listing_id, city, corridor, key FROM canon WHERE agent IS NULL AND contains(owner, ' ') QUALIFY count(*) OVER (PARTITION BY city, owner) >= 2
+  UNION SELECT listing_id, city, corridor, key FROM canon WHERE vacant
+), linked AS (
+  SELECT city, corridor, key, list(listing_id ORDER BY listing_id) AS ids FROM found GROUP BY ALL
+)
+SELECT c.city, CASE WHEN price_min IS NULL THEN 'skipped_no_price_band' ELSE 'ok' END AS status, corridor, key AS society, supply,
+       {_half_up("10 * ((0.3 * r1 + 0.3 * coalesce(1 - r2, 0.5) + 0.2 * (1 - r3)) / (0.3 + 0.3 + 0.2))", 1)} AS fit_score,
+       CASE WHEN key IS NOT NULL THEN coalesce(array_to_string(ids, ';'), '') END AS candidates, CASE WHEN key IS NOT NULL THEN coalesce(len(ids), 0) END AS n_candidates
+FROM cities c LEFT JOIN (SELECT * FROM ranks LEFT JOIN linked USING (city, corridor, key)) r ON r.city = c.city""",
+    "owner_groups": f"""{_LI}, named AS (
+  SELECT listing_id, city, {_KEY.format("substr(posted_by, 8)")} AS owner FROM lo WHERE duplicate_of_id IS NULL
+)
+SELECT listing_id, city, min(listing_id) OVER g AS group_id, count(*) OVER g AS n FROM named WHERE contains(owner, ' ') WINDOW g AS (PARTITION BY city, owner) QUALIFY n >= 2""",
+    "group_medians": f"""{_LI}
+SELECT 'price' AS kind, city || '/' || corridor AS of, median(price)::DOUBLE AS median FROM li GROUP BY city, corridor
+UNION ALL SELECT 'age', l_linenumber::VARCHAR, median(age)::DOUBLE FROM li GROUP BY l_linenumber UNION ALL SELECT 'all', '', median(price)::DOUBLE FROM li""",
     "agents_by_area": f"{_AGENTS} SELECT city, corridor, agent, n_listings FROM activity",
     "cities_in_order": f"{_LI} SELECT listing_id, city, count(*) OVER (PARTITION BY city) AS n_city FROM lo WHERE city IN ('EUROPE', 'ASIA', 'AMERICA')",
     "broker_activity": f"{_AGENTS} SELECT * FROM activity",

@@ -9,8 +9,9 @@ from parcelry.functions import columns as C
 from parcelry.operators import duplicates, exports, listings, matching, pages, ranks, scores, signals
 from parcelry.plans.views import BAND, cities, corridor_metrics, line_listings, order_listings, raw_listings, read
 from parcelry.plans import jobs
+from parcelry.sources import tables
 from parcelry.sources.files import flat
-from parcelry.sources.scratch import drop_at_exit, new_path
+from parcelry.sources.scratch import drop_at_exit, keep, new_path
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -20,7 +21,7 @@ def _agents(s: SparkSession, d: str) -> DataFrame:
 
 
 def broker_activity(s: SparkSession, d: str) -> DataFrame:
-    rows = _agents(s, d).withColumn("shown", F.substring("posted_by", 8, 200))
+    rows = _agents(s, d).withColumn("shown", C.poster_name(F.col("posted_by")))
     return scores.broker_activity(rows, "city", "corridor", "agent", "url", "shown", _ORDER).orderBy(F.desc("activity_score"), "city", "corridor", "agent")
 
 
@@ -96,7 +97,7 @@ _STRONG, _WEAK = ("flag_registered",), ("flag_vacant", "flag_old")
 
 
 def _leads(s: SparkSession, d: str) -> DataFrame:
-    rows = line_listings(s, d).withColumns({"flag_registered": F.col("registered"), "flag_vacant": F.col("vacant"), "flag_old": F.col("age") > 2000})
+    rows = keep(line_listings(s, d), "listings").withColumns({"flag_registered": F.col("registered"), "flag_vacant": F.col("vacant"), "flag_old": F.col("age") > 2000})
     listed = read(s, d, "part").filter("p_size > 40").select(F.lower("p_name").alias("society"))
     return scores.listing_leads(rows, _STRONG, _WEAK, ["city", "corridor"], listed, "society")
 
@@ -110,7 +111,7 @@ def absentee_density(s: SparkSession, d: str) -> DataFrame:
 
 
 def corridor_absentee(s: SparkSession, d: str) -> DataFrame:
-    return scores.corridor_absentee(line_listings(s, d), ["city", "corridor"], stale_days=2400, distressed_days=600)
+    return scores.corridor_absentee(keep(line_listings(s, d), "listings"), ["city", "corridor"], stale_days=2400, distressed_days=600)
 
 
 def society_vacancy(s: SparkSession, d: str) -> DataFrame:
@@ -426,8 +427,7 @@ def classified_leads(s: SparkSession, d: str) -> DataFrame:
 
 def dedup_listings(s: SparkSession, d: str) -> DataFrame:
     """The report of the whole job: raw order lines, duplicates marked in their city by project, price and like text or equal owner."""
-    rows = raw_listings(s, d).withColumns({"id": F.col("listing_id"), "price_inr": C.price_inr(F.col("price_raw")), "poster": C.poster_name(F.col("posted_by_raw")), "duplicate_of_id": F.lit(None).cast("string")})
-    return jobs.dedup_listings(rows, similarity="jaccard").report
+    return jobs.dedup_listings(_line_rows(s, d), similarity="jaccard").report
 
 
 def _entities(s: SparkSession, d: str) -> jobs.Resolved:
@@ -462,19 +462,25 @@ def export_stats(s: SparkSession, d: str) -> DataFrame:
 
 def exports_written(s: SparkSession, d: str) -> DataFrame:
     """Rows of each dataset, read back from its JSON."""
-    path = new_path(s, "exports")
+    path = _stored(s, "exports")
     jobs.write_exports(_datasets(s, d), path)
-    drop_at_exit(s, path)
     names = ("cities", "corridors", "societies", "brokers", "absentee_candidates", "nri_directory", "stats")
     return exports.combine([s.read.text(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("dataset"), "n") for n in names])
 
 
+def _stored(s: SparkSession, name: str) -> str:
+    """A folder for a table that goes when the application ends."""
+    path = new_path(s, name)
+    s.createDataFrame([], "x int").write.parquet(f"{path}/.made")
+    drop_at_exit(s, path)
+    return path
+
+
 def broker_slices(s: SparkSession, d: str) -> DataFrame:
     """Agents per city, read back from the slices that the job replaces; two of the five cities are written."""
-    path = new_path(s, "slices")
+    path = _stored(s, "slices")
     jobs.replace_cities(broker_activity(s, d), path, "city", ["ASIA", "EUROPE"])
-    drop_at_exit(s, path)
-    return s.read.option("basePath", path).parquet(path).groupBy("city").agg(F.count("*").alias("n"), F.sum("n_listings").alias("n_listings"))
+    return tables.read_current(s, path).groupBy("city").agg(F.count("*").alias("n"), F.sum("n_listings").alias("n_listings"))
 
 
 def enriched_lookups(s: SparkSession, d: str) -> DataFrame:
@@ -492,6 +498,109 @@ def enriched_lookups(s: SparkSession, d: str) -> DataFrame:
     return jobs.enrich_from_snapshot(subjects, cache, snapshot, "city_name", "s_name", ["s_suppkey"]).lookups.select("query", "matched", "note", "place_id", "reviews")
 
 
+def stored_lookups(s: SparkSession, d: str) -> DataFrame:
+    """Lookups as a stored table: the cache is its first version, and answers that are new or replace an old one its second, read back with both versions' rows."""
+    subjects, found = _snapshot(s, d)
+    path = _stored(s, "lookups")
+    cached = found.filter("rating >= 2").select("query", "place_id", F.lit("cached").alias("origin"))
+    first = tables.write_version(cached, path)
+    fresh = subjects.select("query").join(found, "query").filter("rating < 3").select("query", "place_id", F.lit("fresh").alias("origin"))
+    second = jobs.store_lookups(s, path, fresh, ["query"])
+    before = tables.read_version(s, path, first).select("query", F.col("origin").alias("origin_before"))
+    return tables.read_current(s, path).join(before, "query", "left").withColumn("version", F.lit(second.number).cast("long"))
+
+
+def stored_marks(s: SparkSession, d: str) -> DataFrame:
+    """Orders stored by city, then marked as a new version: later orders of one customer in the same price bucket, and the marks they had."""
+    path = _stored(s, "orders")
+    tables.write_version(order_listings(s, d).select("listing_id", "city", "corridor", "c_custkey", "price", "duplicate_of_id"), path, slice_col="city")
+    lo = tables.read_current(s, path).filter("duplicate_of_id IS NULL").withColumns({"bucket": F.floor(F.col("price") / 20000), "text": F.lit(""), "owner": F.col("c_custkey").cast("string")})
+    pairs = duplicates.find_duplicates(lo, ["city", "bucket"], "listing_id", "text", "owner", "corridor")
+    jobs.store_marks(s, path, keep(pairs, "marks"), "listing_id")
+    return tables.read_current(s, path).select("listing_id", "city", "duplicate_of_id")
+
+
+def stored_dimension(s: SparkSession, d: str) -> DataFrame:
+    """A stored dimension seeded twice with the same names: the second time adds none."""
+    path = _stored(s, "dimension")
+    tables.write_version(_dimension(s, d).select("dim_id", "name"), path)
+    names = read(s, d, "supplier").select(F.col("s_name").alias("name"))
+    jobs.store_seed(s, path, names)
+    jobs.store_seed(s, path, names)
+    return tables.read_current(s, path)
+
+
+_ORDER_FIELDS = ("listing_id", "corridor", "price", "status", "duplicate_of_id")
+
+
+def _raw_store(s: SparkSession, d: str) -> str:
+    """Orders as raw JSON in two batches, sliced by city and clustered by area."""
+    path, lo = _stored(s, "raw"), order_listings(s, d)
+    jobs.ingest(lo.filter("status = 'F'"), path, "city", "corridor")
+    jobs.ingest(lo.filter("status <> 'F'"), path, "city", "corridor")
+    return path
+
+
+def raw_store(s: SparkSession, d: str) -> DataFrame:
+    """One city's canonical listings read back from the raw store and decoded."""
+    rows = jobs.stored_raw(s, _raw_store(s, d), ["ASIA"], _ORDER_FIELDS)
+    return listings.canonical_listings(rows).select(F.col("listing_id").cast("long").alias("listing_id"), F.col("city_id").alias("city"), "corridor", F.col("price").cast("long").alias("price"), "status")
+
+
+def banded_raw(s: SparkSession, d: str) -> DataFrame:
+    """Listings in the store, of the cities that have a price band: their files alone are read, as the plan finds out when it runs."""
+    rows = jobs.stored_raw(s, _raw_store(s, d), cities(s, d), _ORDER_FIELDS)
+    return rows.groupBy(F.col("city_id").alias("city"), "corridor").agg(F.count("*").alias("n"), F.sum(F.col("price").cast("long")).alias("total_price"))
+
+
+def replaced_slices(s: SparkSession, d: str) -> DataFrame:
+    """Agents of all cities stored, then two cities replaced by a run in which one has no agent left; the third run's city never had one."""
+    path, agents = _stored(s, "slices"), keep(broker_activity(s, d), "agents")
+    jobs.replace_cities(agents, path, "city", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    jobs.replace_cities(agents.filter("city = 'ASIA' AND activity_score >= 5"), path, "city", ["ASIA", "EUROPE"])
+    return tables.read_current(s, path).select("city", "corridor", "agent", "n_listings", "activity_score")
+
+
+def _line_rows(s: SparkSession, d: str) -> DataFrame:
+    """Raw order lines with what the duplicate jobs need."""
+    return raw_listings(s, d).withColumns({"id": F.col("listing_id"), "price_inr": C.price_inr(F.col("price_raw")), "poster": C.poster_name(F.col("posted_by_raw")), "duplicate_of_id": F.lit(None).cast("string")})
+
+
+def incremental_duplicates(s: SparkSession, d: str) -> DataFrame:
+    """Two batches in the order of their ids, the second against the first one's leaders; gives the marks of one run."""
+    path, rows = _stored(s, "leaders"), keep(_line_rows(s, d), "rows")
+    first = jobs.dedup_batch(rows.filter("id < '3'"), path, similarity="jaccard")
+    second = jobs.dedup_batch(rows.filter("id >= '3'"), path, similarity="jaccard")
+    return first.unionByName(second).select("canonical_id", "duplicate_id", "corridor")
+
+
+def society_fit_run(s: SparkSession, d: str) -> DataFrame:
+    """The whole job: canonical listings scored per city, candidate listings linked, every city's slice replaced in one commit and read back."""
+    li = line_listings(s, d)
+    rows = li.select(
+        F.col("listing_id").alias("id"), "city", "corridor", F.col("society_raw").alias("society_name_raw"), F.col("price").alias("price_inr"), F.col("age").alias("days_since_posted"),
+        C.role(F.col("posted_by")).alias("role"), C.poster_name(F.col("posted_by")).alias("poster"), F.when(F.col("vacant"), "never used").alias("description_raw"),
+        F.when(F.col("l_linenumber") == 7, "0").alias("duplicate_of_id"),
+    )
+    none = s.createDataFrame([], "city string, society string, rating double, reviews long")
+    out = jobs.society_fit_run(keep(rows, "listings"), cities(s, d), none, _stored(s, "fit"))
+    scored = out.scores.select("city", "corridor", F.col("society_key").alias("society"), "supply", "fit_score", F.array_join("candidate_ids", ";").alias("candidates"), F.col("n_candidates").cast("long").alias("n_candidates"))
+    return out.status.withColumnRenamed("city_id", "city").join(scored, "city", "left")
+
+
+def owner_groups(s: SparkSession, d: str) -> DataFrame:
+    """Owners with several listings, a row per listing."""
+    lo = listings.canonical_listings(order_listings(s, d)).filter(C.role(F.col("posted_by")) == "owner")
+    return signals.owner_groups(lo.withColumn("owner", C.name_key(C.poster_name(F.col("posted_by")))), "listing_id", "city", "owner")
+
+
+def group_medians(s: SparkSession, d: str) -> DataFrame:
+    """Exact medians of even and odd groups, one of them all rows."""
+    li = keep(line_listings(s, d).select("city", "corridor", "price", "age", F.col("l_linenumber").alias("line")), "listings")
+    parts = [li.select(F.lit(kind).alias("kind"), F.concat_ws("/", *keys).alias("of"), F.col(value).cast("double").alias("v")) for kind, keys, value in (("price", ("city", "corridor"), "price"), ("age", ("line",), "age"), ("all", (), "price"))]
+    return ranks.group_medians(exports.combine(parts), ["kind", "of"], "v", "median")
+
+
 def agents_by_area(s: SparkSession, d: str) -> DataFrame:
     return exports.by_name(broker_activity(s, d).select("city", "corridor", "agent", "n_listings"), "city", "corridor", [F.desc("n_listings"), "agent"])
 
@@ -510,6 +619,6 @@ QUERIES = {
         corridor_export, city_summary, global_stats, rollup_counts, age_histogram, load_volume, share_of_max, search, drill_down, city_membership, top_page,
         sorted_listings, lowest_listings, city_alias, area_reasons, unclassified,
         classify_listings, classified_leads, dedup_listings, resolve_entities, resolved_vacancy, coverage_plan, export_stats, exports_written, broker_slices, enriched_lookups,
-        agents_by_area, cities_in_order,
+        agents_by_area, cities_in_order, stored_lookups, stored_marks, stored_dimension, raw_store, banded_raw, replaced_slices, incremental_duplicates, society_fit_run, owner_groups, group_medians,
     )
 }

@@ -262,7 +262,7 @@ def test_csv_round_trip_and_raw_append(spark, tmp_path):
 
 
 @pytest.mark.parametrize("how", ["levenshtein", "parity"])
-@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.8, 0.9])
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.85, 0.95])
 def test_resolve_loses_no_match_at_any_cutoff(spark, how, cutoff):
     rng = random.Random(int(cutoff * 10))
     word = lambda n: "".join(rng.choice("abcdeé 1") for _ in range(n)).strip() or "a"
@@ -283,10 +283,10 @@ def test_resolve_loses_no_match_at_any_cutoff(spark, how, cutoff):
     got = matching.resolve(spark.createDataFrame(list(enumerate(names)), "id int, name string"), "id", "name", dim, cutoff, how).collect()
     for r in got:
         key = " ".join(r["name"].lower().split())
-        best = max((1.0 if k == key else score(key, k), -i) for i, k in enumerate(known))
+        best = max((1.0 if k == key else score(key, k), k) for k in known)
         assert (r["dim_id"] is None) == (best[0] < cutoff), (r, best)
         if r["dim_id"] is not None:
-            assert math.isclose(r["match_score"], best[0])
+            assert math.isclose(r["match_score"], best[0]) and known[r["dim_id"]] == best[1]
 
 
 def test_numbers_run_through_all_ranges(spark):
@@ -308,3 +308,112 @@ def test_flags_follow_their_rules_and_not_a_general_call(spark):
 def test_city_outputs_come_in_a_given_order(spark):
     df = spark.createDataFrame([("b", 2), ("a", 1), ("b", 1), ("c", 9)], "city string, k int")
     assert [tuple(r) for r in exports.in_city_order(df, "city", ["b", "a", "z"], ["k"]).select("city", "k", "n_city").collect()] == [("b", 1, 2), ("b", 2, 2), ("a", 1, 1)]
+
+
+def test_fuzzy_ties_go_to_the_largest_name(spark):
+    dim = spark.createDataFrame([(1, "abcdefghij"), (2, "abcdefghkj")], "dim_id long, name string")
+    for how in ("levenshtein", "parity"):
+        got = matching.resolve(spark.createDataFrame([(7, "abcdefghzj")], "id long, name string"), "id", "name", dim, how=how).collect()
+        assert [r["dim_id"] for r in got] == [2]
+    assert difflib.get_close_matches("abcdefghzj", ["abcdefghij", "abcdefghkj"], 1, 0.85) == ["abcdefghkj"]
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.85, 0.95])
+def test_candidate_pairs_miss_no_match_and_are_few(spark, cutoff):
+    rng = random.Random(7)
+    parts = ["green", "park", "hill", "view", "lake", "royal", "garden", "heights", "city", "palm", "silver", "oak", "river", "sun", "north"]
+    name = lambda: " ".join(rng.sample(parts, rng.randrange(1, 4))) + rng.choice(["", " a", " 2", " xi"])
+    edit = lambda s: s[: (k := rng.randrange(len(s)))] + rng.choice(["", "z", "qu"]) + s[k + rng.randrange(2) :]
+    known = sorted({name() for _ in range(300)})
+    names = sorted({edit(rng.choice(known)) for _ in range(200)} | {"a", "zz"})
+    df = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    pairs = {tuple(r) for r in matching.candidate_pairs(df(names, "key"), df(known, "known"), cutoff).collect()}
+    found = {(n, k) for n in names for k in known if n and difflib.SequenceMatcher(None, k, n).ratio() >= cutoff}
+    assert found <= pairs
+    if cutoff >= 0.85:
+        assert len(pairs) < 0.2 * len(names) * len(known)
+
+
+def plain_median(values):
+    values = sorted(values)
+    return (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+
+
+def test_group_medians_by_selection(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("aab"), rng.choice([None, rng.randrange(9), rng.random()])) for _ in range(4001)] + [("one", 5), ("none", None), (None, 4), ("two", 1), ("two", 4)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in data], "k string, v double").repartition(6)
+    got = {r["k"]: r["m"] for r in ranks.group_medians(df, ["k"], "v", "m").collect()}
+    assert got == {k: plain_median([v for x, v in data if x == k and v is not None]) for k in ("a", "b", "one", "two")}
+    beside = ranks.with_group_median(df, ["k"], F.col("v") * 2, "m").select("k", "m").distinct().collect()
+    assert {r["k"]: r["m"] for r in beside} == {**{k: 2 * m for k, m in got.items()}, "none": None, None: None}
+
+
+def test_a_group_of_many_distinct_values(spark):
+    df = spark.range(0, 2_000_001, numPartitions=8).select((F.col("id") % 1).alias("k"), (F.col("id") * 7919 % 2_000_001).cast("double").alias("v"))
+    assert ranks.group_medians(df, ["k"], "v", "m").collect()[0]["m"] == 1_000_000.0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_clusters_of_any_block_size_match_the_plain_loop(spark, monkeypatch, seed):
+    """26 tables a seed, as buckets, with blocks and chunks of a few rows; also in two batches."""
+    monkeypatch.setattr(duplicates, "_BLOCK", 4)
+    monkeypatch.setattr(duplicates, "_CHUNK", 7)
+    rng = random.Random(seed)
+    how = ["jaccard", "ratio"][seed % 2]
+    data = []
+    for at, k in enumerate("abcdefghijklmnopqrstuvwxyz"):
+        vocabulary = ["w%d" % i for i in range(rng.choice([6, 12, 40]))]
+        for i in rng.sample(range(1000), 30):
+            data.append((k, 1000 * at + i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))), rng.choice([None, None, None, "p", "q"]), "x"))
+    schema = "k string, id long, t string, o string, c string"
+    args = (["k"], "id", "t", "o", "c")
+    want = sorted(p for k in "abcdefghijklmnopqrstuvwxyz" for p in leaders([(i, t, o) for kk, i, t, o, _ in data if kk == k], how))
+    got = duplicates.find_duplicates(spark.createDataFrame(data, schema), *args, similarity=how)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == want
+    early, late = (spark.createDataFrame([r for r in data if (r[1] % 1000 < 400) == first], schema) for first in (True, False))
+    one = duplicates.find_duplicates(early, *args, similarity=how)
+    two = duplicates.find_duplicates(late, *args, similarity=how, leaders=duplicates.new_leaders(early, one, *args))
+    assert sorted(tuple(r)[:3] for r in one.unionByName(two).collect()) == want
+
+
+def test_a_large_bucket_is_split(spark):
+    """One key: near copies of one text, which fall in the first round, and texts that share no word with any other."""
+    n = 20_000
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("bright corner flat with lift and parking near the lake "), F.col("id").cast("string"))).otherwise(
+        F.concat_ws(" ", *[F.concat(F.lit(p), F.col("id").cast("string")) for p in "abcdefgh"])
+    )
+    df = spark.range(n).select(F.lit("k").alias("k"), "id", text.alias("t"), F.lit(None).cast("string").alias("o"), F.lit("x").alias("c"))
+    got = duplicates.find_duplicates(df, ["k"], "id", "t", "o", "c", similarity="jaccard").groupBy("canonical_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, n // 2 - 1)]
+
+
+def test_names_lose_white_space_of_every_kind(spark):
+    df = spark.createDataFrame([("A\u00a0B\u2003 C\x1f", "Owner:\tBob Roy\n", "\tOwner : x"), (None, "Owner:\u00a0", " agent\x1c: y")], "a string, b string, c string")
+    from parcelry.functions import columns as C
+
+    got = [tuple(r) for r in df.select(C.name_key(F.col("a")), C.poster_name(F.col("b")), C.role(F.col("c"))).collect()]
+    assert got == [("a b c", "Bob Roy", "owner"), (None, None, "agent")]
+
+
+def test_registrations_in_one_pass(spark):
+    rng = random.Random(5)
+
+    def plain(page):
+        for m in re.finditer(pages.REGISTRATION, page):
+            if "rera" in page[max(m.start() - 60, 0) : m.end() + 10].lower():
+                return m.group()
+        return None
+
+    ident = lambda: rng.choice(["P", "AB", "XYZ", "WXYZ"]) + "".join(rng.choice("0123456789") for _ in range(rng.randrange(9, 15)))
+    texts = ["".join(rng.choice([ident(), "RERA", "rera ", "re", "\n", " " * rng.randrange(1, 30), "no. ", "é😀 "]) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    texts += ["P5550000000001" + " " * 6 + "rera", "P5550000000001" + " " * 7 + "rera", "rera" + " " * 56 + "P5550000000001", "rera" + " " * 57 + "P5550000000001", "P5550000000001 " * 50_000 + " " * 40 + "rera"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pages.registration(F.col("t")).alias("r")).collect()
+    assert {r["i"]: r["r"] for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_owner_groups_grow_with_the_listings(spark):
+    n = 100_000
+    df = spark.range(n).select("id", F.lit("m").alias("city"), F.when(F.col("id") % 4 == 0, F.lit("ann bee")).otherwise(F.concat(F.lit("bo "), (F.col("id") % 3000).cast("string"))).alias("owner"))
+    out = signals.owner_groups(df, "id", "city", "owner")
+    assert out.count() == n and out.filter("n = 25000").agg(F.count("*"), F.min("group_id")).collect()[0][:] == (25_000, 0)
