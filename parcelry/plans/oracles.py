@@ -246,6 +246,12 @@ UNION ALL SELECT 'absentee_candidates', count(*) FROM found UNION ALL SELECT 'nr
     "enriched_lookups": """SELECT s_name || ' ' || n_name AS query, s_acctbal >= 1000 AS matched, CASE WHEN s_acctbal > 5000 THEN 'cached' WHEN s_acctbal >= 1000 THEN 'accepted' ELSE 'no result' END AS note,
        CASE WHEN s_acctbal >= 1000 THEN 'p' || s_suppkey END AS place_id, CASE WHEN s_acctbal >= 1000 THEN s_suppkey END AS reviews
 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0""",
+    "config_rows": f"""{_LI}
+SELECT city AS city_id, row_number() OVER (PARTITION BY city ORDER BY corridor) - 1 AS ordinal, corridor AS name, lower(city) AS state, price_min, price_max FROM places JOIN cities USING (city)""",
+    "csv_round_trip": r"""SELECT page_id, replace(regexp_extract(url, '//([^/]*)', 1), '.', ';') AS host, (page_id % 2 = 0)::INT::VARCHAR AS even,
+       sha256(CASE WHEN page_id % 5 > 0 THEN regexp_replace(coalesce(html, ''), '\r\n?', chr(10), 'g') ELSE '' END) AS html_sha256 FROM pages""",
+    "shown_names": f"""{_LI}
+SELECT listing_id, coalesce(CASE WHEN l_partkey % 3 = 0 THEN society END, CASE WHEN l_orderkey % 2 = 0 THEN nullif(url, '') END, agent) AS shown FROM li""",
     "stored_lookups": f"""{_SNAPSHOT}
 SELECT query, place_id, CASE WHEN rating < 3 THEN 'fresh' ELSE 'cached' END AS origin, CASE WHEN rating >= 2 THEN 'cached' END AS origin_before, 2 AS version FROM snapshot""",
     "stored_marks": f"""{_LI}, open_rows AS (

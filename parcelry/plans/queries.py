@@ -10,7 +10,7 @@ from parcelry.operators import duplicates, exports, listings, matching, pages, r
 from parcelry.plans.views import BAND, cities, corridor_metrics, line_listings, order_listings, raw_listings, read
 from parcelry.plans import jobs
 from parcelry.sources import tables
-from parcelry.sources.files import flat
+from parcelry.sources.files import flat, load_cities, load_seed_corridors, read_csv, write_csv, write_json
 from parcelry.sources.scratch import drop_at_exit, keep, new_path
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -498,6 +498,33 @@ def enriched_lookups(s: SparkSession, d: str) -> DataFrame:
     return jobs.enrich_from_snapshot(subjects, cache, snapshot, "city_name", "s_name", ["s_suppkey"]).lookups.select("query", "matched", "note", "place_id", "reviews")
 
 
+def config_rows(s: SparkSession, d: str) -> DataFrame:
+    """Cities and their areas, written as the configuration files that a deployment has and read back."""
+    path = _stored(s, "config")
+    write_json(cities(s, d).withColumn("state", F.lower("city_id")), f"{path}/cities")
+    areas = _area_of_nation(s, d).groupBy("city").agg(F.array_sort(F.collect_list("corridor")).alias("names"))
+    one = areas.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("city", "names")))).alias("value"))  # a name per area
+    one.write.text(f"{path}/areas")
+    seeds = load_seed_corridors(s, f"{path}/areas").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return seeds.join(load_cities(s, f"{path}/cities"), "city_id").select("city_id", "ordinal", "name", "state", "price_min", "price_max")
+
+
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Pages written as CSV and read back: quotes, line breaks and empty texts survive, and nulls are empty."""
+    path = _stored(s, "csv")
+    rows = read(s, d, "pages").select("page_id", F.split(F.regexp_extract("url", "//([^/]*)", 1), r"\.").alias("host"), (F.col("page_id") % 2 == 0).alias("even"), F.when(F.col("page_id") % 5 > 0, F.col("html")).alias("html"))
+    write_csv(rows, f"{path}/pages", ["page_id", "host", "even", "html"])
+    back = read_csv(s, f"{path}/pages")
+    return back.select(F.col("page_id").cast("long").alias("page_id"), "host", "even", F.sha2(F.regexp_replace(F.coalesce("html", F.lit("")), "\r\n?", "\n"), 256).alias("html_sha256"))
+
+
+def shown_names(s: SparkSession, d: str) -> DataFrame:
+    """The name a listing is shown by: its own, else the one in its link, else its agent."""
+    own = F.when(F.col("l_partkey") % 3 == 0, F.col("society")).when(F.col("l_partkey") % 3 == 1, "")
+    linked = F.when(F.col("l_orderkey") % 2 == 0, F.nullif(F.col("url"), F.lit("")))
+    return line_listings(s, d).select("listing_id", C.first_text(own, linked, F.col("agent")).alias("shown"))
+
+
 def stored_lookups(s: SparkSession, d: str) -> DataFrame:
     """Lookups as a stored table: the cache is its first version, and answers that are new or replace an old one its second, read back with both versions' rows."""
     subjects, found = _snapshot(s, d)
@@ -619,6 +646,6 @@ QUERIES = {
         corridor_export, city_summary, global_stats, rollup_counts, age_histogram, load_volume, share_of_max, search, drill_down, city_membership, top_page,
         sorted_listings, lowest_listings, city_alias, area_reasons, unclassified,
         classify_listings, classified_leads, dedup_listings, resolve_entities, resolved_vacancy, coverage_plan, export_stats, exports_written, broker_slices, enriched_lookups,
-        agents_by_area, cities_in_order, stored_lookups, stored_marks, stored_dimension, raw_store, banded_raw, replaced_slices, incremental_duplicates, society_fit_run, owner_groups, group_medians,
+        agents_by_area, cities_in_order, config_rows, csv_round_trip, shown_names, stored_lookups, stored_marks, stored_dimension, raw_store, banded_raw, replaced_slices, incremental_duplicates, society_fit_run, owner_groups, group_medians,
     )
 }
