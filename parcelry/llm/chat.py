@@ -35,12 +35,13 @@ def chat_windows(
     history_budget: int = 256,
     target_role: str = "assistant",
 ) -> DataFrame:
-    """Cut every conversation into turn-aligned windows of about ``budget`` tokens.
+    """Cut every conversation into turn-aligned windows of at most ``budget`` tokens.
 
     Tokens are words and punctuation marks, with four more per turn for its marks. Windows take new turns as long as
     the prefix sums allow. Each later window starts with the leading system turn, if there is one,
-    and up to ``history_turns`` turns before its own, of at most ``history_budget`` tokens. A turn that alone exceeds the budget is
-    never cut: it gets a window of its own. Every turn is new in exactly one window, and only new
+    and up to ``history_turns`` turns before its own, of at most ``history_budget`` tokens; the history is
+    shortened, to nothing if need be, until it fits beside the system turn and the new one. A turn that with the system turn alone exceeds the budget is
+    never cut: it gets a window of its own, the only kind above the budget. Every turn is new in exactly one window, and only new
     turns of ``target_role`` are under the loss mask.
 
     Returns ``conv_id``, ``window`` (from 0), ``formatted``, ``n_repeated`` (leading turns already
@@ -69,9 +70,11 @@ def chat_windows(
     system_tokens = system * t[0]["tokens"]
 
     def history(start: Column) -> Column:
-        """The first repeated turn of a window that starts there; the system turn is never among them."""
+        """The first repeated turn of a window that starts there, so that system turn, history and new turn fit; the system turn is never among them."""
         span = F.sequence(F.greatest(start - history_turns, F.least(system, start)), start)
-        return F.element_at(F.filter(span, lambda i: F.when(i == start, True).otherwise(before(start, "tokens") - before(i, "tokens") <= history_budget)), 1)
+        short = lambda i: before(start, "tokens") - before(i, "tokens") <= history_budget
+        fits = lambda i: system_tokens + t[start]["tokens_to"] - before(i, "tokens") <= budget
+        return F.element_at(F.filter(span, lambda i: F.when(i == start, True).otherwise(short(i) & fits(i))), 1)
 
     def step(a: Column, x: Column) -> Column:
         """Open a window at the turn x that no longer fits the current one."""

@@ -110,7 +110,7 @@ WITH RECURSIVE c AS (
 ), h AS (
   SELECT u.conv_id, u.i, min(b.k0) AS base, min(b.n0) AS n_base, min(b.i) AS f
   FROM u LEFT JOIN sys USING (conv_id)
-  JOIN u b ON b.conv_id = u.conv_id AND b.i BETWEEN greatest(u.i - 2, least(coalesce(sf, 0), u.i)) AND u.i AND (b.i = u.i OR u.k0 - b.k0 <= 256)
+  JOIN u b ON b.conv_id = u.conv_id AND b.i BETWEEN greatest(u.i - 2, least(coalesce(sf, 0), u.i)) AND u.i AND (b.i = u.i OR (u.k0 - b.k0 <= 256 AND coalesce(sk, 0) + u.k0 + u.k - b.k0 <= 1024))
   GROUP BY u.conv_id, u.i
 ), walk AS (
   SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS start, 0::HUGEINT AS base, 0::HUGEINT AS extra FROM u WHERE i = 0
