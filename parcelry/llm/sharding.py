@@ -62,14 +62,15 @@ def shard_by_bytes(
     shards: int = 24,
     row_bytes: int = 8,
     tolerance: float = 0.001,
-    keep_group: float = 0.01,
+    keep_group: float = 0.1,
     piece_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Deal the rows into ``shards`` of near-equal bytes, in key order.
 
     A row's size is the UTF-8 bytes of its text plus ``row_bytes``. Every splitter lies within ``tolerance`` of a shard's
     share of its target, or at the end of a row or of a group of equal texts of up to
-    ``keep_group`` of a share that is nearest. Returns the columns of ``docs`` with ``size``, ``shard`` (from 0) and ``slot`` (place in
+    ``keep_group`` of a share that is nearest: such a group stays in one shard, which may cost half its bytes on either side. Larger groups
+    are divided, because shards could not be near equal otherwise. Returns the columns of ``docs`` with ``size``, ``shard`` (from 0) and ``slot`` (place in
     the shard in key order, gapless from 0). A task sorts pieces of about ``piece_bytes``, or of a 32,768th of all bytes if that is more.
 
     Defined cases: a null text counts as empty; null ids are one id; rows equal in id and text are divided like any others, in

@@ -265,6 +265,18 @@ def test_equal_texts_stay_together(spark):
     assert shard_by_bytes(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_equal_texts_of_the_given_table_share_a_shard(spark):
+    base = "/root/testdata/sf0.01"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    got = shard_by_bytes(spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text"), shards=24)
+    share = got.agg(F.sum("size") / 24).collect()[0][0]
+    groups = got.groupBy("text").agg(F.count_distinct("shard").alias("n"), F.sum("size").alias("bytes")).filter(F.col("bytes") <= 0.1 * share)
+    assert groups.count() > 500 and groups.filter("n > 1").count() == 0
+    sizes = [r[0] for r in got.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sizes) == 24 and max(sizes) < 1.1 * share and min(sizes) > 0.9 * share
+
+
 # Chat windows ---------------------------------------------------------------------------------------
 
 TURN = "conv_id long, turn long, role string, text string"
@@ -313,9 +325,27 @@ def test_windows_hold_every_turn_once_and_train_each_answer_once(spark):
         assert pieces[0].startswith(OPEN + "system\n") == system
         assert len(pieces) - r["n_repeated"] == 1 or r["n_tokens"] <= 60
         assert r["n_repeated"] <= 2 + system and (r["window"] > 0 or r["n_repeated"] == 0)
+        assert r["n_tokens"] <= 60 or r["n_repeated"] == system * (r["window"] > 0)
     assert chat_windows(spark.createDataFrame([], TURN)).count() == 0 and read_windows(chat_windows(spark.createDataFrame([], TURN))).count() == 0
 
 
+def test_windows_keep_their_budget(spark):
+    """Only a turn that with the system turn alone exceeds the budget does; the first conversation is one that history would push over it."""
+    rng = random.Random(9)
+    lengths = [[400, 400, 200, 900, 100], *[[rng.randrange(0, 2048) for _ in range(rng.randrange(1, 9))] for _ in range(60)]]
+    turns = [(c, i, "system" if c % 2 and not i else ("user", "assistant")[i % 2], "w " * n) for c, own in enumerate(lengths) for i, n in enumerate(own)]
+    windows = chat_windows(spark.createDataFrame(turns, TURN), budget=1024, history_turns=2, history_budget=900).collect()
+    first = {}
+    for r in windows:
+        own, system = lengths[r["conv_id"]], r["conv_id"] % 2
+        at = first.get(r["conv_id"], 0)
+        n_new = len(r["formatted"].split(CLOSE)) - 1 - r["n_repeated"]
+        first[r["conv_id"]] = at + n_new
+        alone = own[at] + 4 + (own[0] + 4 if system and at else 0)
+        assert r["n_tokens"] <= 1024 or (alone > 1024 and n_new == 1 and r["n_tokens"] == alone)
+    assert [first[c] for c in range(len(lengths))] == [len(own) for own in lengths]
+
+
 # WARC -----------------------------------------------------------------------------------------------
 
 PAGE = "page_id long, url string, html string, captured timestamp"
