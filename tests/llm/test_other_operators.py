@@ -4,12 +4,14 @@ import base64
 import gzip
 import glob
 import hashlib
+import math
 import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from parcelry.llm.sharding import shard_by_bytes
 from parcelry.llm.topk import best_pairs, integer_vectors, top_inner_products
 from parcelry.llm.toxicity import Objective, fit_severity, score_severity
 from parcelry.llm import toxicity, warc
+from parcelry.llm.words import PLAIN, Words
 from parcelry.llm.warc import LoserTree, merge_index, payload_digest, read_archives, url_key, write_archives
 
 DOC = "doc_id long, text string"
@@ -128,6 +131,38 @@ def test_the_fitting_sample_is_bounded(spark, monkeypatch):
     assert [r["grade"] for r in sample if r["text"].startswith(docs[7][1])] == [2]
 
 
+def word_features(text):
+    """The word and prefix hashes of each word of a text, word by word."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return [toxicity._features(Words(pa.array([w]), PLAIN))[1].tolist() for w in words]
+
+
+def test_feature_choice_and_scores_equal_plain_loops(spark):
+    train, test = graded(11, 300), graded(12, 60)
+    df = spark.createDataFrame(train, DOC + ", grade int")
+    model = fit_severity(df.select("doc_id", "text"), df.select("doc_id", "grade"))
+    n, bad = Counter(), Counter()
+    for _, text, grade in train:
+        present = {f for fs in word_features(text) for f in fs}
+        n.update(present)
+        bad.update(present if grade else ())
+    other, clean = sum(g > 0 for *_, g in train), sum(g == 0 for *_, g in train)
+
+    def z(f):
+        share = n[f] / (other + clean)
+        return abs(bad[f] / other - (n[f] - bad[f]) / clean) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / other + 1 / clean))
+
+    assert set(model.features.tolist()) == {f for f in n if n[f] >= 3 and z(f) >= 4.5}
+    weights, odd = dict(zip(model.features.tolist(), model.weights)), [(900, None, 0), (901, "", 0), (902, "idiot " * 500, 0)]
+    got = {r["doc_id"]: r for r in score_severity(spark.createDataFrame(test + odd, DOC + ", truth int"), model).collect()}
+    for i, text, _ in test + odd:
+        counts = Counter(f for fs in word_features(text) for f in fs if f in weights)
+        margin = sum(math.log1p(c) * weights[f] for f, c in counts.items())
+        at_least = [1 / (1 + math.exp(t - margin)) for t in model.thresholds]
+        each = [a - b for a, b in zip([1.0, *at_least], [*at_least, 0.0])]
+        assert abs(got[i]["expected_severity"] - sum(at_least)) < 1e-9 and got[i]["toxic"] == (at_least[0] >= 0.5) and got[i]["grade"] == each.index(max(each))
+
+
 # Packing --------------------------------------------------------------------------------------------
 
 
@@ -154,6 +189,44 @@ def test_best_fit_takes_the_tightest_open_bin():
     assert used == [sum(n for n, b in zip(lengths, at) if b == x) for x in range(len(used))] and max(used) <= 32
 
 
+def plain_packing(lengths, sizes):
+    """Best fit by falling length with lists: the tightest open bin, else the size of least cost per token filled greedily with what is left."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        n = left.pop(0)
+        open_bins = [b for b in bins if b["room"] >= n]
+        if open_bins:
+            b = min(open_bins, key=lambda b: b["room"])
+        else:
+            def price(size):
+                space = size - n
+                for m in left:
+                    space -= m if m <= space else 0
+                return sequence_cost(size) / max(1, size - space)
+
+            b = {"room": min((x for x in sizes if x >= n), key=price), "has": []}
+            bins.append(b)
+        b["room"] -= n
+        b["has"].append(n)
+    return sorted((min(x for x in sizes if x >= sum(b["has"])), sorted(b["has"])) for b in bins)
+
+
+def test_whole_packing_costs_what_the_plain_one_costs(spark):
+    rng = random.Random(8)
+    sizes = (32, 64, 128)
+    docs = [(i, "w " * rng.choice([0, 1, 5, 31, 60, 127, 128, 129, 300, rng.randrange(200)])) for i in range(150)]
+    rows = pack_best_fit(spark.createDataFrame(docs, DOC), sizes=sizes).collect()
+    pieces = [n for _, t in docs for c in [len(t.split())] for n in ([128] * (-(-c // 128) - 1) + [c - 128 * (-(-c // 128) - 1)] if c else [0])]
+    bins = {}
+    for r in rows:
+        bins.setdefault((r["bin"], r["bin_size"]), []).append(r["n_tokens"])
+    got = sorted((size, sorted(own)) for (_, size), own in bins.items())
+    want = plain_packing(pieces, sizes)
+    cost = lambda found: sum(sequence_cost(size) for size, _ in found)
+    # Bins of equal room may be taken in another order, which later pieces do not feel in sum.
+    assert sorted(n for _, own in got for n in own) == sorted(pieces) and len(got) == len(want) and math.isclose(cost(got), cost(want))
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 100, 300]))) for i in range(400)] + ODD
