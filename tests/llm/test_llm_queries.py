@@ -35,7 +35,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted((tuple(r[c] for c in order) for r in out.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+# The whitening of embeddings has tests of its own.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op12_embedding_whitening"}))
 def test_other_queries_return_every_document(spark, name):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert QUERIES[name](spark, DATA).select("doc_id").distinct().count() == docs
