@@ -64,16 +64,23 @@ def _buckets(df: DataFrame, key_cols: Sequence[str], id_col: str, text_col: str,
     """The rows of buckets in which a link is possible; ``late`` tells rows of this batch from leaders of earlier ones, ``apart`` keeps rows that say nothing apart."""
     text, owner = strip_tokens(F.col(text_col), tokens), name_key(F.col(owner_col))
     has_text = F.coalesce(F.length(text_col), F.lit(0)) > 0
+    keys = [f"__k{i}" for i in range(len(key_cols))]
     rows = df.dropna(subset=list(key_cols)).select(
-        F.to_json(F.struct(*key_cols)).alias("key"), F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), text.alias("text"), owner.alias("owner"), has_text.alias("has_text"), F.lit(True).alias("late")
+        *[F.col(c).alias(k) for k, c in zip(keys, key_cols)], F.col(id_col).alias("id"), F.col(corridor_col).alias("corridor"), text.alias("text"), owner.alias("owner"), has_text.alias("has_text"), F.lit(True).alias("late")
     )
     kind = dict(rows.dtypes)["id"]
-    if leaders is not None:
+    one_key = F.to_json(F.struct(*[F.col(k).alias(c) for k, c in zip(keys, key_cols)]))
+    if leaders is None:
+        # The keys are told apart by their columns; only rows that share one get it as a text.
+        shared = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        bucket = rows.join(shared, keys, "left_semi").withColumn("key", one_key).drop(*keys)
+    else:
+        rows = rows.withColumn("key", one_key).drop(*keys)
         # Leaders of keys that the batch does not have are not read on.
         rows = rows.unionByName(leaders.join(rows.select("key").distinct(), "key", "left_semi").withColumn("late", F.lit(False)))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        bucket = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
     says = (F.col("has_text") & (F.length(F.trim("text")) > 0)) | (F.length("owner") > 0)
-    bucket = rows.join(shared, "key", "left_semi").withColumn("says", F.coalesce(says, F.lit(False)))
+    bucket = bucket.withColumn("says", F.coalesce(says, F.lit(False)))
     return keep(bucket.withColumn("apart", F.when(~F.col("says"), F.struct("late", "id"))), "buckets"), kind
 
 
