@@ -6,9 +6,14 @@ of the first level's length stands for it: equal windows choose equal representa
 all places suffice and none of the repeats is lost. Representatives that repeat at the first length alone are extended to
 the second, and windows whose representative repeats there to the wanted length, where they are compared by 128 bits.
 
-Windows that repeat at the wanted length decide what goes. With ``extend`` they alone go on to twice that length, and
-so on until no candidate survives: such a window is two repeating ones side by side, so its hash comes from theirs
-and texts are not read again.
+Windows that repeat at the wanted length decide what goes, and they alone go on to twice that length, and so on until no
+candidate survives. What goes on are representatives again: of the windows of L words inside each window of 2 L words, the one
+that starts with the smallest hash. Whoever represents 2 L represents L too, so levels are nested, and they hold a
+falling share of all places, about 1 / L each. Hashes of all levels are taken in one reading of the texts; a
+level then asks only about those whose window of half its length repeats.
+
+With ``extend`` all windows go on instead of representatives: a window of 2 L words is two repeating ones side by side, so
+its hash comes from theirs and texts are not read again.
 
 Rows are packed into compressed chunks. A chunk sends each distinct window
 hash once, with a mark when the chunk itself holds it twice, so a passage that sits in a third of
@@ -34,8 +39,9 @@ _ASKED = "level int, bucket int, chunk long, key1 binary, key2 binary, twice bin
 _ANSWER = "level int, bucket int, chunk long, some boolean, bits binary"
 _STATE = "chunk long, level int, pos binary, doc binary, h1 binary, h2 binary"
 _BUCKET_BYTES, _SLICE_BYTES, _CHUNK_BYTES = 64 << 20, 2 << 10, (1 << 20, 32 << 20)
-_DOCS = -1  # the bucket of rows that list documents instead of bits
-_OWN = ("n_words", "n_removed", "longest_repeat", "kept_text")
+_DOCS, _ANCHORED = -1, -2  # the buckets of rows that list documents instead of bits
+_CLIMB = "chunk long, level int, found array<binary>, pos array<binary>, doc array<binary>, h1 array<binary>, h2 array<binary>"
+_OWN = ("n_words", "n_removed", "repeat_at_least", "longest_repeat", "kept_text")
 
 
 def remove_repeated_passages(
@@ -51,8 +57,10 @@ def remove_repeated_passages(
     Words are runs of bytes other than ASCII white space and are compared unchanged. Windows
     stay inside one document and are judged on the input; the other occurrence may be in the
     same document and may overlap. Returns the columns of ``docs`` with ``n_words``, ``n_removed``,
-    ``kept_text`` (kept words joined by one space) and ``longest_repeat``: the longest of the lengths window, 2 x window, 4 x window, ...
-    at which the document has a repeated window, 0 if none. Without ``extend`` only the first of them is looked at.
+    ``kept_text`` (kept words joined by one space), ``repeat_at_least``: the longest of the lengths window, 2 x window, 4 x window, ...
+    at which a representative of the document repeats (for the window itself: any window), 0 if none; a repeated passage of that length is
+    there, and none of four times that length. ``longest_repeat`` is the longest of these lengths at which any window of the document repeats, so
+    the same or twice as long. Without ``extend`` only the first length is looked at for it.
 
     Defined cases: a null or empty text has no words, nothing removed and an empty kept text;
     a text shorter than the window is kept whole; a row that is repeated counts as another
@@ -78,12 +86,26 @@ def remove_repeated_passages(
             break  # no candidate survives
         asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_extender(lengths, at, level, buckets), _ASKED)
         answers = answers.unionByName(keep(_judge(asked), f"level{level}"))
+    answers = answers.unionByName(_climbed(chunks, answers, lengths, at, buckets))
     if extend:
         answers = answers.unionByName(_doubled(chunks, answers, lengths, at, buckets))
-    out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, longest_repeat int, kept_text string").fields])
+    out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, repeat_at_least int, longest_repeat int, kept_text string").fields])
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _removed(t, a, lengths, at, buckets), out)
 
 
+def _climbed(chunks: DataFrame, answers: DataFrame, lengths: list[int], at: int, buckets: int) -> DataFrame:
+    """The documents in which a representative of 2, 4, 8, ... times the wanted length repeats, level by level until none does."""
+    kind = f"{_CLIMB}, asked array<struct<{_ASKED}>>"
+    live = keep(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _anchors(t, a, lengths, at, buckets), kind), "climb")
+    while live.filter(F.size("asked") > 0).head(1):
+        judged = keep(_judge(live.select(F.inline("asked"))), "judged")
+        higher = keep(live.drop("asked").groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(lambda t, a: _climb(t, a, buckets), kind), "climb")
+        discard(live, judged)
+        live = higher
+    found = live.select("chunk", F.posexplode("found").alias("nth", "bits"))
+    return found.select((F.col("nth") + 3).alias("level"), F.lit(_ANCHORED).alias("bucket"), "chunk", F.lit(True).alias("some"), "bits")
+
+
 def _doubled(chunks: DataFrame, answers: DataFrame, lengths: list[int], at: int, buckets: int) -> DataFrame:
     """The documents that have a repeating window of 2, 4, 8, ... times the wanted length, chunk by chunk, level by level."""
     level, length = 3, lengths[2]
@@ -249,6 +271,63 @@ def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, level: in
     return _ask(level, t.column("chunk")[0].as_py(), words.windows(lengths[level])[live], second, buckets)
 
 
+def _anchors(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
+    """The representatives of every longer level, their hashes, and what they ask at the first of these levels; no row without any."""
+    if not t.num_rows:
+        return _rungs(0, 3, [], [], buckets)
+    words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
+    length, rungs = lengths[2], []
+    alive = np.zeros(len(words.start), bool)
+    alive[_survivors(words, _bits(a), lengths, 3, buckets)] = True
+    of, place, left = words.text_of(), np.arange(len(alive)), np.repeat(words.first[1:], words.count) - np.arange(len(alive))
+    short, h = words.windows(lengths[0]), [words.windows(length, seed) for seed in (0, 1)]
+    while True:
+        # Only documents with a candidate, and long enough for what it represents, are looked at any further.
+        busy = np.zeros(len(words.count), bool)
+        busy[of[alive]] = True
+        stay = (busy & (words.count >= 4 * length))[of]
+        if not stay.any():
+            return _rungs(t.column("chunk")[0].as_py(), 3, [], rungs, buckets)
+        h = [paired_hash(w, np.append(w[length:], np.zeros(min(length, len(w)), np.uint64)), 2 * length, seed)[stay] for seed, w in enumerate(h)]
+        of, place, left, short, alive = (x[stay] for x in (of, place, left, short, alive))
+        length *= 2
+        chosen = np.unique(first_minimum(short, length + 1)[left >= 2 * length])
+        chosen = chosen[alive[chosen]]
+        alive = np.zeros(len(of), bool)
+        alive[chosen] = True
+        if len(chosen):
+            rungs.append((place[chosen].astype(np.int32), of[chosen].astype(np.int32), h[0][chosen], h[1][chosen]))
+
+
+def _rungs(chunk: int, level: int, found: list[bytes], rungs: list[tuple[np.ndarray, ...]], buckets: int) -> pa.Table:
+    """The documents found so far by level, the candidates of this level and those above, and what this level asks."""
+    some = bool(found or rungs)
+    keys = rungs[0][2:] if rungs else 2 * [np.zeros(0, np.uint64)]
+    asked = _ask(level, chunk, *keys, buckets).to_struct_array().combine_chunks()
+    lists = [found, *([r[k].tobytes() for r in rungs] for k in range(4))]
+    columns = [pa.array([chunk][:some], pa.int64()), pa.array([level][:some], pa.int32()), *(pa.array([x][:some], pa.list_(pa.binary())) for x in lists)]
+    ends = pa.array([0, len(asked)][: 1 + some], pa.int32())
+    return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(ends, asked)], names=["chunk", "level", "found", "pos", "doc", "h1", "h2", "asked"])
+
+
+def _climb(t: pa.Table, a: pa.Table, buckets: int) -> pa.Table:
+    """Keep the candidates of the next level whose window of half its length repeats, and note the documents of those that do."""
+    if not t.num_rows:
+        return _rungs(0, 0, [], [], buckets)
+    chunk, level, found = (t.column(c)[0].as_py() for c in ("chunk", "level", "found"))
+    kinds = {"pos": np.int32, "doc": np.int32, "h1": np.uint64, "h2": np.uint64}
+    rungs = list(zip(*([np.frombuffer(x, kind) for x in t.column(c)[0].as_py()] for c, kind in kinds.items())))
+    if not rungs:
+        return _rungs(chunk, level, found, [], buckets)
+    pos, doc, h1, h2 = rungs[0]
+    again = _answered((h1, h2), _bits(a)[level], buckets)
+    higher = rungs[1:]
+    if higher:
+        stay = np.isin(higher[0][0], pos[again])
+        higher = [tuple(x[stay] for x in higher[0]), *higher[1:]] if stay.any() else []
+    return _rungs(chunk, level + 1, [*found, np.unique(doc[again]).tobytes()], higher, buckets)
+
+
 def _state(chunk: int, level: int, length: int, pos: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, buckets: int) -> pa.Table:
     """The repeating windows of a level, with what they ask about windows of twice their length; no row without any."""
     names = ["chunk", "level", "pos", "doc", "h1", "h2", "asked"]
@@ -309,8 +388,10 @@ def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
     removed = np.bincount(of[gone], minlength=len(column))
     longest = np.zeros(len(column), np.int32)
     longest[of[live]] = lengths[2]
+    least = longest.copy()
     for level in sorted(k for k in bits if k > 2):
-        longest[np.frombuffer(bits[level][_DOCS], np.int32)] = lengths[2] << (level - 2)
+        for lengths_of, listed in ((longest, _DOCS), (least, _ANCHORED)):
+            lengths_of[np.frombuffer(bits[level].get(listed, b""), np.int32)] = lengths[2] << (level - 2)
     kept = []
     for i, text in enumerate(column.to_pylist()):
         parts = (text or "").encode().split()
@@ -318,5 +399,5 @@ def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
             stay = ~gone[words.first[i] : words.first[i + 1]]
             parts = [p for p, s in zip(parts, stay) if s]
         kept.append(b" ".join(parts).decode())
-    own = [pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(longest), pa.array(kept, pa.string())]
-    return pa.Table.from_arrays([*t.columns, *own], names=[*t.schema.names, "n_words", "n_removed", "longest_repeat", "kept_text"])
+    own = [pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(least), pa.array(longest), pa.array(kept, pa.string())]
+    return pa.Table.from_arrays([*t.columns, *own], names=[*t.schema.names, "n_words", "n_removed", "repeat_at_least", "longest_repeat", "kept_text"])

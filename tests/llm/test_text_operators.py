@@ -87,6 +87,7 @@ def test_passages_equal_brute_force(spark, window, chunk_bytes):
     rows = got.collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows) == sorted(passages_removed(docs, window))
     assert sorted((r["doc_id"], r["longest_repeat"]) for r in rows) == sorted(passages_removed(docs, window, longest=True))
+    assert all(r["longest_repeat"] in (r["repeat_at_least"], 2 * r["repeat_at_least"]) for r in rows)
     plain = remove_repeated_passages(spark.createDataFrame(docs, DOC).repartition(2), window=window).collect()
     assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in plain) == sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in rows)
     assert all(p["longest_repeat"] == (window if p["n_removed"] else 0) for p in plain)
@@ -108,6 +109,18 @@ def test_passages_extend_until_nothing_survives(spark):
     assert got == {1: 80, 2: 80, 3: 10, 4: 10, 5: 0}
 
 
+def test_passages_are_doubled_by_representatives_until_nothing_survives(spark):
+    rng = random.Random(6)
+    long, middle, short = (" ".join(str(rng.random()) for _ in range(n)) for n in (400, 100, 12))
+    docs = [(1, long), (2, "a " + long + " b"), (3, middle), (4, "c " + middle), (5, short), (6, short + " d"), (7, "none of it"), (8, None), (9, "x " * 90)]
+    rows = remove_repeated_passages(spark.createDataFrame(docs, DOC), window=10, extend=True, chunk_bytes=500).collect()
+    got = {r["doc_id"]: (r["repeat_at_least"], r["longest_repeat"]) for r in rows}
+    assert {i: e for i, (_, e) in got.items()} == {1: 320, 2: 320, 3: 80, 4: 80, 5: 10, 6: 10, 7: 0, 8: 0, 9: 80}
+    assert all(e in (r, 2 * r) for r, e in got.values()) and got[1][0] >= 160 and got[9][0] == 40
+    again = remove_repeated_passages(spark.createDataFrame(docs, DOC).repartition(5), window=10, chunk_bytes=50_000).collect()
+    assert {r["doc_id"]: r["repeat_at_least"] for r in again} == {i: r for i, (r, _) in got.items()}
+
+
 # Line dedup -----------------------------------------------------------------------------------------
 
 
