@@ -153,6 +153,32 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+class _Text(Words):
+    """Words whose window hashes from the first level's length on are kept, each built from its halves."""
+
+    def __init__(self, column: pa.Array, shortest: int):
+        super().__init__(column, SPACED)
+        self._shortest, self._kept = shortest, {}
+
+    def windows(self, length: int, seed: int = 0) -> np.ndarray:
+        if (length, seed) not in self._kept:
+            half = (length + 1) // 2
+            w = super().windows(length, seed) if length == 1 or half < self._shortest else self._joined(self.windows(half, seed), length, seed)
+            self._kept[length, seed] = w
+        return self._kept[length, seed]
+
+    @staticmethod
+    def _joined(w: np.ndarray, length: int, seed: int) -> np.ndarray:
+        return paired_hash(w, _shifted(w, length // 2), length, seed)
+
+
+def _shifted(w: np.ndarray, by: int) -> np.ndarray:
+    """The values that stand so many places further on; zeros at the end."""
+    out = np.zeros_like(w)
+    out[: max(len(w) - by, 0)] = w[by:]
+    return out
+
+
 def _ask(level: int, chunk: int, key1: np.ndarray, key2: np.ndarray | None, buckets: int) -> pa.Table:
     """The distinct keys of a chunk, cut by bucket."""
     k1, k2, counts = _distinct(key1, key2)
@@ -226,7 +252,7 @@ def _representatives(words: Words, lengths: list[int]) -> tuple[np.ndarray, np.n
 
 
 def _first_level(texts: pa.Array, chunk: int, lengths: list[int], buckets: int) -> pa.Table:
-    short, _, chosen = _representatives(Words(texts, SPACED), lengths)
+    short, _, chosen = _representatives(_Text(texts, lengths[0]), lengths)
     return _ask(0, chunk, short[np.unique(chosen)], None, buckets)
 
 
@@ -265,7 +291,7 @@ def _next_level(t: pa.Table, a: pa.Table, lengths: list[int], at: int, level: in
     none = np.zeros(0, np.uint64)
     if not t.num_rows:
         return _ask(level, 0, none, none, buckets)
-    words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
+    words = _Text(_unpacked(t).column(at).combine_chunks(), lengths[0])
     live = _survivors(words, _bits(a), lengths, level, buckets)
     second = words.windows(lengths[2], 1)[live] if level == 2 else None
     return _ask(level, t.column("chunk")[0].as_py(), words.windows(lengths[level])[live], second, buckets)
@@ -275,7 +301,7 @@ def _anchors(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
     """The representatives of every longer level, their hashes, and what they ask at the first of these levels; no row without any."""
     if not t.num_rows:
         return _rungs(0, 3, [], [], buckets)
-    words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
+    words = _Text(_unpacked(t).column(at).combine_chunks(), lengths[0])
     length, rungs = lengths[2], []
     alive = np.zeros(len(words.start), bool)
     alive[_survivors(words, _bits(a), lengths, 3, buckets)] = True
@@ -288,7 +314,7 @@ def _anchors(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int
         stay = (busy & (words.count >= 4 * length))[of]
         if not stay.any():
             return _rungs(t.column("chunk")[0].as_py(), 3, [], rungs, buckets)
-        h = [paired_hash(w, np.append(w[length:], np.zeros(min(length, len(w)), np.uint64)), 2 * length, seed)[stay] for seed, w in enumerate(h)]
+        h = [paired_hash(w[stay], _shifted(w[stay], length), 2 * length, seed) for seed, w in enumerate(h)]
         of, place, left, short, alive = (x[stay] for x in (of, place, left, short, alive))
         length *= 2
         chosen = np.unique(first_minimum(short, length + 1)[left >= 2 * length])
@@ -352,7 +378,7 @@ def _live(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -
     none = np.zeros(0, np.uint64)
     if not t.num_rows:
         return _state(0, 2, lengths[2], none, none, none, none, buckets)
-    words = Words(_unpacked(t).column(at).combine_chunks(), SPACED)
+    words = _Text(_unpacked(t).column(at).combine_chunks(), lengths[0])
     live = _survivors(words, _bits(a), lengths, 3, buckets)
     return _state(t.column("chunk")[0].as_py(), 2, lengths[2], live, words.text_of()[live], words.windows(lengths[2])[live], words.windows(lengths[2], 1)[live], buckets)
 
@@ -378,7 +404,7 @@ def _longer(t: pa.Table, a: pa.Table, length: int, buckets: int) -> pa.Table:
 def _removed(t: pa.Table, a: pa.Table, lengths: list[int], at: int, buckets: int) -> pa.Table:
     t = _unpacked(t)
     column = t.column(at).combine_chunks()
-    words = Words(column, SPACED)
+    words = _Text(column, lengths[0])
     bits = _bits(a)
     live = _survivors(words, bits, lengths, 3, buckets)
     hit = np.zeros(len(words.start), bool)
