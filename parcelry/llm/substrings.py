@@ -9,7 +9,7 @@ the second, and windows whose representative repeats there to the wanted length,
 Windows that repeat at the wanted length decide what goes, and they alone go on to twice that length, and so on until no
 candidate survives. What goes on are representatives again: of the windows of L words inside each window of 2 L words, the one
 that starts with the smallest hash. Whoever represents 2 L represents L too, so levels are nested, and they hold a
-falling share of all places, about 1 / L each. Hashes of all levels are taken in one reading of the texts; a
+falling share of all places, about 2 / L each on random words. Hashes of all levels are taken in one reading of the texts; a
 level then asks only about those whose window of half its length repeats.
 
 With ``extend`` all windows go on instead of representatives: a window of 2 L words is two repeating ones side by side, so
