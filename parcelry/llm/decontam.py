@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelry.operators.lookups import looked_up
 from parcelry.sources.scratch import keep
 from parcelry.llm.names import unused
 from parcelry.llm.words import PLAIN, Words, first_minimum, slices
@@ -85,9 +86,16 @@ def mark_contamination(
     # A size of 0 stands for the full window length.
     span = F.struct("pos", F.when(F.col("size") == 0, window).otherwise(F.col("size")).alias("n"))
     per_row = spans.groupBy("row").agg(_union_length(F.sort_array(F.collect_set(span))).alias("n_hit"))
-    named = spans.select("row", "s1", "s2").distinct().join(sets, ["s1", "s2"]).select("row", "item").distinct()
-    named = named.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("names"))
-    per_row = per_row.join(named, "row").select(F.col("row").alias(row), "n_hit", "n_items", F.col("names").alias(names))
+    # Rows that hold the same sets share a combination of sets; only one row of each meets the items.
+    combination = [F.bit_xor(F.xxhash64(F.lit(seed), "s1", "s2")).alias(f"c{seed}") for seed in (1, 2)]
+    combined = keep(spans.select("row", "s1", "s2").distinct().groupBy("row").agg(*combination), "combined")
+    shown = keep(combined.groupBy("c1", "c2").agg(F.min("row").alias("row"), F.count("*").alias("rows")), "shown")
+    named = spans.join(shown, "row").select("c1", "c2", "rows", "s1", "s2").distinct().join(sets, ["s1", "s2"]).select("c1", "c2", "rows", "item").distinct()
+    named = named.groupBy("c1", "c2").agg(F.max("rows").alias("rows"), F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("names"))
+    key = F.concat_ws(":", "c1", "c2").alias("key")
+    named = keep(named.select(key, "rows", "n_items", "names"), "named")
+    labelled = looked_up(combined.select("row", key), named, "key", "rows").select("row", "n_items", "names")
+    per_row = per_row.join(labelled, "row").select(F.col("row").alias(row), "n_hit", "n_items", F.col("names").alias(names))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return (
         found.drop(hits_)
@@ -96,7 +104,7 @@ def mark_contamination(
             {
                 "n_hit": n_hit.cast("long"),
                 "n_items": F.coalesce("n_items", F.lit(0)).cast("long"),
-                "items_sha256": F.sha2(F.coalesce(names, F.lit("")), 256),
+                "items_sha256": F.coalesce(names, F.sha2(F.lit(""), 256)),
                 "contaminated": n_hit > 0,
             }
         )

@@ -203,6 +203,15 @@ def test_contamination_equals_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(contamination(docs, items))
 
 
+def test_contamination_of_passages_in_every_document_and_item(spark):
+    rng = random.Random(11)
+    common, *own = (" ".join(f"w{rng.randrange(9999)}" for _ in range(14)) for _ in range(5))
+    items = [(i, f"{common} x{i} {own[i % 4]}") for i in range(40)]
+    docs = [(i, " . ".join([common, *rng.sample(own, i % 3)])) for i in range(120)]
+    got = mark_contamination(spark.createDataFrame(docs, DOC).repartition(3), spark.createDataFrame(items, "item_id long, text string")).select(*COLS)
+    assert sorted(map(tuple, got.collect())) == sorted(contamination(docs, items))
+
+
 def test_contamination_defined_cases(spark, odd):
     items = [(1, "Same text HERE"), (2, "x x"), (2, "another text"), (3, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
