@@ -73,18 +73,25 @@ def mentions(c: Column, word: str) -> Column:
 def days_since(c: Column, as_of: Column) -> Column:
     """Age in days from 'today', 'yesterday', 'N hours / days / weeks / months ago' or a date like ``May 07, '26``, in that order."""
     text = F.lower(F.trim(c))
-    n = lambda unit: found(text, rf"(\d+)\s*{unit}").try_cast("decimal(30,0)")
+    # The patterns run only on texts that hold their unit.
+    n = lambda unit: F.when(text.contains(unit), found(text, rf"(\d+)\s*{unit}").try_cast("decimal(30,0)"))
     # Fixed value: how absolute dates are written.
     date = r"([A-Za-z]{3})\s+(\d{1,2}),?\s*'?(\d{2,4})"
-    year = found(c, date, 3)
-    posted = F.concat_ws(" ", found(c, date), found(c, date, 2), F.when(F.length(year) == 4, year).otherwise((year.cast("int") + 2000).cast("string")))
-    age = F.date_diff(as_of, F.try_to_date(F.when(year.isNotNull(), posted), "MMM d yyyy"))
-    absolute = F.when(age >= 0, age).when(age < 0, 0)
+
+    def absolute(parts: Column) -> Column:
+        year = parts[2]
+        posted = F.concat_ws(" ", parts[0], parts[1], F.when(F.length(year) == 4, year).otherwise((year.cast("int") + 2000).cast("string")))
+        age = F.date_diff(as_of, F.try_to_date(posted, "MMM d yyyy"))
+        return F.when(age >= 0, age).when(age < 0, 0)
+
+    # The parts of a date are taken out once, as one text.
+    parts = F.split(F.regexp_replace(F.regexp_substr(c, F.lit(date)), date, "$1 $2 $3"), " ")
+    dated = F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), absolute(p)))[0]
     return (
         F.when(text.contains("today"), 0)
         .when(text.contains("yesterday"), 1)
-        .when(found(text, r"(\d+)\s*hour").isNotNull(), 0)
-        .otherwise(F.coalesce(n("day"), n("week") * 7, n("month") * 30, absolute).try_cast("int"))
+        .when(text.contains("hour") & found(text, r"(\d+)\s*hour").isNotNull(), 0)
+        .otherwise(F.coalesce(n("day"), n("week") * 7, n("month") * 30, dated).try_cast("int"))
     )
 
 
@@ -121,10 +128,15 @@ def entity_key(c: Column, patterns: Sequence[str] = ENTITY_NOISE) -> Column:
         swept = F.transform(F.array(sweep(a["name"])), lambda y: F.struct(y.alias("name"), (y == a["name"]).alias("stable")))
         return F.when(a["stable"], a).otherwise(swept[0])
 
-    # A sweep that changes a name takes three characters or more. Most names end in no noise word and take none.
-    sweeps = F.sequence(F.lit(0), F.floor(F.length(c) / 3).cast("int"))
-    swept = F.aggregate(sweeps, F.struct(c.alias("name"), F.lit(False).alias("stable")), step, lambda a: a["name"])
-    return F.when(c.rlike(rf"(?:{'|'.join(patterns)})$"), swept).otherwise(c)
+    def to_the_end(x: Column) -> Column:
+        # A sweep that changes a name takes three characters or more.
+        sweeps = F.sequence(F.lit(0), F.floor(F.length(x) / 3).cast("int"))
+        return F.aggregate(sweeps, F.struct(x.alias("name"), F.lit(False).alias("stable")), step, lambda a: a["name"])
+
+    noisy = lambda x: x.rlike(rf"(?:{'|'.join(patterns)})$")
+    # Most names end in no noise word and take no sweep, and of the others most are done after one.
+    once = F.transform(F.array(sweep(c)), lambda y: F.when(noisy(y), to_the_end(y)).otherwise(y))[0]
+    return F.when(noisy(c), once).otherwise(c)
 
 
 def slug(c: Column) -> Column:
