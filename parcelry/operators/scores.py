@@ -159,6 +159,8 @@ def society_fit(df: DataFrame, ratings: DataFrame, city: str, corridor: str, ent
     age as the middle. Without a rating the other three weights are scaled up. ``ratings`` holds ``entity``, ``rating``, ``reviews`` per city.
     """
     keys = [city, corridor, entity]
+    # One row per listing, read by the metrics and twice by the spellings.
+    df = keep(df.select(*dict.fromkeys([*keys, display, *order, "price", "age"])), "listings")
     groups = band_metrics(df, keys).filter(F.col("supply") >= min_listings)
     groups = groups.join(most_common_display(df, keys, display, order, "display"), keys)
     groups = groups.join(ratings.select(city, entity, "rating", "reviews"), [city, entity], "left").withColumn("rating_value", weighted_rating(F.col("rating"), F.col("reviews")))

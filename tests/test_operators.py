@@ -429,3 +429,23 @@ def test_rows_without_text_meet_by_their_owners_only(spark, monkeypatch, how):
     pairs = duplicates.find_duplicates(spark.createDataFrame(data, "k string, id long, t string, o string, c string"), ["k"], "id", "t", "o", "c", similarity=how)
     assert sorted(tuple(r)[:3] for r in pairs.collect()) == sorted(leaders([(i, t or "", o) for _, i, t, o, _ in data], how))
     assert not rounds
+
+
+def counted(spark, df):
+    """The table, and how many of its rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(passed, df.schema), seen
+
+
+def test_society_fit_computes_listings_once(spark):
+    df = spark.createDataFrame([("m", "x", "a", "A", i, 10 + i, i % 3) for i in range(20)], "city string, corridor string, society string, shown string, i int, price long, age long")
+    df, seen = counted(spark, df)
+    ratings = spark.createDataFrame([], "city string, society string, rating double, reviews long")
+    assert [r["supply"] for r in scores.society_fit(df, ratings, "city", "corridor", "society", "shown", ["i"]).collect()] == [20]
+    assert seen.value == 20
