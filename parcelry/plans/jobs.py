@@ -92,9 +92,15 @@ def classify_listings(raw: DataFrame, classified: DataFrame, key: str, as_of: Co
 
 def candidates(df: DataFrame) -> DataFrame:
     """Both candidate signals of canonical listings (``id``, ``city``, ``role``, ``poster``, ``description_raw``)."""
+    owners, unused = _candidates(df)
+    return signals.candidate_signals(signals.with_siblings(owners, "id", "city"), unused)
+
+
+def _candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups of owners with several listings, and the listings never occupied."""
     rows = listings.canonical_listings(df)
-    owners = signals.multi_listing_owners(rows.filter("role = 'owner'").withColumn("owner", C.name_key(F.col("poster"))), "id", "city", "owner")
-    return signals.candidate_signals(owners, signals.never_occupied(rows, "id", "city", "description_raw"))
+    owners = signals.owner_groups(rows.filter("role = 'owner'").withColumn("owner", C.name_key(F.col("poster"))), "id", "city", "owner")
+    return owners, signals.never_occupied(rows, "id", "city", "description_raw")
 
 
 def broker_activity(df: DataFrame) -> DataFrame:
@@ -112,11 +118,14 @@ class Fit(NamedTuple):
 def society_fit(df: DataFrame, cities: DataFrame, ratings: DataFrame) -> Fit:
     """Fit scores of the projects of all cities with a price band, with their candidate listings, and the status of every city."""
     rows = listings.canonical_listings(df).filter(C.filled(F.col("society_name_raw")).isNotNull() & ~F.lower(F.trim("society_name_raw")).isin(list(listings.JUNK_NAMES)))
-    rows = listings.with_entity_key(rows, "society_name_raw", "society_key")
+    columns = ["id", "city", "corridor", "society_name_raw", "price_inr", "days_since_posted"]
+    rows = keep(listings.with_entity_key(rows, "society_name_raw", "society_key").select(*columns, "society_key"), "keyed")
     kept, skipped = listings.in_band(rows, cities, "city", "price_inr")
     banded = kept.withColumns({"price": F.col("price_inr"), "age": F.col("days_since_posted")})
     scored = scores.society_fit(banded, ratings.withColumnRenamed("society", "society_key"), "city", "corridor", "society_key", "society_name_raw", ["id"])
-    found = candidates(df).select("id").join(rows.select("id", "city", "corridor", "society_key"), "id")
+    # Ids alone, without the siblings' texts.
+    owners, unused = _candidates(df)
+    found = owners.select("id").unionByName(unused.select("id")).join(rows.select("id", "city", "corridor", "society_key"), "id")
     linked = signals.attach_candidates(scored, found, ["city", "corridor", "society_key"], "id")
     ok = cities.join(skipped, "city_id", "left_anti").select("city_id", F.lit("ok").alias("status"))
     return Fit(linked.orderBy(F.desc("fit_score"), "city", "corridor", "society_key"), ok.unionByName(skipped))

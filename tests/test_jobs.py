@@ -65,3 +65,19 @@ def test_enrich_asks_once_per_business_and_stores_answers_only(spark):
     out = jobs.enrich_from_snapshot(df, cache, snapshot, "city", "name", ["i"])
     assert sorted((r["query"], r["matched"], r["note"]) for r in out.lookups.collect()) == [("ACME One Pune", True, "accepted"), ("Gone Pune", False, "no result"), ("Held Pune", True, "accepted")]
     assert [tuple(r) for r in out.coverage.collect()] == [("Pune", 2, 1)]
+
+
+def test_society_fit_computes_listings_once_for_scores_and_once_per_signal(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = table(spark)
+    cities = spark.createDataFrame([("m", 10, 20), ("n", None, None)], "city_id string, price_min long, price_max long")
+    ratings = spark.createDataFrame([], "city string, society string, rating double, reviews long")
+    out = jobs.society_fit(df.mapInArrow(passed, df.schema), cities, ratings)
+    out.scores.write.format("noop").mode("overwrite").save()
+    assert seen.value <= 3 * len(ROWS)
