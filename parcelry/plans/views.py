@@ -96,9 +96,9 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select(F.col("r_name").alias("city_id"), F.when(has, F.lit(BAND[0])).cast("long").alias("price_min"), F.when(has, F.lit(BAND[1])).cast("long").alias("price_max"))
 
 
-def corridor_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corridor_metrics(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
     """Candidate areas with metrics aggregated from their listings."""
-    li = line_listings(spark, sf_dir)
+    li = line_listings(spark, sf_dir) if li is None else li
     in_band = F.col("price").between(*BAND)
     out = li.groupBy("city", "corridor").agg(
         F.avg(F.when(in_band, 1.0).otherwise(0.0)).alias("share_in_band"),

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from parcelry.plans import queries, views
 from parcelry.plans.oracles import ORACLES
 from parcelry.plans.queries import QUERIES
 
@@ -38,3 +39,13 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).collect() is not None
+
+
+@pytest.mark.parametrize("name", ["export_stats", "exports_written"])
+def test_exports_compute_listings_once(spark, monkeypatch, name):
+    made, plain = [], views.line_listings
+    counting = lambda *where: made.append(1) or plain(*where)
+    monkeypatch.setattr(views, "line_listings", counting)
+    monkeypatch.setattr(queries, "line_listings", counting)
+    QUERIES[name](spark, DATA)
+    assert len(made) == 1
