@@ -14,9 +14,12 @@ from parcelry.operators.ranks import numbered
 
 def society_export(entities: DataFrame, details: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Entities with detail enrichment and a sample link; ``detail_available`` says whether there was a detail row."""
+    return with_details(entities, details, keys).join(samples, list(keys), "left")
+
+
+def with_details(entities: DataFrame, details: DataFrame, keys: Sequence[str]) -> DataFrame:
     known = details.withColumn("detail_available", F.lit(True))
-    out = entities.join(known, list(keys), "left").join(samples, list(keys), "left")
-    return out.withColumn("detail_available", F.coalesce("detail_available", F.lit(False)))
+    return entities.join(known, list(keys), "left").withColumn("detail_available", F.coalesce("detail_available", F.lit(False)))
 
 
 def broker_export(agents: DataFrame, contacts: DataFrame, samples: DataFrame, contact_keys: Sequence[str], sample_keys: Sequence[str]) -> DataFrame:
@@ -42,12 +45,16 @@ def global_stats(**counts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(F.broadcast(b)), counts.values())
 
 
-def export_stats(cities: DataFrame, corridors: DataFrame, societies: DataFrame, brokers: DataFrame, candidates: DataFrame, directory: DataFrame) -> DataFrame:
-    """Nine counts over the exported datasets."""
+def export_stats(cities: DataFrame, corridors: DataFrame, societies: DataFrame, brokers: DataFrame, candidates: DataFrame, directory: DataFrame, n_candidates: str | None = None) -> DataFrame:
+    """Nine counts over the exported datasets. Only the rows are read, with ``city_id``, ``has_price_band``, ``detail_available`` and ``contact_available``.
+
+    ``n_candidates`` is the column that says how many candidates a row of ``candidates`` stands for, if not one.
+    """
     count = lambda df, name, c=F.lit(1): df.agg(F.count(c).alias(name))
+    n = F.coalesce(F.sum(n_candidates), F.lit(0)) if n_candidates else F.count("*")
     return global_stats(
         brokers=brokers.agg(F.count("*").alias("total_brokers_indexed"), F.count_if("contact_available").alias("total_brokers_contact_resolved")),
-        candidates=count(candidates, "total_absentee_candidates"),
+        candidates=candidates.agg(n.alias("total_absentee_candidates")),
         cities=cities.agg(F.count_distinct("city_id").alias("total_cities_live"), F.count_distinct(F.when(F.col("has_price_band"), F.col("city_id"))).alias("total_cities_fully_scored")),
         directory=count(directory, "total_directory_links"),
         corridors=count(corridors, "total_corridors_ranked"),

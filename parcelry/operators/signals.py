@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import matched_keywords
@@ -21,12 +21,24 @@ def owner_groups(df: DataFrame, id_col: str, city: str, owner: str, min_listings
 
     ``owner`` is a normalised name of at least two words; ``df`` holds canonical owner rows. The owners of very many listings are few, and are joined where the listings are.
     """
-    named = df.filter(F.col(owner).isNotNull() & ~F.col(owner).isin(list(placeholders)) & (F.size(F.split(owner, " ")) >= 2))
+    named = _named(df, owner, placeholders)
     rows = keep(named.select(id_col, city, F.to_json(F.struct(city, owner)).alias("__owner")), "owners")
     large = keep(rows.groupBy("__owner").agg(F.min(id_col).alias("group_id"), F.count("*").alias("n")).filter(F.col("n") >= min_listings), "groups")
     return looked_up(rows, large, "__owner", "n").select(id_col, city, "group_id", "n")
 
 
+def owner_counts(df: DataFrame, city: str, poster: str, owner: Callable[[Column], Column], min_listings: int = 2, placeholders: Sequence[str] = PLACEHOLDER_OWNERS) -> DataFrame:
+    """The owners of owner_groups with the number of their listings (``n``): the city and the owner, a row each. ``owner`` makes the normalised name of a ``poster``, once for each written form."""
+    written = df.groupBy(city, poster).agg(F.count("*").alias("n"))
+    named = _named(written.withColumn("owner", owner(F.col(poster))), "owner", placeholders)
+    return named.groupBy(city, "owner").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_listings)
+
+
+def _named(df: DataFrame, owner: str, placeholders: Sequence[str]) -> DataFrame:
+    """Rows whose owner has a name of at least two words. The name stands in the condition once, because a filter computes it as often as it names it."""
+    return df.filter(F.exists(F.array(owner), lambda name: F.coalesce(~name.isin(list(placeholders)) & (F.size(F.split(name, " ")) >= 2), F.lit(False))))
+
+
 def multi_listing_owners(df: DataFrame, id_col: str, city: str, owner: str, min_listings: int = 2, placeholders: Sequence[str] = PLACEHOLDER_OWNERS) -> DataFrame:
     """A row per listing of an owner with several, with their number and the sibling listings; ids only, never names."""
     return with_siblings(owner_groups(df, id_col, city, owner, min_listings, placeholders), id_col, city)

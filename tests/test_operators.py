@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parcelry.functions import columns as C
 from parcelry.operators import duplicates, exports, listings, matching, pages, ranks, scores, signals
 from parcelry.sources import files
 
@@ -419,6 +420,26 @@ def test_owner_groups_grow_with_the_listings(spark):
     assert out.count() == n and out.filter("n = 25000").agg(F.count("*"), F.min("group_id")).collect()[0][:] == (25_000, 0)
 
 
+def test_owner_counts_are_those_of_the_groups(spark):
+    names = ["Ann Bee", " ann  bee", "ANN BEE", "solo", "solo", "MB User", "mb user", None, None, "", "", "Cy Dee", "cy dee", "Ed Fox"]
+    data = [(i, c, n) for i, (c, n) in enumerate((c, n) for c in ("m", "n", None) for n in names)] + [(99, "n", "ed fox")]
+    df = spark.createDataFrame(data, "id long, city string, poster string")
+    name = lambda p: C.name_key(C.stripped(p))
+    counts = signals.owner_counts(df, "city", "poster", name)
+    groups = signals.owner_groups(df.withColumn("owner", name(F.col("poster"))), "id", "city", "owner")
+    assert sorted(rows(counts), key=repr) == sorted([(c, *o) for c in ("m", "n", None) for o in (("ann bee", 3), ("cy dee", 2))] + [("n", "ed fox", 2)], key=repr)
+    assert groups.count() == counts.agg(F.sum("n")).first()[0] == 17
+    assert signals.owner_counts(df, "city", "poster", name, min_listings=3).count() == 3
+    assert signals.owner_groups(df.withColumn("owner", name(F.col("poster"))), "id", "city", "owner", placeholders=()).count() == 23
+
+
+def test_export_stats_of_counted_candidates(spark):
+    none = spark.createDataFrame([], "city_id string, has_price_band boolean, detail_available boolean, contact_available boolean")
+    three = spark.createDataFrame([(2,), (1,)], "n long")
+    for candidates, n, want in ((three, "n", 3), (three, None, 2), (three.filter("n > 5"), "n", 0)):
+        assert exports.export_stats(none, none, none, none, candidates, none, n).first()["total_absentee_candidates"] == want
+
+
 @pytest.mark.parametrize("how", ["ratio", "parity"])
 def test_rows_without_text_meet_by_their_owners_only(spark, monkeypatch, how):
     """One bucket: rows without text, most of them of owners of their own, take no round of blocks; those that share an owner with a text or one another are found."""

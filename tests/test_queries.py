@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from parcelry.operators import ranks, scores, signals
 from parcelry.plans import queries, views
 from parcelry.plans.oracles import ORACLES
 from parcelry.plans.queries import QUERIES
@@ -49,3 +50,18 @@ def test_exports_compute_listings_once(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "line_listings", counting)
     QUERIES[name](spark, DATA)
     assert len(made) == 1
+
+
+def test_export_stats_writes_no_table_of_listings(spark, monkeypatch):
+    kept = []
+    for module in (queries, ranks, scores, signals):
+        plain = module.keep
+        monkeypatch.setattr(module, "keep", lambda df, name, plain=plain: kept.append((name, out := plain(df, name))) or out)
+    assert QUERIES["export_stats"](spark, DATA).count() == 1
+    sizes = {name: table.count() for name, table in kept}
+    listings, orders = (views.read(spark, DATA, t).count() for t in ("lineitem", "orders"))
+    assert all(n < min(listings, orders) / 2 for n in sizes.values()), sizes
+
+
+def test_export_stats_counts_the_whole_datasets(spark):
+    assert QUERIES["export_stats"](spark, DATA).collect() == queries._datasets(spark, DATA)["stats"].collect()
