@@ -173,12 +173,13 @@ def society_fit(df: DataFrame, ratings: DataFrame, city: str, corridor: str, ent
     return groups.withColumn("fit_score", round_half_up(10 * score, 1)).drop("rating_value", "supply_rank", "velocity_rank", "cov_rank", "rating_rank")
 
 
-def broker_activity(df: DataFrame, city: str, corridor: str, agent: str, link: str, display: str, order: Sequence[str]) -> DataFrame:
-    """Listings per agent and area (distinct links, and every row without one), scored by percentile rank within the city."""
+def broker_activity(df: DataFrame, city: str, corridor: str, agent: str, link: str, display: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Listings per agent and area (distinct links, and every row without one), scored by percentile rank within the city; with the most frequent ``display``, if it is given."""
     keys = [city, corridor, agent]
     linked = F.nullif(F.col(link), F.lit(""))
     counted = df.groupBy(*keys).agg((F.count_distinct(linked) + F.count_if(linked.isNull())).alias("n_listings"))
-    counted = keep(counted.join(most_common_display(df, keys, display, order, "display"), keys), "agents")
+    counted = counted.join(most_common_display(df, keys, display, order, "display"), keys) if display else counted
+    counted = keep(counted, "agents")
     ranked = with_percentile_rank(counted, [city], "n_listings", "rank")
     return ranked.withColumn("activity_score", round_half_up(10 * F.col("rank"), 1)).drop("rank")
 

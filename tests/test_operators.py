@@ -92,6 +92,13 @@ def test_broker_count(spark):
     assert out.first()["n_listings"] == 4 and out.first()["activity_score"] == 10.0
 
 
+def test_broker_activity_without_a_spelling(spark, monkeypatch):
+    monkeypatch.setattr(scores, "most_common_display", None)  # not called
+    data = [("m", "x", "g", "u1"), ("m", "x", "g", None), ("m", "x", "h", "u2"), ("m", None, "g", "u3")]
+    out = scores.broker_activity(spark.createDataFrame(data, "city string, corridor string, agent string, url string"), "city", "corridor", "agent", "url")
+    assert sorted(rows(out), key=repr) == sorted([("m", "x", "g", 2, 10.0), ("m", "x", "h", 1, 2.5), ("m", None, "g", 1, 2.5)], key=repr)
+
+
 def test_multi_listing_owners(spark):
     data = [(1, "m", "ann bee"), (2, "m", "ann bee"), (3, "m", "ann bee"), (4, "m", "solo"), (5, "m", "solo"), (6, "m", "mb user"), (7, "m", "mb user"), (8, "m", None)]
     out = signals.multi_listing_owners(spark.createDataFrame(data, "id long, city string, owner string"), "id", "city", "owner")

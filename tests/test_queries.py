@@ -65,3 +65,18 @@ def test_export_stats_writes_no_table_of_listings(spark, monkeypatch):
 
 def test_export_stats_counts_the_whole_datasets(spark):
     assert QUERIES["export_stats"](spark, DATA).collect() == queries._datasets(spark, DATA)["stats"].collect()
+
+
+def test_exports_of_an_area_without_a_name(spark, tmp_path):
+    con = duckdb.connect()
+    for t in TABLES:
+        name = "* REPLACE (CASE WHEN n_nationkey <> 8 THEN n_name END AS n_name)" if t == "nation" else "*"
+        con.execute(f"COPY (SELECT {name} FROM read_parquet('{DATA}/{t}.parquet')) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    in_area = con.execute("SELECT count(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 8 AND s_suppkey % 2 = 0").fetchone()[0]
+    assert in_area > 0
+    for name in ("export_stats", "exports_written"):
+        con.execute(ORACLES[name])
+        want = canonical([c[0] for c in con.description], con.fetchall())
+        out = QUERIES[name](spark, str(tmp_path))
+        assert canonical(out.columns, [list(r) for r in out.collect()]) == want
