@@ -23,6 +23,8 @@ COUNTRY_CODES = r"(\+1|\+44|\+971|\+61|\+65)[\s-]?\d"
 
 # White space of every script, and the four separators of ASCII.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
+# The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def round_half_up(c: Column, digits: int = 0) -> Column:
@@ -106,12 +108,13 @@ def intl_contact_hint(*texts: Column) -> Column:
 
 def poster_name(c: Column) -> Column:
     """The text after the first colon."""
-    return filled(stripped(F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1)))
+    colon = F.instr(c, ":")
+    return filled(stripped(F.when(colon > 0, F.substr(c, colon + 1))))
 
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends, a space or not."""
-    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def name_key(c: Column) -> Column:

@@ -37,18 +37,27 @@ def dedup_listings(df: DataFrame, tokens: Sequence[str] = (), similarity: str =
     return Deduplicated(marked, duplicates.duplicate_groups(pairs), duplicates.dedup_report(marked, "city"))
 
 
+def comparable(df: DataFrame, tokens: Sequence[str] | Column = ()) -> DataFrame:
+    """The canonical listings with what batches are compared by, written once: batches that come from one source are taken out of it by their ``id``."""
+    return duplicates.compared(_open_rows(df), _DUPLICATE_KEYS, "id", "description_raw", "poster", "corridor", tokens)
+
+
 def dedup_batch(batch: DataFrame, root: str, tokens: Sequence[str] | Column = (), similarity: str = "ratio") -> DataFrame:
     """The duplicates of a new batch against itself and the leaders of all earlier batches, whose table at ``root`` then gets the batch's own leaders.
 
     Leaders are sliced by city; of the earlier ones only those with a key of the batch are read. Batches in the order of their ids give the pairs of one run over all.
     """
-    spark, rows = batch.sparkSession, keep(_open_rows(batch), "batch")
+    return dedup_compared(comparable(batch, tokens), root, similarity)
+
+
+def dedup_compared(batch: DataFrame, root: str, similarity: str = "ratio") -> DataFrame:
+    """dedup_batch of rows as ``comparable`` has written them, which are not written again."""
+    spark = batch.sparkSession
     earlier = tables.read_current(spark, root).drop("city") if tables.current_version(spark, root) else None
-    columns = (_DUPLICATE_KEYS, "id", "description_raw", "poster", "corridor", tokens)
-    pairs = keep(duplicates.find_duplicates(rows, *columns, similarity=similarity, leaders=earlier), "pairs")
-    new = duplicates.new_leaders(rows, pairs, *columns).withColumn("city", F.get_json_object("key", "$.city"))
+    found = duplicates.find_in_batch(batch, similarity=similarity, leaders=earlier)
+    new = found.leaders.withColumn("city", F.get_json_object("key", "$.city"))
     tables.append_version(new, root, slice_col="city", cluster_by="key")
-    return pairs
+    return found.pairs
 
 
 def store_marks(spark: SparkSession, root: str, pairs: DataFrame, id_col: str = "id") -> tables.Version:

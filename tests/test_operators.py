@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from parcelry.functions import columns as C
 from parcelry.operators import duplicates, exports, listings, matching, pages, ranks, scores, signals
-from parcelry.sources import files
+from parcelry.plans import jobs
+from parcelry.sources import files, tables
 
 
 def rows(df, *order):
@@ -489,3 +490,45 @@ def test_find_duplicates_computes_rows_once(spark, batch):
     got = {r[0] for r in pairs.collect()}
     assert got == ({-1} if batch else {0}) | set(range(1, 7))
     assert seen.value == 40
+
+
+_LISTING = "id string, city string, corridor string, society_name_raw string, price_inr long, description_raw string, poster string, duplicate_of_id string"
+
+
+@pytest.mark.parametrize("how, block", [("jaccard", 512), ("ratio", 512), ("parity", 512), ("jaccard", 4), ("ratio", 4)])
+def test_three_batches_match_the_plain_loop(spark, monkeypatch, tmp_path, how, block):
+    """Copies of texts and owners within and across batches, also of a text that difflib's junk rule finds unlike itself; buckets go on over several record batches of a task."""
+    monkeypatch.setattr(duplicates, "_BLOCK", block)
+    monkeypatch.setattr(duplicates, "_CHUNK", 7)
+    rng, texts = random.Random(9), ["a a bb", "ab ba", "  ", "", "a bb c", "d e f g", "d e f h", "x" * 250]
+    data = [("m", k, "%03d" % i, rng.choice(texts), rng.choice([None, None, "p", "q", f"o{i}"])) for i, k in enumerate("uvwxyz" * 20 + "one")]
+    want = sorted((*p, k) for k in set("uvwxyzone") for p in leaders([(i, t, o) for _, kk, i, t, o in data if kk == k], how))
+    df = spark.createDataFrame([(i, c, k, k, 5, t, o, None) for c, k, i, t, o in data], _LISTING)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = jobs.comparable(df)
+        found = [jobs.dedup_compared(rows.filter(f"id >= '{low}' AND id < '{high}'"), str(tmp_path / "leaders"), how) for low, high in (("000", "030"), ("030", "060"))]
+        found.append(jobs.dedup_batch(df.filter("id >= '060'"), str(tmp_path / "leaders"), similarity=how))
+        got = [tuple(r) for f in found for r in f.select("canonical_id", "duplicate_id", "similarity", "corridor").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == want
+    marked = {r[1] for r in want}
+    assert sorted(r["id"] for r in tables.read_current(spark, str(tmp_path / "leaders")).collect()) == sorted(i for _, _, i, _, _ in data if i not in marked)
+
+
+def test_a_batch_is_written_once(spark, monkeypatch, tmp_path):
+    """Rows alone in their bucket are written by what they are compared by, and as leaders; no other table holds them."""
+    written, keep = [], duplicates.keep
+
+    def counted_keep(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(duplicates, "keep", counted_keep)
+    monkeypatch.setattr(jobs, "keep", counted_keep)
+    df = spark.createDataFrame([("%03d" % i, "m", "x", f"n{min(i, 60)}", 5, "bright flat", None, None) for i in range(63)], _LISTING)
+    pairs = jobs.dedup_batch(df, str(tmp_path / "leaders"), similarity="jaccard")
+    assert sorted(r["duplicate_id"] for r in pairs.collect()) == ["061", "062"]
+    assert sum(written) == 63 + 1 + 3  # rows, the shared bucket's count, and its pairs and leader
